@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import textops
+
 #: Layout of the streams written here.
 PACKET, SYNC, PMT_PID, ES_PID, PRIVATE, STREAM_ID = 188, 0x47, 0x1000, 0x100, 0x06, 0xBD
 UNIT_BYTES, TICKS, RAP_EVERY = 8192, 3000, 8
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 DEMUX_SCHEMA = "payload binary, pts array<bigint>, rap_offset array<bigint>, rap_pts array<bigint>, packets bigint, programs bigint, stream_type int, continuity_errors bigint, section_errors bigint"
 
 
@@ -188,16 +190,9 @@ def mux_column(frame: DataFrame, key: str = "doc_id", payload: str = "payload")
 
     def run(batches):
         for batch in batches:
-            yield from _small(batch.column(0), (mux(p or b"") for p in batch.column(1).to_pylist()))
-
-    def _small(keys, made):
-        start, rows, size = 0, [], 0
-        for i, media in enumerate(made):
-            rows.append(media)
-            size += len(media)
-            if size >= BATCH_BYTES or i == len(keys) - 1:
-                yield pa.RecordBatch.from_arrays([keys.slice(start, len(rows)), pa.array(rows, pa.binary())], ["id", "media"])
-                start, rows, size = i + 1, [], 0
+            for part in textops.slices(batch, 1, BATCH_BYTES):
+                made = pa.array([mux(p or b"") for p in part.column(1).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), made], ["id", "media"])
 
     picked = frame.select(F.col(key).alias("id"), F.col(payload).alias("payload"))
     return picked.mapInArrow(run, f"id {kind}, media binary").withColumnRenamed("id", key)
@@ -211,9 +206,10 @@ def demux_column(frame: DataFrame, key: str = "doc_id", media: str = "media") ->
 
     def run(batches):
         for batch in batches:
-            read = [demux(m or b"") for m in batch.column(1).to_pylist()]
-            columns = [pa.array(list(c), t) for c, t in zip(zip(*read), types)] if read else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "media", *names])
+            for part in textops.slices(batch, 1, BATCH_BYTES):
+                read = [demux(m or b"") for m in part.column(1).to_pylist()]
+                columns = [pa.array(list(c), t) for c, t in zip(zip(*read), types)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["id", "media", *names])
 
     picked = frame.select(F.col(key).alias("id"), F.col(media).alias("media"))
     return picked.mapInArrow(run, f"id {kind}, media binary, {DEMUX_SCHEMA}").withColumnRenamed("id", key)

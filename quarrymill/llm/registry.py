@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, quality, urlfilter
+from . import bpe, dedup, media, mixing, quality, urlfilter
 from .staging import Staging
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -18,6 +18,10 @@ def tokenizer() -> tuple[bytes, str]:
     return bpe.load_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN
 
 
+def op1(spark, sf_dir):
+    return dedup.components(_read(spark, sf_dir, "documents"), Staging(spark, "dedup"))
+
+
 def op2(spark, sf_dir):
     return urlfilter.judge(_read(spark, sf_dir, "pages"))
 
@@ -55,6 +59,7 @@ FROM p LEFT JOIN m ON p.page_id = m.page_id LEFT JOIN k ON p.page_id = k.page_id
 
 def queries():
     return {
+        "op1_near_dedup": op1,
         "op2_url_filter": op2,
         "op3_media_columns": op3,
         "op7_quality_rules": op7,
@@ -64,4 +69,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_url_filter": OP2_SQL, "op7_quality_rules": quality.ORACLE, "op8_source_mixing": mixing.ORACLE}
+    return {"op1_near_dedup": dedup.ORACLE, "op2_url_filter": OP2_SQL, "op7_quality_rules": quality.ORACLE, "op8_source_mixing": mixing.ORACLE}
