@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, media, mixing, quality, urlfilter
+from pyspark.sql import functions as F
+
+from . import bpe, chat, dedup, html_text, langid, media, mixing, quality, urlfilter
 from .staging import Staging
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -30,6 +32,16 @@ def op3(spark, sf_dir):
     return media.media_digests(_read(spark, sf_dir, "documents"))
 
 
+def op5(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"), 3)
+    return langid.identify(docs, ~held).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6(spark, sf_dir):
+    return chat.link(_read(spark, sf_dir, "conversations"))
+
+
 def op7(spark, sf_dir):
     return quality.judge(_read(spark, sf_dir, "documents"))
 
@@ -38,6 +50,10 @@ def op8(spark, sf_dir):
     return mixing.taken(_read(spark, sf_dir, "documents"), Staging(spark, "mix"))
 
 
+def op10(spark, sf_dir):
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def op9(spark, sf_dir):
     ranks, pattern = tokenizer()
     return bpe.digests(bpe.decode(bpe.encode(_read(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
@@ -62,11 +78,14 @@ def queries():
         "op1_near_dedup": op1,
         "op2_url_filter": op2,
         "op3_media_columns": op3,
+        "op5_language_id": op5,
+        "op6_quotation_linking": op6,
         "op7_quality_rules": op7,
         "op8_source_mixing": op8,
         "op9_byte_bpe": op9,
+        "op10_html_text": op10,
     }
 
 
 def oracle_sql():
-    return {"op1_near_dedup": dedup.ORACLE, "op2_url_filter": OP2_SQL, "op7_quality_rules": quality.ORACLE, "op8_source_mixing": mixing.ORACLE}
+    return {"op1_near_dedup": dedup.ORACLE, "op2_url_filter": OP2_SQL, "op6_quotation_linking": chat.ORACLE, "op7_quality_rules": quality.ORACLE, "op8_source_mixing": mixing.ORACLE}
