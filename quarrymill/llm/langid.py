@@ -106,7 +106,9 @@ class Model:
         model = Model(languages, tables, uniform * root, math.inf)
         entropies = [h for h, n, _ in (model.text_entropy(t) for t in check) if n]
         if entropies:
-            model.threshold = float(np.mean(entropies) + REJECT_SIGMAS * max(np.std(entropies), 0.02))
+            # Half way from a usual text to chance, or further out where usual texts vary more.
+            chance = float(-np.log(uniform).mean())
+            model.threshold = max(float(np.mean(entropies) + REJECT_SIGMAS * np.std(entropies)), (float(np.mean(entropies)) + chance) / 2)
         return model
 
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:

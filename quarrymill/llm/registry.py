@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, dedup, html_text, langid, media, mixing, quality, urlfilter
+from . import bpe, chat, dedup, html_text, langid, lm, media, mixing, quality, urlfilter
 from .staging import Staging
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -32,6 +32,10 @@ def op3(spark, sf_dir):
     return media.media_digests(_read(spark, sf_dir, "documents"))
 
 
+def op4(spark, sf_dir):
+    return lm.train_and_score(_read(spark, sf_dir, "documents"), Staging(spark, "lm"))
+
+
 def op5(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     held = langid.held_out(F.col("doc_id"), 3)
@@ -78,6 +82,7 @@ def queries():
         "op1_near_dedup": op1,
         "op2_url_filter": op2,
         "op3_media_columns": op3,
+        "op4_lm_scoring": op4,
         "op5_language_id": op5,
         "op6_quotation_linking": op6,
         "op7_quality_rules": op7,
