@@ -98,8 +98,13 @@ def apply_rules(docs: DataFrame, clean: bool = True) -> DataFrame:
     """Documents that pass, without their failing lines, with the columns of the input."""
     columns = docs.columns
     whole = docs.withColumn("rule_row", F.struct(*[F.col(f"`{c}`") for c in columns]))
-    out = judge(whole, carry=("rule_row",)).where("kept").select("rule_row.*")
-    return out.withColumn("text", clean_text(F.col("text"))) if clean else out
+    judged = judge(whole, carry=("rule_row",))
+    # One row or none for each: a filter would be pushed down and evaluate the rules inside their own lambdas.
+    out = judged.select("rule_row", F.explode(F.array_repeat(F.lit(1), F.col("kept").cast("int"))).alias("once")).select("rule_row.*")
+    if not clean:
+        return out
+    out = out.withColumn("text", clean_text(F.col("text")))
+    return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
 NOTICE_SQL = "(" + "|".join(x.replace("(", r"\(").replace(")", r"\)") for x in NOTICES) + ")"
