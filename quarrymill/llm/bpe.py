@@ -10,16 +10,19 @@ from __future__ import annotations
 import base64
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textops
+
 #: Longer texts are cut before a space that follows a letter, digit, dot or comma. No match of the
 #: pre-splitting pattern runs from a non-space into a following space, so ids do not change.
 PIECE_CHARS = 1 << 16
 SAFE_CUT = re.compile(r"(?<=[A-Za-z0-9.,])(?= )")
-#: Characters of text in one outgoing Arrow batch.
-BATCH_CHARS = 4 << 20
+#: Bytes of text, and ids, that are Python objects at one time.
+BATCH_BYTES, BATCH_IDS = 1 << 20, 1 << 18
 
 
 def load_ranks(path: str) -> bytes:
@@ -69,15 +72,9 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     def run(batches):
         enc = encoding(shipped.value, pattern)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            start = chars = 0
-            rows = []
-            for i, text in enumerate(texts):
-                rows.append(encode_text(enc, text or ""))
-                chars += len(text or "")
-                if chars >= BATCH_CHARS or i == len(texts) - 1:
-                    yield pa.RecordBatch.from_arrays([keys.slice(start, len(rows)), pa.array(rows, pa.list_(pa.int32()))], ["id", "ids"])
-                    start, chars, rows = i + 1, 0, []
+            for part in textops.slices(batch, 1, BATCH_BYTES):
+                rows = [np.array(encode_text(enc, text or ""), np.int32) for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int32()))], ["id", "ids"])
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return picked.mapInArrow(run, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
@@ -91,8 +88,9 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id
     def run(batches):
         enc = encoding(shipped.value, pattern)
         for batch in batches:
-            raw = [enc.decode_bytes(ids) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], ["id", "ids", "decoded"])
+            for part in textops.slices(batch, 1, BATCH_IDS):
+                raw = [enc.decode_bytes(ids) for ids in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(raw, pa.binary())], ["id", "ids", "decoded"])
 
     picked = encoded.select(F.col(id_col).alias("id"), F.col("ids"))
     return picked.mapInArrow(run, f"id {id_type}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
