@@ -120,7 +120,7 @@ class Model:
             owner += [i] * len(found)
         total = np.zeros((len(words), len(self.languages)))
         chars = np.zeros(len(words), np.int64)
-        if not parts:
+        if not parts or not self.languages:
             return total, chars
         codes, starts = codes_of(parts)
         keys = gram_keys(codes)
