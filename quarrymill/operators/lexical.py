@@ -51,3 +51,78 @@ def bm25_scores(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataF
 def bm25_top(docs: DataFrame, key: str, text: str, terms: list[str], k: int) -> DataFrame:
     ranked = bm25_scores(docs, key, text, terms).select(key, F.round("score", 6).alias("score"))
     return ranked.orderBy("score", key).limit(k)
+
+
+# -- inverted index ----------------------------------------------------------------------------
+
+
+def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf, positions) of every document: the inverted index as a table."""
+    exploded = docs.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "term"))
+    return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
+def document_lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(key, F.size(tokens(F.col(text))).alias("dl"))
+
+
+def term_statistics(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
+    """For each term: document frequency, documents, share and the two idf forms, from one scan."""
+    t = docs.select(tokens(F.col(text)).alias("t"), F.length(text).alias("chars"))
+    one = t.agg(F.count(F.lit(1)).alias("n"), F.avg("chars").alias("avg_chars"), *[F.count_if(F.array_contains("t", q)).alias(f"d{i}") for i, q in enumerate(terms)])
+    rows = F.explode(F.array(*[F.struct(F.lit(q).alias("term"), F.col(f"d{i}").alias("df")) for i, q in enumerate(terms)])).alias("x")
+    n, df = F.col("n"), F.col("x.df")
+    return one.select("n", "avg_chars", rows).select(
+        F.col("x.term").alias("term"), df.alias("df"), "n",
+        F.round(F.when(df > 0, F.ln((n + 1) / (df + 1))).otherwise(0.0), 6).alias("smooth_idf"),
+        F.round(F.when(df > 0, F.ln((n - df + 0.5) / (df + 0.5))).otherwise(0.0), 6).alias("okapi_idf"),
+        F.round(100.0 * df / n, 6).alias("percent"), F.round("avg_chars", 6).alias("avg_chars"),
+    )
+
+
+def contains_phrase(tokens_col: str, phrase: list[str]) -> Column:
+    """True if the tokens hold the words of the phrase one after another."""
+    n = len(phrase)
+    starts = F.sequence(F.lit(1), F.size(tokens_col) - n + 1)
+    hit = F.exists(starts, lambda i: F.slice(tokens_col, i, n) == F.array(*[F.lit(p) for p in phrase]))
+    return F.when(F.size(tokens_col) >= n, hit).otherwise(F.lit(False))
+
+
+def near(tokens_col: str, first: str, second: str, distance: int) -> Column:
+    """True if both terms occur with at most `distance` tokens between them, in either order."""
+
+    def positions(term):
+        return F.filter(F.transform(tokens_col, lambda x, i: F.when(x == F.lit(term), i)), lambda p: p.isNotNull())
+
+    # Both position lists are short beside the text; the nearest pair decides.
+    return F.exists(positions(first), lambda p: F.exists(positions(second), lambda q: (F.abs(p - q) <= distance + 1) & (p != q)))
+
+
+def prefix_matches(docs: DataFrame, key: str, text: str, prefix: str) -> DataFrame:
+    hit = F.filter(tokens(F.col(text)), lambda t: F.startswith(t, F.lit(prefix)))
+    return docs.select(key, F.size(hit).alias("hits"), F.size(F.array_distinct(hit)).alias("terms")).where("hits > 0")
+
+
+def all_terms(tokens_col: str, terms: list[str]) -> Column:
+    return F.forall(F.array(*[F.lit(t) for t in terms]), lambda t: F.array_contains(tokens_col, t))
+
+
+def any_term(tokens_col: str, terms: list[str]) -> Column:
+    return F.arrays_overlap(tokens_col, F.array(*[F.lit(t) for t in terms]))
+
+
+def highlight(text: Column, terms: list[str], opening: str, closing: str) -> Column:
+    """The text with marks around whole-word hits."""
+    return F.regexp_replace(text, r"(?i)\b(" + "|".join(terms) + r")\b", f"{opening}$1{closing}")
+
+
+def snippet(text: Column, terms: list[str], width: int, opening: str = "<mark>", closing: str = "</mark>") -> Column:
+    """`width` tokens around the first hit, with marks, and dots where text was left out."""
+    words = F.split(F.btrim(text), r"\s+")
+    plain = F.transform(words, lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9_]", ""))
+    wanted = F.array(*[F.lit(t) for t in terms])
+    at = F.coalesce(F.array_min(F.filter(F.transform(plain, lambda w, i: F.when(F.array_contains(wanted, w), i)), lambda i: i.isNotNull())), F.lit(0))
+    start = F.greatest(at - F.lit(width // 2), F.lit(0))
+    part = F.slice(words, start + 1, width)
+    marked = F.transform(part, lambda w: F.when(F.array_contains(wanted, F.regexp_replace(F.lower(w), "[^a-z0-9_]", "")), F.concat(F.lit(opening), w, F.lit(closing))).otherwise(w))
+    return F.concat(F.when(start > 0, "...").otherwise(""), F.array_join(marked, " "), F.when(F.size(words) > start + width, "...").otherwise(""))

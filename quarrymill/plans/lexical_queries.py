@@ -1,29 +1,291 @@
-"""Lexical search queries over documents."""
+"""Lexical search over files: BM25 and its query forms, term statistics, routing of queries."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrymill.functions import ranking, text
 from quarrymill.operators import lexical
-from quarrymill.sources.tables import table
 
+from .bindings import Queries
 
-def e2(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return lexical.bm25_top(docs, "doc_id", "text", ["the", "that", "une"], 20)
+Q = Queries()
+TERMS = ["the", "that", "une"]
+TOKENS_SQL = "regexp_extract_all(lower(content), '[a-z0-9_]+')"
 
 
-QUERIES = {"E2_bm25_match": e2}
-ORACLES = {
-    "E2_bm25_match": """
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS t FROM documents),
+def bm25_sql(docs: str, terms: list[str], key: str = "file_id", content: str = "content", where: str = "true") -> str:
+    """The closed form of the ranking, for checks."""
+    quoted = ", ".join(f"'{t}'" for t in terms)
+    return f"""d AS (SELECT {key}, regexp_extract_all(lower({content}), '[a-z0-9_]+') AS t FROM {docs} WHERE {where}),
 s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
-p AS (SELECT doc_id, len(t) AS dl, term, len(list_filter(t, lambda x: x = term)) AS tf
-      FROM d, (SELECT unnest(['the','that','une']) AS term)),
+p AS (SELECT {key}, len(t) AS dl, term, len(list_filter(t, lambda x: x = term)) AS tf FROM d, (SELECT unnest([{quoted}]) AS term)),
 h AS (SELECT * FROM p WHERE tf > 0),
 f AS (SELECT term, count(*) AS df FROM h GROUP BY term),
-w AS (SELECT doc_id, sum(CASE WHEN ln((n-df+0.5)/(df+0.5)) > 0 THEN ln((n-df+0.5)/(df+0.5)) ELSE 1e-6 END
-        * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS raw
-      FROM h JOIN f USING (term), s GROUP BY doc_id)
-SELECT doc_id, round(-raw, 6) AS score FROM w ORDER BY score, doc_id LIMIT 20""",
-}
+w AS (SELECT {key}, -sum(CASE WHEN ln((n-df+0.5)/(df+0.5)) > 0 THEN ln((n-df+0.5)/(df+0.5)) ELSE 1e-6 END
+        * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score, count(*) AS matched FROM h JOIN f USING (term), s GROUP BY {key})"""
+
+
+@Q.plan("E2_bm25_match", f"WITH {bm25_sql('documents', TERMS, 'doc_id', 'text')} SELECT doc_id, round(score, 6) AS score FROM w ORDER BY round(score, 6), doc_id LIMIT 20")
+def bm25_match(get):
+    return lexical.bm25_top(get("documents"), "doc_id", "text", TERMS, 20)
+
+
+@Q.plan("E1_postings", "WITH x AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents) SELECT term, count(*) AS postings, count(DISTINCT doc_id) AS df FROM x GROUP BY term")
+def postings(get):
+    return lexical.postings(get("documents"), "doc_id", "text").groupBy("term").agg(F.sum("tf").alias("postings"), F.count(F.lit(1)).alias("df"))
+
+
+@Q.plan("E4_content_bm25", f"""WITH {bm25_sql('{files}', ['der', 'und'], where="language = 'de'")}, t AS (SELECT * FROM w ORDER BY round(score, 6), file_id LIMIT 30)
+SELECT file_id, path, round(round(score, 6) + CASE WHEN regexp_matches(path, '(^|/)__init__[.]py$') THEN 1.2 ELSE 0 END, 6) AS score FROM t JOIN {{files}} USING (file_id)""")
+def content_bm25(get):
+    files = get("files").where("language = 'de'")
+    best = lexical.bm25_top(files, "file_id", "content", ["der", "und"], 30)
+    out = best.join(files.select("file_id", "path"), "file_id")
+    return out.select("file_id", "path", F.round(F.col("score") + ranking.path_adjustment(F.lit("der und"), F.col("path"), ranking.CONTENT_INDEX), 6).alias("score"))
+
+
+@Q.plan("E5_symbol_bm25", f"""WITH {bm25_sql("(SELECT symbol_id, replace(name, '_', ' ') || ' ' || kind AS content FROM {symbols})", ['red', 'economy'], 'symbol_id')}
+SELECT symbol_id, regexp_replace(name, '(red)', '<b>\\1</b>', 'g') AS marked, round(score, 6) AS score FROM w JOIN {{symbols}} USING (symbol_id) ORDER BY round(score, 6), symbol_id LIMIT 15""")
+def symbol_bm25(get):
+    symbols = get("symbols")
+    docs = symbols.select("symbol_id", F.concat_ws(" ", F.translate("name", "_", " "), "kind").alias("content"))
+    best = lexical.bm25_top(docs, "symbol_id", "content", ["red", "economy"], 15)
+    return best.join(symbols, "symbol_id").select("symbol_id", F.regexp_replace("name", "(red)", "<b>$1</b>").alias("marked"), "score")
+
+
+@Q.plan("E6_document_bm25", f"WITH {bm25_sql('pages', ['example', 'nav', 'title'], 'page_id', 'html')} SELECT page_id, round(score, 6) AS score FROM w ORDER BY round(score, 6), page_id LIMIT 10")
+def document_bm25(get):
+    return lexical.bm25_top(get("pages"), "page_id", "html", ["example", "nav", "title"], 10)
+
+
+@Q.plan("E7_symbol_definition_search", """WITH c AS (SELECT 'red_gear' AS cand, 0 AS o UNION ALL SELECT 'Bolt_1', 1),
+h AS (SELECT s.symbol_id, s.name, CASE WHEN lower(s.name) = lower(cand) THEN 0.0 ELSE 0.25 END AS score, o FROM {symbols} s, c WHERE contains(lower(s.name), lower(cand))),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score, o, symbol_id) AS k FROM h)
+SELECT symbol_id, name, cast(score AS DOUBLE) AS score FROM r WHERE k = 1""")
+def symbol_definitions(get):
+    query = F.lit("class red_gear Bolt_1")
+    wanted = get("symbols").select("symbol_id", "name", F.posexplode(text.symbol_candidates(query)).alias("o", "cand"))
+    hits = wanted.where(F.contains(F.lower("name"), F.lower("cand"))).withColumn("score", F.when(F.lower("name") == F.lower("cand"), 0.0).otherwise(0.25))
+    first = F.row_number().over(W.partitionBy("name").orderBy("score", "o", "symbol_id"))
+    return hits.withColumn("k", first).where("k = 1").select("symbol_id", "name", "score")
+
+
+@Q.plan("E8_phrase_query", f"SELECT doc_id FROM (SELECT doc_id, array_to_string({TOKENS_SQL.replace('content', 'text')}, ' ') AS s FROM documents) WHERE contains(' ' || s || ' ', ' of the ')")
+def phrase(get):
+    t = get("documents").select("doc_id", lexical.tokens(F.col("text")).alias("t"))
+    return t.where(lexical.contains_phrase("t", ["of", "the"])).select("doc_id")
+
+
+@Q.plan("E9_near_query", """WITH x AS (SELECT doc_id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS t FROM documents))
+SELECT DISTINCT a.doc_id FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.term = 'with' AND b.term = 'from' AND abs(a.pos - b.pos) <= 6""")
+def near_query(get):
+    t = get("documents").select("doc_id", lexical.tokens(F.col("text")).alias("t"))
+    return t.where(lexical.near("t", "with", "from", 5)).select("doc_id")
+
+
+@Q.plan("E10_prefix_query", """WITH x AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: starts_with(t, 'thin')) AS h FROM documents)
+SELECT doc_id, len(h)::INT AS hits, len(list_distinct(h))::INT AS terms FROM x WHERE len(h) > 0""")
+def prefix(get):
+    return lexical.prefix_matches(get("documents"), "doc_id", "text", "thin")
+
+
+@Q.plan("E11_boolean_query", """WITH x AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS t FROM documents)
+SELECT doc_id, list_has_all(t, ['the', 'with', 'from', 'only']) AS is_and FROM x WHERE list_has_any(t, ['the', 'with', 'from', 'only'])""")
+def boolean(get):
+    terms = ["the", "with", "from", "only"]
+    t = get("documents").select("doc_id", lexical.tokens(F.col("text")).alias("t"))
+    return t.where(lexical.any_term("t", terms)).select("doc_id", lexical.all_terms("t", terms).alias("is_and"))
+
+
+@Q.plan("E12_snippet")
+def snippets(get):
+    hit = get("documents").where(F.col("text").rlike(r"(?i)\bfrom\b"))
+    return hit.select("doc_id", lexical.snippet(F.col("text"), ["from"], 32).alias("snippet"))
+
+
+@Q.plan("E13_highlight", "SELECT doc_id, md5(regexp_replace(text, '(?i)\\b(from|only)\\b', '<b>\\1</b>', 'g')) AS marked FROM documents")
+def highlights(get):
+    return get("documents").select("doc_id", F.md5(lexical.highlight(F.col("text"), ["from", "only"], "<b>", "</b>")).alias("marked"))
+
+
+@Q.plan("E14_symbol_text_search", f"""WITH {bm25_sql("(SELECT symbol_id, replace(name, '_', ' ') || ' ' || signature AS content FROM {symbols})", ['widget'], 'symbol_id')}
+SELECT symbol_id, round(score, 6) AS score FROM w ORDER BY round(score, 6), symbol_id LIMIT 20""")
+def symbol_text(get):
+    docs = get("symbols").select("symbol_id", F.concat_ws(" ", F.translate("name", "_", " "), "signature").alias("content"))
+    return lexical.bm25_top(docs, "symbol_id", "content", ["widget"], 20)
+
+
+ADJUST_SQL = """(CASE WHEN regexp_matches(p, '(^|/)__init__[.]py$') THEN {0} ELSE 0 END + CASE WHEN regexp_matches(p, '(^|/)tests/') THEN {1} ELSE 0 END
+  - least(len(list_filter(['class', 'my_file', 'src3'], lambda t: contains(st, t))), 3) * {2}
+  - least(len(list_filter(['class', 'my_file', 'src3'], lambda t: list_contains(regexp_extract_all(p, '[a-z0-9_]+'), t))), 4) * {3})"""
+PATHS_SQL = "(SELECT file_id, lower(path) AS p, regexp_extract(lower(path), '([^/]+)[.][^./]*$', 1) AS st FROM {files})"
+
+
+@Q.plan("E15_code_rank_adjustment", f"SELECT file_id, round({ADJUST_SQL.format(0.45, 0.7, 0.22, 0.08)}, 6)::DOUBLE AS adjustment FROM {PATHS_SQL}")
+def code_adjustment(get):
+    return get("files").select("file_id", F.round(ranking.path_adjustment(F.lit("class my_file src3"), F.col("path"), ranking.CODE_INDEX), 6).alias("adjustment"))
+
+
+@Q.plan("E16_content_path_adjustment", f"SELECT file_id, round({ADJUST_SQL.format(1.2, 1.4, 0.45, 0.16)}, 6)::DOUBLE AS adjustment FROM {PATHS_SQL}")
+def content_adjustment(get):
+    return get("files").select("file_id", F.round(ranking.path_adjustment(F.lit("class my_file src3"), F.col("path"), ranking.CONTENT_INDEX), 6).alias("adjustment"))
+
+
+@Q.plan("E17_path_penalty", """SELECT file_id, CASE WHEN contains(p, 'htmlcov/') OR contains(p, 'docs/benchmarks/') THEN 10.0 WHEN contains(p, '/tests/') THEN 0.3
+  WHEN contains(p, 'makefile') THEN 0.5 WHEN ends_with(p, '.json') THEN 0.5 ELSE 0.0 END::DOUBLE AS penalty FROM (SELECT file_id, lower(CASE WHEN file_id % 9 = 0 THEN '/x/' || path ELSE path END) AS p FROM {files})""")
+def penalty(get):
+    path = F.when(F.col("file_id") % 9 == 0, F.concat(F.lit("/x/"), "path")).otherwise(F.col("path"))
+    return get("files").select("file_id", ranking.path_penalty(path).alias("penalty"))
+
+
+@Q.plan("E18_filename_boost", """SELECT file_id, round(-0.6 * least(len(list_intersect(['file', 'init', '42', '7'], list_distinct(regexp_extract_all(regexp_extract(lower(path), '([^/]+)[.][^./]*$', 1), '[a-z0-9]+')))), 3), 6)::DOUBLE AS boost FROM {files}""")
+def boost(get):
+    return get("files").select("file_id", F.round(ranking.stem_boost(F.lit("file init 42 7"), F.col("path")), 6).alias("boost"))
+
+
+@Q.plan("E19_lexical_search", f"""WITH {bm25_sql('{files}', ['from', 'only', 'with'])}, t AS (SELECT *, matched = 3 AS strict FROM w),
+r AS (SELECT file_id, strict, row_number() OVER (ORDER BY strict DESC, round(score, 6), file_id) AS k, score FROM t),
+c AS (SELECT * FROM r WHERE k <= 80)
+SELECT file_id, strict, path, language, round(round(score, 6) + CASE WHEN ends_with(path, '.json') THEN 0.5 ELSE 0.0 END, 6) AS score
+FROM c JOIN {{files}} USING (file_id) ORDER BY round(round(score, 6) + CASE WHEN ends_with(path, '.json') THEN 0.5 ELSE 0.0 END, 6), file_id LIMIT 10""")
+def lexical_search(get):
+    """Strict matches first, filled up with any-term matches; oversampled, adjusted by path, cut to ten."""
+    terms = ["from", "only", "with"]
+    files = get("files")
+    scored = lexical.bm25_scores(files, "file_id", "content", terms).withColumn("score", F.round("score", 6))
+    about = files.select("file_id", "path", "language", lexical.tokens(F.col("content")).alias("t"))
+    found = scored.join(about.withColumn("strict", lexical.all_terms("t", terms)).drop("t"), "file_id")
+    best = found.orderBy(F.col("strict").desc(), "score", "file_id").limit(80)
+    adjusted = best.withColumn("score", F.round(F.col("score") + ranking.path_penalty(F.col("path")), 6))
+    return adjusted.orderBy("score", "file_id").limit(10).select("file_id", "strict", "path", "language", "score")
+
+
+@Q.plan("E25_documentation_search", """WITH v AS (SELECT unnest(['readme', 'guide', 'docs']) AS kind, unnest(['the of', 'que de', 'der die']) AS q),
+h AS (SELECT v.kind, f.file_id, f.path, len(list_filter(regexp_extract_all(lower(content), '[a-z0-9_]+'), lambda t: list_contains(string_split(q, ' '), t))) AS hits FROM v, {files} f
+      WHERE starts_with(f.path, 'docs/') OR ends_with(f.path, '.md')),
+b AS (SELECT file_id, path, max(hits) AS hits FROM h WHERE hits > 0 GROUP BY 1, 2) SELECT file_id, path, hits FROM b ORDER BY hits DESC, file_id LIMIT 20""")
+def documentation(get):
+    variants = {"readme": ["the", "of"], "guide": ["que", "de"], "docs": ["der", "die"]}
+    docs = get("files").where(F.col("path").rlike(r"^docs/|\.md$")).select("file_id", "path", lexical.tokens(F.col("content")).alias("t"))
+    hits = F.greatest(*[count_of(q) for q in variants.values()])
+    return docs.select("file_id", "path", hits.cast("long").alias("hits")).where("hits > 0").orderBy(F.desc("hits"), "file_id").limit(20)
+
+
+def count_of(terms):
+    return F.size(F.filter("t", lambda x: x.isin(terms)))
+
+
+STATS = ["the", "que", "zu", "zzzz"]
+
+
+@Q.plan("D9_term_statistics", """WITH d AS (SELECT regexp_extract_all(lower(text), '[a-z0-9_]+') AS t, length(text) AS c FROM documents), n AS (SELECT count(*) AS n, avg(c) AS a FROM d),
+q AS (SELECT unnest(['the', 'que', 'zu', 'zzzz']) AS term), f AS (SELECT term, count(*) FILTER (WHERE list_contains(t, term)) AS df FROM q, d GROUP BY term)
+SELECT term, df, n, round(CASE WHEN df > 0 THEN ln((n + 1) / (df + 1)) ELSE 0.0 END, 6) AS smooth_idf, round(CASE WHEN df > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 0.0 END, 6) AS okapi_idf,
+  round(100.0 * df / n, 6) AS percent, round(a, 6) AS avg_chars FROM f, n""")
+def term_stats(get):
+    return lexical.term_statistics(get("documents"), "text", STATS)
+
+
+@Q.plan("D11_document_frequency", "WITH x AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents) SELECT term, count(*) AS df FROM x GROUP BY term HAVING count(*) > 5")
+def document_frequency(get):
+    words = get("documents").select(F.explode(F.array_distinct(lexical.tokens(F.col("text")))).alias("term"))
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df > 5")
+
+
+@Q.plan("D12_bm25_all_scores", f"WITH {bm25_sql('documents', TERMS, 'doc_id', 'text')} SELECT doc_id, round(score, 5) AS score FROM w")
+def bm25_all(get):
+    return lexical.bm25_scores(get("documents"), "doc_id", "text", TERMS).select("doc_id", F.round("score", 5).alias("score"))
+
+
+# -- queries as rows ---------------------------------------------------------------------------
+
+#: Queries to route, made from names in the data.
+ASKED_SQL = """(SELECT p_partkey AS query_id, CASE p_partkey % 12 WHEN 0 THEN 'class ' || replace(p_name, ' ', '_') WHEN 1 THEN 'def ' || replace(p_name, ' ', '_') WHEN 2 THEN upper(replace(p_name, ' ', '_'))
+  WHEN 3 THEN replace(p_name, ' ', '_') WHEN 4 THEN 'Red' || 'Widget' WHEN 5 THEN replace(p_name, ' ', '.') WHEN 6 THEN 'how to install ' || p_name WHEN 7 THEN 'const ' || replace(p_name, ' ', '_')
+  WHEN 8 THEN 'where is ' || p_name || ' implemented in main.py' WHEN 9 THEN '  ' WHEN 10 THEN 'enum Kind of ' || p_name ELSE p_name || '; foo()' END AS query FROM {part})"""
+KINDS = [("class", "class"), ("def", "function"), ("function", "function"), ("func", "function"), ("interface", "interface"), ("struct", "struct"), ("type", "type"), ("enum", "enum"), ("(?:const|var|let)", None)]
+WHENS = "\n".join(f"WHEN regexp_matches(q, '(?i)^{w}\\s+([A-Za-z_][A-Za-z0-9_]*)') THEN ['symbol', regexp_extract(q, '(?i)^{w}\\s+([A-Za-z_][A-Za-z0-9_]*)', 1), {repr(k) if k else 'NULL'}]" for w, k in KINDS)
+
+
+def asked(get):
+    part = get("part")
+    return part.sparkSession.sql("SELECT * FROM " + ASKED_SQL, part=part)
+
+
+@Q.plan("K1_query_intent", f"""SELECT query_id, r[1] AS intent, r[2] AS name, r[3] AS kind FROM (SELECT query_id, CASE {WHENS}
+WHEN regexp_matches(q, '^[A-Z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*$') THEN ['symbol', q, 'class'] WHEN regexp_matches(q, '^[A-Z][A-Z0-9_]{{2,}}$') THEN ['symbol', q, NULL]
+WHEN regexp_matches(q, '^[a-z_][a-z0-9_]*$') AND contains(q, '_') AND length(q) > 3 THEN ['symbol', q, 'function']
+WHEN regexp_matches(q, '^[A-Za-z_]\\w*\\.[A-Za-z_]\\w*$') THEN ['symbol', string_split(q, '.')[-1], NULL] ELSE ['lexical', q, NULL] END AS r FROM (SELECT query_id, trim(query) AS q FROM {ASKED_SQL}))""")
+def intents(get):
+    return asked(get).select("query_id", text.intent(F.col("query")).alias("r")).select("query_id", "r.*")
+
+
+@Q.plan("K2_symbol_precise", rf"""SELECT query_id, regexp_matches(query, '\b(class|def|function|method|symbol)\s+[A-Za-z_][A-Za-z0-9_]*') OR regexp_matches(query, '\b[A-Z][A-Za-z0-9_]{{2,}}\b') OR regexp_matches(query, '\b[a-z]+_[a-z0-9_]+\b') AS precise FROM {ASKED_SQL}""")
+def precise(get):
+    return asked(get).select("query_id", text.symbol_precise(F.col("query")).alias("precise"))
+
+
+@Q.plan("K3_query_terms", rf"""SELECT query_id, array_to_string(list_filter(regexp_extract_all(lower(regexp_replace(query, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9_]+'), lambda t: length(t) >= 3), ' ') AS terms FROM {ASKED_SQL}""")
+def terms_of(get):
+    return asked(get).select("query_id", F.array_join(text.query_terms(F.col("query")), " ").alias("terms"))
+
+
+@Q.plan("K4_symbol_candidates")
+def candidates(get):
+    return asked(get).select("query_id", F.array_join(text.symbol_candidates(F.col("query")), " ").alias("candidates"))
+
+
+@Q.plan("K5_code_intent", rf"""SELECT query_id, regexp_matches(q, '\b(class|def|function|method|symbol|module|file|filepath)\b') OR regexp_matches(q, '\b(py|python|js|ts|typescript|javascript|treesitter|tree-sitter)\b')
+ OR regexp_matches(q, '\b(where is|how does|how do|implemented|implementation|extract|validate)\b') OR regexp_matches(q, '\.[a-z0-9]{{1,6}}\b') AS code FROM (SELECT query_id, lower(query) AS q FROM {ASKED_SQL})""")
+def code_queries(get):
+    return asked(get).select("query_id", text.code_intent(F.col("query")).alias("code"))
+
+
+#: Words that open a question.
+QUESTION_WORDS = ("how", "what", "where", "when", "why", "can", "is", "does", "should")
+
+
+@Q.plan("K6_document_query", f"SELECT query_id, list_contains(['how','what','where','when','why','can','is','does','should'], string_split(trim(lower(query)), ' ')[1]) AS is_document FROM {ASKED_SQL}")
+def document_queries(get):
+    return asked(get).select("query_id", F.coalesce(F.get(F.split(F.btrim(F.lower("query")), " "), F.lit(0)).isin(*QUESTION_WORDS), F.lit(False)).alias("is_document"))
+
+
+#: Related terms that widen documentation queries.
+RELATED = {"install": ["installation", "setup", "getting started", "requirements"], "example": ["sample", "snippet", "demo", "code example"], "error": ["troubleshoot", "debug", "issue", "problem", "fix"]}
+
+
+@Q.plan("K7_document_expansion", f"""WITH r AS (SELECT * FROM (VALUES ('install', 'installation'), ('install', 'setup'), ('install', 'getting started'), ('install', 'requirements')) AS t(term, related))
+SELECT query_id, replace(lower(query), term, related) AS expanded FROM {ASKED_SQL}, r WHERE contains(lower(query), term)""")
+def expansion(get):
+    pairs = F.array(*[F.struct(F.lit(k).alias("term"), F.lit(v).alias("related")) for k, vs in RELATED.items() for v in vs])
+    rows = asked(get).select("query_id", F.lower("query").alias("q"), F.explode(F.filter(pairs, lambda p: F.contains(F.lower("query"), p["term"]))).alias("p"))
+    return rows.select("query_id", F.replace("q", F.col("p.term"), F.col("p.related")).alias("expanded"))
+
+
+@Q.plan("K9_keyword_expansion", f"""SELECT query_id, array_to_string(list_concat([query], list_filter(['main', 'install', 'index'], lambda k: NOT contains(lower(query), k))), ' ') AS expanded FROM {ASKED_SQL}""")
+def keyword_expansion(get):
+    extra = F.filter(F.array(*map(F.lit, ["main", "install", "index"])), lambda k: ~F.contains(F.lower("query"), k))
+    return asked(get).select("query_id", F.array_join(F.concat(F.array("query"), extra), " ").alias("expanded"))
+
+
+@Q.plan("K10_query_strategy", rf"""SELECT query_id, CASE WHEN regexp_matches(lower(query), 'how to|example|implement|usage') THEN 'semantic' WHEN regexp_matches(query, '[{{}}();]') THEN 'code' ELSE 'symbol' END AS strategy,
+ regexp_matches(query, '\*\.\w+|\w+\.\w+') AS has_file FROM {ASKED_SQL}""")
+def strategy(get):
+    q = F.col("query")
+    kind = F.when(F.lower(q).rlike("how to|example|implement|usage"), "semantic").when(q.rlike("[{}();]"), "code").otherwise("symbol")
+    return asked(get).select("query_id", kind.alias("strategy"), q.rlike(r"\*\.\w+|\w+\.\w+").alias("has_file"))
+
+
+@Q.plan("K11_documentation_file", r"SELECT file_id, regexp_matches(lower(path), '\.(md|rst|txt|adoc)$|(^|/)(docs?|documentation)/|readme|changelog|contributing|license') AS is_doc FROM {files}")
+def documentation_files(get):
+    return get("files").select("file_id", F.lower("path").rlike(r"\.(md|rst|txt|adoc)$|(^|/)(docs?|documentation)/|readme|changelog|contributing|license").alias("is_doc"))
+
+
+@Q.plan("K12_search_mode", f"SELECT query_id, CASE WHEN regexp_matches(query, '^[A-Za-z_]+$') THEN 'classic' WHEN length(query) > 30 THEN 'hybrid' ELSE 'bm25' END AS mode FROM {ASKED_SQL}")
+def mode(get):
+    return asked(get).select("query_id", F.when(F.col("query").rlike("^[A-Za-z_]+$"), "classic").when(F.length("query") > 30, "hybrid").otherwise("bm25").alias("mode"))
+
+
+QUERIES, ORACLES = Q.queries, Q.oracles

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 MODULES = (
     "quarrymill.plans.lexical_queries",
+    "quarrymill.plans.search_queries",
+    "quarrymill.plans.table_queries",
 )
 
 
