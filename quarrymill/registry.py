@@ -9,6 +9,7 @@ MODULES = (
     "quarrymill.plans.lexical_queries",
     "quarrymill.plans.search_queries",
     "quarrymill.plans.table_queries",
+    "quarrymill.plans.text_queries",
 )
 
 
