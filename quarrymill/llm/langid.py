@@ -47,12 +47,16 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: Co
     picked = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(5)).alias("h"), F.length(text_col).alias("chars")
     )
-    # Rank on narrow rows: the group limit keeps SAMPLE_DOCS rows a language in each partition.
+    # Ranked on narrow rows, of which the group limit keeps SAMPLE_DOCS a language in each partition; the texts of
+    # those below a language's last hash are read in a second scan. An id that is repeated counts once.
     order = W.partitionBy("lang").orderBy("h", "chars")
-    ranked = picked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_DOCS)
+    narrow = picked.select("lang", "h", "chars")
+    ranked = narrow.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_DOCS)
     total = F.sum("chars").over(order.rowsBetween(W.unboundedPreceding, -1))
-    rows = ranked.withColumn("before", F.coalesce(total, F.lit(0))).where(F.col("before") + F.col("chars") <= SAMPLE_CHARS)
-    return [(r.lang, r.text) for r in rows.orderBy("lang", "r").select("lang", "text").collect()]
+    within = ranked.withColumn("before", F.coalesce(total, F.lit(0))).where(F.col("before") + F.col("chars") <= SAMPLE_CHARS)
+    bounds = within.groupBy("lang").agg(F.max("h").alias("last"))  # a row a language
+    rows = picked.join(F.broadcast(bounds), "lang").where("h <= last").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return [(r.lang, r.text) for r in rows.orderBy("lang", "h").select("lang", "text").collect()]
 
 
 def segments(word: str) -> list[str]:
