@@ -10,6 +10,7 @@ MODULES = (
     "quarrymill.plans.search_queries",
     "quarrymill.plans.table_queries",
     "quarrymill.plans.text_queries",
+    "quarrymill.plans.upkeep_queries",
 )
 
 

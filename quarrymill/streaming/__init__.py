@@ -1 +1 @@
-"""streaming of quarrymill."""
+"""Structured Streaming forms of change handling."""
