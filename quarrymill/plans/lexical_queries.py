@@ -194,7 +194,7 @@ def document_frequency(get):
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df > 5")
 
 
-@Q.plan("D12_bm25_all_scores", f"WITH {bm25_sql('documents', TERMS, 'doc_id', 'text')} SELECT doc_id, round(score, 5) AS score FROM w")
+@Q.plan("D12_bm25_all_scores", f"WITH {bm25_sql('documents', TERMS, 'doc_id', 'text')} SELECT doc_id, round(score, 5) + 0.0::DOUBLE AS score FROM w")
 def bm25_all(get):
     return lexical.bm25_scores(get("documents"), "doc_id", "text", TERMS).select("doc_id", F.round("score", 5).alias("score"))
 
