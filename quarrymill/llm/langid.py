@@ -47,9 +47,12 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: Co
     picked = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(5)).alias("h"), F.length(text_col).alias("chars")
     )
-    # Ranked on narrow rows, of which the group limit keeps SAMPLE_DOCS a language in each partition; the texts of
-    # those below a language's last hash are read in a second scan. An id that is repeated counts once.
+    # Of each language a share of about twice the sample is ranked, on narrow rows; the texts of those below the
+    # language's last hash are read in a second scan. An id that is repeated counts once.
+    sizes = docs.where(train & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))  # a row a language
+    share = F.pmod(F.xxhash64("h"), F.lit(1_000_000)) * F.col("n") < F.lit(2_000_000 * SAMPLE_DOCS)
     order = W.partitionBy("lang").orderBy("h", "chars")
+    picked = picked.join(F.broadcast(sizes), "lang").where(share)
     narrow = picked.select("lang", "h", "chars")
     ranked = narrow.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_DOCS)
     total = F.sum("chars").over(order.rowsBetween(W.unboundedPreceding, -1))
