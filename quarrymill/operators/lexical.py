@@ -80,22 +80,20 @@ def term_statistics(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
     )
 
 
+def spaced(tokens_col: str) -> Column:
+    """The tokens as one string with a space around each, so that a test of it is linear wherever a filter is pushed."""
+    return F.concat(F.lit(" "), F.array_join(tokens_col, " "), F.lit(" "))
+
+
 def contains_phrase(tokens_col: str, phrase: list[str]) -> Column:
     """True if the tokens hold the words of the phrase one after another."""
-    n = len(phrase)
-    starts = F.sequence(F.lit(1), F.size(tokens_col) - n + 1)
-    hit = F.exists(starts, lambda i: F.slice(tokens_col, i, n) == F.array(*[F.lit(p) for p in phrase]))
-    return F.when(F.size(tokens_col) >= n, hit).otherwise(F.lit(False))
+    return F.contains(spaced(tokens_col), F.lit(f" {' '.join(phrase)} "))
 
 
 def near(tokens_col: str, first: str, second: str, distance: int) -> Column:
     """True if both terms occur with at most `distance` tokens between them, in either order."""
-
-    def positions(term):
-        return F.filter(F.transform(tokens_col, lambda x, i: F.when(x == F.lit(term), i)), lambda p: p.isNotNull())
-
-    # Both position lists are short beside the text; the nearest pair decides.
-    return F.exists(positions(first), lambda p: F.exists(positions(second), lambda q: (F.abs(p - q) <= distance + 1) & (p != q)))
+    between = r"(?: [^ ]+){0,%d} " % distance
+    return spaced(tokens_col).rlike(f" {first}{between}{second} | {second}{between}{first} ")
 
 
 def prefix_matches(docs: DataFrame, key: str, text: str, prefix: str) -> DataFrame:

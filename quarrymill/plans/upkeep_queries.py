@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from quarrymill.session import scratch
 from quarrymill.sources import code
 from quarrymill.streaming import changes as stream
 
@@ -29,7 +28,7 @@ def streamed(get, build, keep):
     """Runs a plan as a stream over the events' files and returns the rows that it wrote."""
     events = get("events")
     spark = events.sparkSession
-    base = tempfile.mkdtemp(prefix="qm-stream-")
+    base = scratch(spark, "stream")
     source = f"{base}/in"
     events.select("event_id", "ts", F.concat(F.lit("p"), "user_id").alias("path"), F.col("event_type").alias("action")).write.parquet(source)
     flow = build(stream.changed_files(spark, source, "event_id long, ts timestamp, path string, action string"))
@@ -51,7 +50,7 @@ def windowed(get):
 def poller(get):
     events = get("events")
     spark = events.sparkSession
-    base = tempfile.mkdtemp(prefix="qm-poll-")
+    base = scratch(spark, "poll")
     refs = events.select((F.col("user_id") % 25).alias("repo"), F.col("event_id").alias("seq"), F.floor("value").alias("commit"), F.when(F.col("event_type") == "error", "topic").otherwise("main").alias("branch"), F.lit("main").alias("tracked"))
     refs.write.parquet(f"{base}/in")
     flow = stream.poll_refs(spark.readStream.schema(refs.schema).parquet(f"{base}/in"))
