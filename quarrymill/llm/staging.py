@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrymill.session import scratch
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where the setting is absent."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='quarrymill-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+
+def put_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes a small file into the shared folder; its path."""
+    path = f"{scratch(spark, 'file')}/{name}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    for start in range(0, len(data), 1 << 20):
+        out.write(bytearray(data[start : start + (1 << 20)]))
+    out.close()
+    return path
 
 
 def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
@@ -38,7 +38,7 @@ class Staging:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = scratch(spark, name)
         self.count = 0
 
     def write(self, frame: DataFrame) -> DataFrame:

@@ -12,8 +12,6 @@ give equal rows; an empty table or list is allowed; other columns are not read.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -23,6 +21,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import put_file
+
 #: (host, path, verdict) of production rules, and hosts on the block list.
 RULES = (
     ("com", "/en/", "block"),
@@ -71,20 +71,20 @@ class DigestArray:
         self.strings = whole[at + n + 4 * self.size :]
 
     @staticmethod
-    def write(entries, path: str) -> None:
-        """entries: (host, path, value 0..255)."""
+    def pack(entries) -> bytes:
+        """The file of (host, path, value 0..255) entries."""
         rows = sorted({(xxhash.xxh64_intdigest(k := entry_key(h, p)), k, v) for h, p, v in entries})
         lengths = sorted({len(p) for _, p, _ in entries})
         if 17 * len(rows) + sum(len(k) for _, k, _ in rows) > MAX_LIST_BYTES:
             raise ValueError("the list is larger than one filter may hold")
-        pad = -len(rows) % 4
-        with open(path, "wb") as out:
-            out.write(np.array([len(rows), len(lengths)], "<i8").tobytes())
-            out.write(np.array([r[0] for r in rows], "<u8").tobytes())
-            out.write(np.cumsum([0, *(len(r[1]) for r in rows)]).astype("<i8").tobytes())
-            out.write(bytes(r[2] for r in rows))
-            out.write(np.array(lengths, "<i4").tobytes())
-            out.write(b"".join(r[1] for r in rows) + b"\x00" * pad)
+        parts = [
+            np.array([len(rows), len(lengths)], "<i8"),
+            np.array([r[0] for r in rows], "<u8"),
+            np.cumsum([0, *(len(r[1]) for r in rows)]).astype("<i8"),
+            np.array([r[2] for r in rows], np.uint8),
+            np.array(lengths, "<i4"),
+        ]
+        return b"".join([*(p.tobytes() for p in parts), *(r[1] for r in rows), b"\x00"])  # never an empty map
 
     def probe(self, keys: list[bytes]) -> np.ndarray:
         """Index of each key's entry, or -1."""
@@ -134,11 +134,9 @@ def best(array: DigestArray, pairs: list[tuple[str, str]]) -> list[tuple[str, st
 
 
 def ship(spark, entries) -> str:
-    """Write the array on the driver and have every executor, also a later one, fetch it; its name."""
+    """Store the array in the shared folder and have every executor, also a later one, fetch it; its name."""
     name = f"digests-{uuid.uuid4().hex}.bin"
-    folder = tempfile.mkdtemp(prefix="digests-")
-    DigestArray.write(list(entries), os.path.join(folder, name))
-    spark.sparkContext.addFile(os.path.join(folder, name))
+    spark.sparkContext.addFile(put_file(spark, name, DigestArray.pack(list(entries))))
     return name
 
 

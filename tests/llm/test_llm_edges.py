@@ -152,7 +152,7 @@ def test_url_filter(spark):
 
 def test_digest_collisions_are_confirmed(tmp_path, monkeypatch):
     monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda x: len(x) % 3)
-    urlfilter.DigestArray.write([(f"h{i}.org", "/" * (i % 4), i) for i in range(40)], str(tmp_path / "a"))
+    (tmp_path / "a").write_bytes(urlfilter.DigestArray.pack([(f"h{i}.org", "/" * (i % 4), i) for i in range(40)]))
     array = urlfilter.DigestArray(str(tmp_path / "a"))
     keys = [urlfilter.entry_key(f"h{i}.org", "/" * (i % 4)) for i in range(40)] + [urlfilter.entry_key("other.org", "")]
     found = array.probe(keys)
