@@ -70,9 +70,9 @@ Q.sql("J3_fuzzy_max_merge", "SELECT file_id, max(score) AS score FROM (SELECT fi
 
 
 @Q.plan("J6_trigram_set_algebra", f"""SELECT a.symbol_id AS a, b.symbol_id AS b, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) AS score
-FROM (SELECT symbol_id, {NAME_GRAMS} AS g FROM {{symbols}} WHERE symbol_id < 200) a JOIN (SELECT symbol_id, {NAME_GRAMS} AS g FROM {{symbols}} WHERE symbol_id < 200) b ON b.symbol_id = a.symbol_id + 1""")
+FROM (SELECT symbol_id, {NAME_GRAMS} AS g FROM {{symbols}}) a JOIN (SELECT symbol_id, {NAME_GRAMS} AS g FROM {{symbols}}) b ON b.symbol_id = a.symbol_id + 1""")
 def set_algebra(get):
-    g = get("symbols").where("symbol_id < 200").select("symbol_id", trigrams(F.col("name")).alias("g"))
+    g = get("symbols").select("symbol_id", trigrams(F.col("name")).alias("g"))
     pair = g.select(F.col("symbol_id").alias("a"), F.col("g").alias("ga"), (F.col("symbol_id") + 1).alias("b")).join(g.select(F.col("symbol_id").alias("b"), F.col("g").alias("gb")), "b")
     return pair.select("a", "b", F.round(jaccard(F.col("ga"), F.col("gb")), 6).alias("score"))
 
@@ -87,13 +87,13 @@ def nearest_sql(metric: str, k: int) -> str:
     score = f"{DUCK_METRIC[metric]}({a}, {b})" if metric in DUCK_METRIC else f"list_sum(list_transform(list_zip({a}, {b}), lambda p: abs(p[1] - p[2])))"
     down = "DESC" if metric in ("cosine", "dot") else "ASC"
     return f"""SELECT query_id, vec_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {down}, vec_id) AS rank
-FROM (SELECT b.vec_id AS query_id, a.vec_id, round({score}, 5) AS score FROM embeddings a, embeddings b WHERE b.vec_id < 20)) WHERE rank <= {k}"""
+FROM (SELECT b.vec_id AS query_id, a.vec_id, round({score}, 5) AS score FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0)) WHERE rank <= {k}"""
 
 
 def nearest_plan(metric, k):
     def build(get):
         points = get("embeddings")
-        return vector.nearest(points, points.where("vec_id < 20"), k, metric)
+        return vector.nearest(points, points.where("vec_id % 20 = 0"), k, metric)
 
     return build
 
@@ -208,25 +208,27 @@ def hybrid(get):
 Q.sql("H5_extension_multiplier", "SELECT file_id, CASE WHEN path LIKE '%.py' OR path LIKE '%.go' THEN 1.2D WHEN path LIKE '%.md' OR path LIKE '%.txt' THEN 0.5D ELSE 0.8D END AS multiplier FROM {files}", "SELECT file_id, CASE WHEN path LIKE '%.py' OR path LIKE '%.go' THEN 1.2 WHEN path LIKE '%.md' OR path LIKE '%.txt' THEN 0.5 ELSE 0.8 END::DOUBLE AS multiplier FROM {files}")
 
 
-@Q.plan("I10_quota_fill", """WITH r AS (SELECT file_id, CASE WHEN regexp_matches(path, '[.](py|go)$') THEN 'code' WHEN regexp_matches(path, '[.](md|txt)$') THEN 'prose' ELSE 'other' END AS kind, size FROM {files} WHERE file_id < 60 AND file_id % 5 <> 3),
+@Q.plan("I10_quota_fill", """WITH r AS (SELECT file_id, CASE WHEN regexp_matches(path, '[.](py|go)$') THEN 'code' WHEN regexp_matches(path, '[.](md|txt)$') THEN 'prose' ELSE 'other' END AS kind, size FROM {files}),
 k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY size DESC, file_id) AS k FROM r),
 c AS (SELECT least((SELECT count(*) FROM r WHERE kind = 'prose'), 5) AS pc),
 t AS (SELECT file_id, kind, size, k, CASE WHEN kind = 'code' AND k <= 20 - pc THEN 0 WHEN kind = 'prose' AND k <= pc THEN 1 WHEN kind = 'other' THEN 2 WHEN kind = 'code' THEN 3 END AS tier FROM k, c)
 SELECT file_id, kind, size, tier::INT AS tier, position::INT AS position FROM (SELECT *, row_number() OVER (ORDER BY tier, k) AS position FROM t WHERE tier IS NOT NULL) WHERE position <= 20""")
 def quota(get):
-    rows = get("files").where("file_id < 60 AND file_id % 5 <> 3").select("file_id", ranking.file_class(F.col("path")).alias("kind"), "size")
+    rows = get("files").select("file_id", ranking.file_class(F.col("path")).alias("kind"), "size")
     return fusion.quota_fill(rows, "kind", [F.desc("size"), F.asc("file_id")], 20)
 
 
-@Q.plan("H9_tfidf_rerank", """WITH c AS (SELECT doc_id, lower(text) AS t FROM documents WHERE doc_id < 50 UNION ALL SELECT -1, 'the that from with only'),
-w AS (SELECT doc_id, unnest(regexp_extract_all(t, '[a-z0-9_]{2,}')) AS term FROM c),
-f AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM c), d AS (SELECT term, count(*) AS df FROM f GROUP BY term),
-x AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS v FROM f JOIN d USING (term), n),
+@Q.plan("H9_tfidf_rerank", f"""WITH {bm25_sql('documents', ['only', 'from'], 'doc_id', 'text').replace('d AS', 'd0 AS').replace('FROM d,', 'FROM d0,').replace('FROM d)', 'FROM d0)').replace('f AS', 'f0 AS').replace('JOIN f ', 'JOIN f0 ')}, best AS (SELECT doc_id FROM w ORDER BY round(score, 6), doc_id LIMIT 50),
+c AS (SELECT doc_id, lower(text) AS t FROM documents WHERE doc_id IN (SELECT doc_id FROM best) UNION ALL SELECT -1, 'the that from with only'),
+words AS (SELECT doc_id, unnest(regexp_extract_all(t, '[a-z0-9_]{{2,}}')) AS term FROM c),
+f AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM c), df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+x AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS v FROM f JOIN df USING (term), n),
 l AS (SELECT doc_id, sqrt(sum(v * v)) AS len FROM x GROUP BY doc_id)
 SELECT a.doc_id, round(sum(a.v * b.v) / (max(l.len) * max(q.len)), 6) AS score FROM x a JOIN x b ON a.term = b.term AND b.doc_id = -1 JOIN l ON l.doc_id = a.doc_id JOIN l q ON q.doc_id = -1 WHERE a.doc_id >= 0 GROUP BY a.doc_id""")
 def tfidf(get):
     """Candidates of one query, weighed by term frequency and rarity among query and candidates; cosine with the query."""
-    docs = get("documents").where("doc_id < 50").select("doc_id", F.lower("text").alias("t"))
+    best = lexical.bm25_top(get("documents"), "doc_id", "text", ["only", "from"], 50)
+    docs = get("documents").join(best, "doc_id", "left_semi").select("doc_id", F.lower("text").alias("t"))
     asked = docs.sparkSession.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("the that from with only").alias("t"))
     every = docs.unionByName(asked)
     tf = every.select("doc_id", F.explode(F.regexp_extract_all("t", F.lit("([a-z0-9_]{2,})"), 1)).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -372,7 +374,7 @@ Q.sql("J11_dependency_closure", "SELECT repo_id FROM {repositories} WHERE repo_i
 Q.sql("M12_language_scope", "SELECT repo, language, count(*) AS n FROM {files} WHERE language IN ('en', 'fr') GROUP BY repo, language")
 Q.sql("M13_repository_listing", "SELECT repo_id, name, priority FROM {repositories} WHERE active ORDER BY priority DESC, name")
 Q.sql("M14_repository_identity", "SELECT repo_id, substr(sha2(coalesce(nullif(name, 'NATION_3'), 'path/' || cast(repo_id AS string)), 256), 1, 16) AS identity FROM {repositories}", "SELECT repo_id, substr(sha256(coalesce(nullif(name, 'NATION_3'), 'path/' || cast(repo_id AS string))), 1, 16) AS identity FROM {repositories}")
-Q.sql("I11_priority_sort", "SELECT r.repo_id, s.symbol_id, row_number() OVER (ORDER BY priority DESC, r.repo_id, s.symbol_id) AS position FROM {repositories} r JOIN {repo_symbols} s ON s.repo_id = r.repo_id WHERE s.symbol_id % 10 = 0")
+Q.sql("I11_priority_sort", "SELECT r.repo_id, s.symbol_id, row_number() OVER (ORDER BY priority DESC, r.repo_id, s.symbol_id) AS position FROM {repositories} r JOIN {repo_symbols} s ON s.repo_id = r.repo_id")
 Q.sql("I12_scope_top_repositories", "SELECT repo_id, priority FROM {repositories} WHERE active AND repo_id < 20 ORDER BY priority DESC, repo_id LIMIT 6")
 Q.sql("D6_repository_rollup", "SELECT language, count(DISTINCT repo) AS repositories, count(*) AS files, sum(size) AS bytes FROM {files} GROUP BY language")
 Q.sql("D7_cross_repo_statistics", "SELECT count(*) AS repositories, sum(CASE WHEN active THEN 1 ELSE 0 END) AS active, max(priority) AS top FROM {repositories}")

@@ -56,9 +56,9 @@ Q.sql("A12_diff_source", "SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.p
 Q.sql("A13_working_tree", "SELECT path, action FROM {changes} WHERE action = 'added' UNION ALL SELECT path, action FROM {changes} WHERE action = 'modified' AND value > 50 UNION ALL SELECT path, 'untracked' FROM {changes} WHERE action = 'renamed'")
 Q.sql("A14_name_status_lines", "SELECT event_id, split(line, ';')[0] AS status, split(line, ';')[1] AS path FROM (SELECT event_id, CASE action WHEN 'added' THEN 'A;' WHEN 'deleted' THEN 'D;' WHEN 'renamed' THEN 'R100;' ELSE 'M;' END || path AS line FROM {changes}) WHERE line NOT LIKE 'R%'",
       "SELECT event_id, string_split(line, ';')[1] AS status, string_split(line, ';')[2] AS path FROM (SELECT event_id, CASE action WHEN 'added' THEN 'A;' WHEN 'deleted' THEN 'D;' WHEN 'renamed' THEN 'R100;' ELSE 'M;' END || path AS line FROM {changes}) WHERE line NOT LIKE 'R%'")
-Q.sql("A15_issue_source", "SELECT conv_id, turn, role FROM {conversations} WHERE role = 'user' AND turn = 0 AND conv_id % 2 = 0")
+Q.sql("A15_issue_source", "SELECT conv_id, turn, role FROM {conversations} WHERE role = 'user' AND turn = 0")
 Q.sql("A17_keyed_upsert", "SELECT coalesce(n.vec_id, o.vec_id) AS vec_id, coalesce(n.label, o.label) AS label FROM (SELECT vec_id, label FROM {embeddings} WHERE vec_id % 3 <> 0) o FULL OUTER JOIN (SELECT vec_id, label + 100 AS label FROM {embeddings} WHERE vec_id % 2 = 0) n ON o.vec_id = n.vec_id")
-Q.sql("A21_artifact_checksums", "SELECT path, sha2(content, 256) AS checksum, size FROM {files} WHERE file_id % 4 = 0", "SELECT path, sha256(content) AS checksum, size FROM {files} WHERE file_id % 4 = 0")
+Q.sql("A21_artifact_checksums", "SELECT path, sha2(content, 256) AS checksum, size FROM {files}", "SELECT path, sha256(content) AS checksum, size FROM {files}")
 
 # -- predicates and projections ----------------------------------------------------------------
 
@@ -76,8 +76,8 @@ def matcher(get):
     return kept.where(F.size("m") > 0).select("conv_id", F.size("m").cast("long").alias("matched"))
 
 
-STAB = "SELECT file_id, line_number, chunk_id FROM (SELECT q.file_id, q.line_number, c.chunk_id, row_number() OVER (PARTITION BY q.file_id, q.line_number ORDER BY c.line_end - c.line_start, c.line_start, c.chunk_id) AS k FROM (SELECT DISTINCT file_id, line_number * 11 AS line_number FROM {refs} WHERE file_id < 300) q JOIN {chunks} c ON c.file_id = q.file_id AND q.line_number BETWEEN c.line_start AND c.line_end) WHERE k = 1"
-Q.sql("B6_chunk_at_line", STAB.replace("file_id < 300", "file_id = 7"))
+STAB = "SELECT file_id, line_number, chunk_id FROM (SELECT q.file_id, q.line_number, c.chunk_id, row_number() OVER (PARTITION BY q.file_id, q.line_number ORDER BY c.line_end - c.line_start, c.line_start, c.chunk_id) AS k FROM (SELECT DISTINCT file_id, line_number * 11 AS line_number FROM {refs}) q JOIN {chunks} c ON c.file_id = q.file_id AND q.line_number BETWEEN c.line_start AND c.line_end) WHERE k = 1"
+Q.sql("B6_chunk_at_line", STAB.replace("FROM {refs})", "FROM {refs} WHERE file_id = 7)"))
 Q.sql("C12_interval_join", STAB)
 Q.sql("B7_language_filter", "SELECT file_id FROM {files} WHERE language = 'fr' AND path LIKE '%src1%'")
 Q.sql("B8_kind_filter", "SELECT symbol_id, name FROM {symbols} WHERE kind = 'promo' AND name LIKE 'hot%'")
@@ -105,7 +105,7 @@ Q.sql("C2_symbols_files_text", "SELECT s.symbol_id, f.path FROM {symbols} s JOIN
 Q.sql("C3_polymorphic_key_join", """SELECT k.key, coalesce(a.file_id, b.file_id) AS file_id FROM (SELECT CASE WHEN file_id % 2 = 0 THEN cast(file_id AS string) ELSE path END AS key FROM {files}) k
  LEFT JOIN {files} a ON cast(a.file_id AS string) = k.key LEFT JOIN {files} b ON b.path = k.key""")
 Q.sql("C5_semi_join", "SELECT symbol_id, count(*) AS n FROM {refs} WHERE symbol_id IN (SELECT symbol_id FROM {symbols} WHERE kind = 'standard') GROUP BY symbol_id")
-Q.sql("C6_chunks_left_symbols", "SELECT c.chunk_id, s.name FROM {chunks} c LEFT JOIN {symbols} s ON c.symbol_id = s.symbol_id AND s.line_start > 20 WHERE c.file_id < 200")
+Q.sql("C6_chunks_left_symbols", "SELECT c.chunk_id, s.name FROM {chunks} c LEFT JOIN {symbols} s ON c.symbol_id = s.symbol_id AND s.line_start > 20")
 Q.sql("C7_missing_summaries", "SELECT c.chunk_id FROM {chunks} c LEFT ANTI JOIN {summaries} s ON s.chunk_hash = c.chunk_id ORDER BY c.chunk_id LIMIT 100", "SELECT c.chunk_id FROM {chunks} c WHERE c.chunk_id NOT IN (SELECT chunk_hash FROM {summaries}) ORDER BY c.chunk_id LIMIT 100")
 Q.sql("C8_missing_vectors", "SELECT count(*) AS missing FROM {chunks} c LEFT ANTI JOIN (SELECT chunk_id FROM {points} WHERE profile_id = 'p1') p ON p.chunk_id = c.chunk_id", "SELECT count(*) AS missing FROM {chunks} c WHERE c.chunk_id NOT IN (SELECT chunk_id FROM {points} WHERE profile_id = 'p1')")
 Q.sql("C9_references_of_symbol", "SELECT r.line_number, f.path FROM {refs} r JOIN {files} f ON r.file_id = f.file_id WHERE r.symbol_id = 12")
@@ -184,11 +184,11 @@ Q.sql("I9_penalised_top_k", "SELECT file_id, size, CASE WHEN path LIKE '%.json'
 Q.sql("I13_pagination", "SELECT file_id, path FROM {files} ORDER BY path, file_id LIMIT 20 OFFSET 40")
 
 
-@Q.plan("I14_summary_sentences", """WITH s AS (SELECT doc_id, i, s FROM (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS s FROM (SELECT doc_id, string_split(text, '.') AS l FROM documents WHERE doc_id < 300))),
+@Q.plan("I14_summary_sentences", """WITH s AS (SELECT doc_id, i, s FROM (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS s FROM (SELECT doc_id, string_split(text, '.') AS l FROM documents))),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY (contains(s, 'the')::INT + contains(s, 'from')::INT + contains(s, 'que')::INT) * least(length(s), 200) DESC, i) AS k FROM s)
 SELECT doc_id, i::INT AS i, md5(s) AS sentence FROM r WHERE k <= 5""")
 def summary_sentences(get):
-    s = get("documents").where("doc_id < 300").select("doc_id", F.posexplode(F.split("text", r"\.")).alias("i", "s"))
+    s = get("documents").select("doc_id", F.posexplode(F.split("text", r"\.")).alias("i", "s"))
     hits = sum((F.contains("s", F.lit(k)).cast("int") for k in ("the", "from", "que")), F.lit(0))
     k = F.row_number().over(W.partitionBy("doc_id").orderBy((hits * F.least(F.length("s"), F.lit(200))).desc(), "i"))
     return s.withColumn("k", k).where("k <= 5").select("doc_id", "i", F.md5("s").alias("sentence"))
@@ -215,11 +215,11 @@ Q.sql("J9_path_set_digest", "SELECT repo, sha2(array_join(array_sort(collect_set
 Q.sql("J10_holdout_disjoint", "SELECT count(*) AS shared FROM (SELECT doc_id FROM {documents} WHERE doc_id % 5 = 0 INTERSECT SELECT doc_id FROM {documents} WHERE doc_id % 5 <> 0)")
 
 
-@Q.plan("J12_string_list_normalise", "SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(lower(left(text, 60)), ' '), lambda s: trim(s)), lambda s: s <> ''))), ',') AS labels FROM documents WHERE NOT regexp_matches(left(text, 60), '[^ -~]')")
+@Q.plan("J12_string_list_normalise", "SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(lower(text), ' '), lambda s: trim(s)), lambda s: s <> ''))), ',') AS labels FROM documents")
 def string_list(get):
-    parts = F.transform(F.split(F.lower(F.substring("text", 1, 60)), " "), lambda s: F.btrim(s, F.lit(" ")))
+    parts = F.transform(F.split(F.lower("text"), " "), lambda s: F.btrim(s, F.lit(" ")))
     clean = F.array_sort(F.array_distinct(F.filter(parts, lambda s: s != "")))
-    return get("documents").where(~F.substring("text", 1, 60).rlike("[^ -~]")).select("doc_id", F.array_join(clean, ",").alias("labels"))
+    return get("documents").select("doc_id", F.array_join(clean, ",").alias("labels"))
 
 
 Q.sql("J13_set_operations", "SELECT language FROM {files} WHERE repo = 'src1' UNION SELECT language FROM {files} WHERE repo = 'src2' EXCEPT SELECT language FROM {files} WHERE repo = 'nothing'")

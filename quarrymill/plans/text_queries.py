@@ -40,9 +40,9 @@ def sentence_split(get):
     return plain.select("doc_id", F.size(F.filter(F.split("text", r"(?<=[.!?])\s+(?=[A-Z])"), lambda s: F.btrim(s) != "")).cast("long").alias("sentences"))
 
 
-@Q.plan("N5_sentence_offsets", "SELECT doc_id, i::INT AS i, s, (sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(s) - 1)::BIGINT AS start FROM (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS s FROM (SELECT doc_id, string_split(text, '.') AS l FROM documents WHERE doc_id < 100))")
+@Q.plan("N5_sentence_offsets", "SELECT doc_id, i::INT AS i, s, (sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(s) - 1)::BIGINT AS start FROM (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS s FROM (SELECT doc_id, string_split(text, '.') AS l FROM documents))")
 def offsets(get):
-    s = get("documents").where("doc_id < 100").select("doc_id", F.posexplode(F.split("text", r"\.")).alias("i", "s"))
+    s = get("documents").select("doc_id", F.posexplode(F.split("text", r"\.")).alias("i", "s"))
     return s.withColumn("start", F.sum(F.length("s") + 1).over(W.partitionBy("doc_id").orderBy("i")) - F.length("s") - 1)
 
 
@@ -77,7 +77,7 @@ def fixed(get):
 @Q.plan("N18_hierarchical_sections")
 def section_tree(get):
     """Pages' texts stand in for Markdown: each line of benchmark and documents with a heading mark."""
-    docs = get("documents").where("doc_id < 400").select("doc_id", F.concat(F.lit("# T\n"), F.regexp_replace("text", r"\n", "\n## ")).alias("text"))
+    docs = get("documents").select("doc_id", F.concat(F.lit("# T\n"), F.regexp_replace("text", r"\n", "\n## ")).alias("text"))
 
     def run(batches):
         for p in batches:
@@ -96,7 +96,7 @@ def document_type(get):
 
 @Q.plan("N22_context_windows")
 def windows(get):
-    return chunking.with_neighbours(chunking.chunk(get("documents").where("doc_id < 200"), "sliding"))
+    return chunking.with_neighbours(chunking.chunk(get("documents"), "sliding"))
 
 
 @Q.plan("N24_markdown_headings", "SELECT doc_id, i::INT AS i, line FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE regexp_matches(line, '^#{1,6}\\s+\\S') OR regexp_matches(line, '^All rights')")
@@ -105,9 +105,9 @@ def headings(get):
     return lines.where(F.col("line").rlike(r"^#{1,6}\s+\S") | F.col("line").rlike("^All rights")).select("doc_id", (F.col("at") + 1).alias("i"), "line")
 
 
-@Q.plan("N27_front_matter", "SELECT doc_id, regexp_extract(t, '^---\\nlang: (.*)\\n---\\n', 1) AS lang, length(t) - length(regexp_replace(t, '^---\\nlang: .*\\n---\\n', '')) AS cut FROM (SELECT doc_id, '---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || left(text, 50) AS t FROM documents)")
+@Q.plan("N27_front_matter", "SELECT doc_id, regexp_extract(t, '^---\\nlang: (.*)\\n---\\n', 1) AS lang, length(t) - length(regexp_replace(t, '^---\\nlang: .*\\n---\\n', '')) AS cut FROM (SELECT doc_id, '---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || text AS t FROM documents)")
 def front_matter(get):
-    t = F.concat(F.lit("---\nlang: "), "lang", F.lit("\n---\n"), F.left("text", F.lit(50)))
+    t = F.concat(F.lit("---\nlang: "), "lang", F.lit("\n---\n"), "text")
     return get("documents").select("doc_id", t.alias("t")).select("doc_id", F.regexp_extract("t", r"^---\nlang: (.*)\n---\n", 1).alias("lang"), (F.length("t") - F.length(F.regexp_replace("t", r"^---\nlang: .*\n---\n", ""))).cast("long").alias("cut"))
 
 
@@ -149,12 +149,12 @@ def keywords(get):
     return ranked.where("k <= 20").select("doc_id", "term", "score")
 
 
-@Q.plan("N38_key_phrases", f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE doc_id < 300),
+@Q.plan("N38_key_phrases", f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents),
 g AS (SELECT doc_id, w[i] || ' ' || w[i+1] AS phrase, list_contains({STOP_SQL}, w[i])::INT + list_contains({STOP_SQL}, w[i+1])::INT AS stops FROM d, unnest(range(1, len(w))) AS u(i)),
 c AS (SELECT doc_id, phrase, count(*) AS n FROM g WHERE stops <= 1 GROUP BY 1, 2 HAVING count(*) > 1)
 SELECT doc_id, phrase, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, phrase) AS k FROM c) WHERE k <= 10""")
 def phrases(get):
-    d = get("documents").where("doc_id < 300").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1).alias("w"))
+    d = get("documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1).alias("w"))
     pair = F.explode(F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
     g = d.where(F.size("w") > 1).select("doc_id", pair.alias("p")).where(F.col("p.a").isin(STOP).cast("int") + F.col("p.b").isin(STOP).cast("int") <= 1)
     c = g.groupBy("doc_id", F.concat_ws(" ", "p.a", "p.b").alias("phrase")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -227,7 +227,7 @@ def slugs(get):
 
 
 Q.sql("N60_chunk_search_text", "SELECT s.symbol_id, concat_ws(' > ', f.repo, f.language, s.name) AS context FROM {symbols} s JOIN {files} f ON s.file_id = f.file_id")
-Q.sql("N63_metadata_propagation", "SELECT c.chunk_id, f.language AS doc_language, f.repo AS doc_repo FROM {chunks} c JOIN {files} f ON c.file_id = f.file_id WHERE c.chunk_index <= 2")
+Q.sql("N63_metadata_propagation", "SELECT c.chunk_id, f.language AS doc_language, f.repo AS doc_repo FROM {chunks} c JOIN {files} f ON c.file_id = f.file_id")
 Q.sql("N64_chunk_validity", "SELECT doc_id, length(text) BETWEEN 100 AND 2000 AND trim(text) RLIKE '[.!?]$' AS valid FROM {documents}", "SELECT doc_id, length(text) BETWEEN 100 AND 2000 AND regexp_matches(trim(text), '[.!?]$') AS valid FROM {documents}")
 
 # -- markers and issues ------------------------------------------------------------------------
@@ -245,7 +245,7 @@ def friction(get):
     return markers.markers(part.sparkSession.sql(f"SELECT * FROM {CODE_LINES}", part=part), "file_id", "text")
 
 
-Q.sql("O2_marker_lines", "SELECT c.chunk_id, c.line_start + c.chunk_index - 1 AS line FROM {chunks} c WHERE c.file_id < 100")
+Q.sql("O2_marker_lines", "SELECT c.chunk_id, c.line_start + c.chunk_index - 1 AS line FROM {chunks} c")
 
 
 @Q.plan("O3_envelope", "SELECT conv_id, string_agg(role || ':' || turn, ',' ORDER BY turn, role) AS records FROM conversations GROUP BY conv_id")

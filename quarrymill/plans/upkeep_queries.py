@@ -92,14 +92,14 @@ Q.sql("Q8_soft_delete", "SELECT file_id, CASE WHEN path LIKE 'tests/%' THEN true
 Q.sql("Q9_delete_cascade", "SELECT 'symbols' AS t, count(*) AS n FROM {symbols} WHERE file_id NOT IN (SELECT file_id FROM {files} WHERE is_deleted) UNION ALL SELECT 'refs', count(*) FROM {refs} WHERE file_id NOT IN (SELECT file_id FROM {files} WHERE is_deleted)")
 Q.sql("Q10_move_file", "SELECT file_id, CASE WHEN path LIKE 'lib/%' THEN 'core/' || substr(path, 5) ELSE path END AS path, CASE WHEN path LIKE 'lib/%' THEN 'relocate' END AS move_type FROM {files}")
 Q.sql("Q11_ttl_cleanup", "SELECT file_id FROM {files} WHERE NOT (is_deleted AND version < 9)")
-Q.sql("Q12_token_count_update", "SELECT chunk_id, CASE WHEN file_id = 33 THEN line_end - line_start ELSE 0 END AS token_count FROM {chunks} WHERE file_id BETWEEN 30 AND 36")
+Q.sql("Q12_token_count_update", "SELECT chunk_id, CASE WHEN file_id = 33 THEN line_end - line_start ELSE 0 END AS token_count FROM {chunks}")
 Q.sql("Q13_point_map", "SELECT profile_id, chunk_id, max(collection) AS collection FROM {points} GROUP BY profile_id, chunk_id")
 Q.sql("Q14_summary_upsert", "SELECT chunk_hash, min(profile) AS profile, count(*) AS n FROM {summaries} GROUP BY chunk_hash")
 Q.sql("Q15_invalidation_plan", "SELECT s.chunk_hash, CASE WHEN s.profile = 'A' THEN 'preserve' ELSE 'delete' END AS decision, p.collection FROM {summaries} s JOIN {points} p ON p.chunk_id = s.chunk_hash OR p.chunk_id = s.chunk_hash || ':part:1' WHERE s.chunk_hash LIKE 'ch1%'",
       "SELECT s.chunk_hash, CASE WHEN s.profile = 'A' THEN 'preserve' ELSE 'delete' END AS decision, p.collection FROM {summaries} s JOIN {points} p ON p.chunk_id = s.chunk_hash WHERE s.chunk_hash LIKE 'ch1%'")
 Q.sql("Q16_scheme_guard", "SELECT profile_id, CASE WHEN count(DISTINCT collection) = 1 THEN 'match' ELSE 'mixed' END AS state FROM {points} GROUP BY profile_id")
-Q.sql("Q17_scheme_rebuild", "SELECT md5(chunk_id || ':v2') AS chunk_id, file_id FROM {chunks} WHERE file_id < 500")
-Q.sql("Q18_migrated_columns", "SELECT file_id, path, 'v2' AS schema_version, cast(NULL AS string) AS deleted_at FROM {files} WHERE file_id < 50")
+Q.sql("Q17_scheme_rebuild", "SELECT md5(chunk_id || ':v2') AS chunk_id, file_id FROM {chunks}")
+Q.sql("Q18_migrated_columns", "SELECT file_id, path, 'v2' AS schema_version, cast(NULL AS string) AS deleted_at FROM {files}")
 
 
 @Q.plan("Q3_symbol_with_trigrams", "SELECT symbol_id, len(list_distinct(list_transform(range(1, length(name) + 3), lambda i: substr('  ' || lower(name) || '  ', i, 3))))::INT AS trigrams FROM {symbols}")

@@ -11,6 +11,7 @@ MODULES = (
     "quarrymill.plans.table_queries",
     "quarrymill.plans.text_queries",
     "quarrymill.plans.upkeep_queries",
+    "quarrymill.plans.extra_queries",
 )
 
 
