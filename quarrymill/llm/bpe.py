@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
+from .staging import small_batches
 
 #: Longer texts are cut before a space that follows a letter, digit, dot or comma. No match of the
 #: pre-splitting pattern runs from a non-space into a following space, so ids do not change.
@@ -66,6 +67,7 @@ def encode_text(enc, text: str) -> list[int]:
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) for every row."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(ranks)  # a fixed vocabulary, under 1 MB
     id_type = docs.schema[id_col].dataType.simpleString()
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
+from .staging import small_batches
 
 WINDOW, KEEP_PERCENT, LINK_PERCENT = 3, 20, 60
 BATCH_BYTES = 4 << 20
@@ -150,6 +151,7 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of every page."""
     kind = pages.schema[key].dataType.simpleString()
+    small_batches(pages.sparkSession)
     kind_url = pages.schema[url].dataType.simpleString()
 
     def run(batches):

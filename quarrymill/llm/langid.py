@@ -20,12 +20,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textops
+from .staging import small_batches
 
 ORDER = 5
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 1_500_000
@@ -249,7 +251,9 @@ def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
     return predict(docs, model, id_col, text_col)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str | None = "text") -> DataFrame:
+    """text_col None: the id is a struct that holds the text, and travels once."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -258,7 +262,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         languages = [*scorer.model.languages, "und"]
         for batch in batches:
             pred, score, entropy, rejected = [], [], [], []
-            for entropies, n in scorer.rows(batch.column(1)):
+            for entropies, n in scorer.rows(batch.column(1) if text_col else pc.struct_field(batch.column(0), "text")):
                 if not entropies.shape[1]:
                     entropies = np.full((len(entropies), 1), np.inf)
                     n = np.zeros_like(n)
@@ -273,7 +277,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 rejected += ((n == 0) | (least > scorer.model.threshold)).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())], ["id", "lang_pred", "score", "entropy", "rejected"])
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    picked = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias("text") for c in [text_col] if c])
     return picked.mapInArrow(run, f"id {kind}, lang_pred string, score double, entropy double, rejected boolean").withColumnRenamed("id", id_col)
 
 
@@ -281,5 +285,5 @@ def accepted(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected, with the columns of the input."""
     model = Model.fit(sample(docs, "doc_id", "text", "lang", ~held_out(F.col("doc_id"), 3)))
     columns = docs.columns
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("text"))
-    return predict(keyed, model, "row", "text").where("NOT rejected").select("row.*")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    return predict(keyed, model, "row", None).where("NOT rejected").select("row.*")

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
+from .staging import small_batches
 
 #: Layout of the streams written here.
 PACKET, SYNC, PMT_PID, ES_PID, PRIVATE, STREAM_ID = 188, 0x47, 0x1000, 0x100, 0x06, 0xBD
@@ -187,6 +188,7 @@ def payload_of(text: Column) -> Column:
 def mux_column(frame: DataFrame, key: str = "doc_id", payload: str = "payload") -> DataFrame:
     """(key, media) with each payload stored as a transport stream."""
     kind = frame.schema[key].dataType.simpleString()
+    small_batches(frame.sparkSession)
 
     def run(batches):
         for batch in batches:
