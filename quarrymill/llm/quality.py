@@ -43,9 +43,10 @@ def line_fails(line: Column) -> Column:
     notice = lower.rlike("(" + "|".join(x.replace("(", r"\(").replace(")", r"\)") for x in NOTICES) + ")")
     marks = symbols_in(line, NAV_MARKS)
     navigation = (marks >= 3) & (marks * 40 >= n_chars)
-    strewn = symbols_in(line, SYMBOLS) * 10 > n_chars
+    symbols = symbols_in(line, SYMBOLS)
+    strewn = (symbols * 10 > n_chars) & (symbols >= 12)
     unended = (n_chars >= 400) & ~line.rlike(r"[.!?…:;,][\"')\]}»”’]*[\x20\x09-\x0D]|[.!?…:;,]")
-    return (notice & (n_chars <= 200)) | navigation | strewn | unended
+    return navigation | strewn | ((n_chars <= 200) & notice) | unended  # the costly tests last, and behind a length
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -83,10 +84,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     repeated = found.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")).drop("p")
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     passed = 100 * F.col("lost_chars") <= MAX_LOST_PERCENT * F.col("line_chars")
-    return repeated.select(
+    # As one generated row: a filter on the verdicts stays above it. Pushed below, it would put the steps above
+    # into each other's lambdas and evaluate them once an element.
+    verdict = F.struct(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed.alias("base_failed"), (~base_failed & passed).alias("kept"), "lost_chars", *[F.col(f"carry_{c}").alias(c) for c in carry],
     )
+    return repeated.select(F.inline(F.array(verdict)))
 
 
 def clean_text(text: Column) -> Column:
@@ -98,9 +102,7 @@ def apply_rules(docs: DataFrame, clean: bool = True) -> DataFrame:
     """Documents that pass, without their failing lines, with the columns of the input."""
     columns = docs.columns
     whole = docs.withColumn("rule_row", F.struct(*[F.col(f"`{c}`") for c in columns]))
-    judged = judge(whole, carry=("rule_row",))
-    # One row or none for each: a filter would be pushed down and evaluate the rules inside their own lambdas.
-    out = judged.select("rule_row", F.explode(F.array_repeat(F.lit(1), F.col("kept").cast("int"))).alias("once")).select("rule_row.*")
+    out = judge(whole, carry=("rule_row",)).where("kept").select("rule_row.*")
     if not clean:
         return out
     out = out.withColumn("text", clean_text(F.col("text")))
@@ -119,7 +121,7 @@ m AS (SELECT r, sum(k)::BIGINT AS n_repeat_words FROM q GROUP BY r),
 l AS (SELECT r, x, length(x) AS n, length(x) - length(translate(x, '{NAV_MARKS}', '')) AS marks,
         length(x) - length(translate(x, '{SYMBOLS}', '')) AS syms FROM w, unnest(lines) AS u(x)),
 f AS (SELECT r, sum(n) AS line_chars, coalesce(sum(n) FILTER (WHERE (regexp_matches(lower(x), '{NOTICE_SQL}') AND n <= 200)
-        OR (marks >= 3 AND marks * 40 >= n) OR syms * 10 > n
+        OR (marks >= 3 AND marks * 40 >= n) OR (syms * 10 > n AND syms >= 12)
         OR (n >= 400 AND NOT regexp_matches(x, '[.!?…:;,]'))), 0)::BIGINT AS lost_chars FROM l GROUP BY r),
 a AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
         (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
