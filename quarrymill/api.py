@@ -54,8 +54,9 @@ def pair_scorer(score: Callable[[list[str]], list[float]]) -> Callable[[DataFram
 def hashed_vector(content: Column, dimensions: int = 64) -> Column:
     """A vector without a model: counts of tokens by hash."""
     buckets = F.transform(lexical.tokens(content), lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)))
-    counted = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)))
-    return F.transform(counted, lambda n: n.cast("float"))
+    # One fold, so that the tokens are found once for a text and not once for a dimension.
+    empty = F.array_repeat(F.lit(0.0).cast("float"), dimensions)
+    return F.aggregate(buckets, empty, lambda v, b: F.transform(v, lambda x, i: F.when(i == b, x + F.lit(1.0).cast("float")).otherwise(x)))
 
 
 class Engine:

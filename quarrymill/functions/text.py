@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def trigrams(text: Column) -> Column:
     """Distinct lower-cased 3-grams of the text padded by two spaces on each side."""
     padded = F.concat(F.lit("  "), F.lower(text), F.lit("  "))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3)))
-    return F.array_distinct(grams)
+    # A look-ahead matches at every position, so the padded text is built and read once.
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit("(?s)(?=(.{3}))"), 1))
 
 
 def jaccard(a: Column, b: Column) -> Column:
