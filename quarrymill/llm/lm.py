@@ -1,7 +1,8 @@
 """Word language model: a hierarchical Pitman-Yor process, sampled as Chinese restaurants.
 
-Every token of the training rows is a customer of one of CONTEXTS restaurants, by a hash of the word
-before it; all these restaurants share one parent, whose own base is uniform over the vocabulary.
+Every token of the training rows is a customer of the restaurant of the word before it, one for each
+such word by its whole 64-bit hash; all these restaurants share one parent, whose own base is uniform
+over the vocabulary.
 Counts of (word, context) pairs are gathered from all training rows and dealt out by word, so the
 restaurants' seating of one dish, and its tables in the parent, stand in one block. A Gibbs step takes
 all customers of a dish out of a restaurant and seats them again, one after another (in steps of
@@ -9,10 +10,12 @@ one sixteenth, once many sit), from the parent's current probability; of DRAWS s
 weight, which corrects for the order of seating. Restaurant totals are exchanged between rounds.
 Predictive probabilities are averaged over the SAMPLES sweeps that follow the BURN_IN sweeps.
 
-Only vectors of CONTEXTS numbers meet on the driver or are broadcast. Pairs are packed as sorted
-64-bit keys (54 bits of the word's hash, then the context), first summed in chunks of CHUNK_TOKENS;
-so a frequent word costs at most CONTEXTS entries a chunk. Scoring deals the tokens of all rows
-out by word too and adds up each document's parts, chunk by chunk.
+Only a few sums meet on the driver or are broadcast. Totals of the restaurants stand in a table, a row
+a context, which is joined to the blocks that hold the context before each round. Pairs are packed as
+sorted 64-bit hashes of word and context, first summed in chunks of CHUNK_TOKENS. Scoring deals the
+tokens of all rows out by word too and adds up each document's parts, chunk by chunk; a pair not seen in
+training has the parent's probability times its context's share for new tables, whose logarithm is
+joined from the table of contexts.
 
 Defined cases: a null text is an empty text, with the end token alone; a row with a null id
 counts as held out; tokens not seen in training get the parent's share for unseen words; without training
@@ -32,6 +35,7 @@ from . import textops
 from .langid import held_out
 from .staging import Staging, small_batches
 
+#: Of packed keys that `Block` takes without a context column.
 CONTEXT_BITS = 10
 CONTEXTS = 1 << CONTEXT_BITS
 CONTEXT_STRENGTH, ROOT_STRENGTH = 5.0, 10.0
@@ -71,8 +75,8 @@ def blocks_of(frame: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
 
 
 def cuts(keys: np.ndarray, blocks: int) -> np.ndarray:
-    """Where each block's keys begin in sorted keys; a block is a range of word hashes."""
-    edges = (np.arange(1, blocks, dtype=np.float64) * (2.0**54 / blocks)).astype(np.uint64) << np.uint64(CONTEXT_BITS)
+    """Where each block's words begin in sorted hashes of words; a block is a range of these."""
+    edges = (np.arange(1, blocks, dtype=np.float64) * (2.0**54 / blocks)).astype(np.uint64) << np.uint64(10)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
@@ -80,7 +84,7 @@ def cuts(keys: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def token_keys(column: pa.Array):
-    """(first row, keys, token offsets per row): word and context of each token, the end included."""
+    """(first row, words, contexts, token offsets per row) of each token, the end included."""
     for first, _, data, offs in textops.rounds(column):
         starts, ends, woffs = textops.word_spans(data, offs)
         words = textops.word_hashes(data, starts, ends)
@@ -92,7 +96,16 @@ def token_keys(column: pa.Array):
         before = np.empty_like(tokens)
         before[1:] = tokens[:-1]
         before[toffs[:-1]] = FIRST_WORD
-        yield first, (tokens & ~_LOW) | (textops.mix(before) & _LOW), toffs
+        yield first, tokens, before, toffs
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a new combination of values begins in sorted columns."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
 # -- counting ----------------------------------------------------------------------------------
@@ -102,9 +115,9 @@ def _pair_rows(blocks: int):
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for _, keys, _ in token_keys(batch.column(0)):
-                held.append(keys)
-                size += len(keys)
+            for _, words, contexts, _ in token_keys(batch.column(0)):
+                held.append((words, contexts))
+                size += len(words)
                 if size >= CHUNK_TOKENS:
                     yield flush(held)
                     held, size = [], 0
@@ -112,18 +125,22 @@ def _pair_rows(blocks: int):
             yield flush(held)
 
     def flush(held):
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        at = cuts(keys, blocks)
+        words, contexts = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((contexts, words))
+        words, contexts = words[order], contexts[order]
+        first = changes(words, contexts)
+        counts = np.diff(np.concatenate([first, [len(words)]])).astype(np.uint32)
+        words, contexts = words[first], contexts[first]
+        at = cuts(words, blocks)
         filled = np.flatnonzero(at[1:] > at[:-1])
-        counts = counts.astype(np.uint32)
+        spans = [slice(at[b], at[b + 1]) for b in filled]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(filled, pa.int64()),
-                pa.array([pack_keys(keys[at[b] : at[b + 1]]) for b in filled], pa.binary()),
-                pa.array([planes(counts[at[b] : at[b + 1]]) for b in filled], pa.binary()),
+                pa.array(filled, pa.int64()), pa.array([pack_keys(words[x]) for x in spans], pa.binary()),
+                pa.array([pack_keys(contexts[x]) for x in spans], pa.binary()), pa.array([planes(counts[x]) for x in spans], pa.binary()),
             ],
-            ["block", "keys", "counts"],
-        )
+            ["block", "words", "contexts", "counts"],
+        )
 
     return run
 
@@ -148,20 +165,43 @@ def grouped(batches, column: int = 0):
 
 def _merge(batches):
     for block, parts in grouped(batches):
-        keys = np.concatenate([unpack_keys(x) for p in parts for x in p.column(1).to_pylist()])
-        counts = np.concatenate([unplanes(x, np.uint32) for p in parts for x in p.column(2).to_pylist()])
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        total = np.add.reduceat(counts[order].astype(np.int64), first)
-        keys = keys[first]
-        word = keys >> np.uint64(CONTEXT_BITS)
-        start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        contexts = np.diff(np.concatenate([start, [len(keys)]]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int64()), pa.array([pack_keys(keys)], pa.binary()), pa.array([planes(total)], pa.binary()), pa.array([planes(contexts.astype(np.int64))], pa.binary())],
-            ["block", "keys", "counts", "tables"],
-        )
+        yield _merged(block, parts)  # a call, so that one block's arrays are gone before the next
+
+
+def _merged(block, parts) -> pa.RecordBatch:
+    words, contexts = (np.concatenate([unpack_keys(x) for p in parts for x in p.column(c).to_pylist()]) for c in (1, 2))
+    counts = np.concatenate([unplanes(x, np.uint32) for p in parts for x in p.column(3).to_pylist()])
+    order = np.lexsort((contexts, words))
+    words = words[order]
+    contexts = contexts[order]
+    first = changes(words, contexts)
+    total = np.add.reduceat(counts[order], first, dtype=np.int64)
+    del order, counts
+    words = words[first]
+    contexts = contexts[first]
+    served = np.diff(np.concatenate([changes(words), [len(words)]]))
+    packed = [pack_keys(words), pack_keys(contexts), planes(total), planes(np.ones(len(words), np.int64)), planes(served.astype(np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], BLOCK_NAMES)
+
+
+BLOCK_NAMES = ["block", "words", "contexts", "counts", "tables", "served"]
+MERGED = "block bigint, words binary, contexts binary, counts binary, tables binary, served binary"
+
+
+def _context_rows(batches):
+    """(block, context, customers, tables) of each context in a block."""
+
+    def rows(block, raw_contexts, raw_counts, raw_tables):
+        contexts, at = np.unique(unpack_keys(raw_contexts), return_inverse=True)
+        sums = [np.bincount(at, weights=unplanes(x, np.int64)).astype(np.int64) for x in (raw_counts, raw_tables)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(contexts), block, np.int64)), pa.array(contexts.view(np.int64)), pa.array(sums[0]), pa.array(sums[1])],
+            ["block", "context", "customers", "seated"],
+        )
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield rows(*(batch.column(c)[i].as_py() for c in (0, 2, 3, 4)))
 
 
 # -- sampling ----------------------------------------------------------------------------------
@@ -200,7 +240,7 @@ def seat(counts: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.nda
 
 
 class Totals:
-    """What a sweep needs of the whole model: vectors over contexts and the parent's sums."""
+    """What a sweep needs of the whole model: vectors over the contexts at hand and the parent's sums."""
 
     def __init__(self, customers, tables, root_customers, root_tables, words, tokens, discount, root_discount):
         self.customers, self.tables = customers, tables
@@ -208,18 +248,26 @@ class Totals:
         self.words, self.tokens = words, tokens
         self.discount, self.root_discount = discount, root_discount
 
+    def of(self, customers: np.ndarray, tables: np.ndarray) -> Totals:
+        """The same sums, with the vectors of some contexts."""
+        return Totals(customers, tables, self.root_customers, self.root_tables, self.words, self.tokens, self.discount, self.root_discount)
+
     def unseen(self) -> float:
         """The parent's probability of one word that no customer has."""
         return (ROOT_STRENGTH + self.root_discount * self.root_tables) / (ROOT_STRENGTH + self.root_customers) / (self.words + 1)
 
 
 class Block:
-    """The pairs of one range of words, in descending order of counts where they are sampled."""
+    """The pairs of one range of words, in descending order of counts where they are sampled.
+
+    keys: words, sorted, with each pair's place among the contexts at hand in `context`; without that, the
+    place is in the low CONTEXT_BITS.
+    """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, context: np.ndarray | None = None):
         self.keys, self.counts = keys, counts
-        self.context = (keys & _LOW).astype(np.int64)
-        word = keys >> np.uint64(CONTEXT_BITS)
+        self.context = (keys & _LOW).astype(np.int64) if context is None else context
+        word = keys >> np.uint64(CONTEXT_BITS) if context is None else keys
         first = np.concatenate([[True], word[1:] != word[:-1]])
         self.start = np.flatnonzero(first)
         self.word = np.cumsum(first) - 1
@@ -248,39 +296,51 @@ def _round(at_shipped, number: int, final: bool):
     """Sweeps over every block; the last sweep's state goes on, the final round also gives the averages."""
 
     def run(batches):
-        at = at_shipped.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                number_of, raw_keys, raw_counts, raw_tables = (batch.column(c)[i].as_py() for c in range(4))
-                block = Block(unpack_keys(raw_keys), unplanes(raw_counts, np.int64))
-                served = unplanes(raw_tables, np.int64)
-                root = np.minimum(served, 1)
-                rng = np.random.Generator(np.random.PCG64([SEED, number, int(number_of)]))
-                own = np.zeros(len(block.keys))
-                parents = np.zeros((SAMPLES, len(served)))
-                for s in range(BURN_IN + SAMPLES):
-                    tables, served, root = block.sweep(served, root, at, rng)
-                    if final and s >= BURN_IN:
-                        own += np.maximum(block.counts - at.discount * tables, 0)
-                        parents[s - BURN_IN] = block.parent(served, root, at)
-                own /= SAMPLES * (CONTEXT_STRENGTH + at.customers[block.context])
-                by_context = np.bincount(block.context, weights=tables, minlength=CONTEXTS)
-                ones = [int((served == x).sum()) for x in (1, 2)]
-                sums = np.concatenate([by_context, [served.sum(), root.sum(), *ones]])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number_of], pa.int64()), pa.array([raw_keys], pa.binary()), pa.array([raw_counts], pa.binary()), pa.array([planes(served)], pa.binary()),
-                        pa.array([planes(own.astype(np.float32)) if final else None], pa.binary()),
-                        pa.array([planes(parents.mean(axis=0)) if final else None], pa.binary()),
-                        pa.array([sums.astype(np.int64).tolist()], pa.list_(pa.int64())),
-                    ],
-                    ["block", "keys", "counts", "tables", "own", "parent", "sums"],
-                )
+        for number_of, parts in grouped(batches):
+            yield swept(number_of, parts)
+
+    def swept(number_of, parts):
+        names = parts[0].schema.names
+        raw, found = None, []
+        for part in parts:  # the block's row first, then its contexts
+            start = 0
+            if part.column(1)[0].as_py() == 0:
+                raw, start = [part.column(names.index(n))[0].as_py() for n in BLOCK_NAMES[1:]], 1
+            found.append([part.column(names.index(n)).slice(start).to_numpy(zero_copy_only=False) for n in ("context", "customers", "seated")])
+        contexts, customers, seated = (np.concatenate(x).astype(np.int64) for x in zip(*found))
+        contexts = contexts.view(np.uint64)
+        order = np.argsort(contexts)
+        at = at_shipped.value.of(customers[order], seated[order])
+        pair_contexts, counts, served = unpack_keys(raw[1]), unplanes(raw[2], np.int64), unplanes(raw[4], np.int64)
+        block = Block(unpack_keys(raw[0]), counts, np.searchsorted(contexts[order], pair_contexts))
+        root = np.minimum(served, 1)
+        rng = np.random.Generator(np.random.PCG64([SEED, number, int(number_of)]))
+        own = np.zeros(len(block.keys))
+        parent = np.zeros(len(served))
+        for s in range(BURN_IN + SAMPLES):
+            tables, served, root = block.sweep(served, root, at, rng)
+            if final and s >= BURN_IN:
+                own += np.maximum(counts - at.discount * tables, 0)
+                parent += block.parent(served, root, at)
+        p = None
+        if final:
+            parent /= SAMPLES
+            share = (CONTEXT_STRENGTH + at.discount * at.tables) / (CONTEXT_STRENGTH + at.customers)
+            p = own / (SAMPLES * (CONTEXT_STRENGTH + at.customers[block.context])) + share[block.context] * parent[block.word]
+        sums = [served.sum(), root.sum(), *((served == x).sum() for x in (1, 2))]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([number_of], pa.int64()), *(pa.array([x], pa.binary()) for x in (*raw[:3], planes(tables), planes(served))),
+                pa.array([planes(p.astype(np.float32)) if final else None], pa.binary()), pa.array([planes(parent) if final else None], pa.binary()),
+                pa.array([[int(x) for x in sums]], pa.list_(pa.int64())),
+            ],
+            [*BLOCK_NAMES, "own", "parent", "sums"],
+        )
 
     return run
 
 
-STATE = "block bigint, keys binary, counts binary, tables binary, own binary, parent binary, sums array<bigint>"
+STATE = f"{MERGED}, own binary, parent binary, sums array<bigint>"
 
 
 def _sums(frame: DataFrame, column) -> np.ndarray:
@@ -290,15 +350,12 @@ def _sums(frame: DataFrame, column) -> np.ndarray:
 
 
 def _first_sums(batches):
-    """Over all blocks of a task: customers and distinct pairs by context, pairs of one and two, words."""
-    total = np.zeros(2 * CONTEXTS + 4, np.int64)
+    """Over all blocks of a task: tokens, pairs of one and two, words, pairs."""
+    total = np.zeros(5, np.int64)
     for batch in batches:
-        for raw_keys, raw_counts, raw_tables in zip(*(batch.column(c).to_pylist() for c in range(3))):
-            context = (unpack_keys(raw_keys) & _LOW).astype(np.int64)
-            counts, tables = unplanes(raw_counts, np.int64), unplanes(raw_tables, np.int64)
-            total[:CONTEXTS] += np.bincount(context, weights=counts, minlength=CONTEXTS).astype(np.int64)
-            total[CONTEXTS : 2 * CONTEXTS] += np.bincount(context, minlength=CONTEXTS)
-            total[2 * CONTEXTS :] += [(counts == 1).sum(), (counts == 2).sum(), len(tables), tables.sum()]
+        for raw_counts, raw_served in zip(*(batch.column(c).to_pylist() for c in range(2))):
+            counts, served = unplanes(raw_counts, np.int64), unplanes(raw_served, np.int64)
+            total += [counts.sum(), (counts == 1).sum(), (counts == 2).sum(), len(served), served.sum()]
     yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["sums"])
 
 
@@ -306,33 +363,37 @@ def _discount(ones: int, twos: int) -> float:
     return float(min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.95))
 
 
-def fit(train: DataFrame, blocks: int, staging: Staging) -> tuple[DataFrame, Totals]:
-    """The sampled model, a row a block, and its totals. train: column text."""
-    pairs = train.select("text").mapInArrow(_pair_rows(blocks), "block bigint, keys binary, counts binary")
-    merged = staging.write(pairs.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "block bigint, keys binary, counts binary, tables binary"))
-    sums = _sums(merged.select("keys", "counts", "tables").mapInArrow(_first_sums, "sums array<bigint>"), "sums")
-    if not len(sums):
-        sums = np.zeros(2 * CONTEXTS + 4, np.int64)
-    customers, tables = sums[:CONTEXTS], sums[CONTEXTS : 2 * CONTEXTS]
-    ones, twos, words, root_customers = sums[2 * CONTEXTS :].tolist()
-    at = Totals(customers, tables, root_customers, words, words, int(customers.sum()), _discount(ones, twos), 0.7)
-    state = merged
+def fit(train: DataFrame, blocks: int, staging: Staging) -> tuple[DataFrame, DataFrame, Totals]:
+    """The sampled model, a row a block, its contexts, a row each, and its sums. train: column text."""
+    pairs = train.select("text").mapInArrow(_pair_rows(blocks), "block bigint, words binary, contexts binary, counts binary")
+    merged = staging.write(pairs.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, MERGED))
+    sums = _sums(merged.select("counts", "served").mapInArrow(_first_sums, "sums array<bigint>"), "sums")
+    tokens, ones, twos, words, root_customers = sums.tolist() if len(sums) else [0] * 5
+    at = Totals(None, None, root_customers, words, words, tokens, _discount(ones, twos), 0.7)
+    state, contexts = merged, None
     for number in range(ROUNDS):
-        shipped = train.sparkSession.sparkContext.broadcast(at)  # two vectors of CONTEXTS numbers
-        following = staging.write(state.select("block", "keys", "counts", "tables").mapInArrow(_round(shipped, number, number == ROUNDS - 1), STATE))
-        staging.drop(state)
-        state = following
+        shipped = train.sparkSession.sparkContext.broadcast(at)  # a few numbers
+        state = state.select(*BLOCK_NAMES)
+        found = state.mapInArrow(_context_rows, "block bigint, context bigint, customers bigint, seated bigint")
+        if contexts is not None:
+            staging.drop(contexts)
+        contexts = staging.write(found.groupBy("context").agg(F.sum("customers").alias("customers"), F.sum("seated").alias("seated")))
+        own = found.select("block", "context").join(contexts, "context").withColumn("kind", F.lit(1))
+        dealt = state.withColumn("kind", F.lit(0)).unionByName(own, allowMissingColumns=True).select("block", "kind", *BLOCK_NAMES[1:], "context", "customers", "seated")
+        following = staging.write(dealt.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_round(shipped, number, number == ROUNDS - 1), STATE))
+        staging.drop(merged)
+        state = merged = following
         if number < ROUNDS - 1:
             sums = _sums(state, "sums")
             if len(sums):
-                served, root, ones, twos = sums[CONTEXTS:].tolist()
-                at = Totals(customers, sums[:CONTEXTS], served, root, words, at.tokens, at.discount, _discount(ones, twos))
-    return state, at
+                served, root, ones, twos = sums.tolist()
+                at = Totals(None, None, served, root, words, tokens, at.discount, _discount(ones, twos))
+    return state, contexts, at
 
 
 # -- scoring -----------------------------------------------------------------------------------
 
-PARTS = "block bigint, kind int, chunk bigint, a binary, b binary, c binary, ids array<bigint>, held array<boolean>"
+PARTS = "block bigint, kind int, chunk bigint, a binary, b binary, c binary, ids array<bigint>, held array<boolean>, contexts binary"
 
 
 def _document_rows(blocks: int):
@@ -343,13 +404,13 @@ def _document_rows(blocks: int):
         chunk = task << 32
         keys_held, docs_held, ids, flags, lengths, size = [], [], [], [], [], 0
         for batch in batches:
-            for first, keys, toffs in token_keys(batch.column(1)):
+            for first, words, contexts, toffs in token_keys(batch.column(1)):
                 n = np.diff(toffs)
                 row = 0
                 while row < len(n):  # whole documents, as many as the chunk still takes
                     end = int(np.searchsorted(toffs, toffs[row] + CHUNK_TOKENS - size, "left"))
                     end = min(max(end, row + 1), len(n), row + CHUNK_DOCS - len(ids))
-                    keys_held.append(keys[toffs[row] : toffs[end]])
+                    keys_held.append((words[toffs[row] : toffs[end]], contexts[toffs[row] : toffs[end]]))
                     docs_held.append(np.repeat(np.arange(len(ids), len(ids) + end - row, dtype=np.uint16), n[row:end]))
                     ids += batch.column(0).slice(first + row, end - row).to_pylist()
                     flags += batch.column(2).slice(first + row, end - row).to_pylist()
@@ -364,65 +425,89 @@ def _document_rows(blocks: int):
             yield flush(chunk, keys_held, docs_held, ids, flags, lengths)
 
     def flush(chunk, keys_held, docs_held, ids, flags, lengths):
-        keys, docs = np.concatenate(keys_held), np.concatenate(docs_held)
-        order = np.argsort(keys, kind="stable")  # documents stay in order inside a key
-        keys, docs = keys[order], docs[order]
-        new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])]))
-        times = np.diff(np.concatenate([new, [len(keys)]])).astype(np.uint32)
-        keys, docs = keys[new], docs[new]
-        at = cuts(keys, blocks)
+        words, contexts = (np.concatenate(x) for x in zip(*keys_held))
+        docs = np.concatenate(docs_held)
+        order = np.lexsort((contexts, words))  # documents stay in order inside a pair
+        words, contexts, docs = words[order], contexts[order], docs[order]
+        new = changes(words, contexts, docs)
+        times = np.diff(np.concatenate([new, [len(words)]])).astype(np.uint32)
+        words, contexts, docs = words[new], contexts[new], docs[new]
+        at = cuts(words, blocks)
         filled = np.flatnonzero(at[1:] > at[:-1]).tolist()
         spans = [slice(at[b], at[b + 1]) for b in filled]
         n = len(filled) + 1
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([*filled, chunk % blocks], pa.int64()), pa.array([1] * (n - 1) + [2], pa.int32()), pa.array([chunk] * n, pa.int64()),
-                pa.array([*(pack_keys(keys[s]) for s in spans), planes(np.array(lengths, np.int64))], pa.binary()),
+                pa.array([*(pack_keys(words[s]) for s in spans), planes(np.array(lengths, np.int64))], pa.binary()),
                 pa.array([*(planes(docs[s]) for s in spans), None], pa.binary()), pa.array([*(planes(times[s]) for s in spans), None], pa.binary()),
                 pa.array([None] * (n - 1) + [ids], pa.list_(pa.int64())), pa.array([None] * (n - 1) + [flags], pa.list_(pa.bool_())),
+                pa.array([*(pack_keys(contexts[s]) for s in spans), None], pa.binary()),
             ],
-            ["block", "kind", "chunk", "a", "b", "c", "ids", "held"],
+            ["block", "kind", "chunk", "a", "b", "c", "ids", "held", "contexts"],
         )
 
     return run
 
 
-SUMS = "chunk bigint, kind int, docs binary, score binary, base binary, known binary, ids array<bigint>, held array<boolean>"
+SUMS = "chunk bigint, kind int, docs binary, score binary, base binary, known binary, ids array<bigint>, held array<boolean>, context bigint, rows array<int>, times array<int>"
 
 
 def _score_rows(at_shipped):
-    """Adds up each chunk's documents over the blocks of this task."""
+    """Adds up each chunk's documents over the blocks of this task; pairs not seen in training also go out by context (kind 2)."""
+
+    def sums_row(chunk, kind, docs, score=None, base=None, known=None, ids=None, held=None):
+        values = [pa.array([x], pa.binary()) for x in (docs, score, base, known)]
+        none = [pa.array([None], t) for t in (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([kind], pa.int32()), *values, pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), *none], SUM_NAMES)
+
+    def new_pairs(chunk, contexts, docs, times):
+        order = np.argsort(contexts, kind="stable")
+        contexts, docs, times = contexts[order], docs[order], times[order]
+        first = changes(contexts)
+        offsets = pa.array(np.concatenate([first, [len(contexts)]]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (docs, times)]
+        n = len(first)
+        none = [pa.nulls(n, t) for t in (*[pa.binary()] * 4, pa.list_(pa.int64()), pa.list_(pa.bool_()))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk, np.int64)), pa.array(np.full(n, 2, np.int32)), *none, pa.array(contexts[first].view(np.int64)), *lists], SUM_NAMES)
+
+    def find(sorted_values, wanted):
+        i = np.minimum(np.searchsorted(sorted_values, wanted), len(sorted_values) - 1)
+        return i, sorted_values[i] == wanted
 
     def run(batches):
         at = at_shipped.value
-        share = (CONTEXT_STRENGTH + at.discount * at.tables) / (CONTEXT_STRENGTH + at.customers)
         floor = np.log10(at.tokens + 0.5 * (at.words + 1))
         sums: dict[int, list] = {}
         for _, parts in grouped(batches):
-            keys, own, words, parent, count = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+            words = np.zeros(0, np.uint64)
             for part in parts:
                 for row in range(part.num_rows):
-                    kind, chunk, a, b, c, ids, held = (part.column(i)[row].as_py() for i in range(1, 8))
+                    kind, chunk, a, b, c, ids, held, raw_contexts = (part.column(i)[row].as_py() for i in range(1, 9))
                     if kind == 0:
-                        keys, own, parent = unpack_keys(a), unplanes(b, np.float32), unplanes(c, np.float64)
-                        block = Block(keys, unplanes(part.column(8)[row].as_py(), np.int64))
-                        words, count = keys[block.start] >> np.uint64(CONTEXT_BITS), np.add.reduceat(block.counts, block.start)
+                        all_words, own, parent = unpack_keys(a), unplanes(b, np.float32), unplanes(c, np.float64)
+                        start = changes(all_words)
+                        words, count = all_words[start], np.add.reduceat(unplanes(part.column(9)[row].as_py(), np.int64), start)
+                        contexts, place = np.unique(unpack_keys(raw_contexts), return_inverse=True)
+                        number = np.repeat(np.arange(len(start)), np.diff(np.concatenate([start, [len(all_words)]])))
+                        keys = number << 32 | place  # both fit: they number what one block holds
                     elif kind == 2:
-                        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([0], pa.int32()), pa.array([a], pa.binary()), *[pa.array([None], pa.binary())] * 3, pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_()))], SUM_NAMES)
+                        yield sums_row(chunk, 0, a, ids=ids, held=held)
                     else:
-                        wanted, docs, times = unpack_keys(a), unplanes(b, np.uint16), unplanes(c, np.uint32)
+                        wanted, context, docs, times = unpack_keys(a), unpack_keys(raw_contexts), unplanes(b, np.uint16), unplanes(c, np.uint32)
                         p = np.full(len(wanted), at.unseen())
                         seen = np.zeros(len(wanted))
+                        fresh = np.ones(len(wanted), bool)
                         if len(words):
-                            word = wanted >> np.uint64(CONTEXT_BITS)
-                            i = np.minimum(np.searchsorted(words, word), len(words) - 1)
-                            hit = words[i] == word
+                            i, hit = find(words, wanted)
                             p[hit], seen[hit] = parent[i[hit]], count[i[hit]]
-                        p *= share[(wanted & _LOW).astype(np.int64)]
-                        if len(keys):
-                            i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                            hit = keys[i] == wanted
-                            p[hit] += own[i[hit]]
+                            j, both = find(contexts, context)
+                            both &= hit
+                            k, pair = find(keys, i << 32 | j)
+                            pair &= both
+                            p[pair], fresh = own[k[pair]], ~pair
+                        if fresh.any():
+                            yield new_pairs(chunk, context[fresh], docs[fresh], times[fresh])
                         n = int(docs.max()) + 1
                         logs = (np.bincount(docs, times * np.log10(p), n), np.bincount(docs, times * (np.log10(seen + 0.5) - floor), n), np.bincount(docs, times * (seen > 0), n))
                         if chunk not in sums:
@@ -434,12 +519,7 @@ def _score_rows(at_shipped):
                             sums[chunk][k] = long
         for chunk, (score, base, known) in sums.items():
             some = np.flatnonzero(base != 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int64()), pa.array([1], pa.int32()), pa.array([planes(some.astype(np.uint16))], pa.binary())]
-                + [pa.array([x[some].tobytes()], pa.binary()) for x in (score, base)]
-                + [pa.array([planes(known[some].astype(np.uint32))], pa.binary()), pa.array([None], pa.list_(pa.int64())), pa.array([None], pa.list_(pa.bool_()))],
-                SUM_NAMES,
-            )
+            yield sums_row(chunk, 1, planes(some.astype(np.uint16)), score[some].tobytes(), base[some].tobytes(), planes(known[some].astype(np.uint32)))
 
     return run
 
@@ -452,37 +532,44 @@ def _add_rows(batches):
     """One row for each document of a chunk."""
     for _, parts in grouped(batches):
         ids = held = lengths = total = None
-        later = []
-        for part in parts:
-            for i in range(part.num_rows):
-                if part.column(1)[i].as_py() == 0:
+        for part in parts:  # by kind, so the chunk's ids come first
+            kinds = part.column(1).to_numpy()
+            for i in np.flatnonzero(kinds < 2).tolist():
+                if kinds[i] == 0:
                     ids, held, lengths = part.column(6)[i].as_py(), part.column(7)[i].as_py(), unplanes(part.column(2)[i].as_py(), np.int64)
                     total = np.zeros((3, len(ids)))
-                else:
-                    later.append((part, i))
-        for part, i in later:
-            docs = unplanes(part.column(2)[i].as_py(), np.uint16)
-            for k in (0, 1):
-                total[k, docs] += np.frombuffer(part.column(3 + k)[i].as_py(), np.float64)
-            total[2, docs] += unplanes(part.column(5)[i].as_py(), np.uint32)
+                    continue
+                docs = unplanes(part.column(2)[i].as_py(), np.uint16)
+                for k in (0, 1):
+                    total[k, docs] += np.frombuffer(part.column(3 + k)[i].as_py(), np.float64)
+                total[2, docs] += unplanes(part.column(5)[i].as_py(), np.uint32)
+            new = part.filter(pa.array(kinds == 2))
+            if new.num_rows:
+                docs, times = (new.column(c).flatten().to_numpy() for c in (9, 10))
+                shares = np.repeat(new.column(11).to_numpy(), new.column(9).value_lengths().to_numpy())
+                total[0] += np.bincount(docs, times * shares, len(ids))
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths, pa.int64()), pa.array(total[2].astype(np.int64)), pa.array(total[1]), pa.array(total[0])],
             [x.split()[0] for x in RESULT.split(", ")],
         )
 
 
-def score(docs: DataFrame, model: DataFrame, at: Totals, blocks: int) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, contexts: DataFrame, at: Totals, blocks: int, staging: Staging) -> DataFrame:
     """docs: id bigint, text, held. One row each with token counts and scores."""
     shipped = docs.sparkSession.sparkContext.broadcast(at)
     rows = docs.select("id", "text", "held").mapInArrow(_document_rows(blocks), PARTS).withColumn("counts", F.lit(None).cast("binary"))
     none = lambda kind: F.lit(None).cast(kind)
     blocks_rows = model.select(
-        "block", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("chunk"), F.col("keys").alias("a"), F.col("own").alias("b"), F.col("parent").alias("c"),
-        none("array<bigint>").alias("ids"), none("array<boolean>").alias("held"), "counts",
+        "block", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("chunk"), F.col("words").alias("a"), F.col("own").alias("b"), F.col("parent").alias("c"),
+        none("array<bigint>").alias("ids"), none("array<boolean>").alias("held"), "contexts", "counts",
     )
     dealt = rows.unionByName(blocks_rows).repartition("block").sortWithinPartitions("block", "kind")
-    sums = dealt.mapInArrow(_score_rows(shipped), SUMS)
-    return sums.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_add_rows, RESULT)
+    sums = staging.write(dealt.mapInArrow(_score_rows(shipped), SUMS))
+    # A context without customers gives all to its new table: its logarithm is 0 and it needs no row.
+    share = F.log10((CONTEXT_STRENGTH + at.discount * F.col("seated")) / (CONTEXT_STRENGTH + F.col("customers")))
+    new = sums.where("kind = 2").join(contexts.select("context", share.alias("share")), "context")
+    whole = sums.where("kind < 2").withColumn("share", none("double")).unionByName(new)
+    return whole.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_add_rows, RESULT)
 
 
 def train_and_score(docs: DataFrame, staging: Staging, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -491,6 +578,6 @@ def train_and_score(docs: DataFrame, staging: Staging, id_col: str = "doc_id", t
     blocks = blocks_of(docs, block_bytes)
     held = held_out(F.col(id_col), modulus)
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held.alias("held"))
-    model, at = fit(picked.where("NOT held"), blocks, staging)
-    scored = score(picked, model, at, blocks)
+    model, contexts, at = fit(picked.where("NOT held"), blocks, staging)
+    scored = score(picked, model, contexts, at, blocks, staging)
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(at.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -293,3 +293,18 @@ def test_mix_targets(spark):
     assert sum(t for _, t, _ in sums.values()) == pytest.approx(1.5 * sum(s for _, _, s in sums.values()))
     for taken, target, size in sums.values():
         assert target <= 2 * size + 1e-9 and abs(taken - target) <= 30
+
+
+def test_language_model_keeps_contexts_apart(spark):
+    """A word that always follows one context word is likely there and unlikely after the 3,000 other contexts."""
+    rows = [(i, f"c{i} d{i} " * 8) for i in range(1, 3001)]
+    trained = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 1]
+    held = [i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 5 == 1][:400]
+    asked = [(held[2 * j + k], f"c{trained[j][0]} d{trained[j + k][0]} " * 8) for j in range(200) for k in (0, 1)]
+    frame = spark.createDataFrame(trained + asked, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.train_and_score(frame, Staging(spark, "t")).collect()}
+    right = np.array([got[held[2 * j]] for j in range(200)])
+    # 15 words follow their one context at about (8 - d) / (8 + 5); the first word and the end are near 1 / 2,400 and 1 / 9.
+    # With contexts in 1,024 buckets, five or six of them share a restaurant.
+    assert np.median(right) > -10
+    assert all(got[held[2 * j]] > got[held[2 * j + 1]] for j in range(200))
