@@ -36,8 +36,8 @@ for _key, _strategy in (("N13_sentence_chunks", "sentence"), ("N14_paragraph_chu
 
 @Q.plan("N3_sentence_split", "SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s) <> ''))::BIGINT AS sentences FROM documents WHERE NOT regexp_matches(text, '[`\\[\\])]|\\n\\n|[.!?]\\s+[A-Z][.!?]')")
 def sentence_split(get):
-    plain = get("documents").where(~F.col("text").rlike(r"[`\[\])]|\n\n|[.!?]\s+[A-Z][.!?]"))
-    return plain.select("doc_id", F.size(F.filter(F.split("text", r"(?<=[.!?])\s+(?=[A-Z])"), lambda s: F.btrim(s) != "")).cast("long").alias("sentences"))
+    docs = get("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.mapInPandas(lambda it: (p.assign(sentences=[len(chunking.sentences(t)) for t in p["text"]])[["doc_id", "sentences"]] for p in it), "doc_id long, sentences long")
 
 
 @Q.plan("N5_sentence_offsets", "SELECT doc_id, i::INT AS i, s, (sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(s) - 1)::BIGINT AS start FROM (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS s FROM (SELECT doc_id, string_split(text, '.') AS l FROM documents))")
