@@ -29,6 +29,8 @@ NOTICES = (
     "lorem ipsum", "subscribe to our", "sign up for", "copyright (c)",
 )
 NAV_MARKS = "|»›>"
+#: Lines of so many characters are prose, longer than lines wrapped at a usual width, and must end as prose does.
+PROSE_CHARS = 100
 LINE_ENDS = ".!?…:;,\"')]}»”’*"
 
 
@@ -44,8 +46,8 @@ def line_fails(line: Column) -> Column:
     marks = symbols_in(line, NAV_MARKS)
     navigation = (marks >= 3) & (marks * 40 >= n_chars)
     symbols = symbols_in(line, SYMBOLS)
-    strewn = (symbols * 10 > n_chars) & (symbols >= 12)
-    unended = (n_chars >= 400) & ~line.rlike(r"[.!?…:;,][\"')\]}»”’]*[\x20\x09-\x0D]|[.!?…:;,]")
+    strewn = symbols * 10 > n_chars
+    unended = (n_chars >= PROSE_CHARS) & ~F.contains(F.lit(LINE_ENDS), F.right(F.rtrim(line, F.lit(BLANK)), F.lit(1)))
     return navigation | strewn | ((n_chars <= 200) & notice) | unended  # the costly tests last, and behind a length
 
 

@@ -1,5 +1,8 @@
 """Queries on the inputs that were once left out."""
 
+from pyspark.sql import functions as F
+
+from quarrymill.llm import quality
 from quarrymill.plans import text_queries
 
 
@@ -15,3 +18,16 @@ def test_sentence_split_takes_every_document(spark):
     }
     got = {r.doc_id: r.sentences for r in text_queries.sentence_split(over(spark, [(i, t) for i, (t, _) in texts.items()])).collect()}
     assert got == {i: n for i, (_, n) in texts.items()}
+
+
+def test_quality_lines_strewn_or_unended(spark):
+    prose = "A line of prose, with a comma in it, that goes on for well over a hundred characters before it comes to its close"
+    lines = {
+        "### $$$ &&&": True, "a #b": True, "For&&& thstrend&&& rest": True, prose: True, prose + " ": True, prose[:60]: False,
+        prose + ".": False, prose + '."  ': False, prose + ":": False, "Item #1 of a list of things": False, "A heading": False,
+    }
+    frame = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert {r.line: r.fails for r in frame.select("line", quality.line_fails(F.col("line")).alias("fails")).collect()} == lines
+    text = "\n".join(["### $$$ &&&"] * 2 + ["One two three four five six seven eight nine ten eleven."])
+    row = quality.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.lost_chars == 22 and row.kept
