@@ -101,6 +101,12 @@ class Lines(HTMLParser):
             if tag not in BLOCKS and self.stack[i][0] in BLOCKS:
                 return  # an inline end tag does not close blocks
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # no known section: a comment to the next >, as browsers read it
+            return self.parse_bogus_comment(i)
+
     def handle_data(self, data):
         hidden, _, _ = self.state()
         if not hidden:
@@ -111,11 +117,8 @@ class Lines(HTMLParser):
 
 def page_lines(html: str) -> list[tuple[str, int, bool, int]]:
     parser = Lines()
-    try:
-        parser.feed(html)
-        parser.close()
-    except AssertionError:  # a malformed declaration; what was read so far counts
-        pass
+    parser.feed(html)
+    parser.close()
     parser.end_line()
     return parser.lines
 

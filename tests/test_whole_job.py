@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarrymill.llm import quality
+from quarrymill.llm import html_text, quality
 from quarrymill.plans import text_queries
 
 
@@ -31,3 +31,10 @@ def test_quality_lines_strewn_or_unended(spark):
     text = "\n".join(["### $$$ &&&"] * 2 + ["One two three four five six seven eight nine ten eleven."])
     row = quality.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row.lost_chars == 22 and row.kept
+
+
+def test_html_goes_on_after_unknown_declarations():
+    page = "<article><p>before</p><p>array{} middle</p><p>after</p></article>"
+    for mark in ("<![1]>", "<![foo[x]]>", "<![>", "<![ ]>", "<!x>"):
+        assert html_text.main_text(page.format(mark)) == "before\narray middle\nafter", mark
+    assert html_text.main_text("<article><p>one</p><p>two <![1 unclosed").startswith("one\ntwo")
