@@ -6,7 +6,7 @@ comments) or its share of link text marks it as no prose. Weights are summed ove
 WINDOW lines: where the sum rises from nothing the text surges, where it falls back to nothing it
 dives, and the lines with weight between those points are a region. The start and end of an article or main
 element are surge and dive points too. Regions inside such an element are kept; on pages without
-one, the heaviest region is kept and those of at least KEEP_PERCENT of its weight.
+one, all regions are kept, however light beside the heaviest.
 
 Defined cases: a null or empty page has the empty text; unclosed and misnested tags are read as
 browsers do for blocks (a block starts a new line); unknown character references stay as written;
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import textops
 from .staging import small_batches
 
-WINDOW, KEEP_PERCENT, LINK_PERCENT = 3, 20, 60
+WINDOW, LINK_PERCENT = 3, 60
 BATCH_BYTES = 4 << 20
 #: Elements by their part in a page, and words in class, id or role that mark one.
 BLOCKS = frozenset(
@@ -145,9 +145,6 @@ def main_text(html: str | None) -> str:
     found = regions(weights, cuts)
     if has_article:
         found = [r for r in found if lines[r[0]][3]]
-    elif found:
-        heaviest = max(sum(weights[a:b]) for a, b in found)
-        found = [(a, b) for a, b in found if 100 * sum(weights[a:b]) >= KEEP_PERCENT * heaviest]
     return "\n".join(lines[i][0] for a, b in found for i in range(a, b) if weights[i])
 
 

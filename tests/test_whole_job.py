@@ -38,3 +38,12 @@ def test_html_goes_on_after_unknown_declarations():
     for mark in ("<![1]>", "<![foo[x]]>", "<![>", "<![ ]>", "<!x>"):
         assert html_text.main_text(page.format(mark)) == "before\narray middle\nafter", mark
     assert html_text.main_text("<article><p>one</p><p>two <![1 unclosed").startswith("one\ntwo")
+
+
+def test_html_without_article_keeps_light_regions():
+    advert = "<div class='advert'><p>Buy</p><p>now</p><p>or</p><p>never</p></div>"
+    related = "<div><p><a href=/1>Related one</a></p><p><a href=/2>Related two</a></p><p><a href=/3>Related three</a></p></div>"
+    body = [f"Paragraph {i} of the long article, with a good many words in it, as prose has." for i in range(60)]
+    prose = "".join(f"<p>{x}</p>" for x in body)
+    page = f"<body><div id=content><h1>Title</h1><p>A short intro.</p>{advert}{prose}{related}<section><h2>Close</h2><p>Short end.</p></section></div></body>"
+    assert html_text.main_text(page).split("\n") == ["Title", "A short intro.", *body, "Close", "Short end."]
