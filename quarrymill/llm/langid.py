@@ -2,7 +2,8 @@
 
 One model per learned language over the letters of words, lower-cased, with marks for a word's start
 and end. Models are fitted on a bounded sample of labelled rows: of each language the SAMPLE_DOCS
-rows with the least hash of their id, and of these whole texts up to SAMPLE_CHARS characters. Every
+rows with the least hash of their id, up to SAMPLE_CHARS characters; a longer text counts with its
+first tenth of that from its first letter on, so no language is left out for its texts' length. Every
 fifth sampled row is kept out of the fit and calibrates rejection. N-grams are 64-bit hashes in one
 sorted array per order, with each language's discounted probability and back-off weight beside it.
 A text gets the language of least cross-entropy per character; words are scored once for a batch
@@ -46,8 +47,10 @@ def held_out(doc_id: Column, modulus: int, remainder: int = 1) -> Column:
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: Column) -> list[tuple[str, str]]:
     """(lang, text) of the sample, bounded by SAMPLE_DOCS and SAMPLE_CHARS a language."""
+    most = max(SAMPLE_CHARS // 10, 1)
+    part = F.when(F.length(text_col) > most, F.left(F.regexp_replace(text_col, r"^\P{L}+", ""), F.lit(most))).otherwise(F.col(text_col))
     picked = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(5)).alias("h"), F.length(text_col).alias("chars")
+        F.col(lang_col).alias("lang"), part.alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(5)).alias("h"), F.least(F.length(text_col), F.lit(most)).alias("chars")
     )
     # Of each language a share of about twice the sample is ranked, on narrow rows; the texts of those below the
     # language's last hash are read in a second scan. An id that is repeated counts once.

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarrymill.llm import html_text, quality
+from quarrymill.llm import html_text, langid, quality
 from quarrymill.plans import text_queries
 
 
@@ -47,3 +47,16 @@ def test_html_without_article_keeps_light_regions():
     prose = "".join(f"<p>{x}</p>" for x in body)
     page = f"<body><div id=content><h1>Title</h1><p>A short intro.</p>{advert}{prose}{related}<section><h2>Close</h2><p>Short end.</p></section></div></body>"
     assert html_text.main_text(page).split("\n") == ["Title", "A short intro.", *body, "Close", "Short end."]
+
+
+def test_language_sample_survives_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 4000)
+    rows = [(i, "le chat dort sur la table et la souris danse " * 200, "fr") for i in range(12)] + [(100 + i, "the cat sleeps on the table and the mouse dances", "en") for i in range(12)]
+    rows += [(200, "... " * 2000 + "die Katze sitzt auf dem Tisch und die Maus tanzt", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(docs, "doc_id", "text", "lang", F.lit(True))
+    count = {lang: sum(x == lang for x, _ in got) for lang in ("fr", "en", "de")}
+    assert count == {"fr": 10, "en": 12, "de": 1} and all(len(t) <= 400 and any(c.isalpha() for c in t) for _, t in got)
+    assert sum(len(t) for lang, t in got if lang == "fr") <= 4000
+    named = {r.doc_id: r.lang_pred for r in langid.identify(docs, F.lit(True)).collect()}
+    assert named[0] == "fr" and named[100] == "en" and named[200] == "de"
