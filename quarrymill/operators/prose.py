@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -62,10 +63,14 @@ def boundaries(text: str) -> list[tuple[int, float]]:
     levels = ((1.0, r"^#{1,6}\s|^={3,}$|^-{3,}$"), (0.6, r"\n\s*\n"), (0.3, r"(?<=[.!?])\s+(?=[A-Z])"))
     kept: list[tuple[int, float]] = []
     for strength, pattern in levels:
+        before, new = [at for at, _ in kept], []
         for m in re.finditer(pattern, text, re.M):
-            if all(abs(m.start() - at) > 10 for at, _ in kept[-200:]):
-                kept.append((m.start(), strength))
-    return sorted(kept)
+            at = m.start()
+            i = bisect_left(before, at)
+            if all(abs(at - x) > 10 for x in [*before[max(i - 1, 0) : i + 1], *new[-1:]]):
+                new.append(at)
+        kept = sorted([*kept, *((at, strength) for at in new)])
+    return kept
 
 
 def topics(text: str, words: int = 50, most: int = 5) -> list[list[str]]:

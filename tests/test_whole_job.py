@@ -1,8 +1,12 @@
 """Queries on the inputs that were once left out."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from quarrymill.llm import html_text, langid, quality
+from quarrymill.operators import prose
 from quarrymill.plans import text_queries
 
 
@@ -60,3 +64,16 @@ def test_language_sample_survives_long_texts(spark, monkeypatch):
     assert sum(len(t) for lang, t in got if lang == "fr") <= 4000
     named = {r.doc_id: r.lang_pred for r in langid.identify(docs, F.lit(True)).collect()}
     assert named[0] == "fr" and named[100] == "en" and named[200] == "de"
+
+
+def test_boundaries_of_long_texts():
+    levels = ((1.0, r"^#{1,6}\s|^={3,}$|^-{3,}$"), (0.6, r"\n\s*\n"), (0.3, r"(?<=[.!?])\s+(?=[A-Z])"))
+    draw = random.Random(3)
+    texts = ["One ends.\n\nAnd two follows here. Then more\n\n# Head\n" * 400, "".join(draw.choice(["\n\n", ". A", "words go on ", "# x\n", "---\n", "\n"]) for _ in range(3000))]
+    for text in texts:
+        kept: list = []
+        for strength, pattern in levels:
+            for m in re.finditer(pattern, text, re.M):
+                if all(abs(m.start() - at) > 10 for at, _ in kept):
+                    kept.append((m.start(), strength))
+        assert len(kept) > 300 and prose.boundaries(text) == sorted(kept)
