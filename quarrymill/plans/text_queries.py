@@ -154,10 +154,13 @@ g AS (SELECT doc_id, w[i] || ' ' || w[i+1] AS phrase, list_contains({STOP_SQL},
 c AS (SELECT doc_id, phrase, count(*) AS n FROM g WHERE stops <= 1 GROUP BY 1, 2 HAVING count(*) > 1)
 SELECT doc_id, phrase, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, phrase) AS k FROM c) WHERE k <= 10""")
 def phrases(get):
-    d = get("documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1).alias("w"))
-    pair = F.explode(F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
-    g = d.where(F.size("w") > 1).select("doc_id", pair.alias("p")).where(F.col("p.a").isin(STOP).cast("int") + F.col("p.b").isin(STOP).cast("int") <= 1)
-    c = g.groupBy("doc_id", F.concat_ws(" ", "p.a", "p.b").alias("phrase")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sentences = get("documents").select("doc_id", F.explode(F.split(F.lower("text"), r"\.")).alias("s"))
+    d = sentences.select("doc_id", F.regexp_extract_all("s", F.lit("([a-z]+)"), 1).alias("w")).where(F.size("w") > 1)
+    at = lambda n: F.sequence(F.lit(1), F.size("w") - n + 1)
+    pairs = F.transform(at(2), lambda i: F.slice("w", i, 2))
+    triples = F.when(F.size("w") > 2, F.transform(at(3), lambda i: F.slice("w", i, 3))).otherwise(F.array().cast("array<array<string>>"))
+    g = d.select("doc_id", F.explode(F.concat(pairs, triples)).alias("p")).where(F.size(F.filter("p", lambda x: x.isin(STOP))) <= 1)  # n // 2 of both lengths
+    c = g.groupBy("doc_id", F.array_join("p", " ").alias("phrase")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return c.withColumn("k", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "phrase"))).where("k <= 10").drop("k")
 
 

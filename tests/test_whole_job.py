@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -77,3 +78,22 @@ def test_boundaries_of_long_texts():
                 if all(abs(m.start() - at) > 10 for at, _ in kept):
                     kept.append((m.start(), strength))
         assert len(kept) > 300 and prose.boundaries(text) == sorted(kept)
+
+
+def test_key_phrases_of_two_and_three_words_in_sentences(spark):
+    texts = {
+        1: "Red green blue ends. Red green blue starts. Blue ends", 2: "the of red. the of red. of the red. of the red", 3: "Alpha. Beta alpha. Beta", 4: None, 5: "",
+        6: "cat of dog. Cat of dog! A cat of the dog, a cat of the dog", 7: "one two three four five six seven " * 3,
+    }
+    expected = []
+    for i, t in texts.items():
+        count: Counter = Counter()
+        for sentence in (t or "").split("."):
+            w = re.findall("[a-z]+", sentence.lower())
+            grams = [w[j : j + n] for n in (2, 3) for j in range(len(w) - n + 1)]
+            count.update(" ".join(x) for x in grams if sum(y in text_queries.STOP for y in x) <= len(x) // 2)
+        often = [(i, p, n) for p, n in count.items() if n > 1]
+        expected += sorted(often, key=lambda x: (-x[2], x[1]))[:10]
+    got = text_queries.phrases(over(spark, list(texts.items()))).collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
+    assert (1, "red green blue", 2) in expected and not any(i == 3 for i, _, _ in expected)
