@@ -7,7 +7,6 @@ again for the next; all but the last return the columns of their input.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarrymill.llm import bpe, dedup, langid, mixing, quality
 from quarrymill.llm.registry import tokenizer
@@ -37,8 +36,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, checked by decoding them."""
     ranks, pattern = tokenizer()
-    decoded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
-    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, ranks, pattern).select("doc_id", "ids", "n_tokens", "decoded_sha256")
 
 
 STAGES = [

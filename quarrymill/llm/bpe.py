@@ -8,7 +8,9 @@ cannot clash. Texts of any length are encoded whole.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +34,16 @@ def load_ranks(path: str) -> bytes:
         return file.read()
 
 
-def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
+def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     """The text in parts of about `size` characters; a stretch without a safe cut stays whole."""
-    out, start = [], 0
+    start = 0
     while len(text) - start > size:
         cut = SAFE_CUT.search(text, start + size)
         if not cut:
             break
-        out.append(text[start : cut.start()])
+        yield text[start : cut.start()]
         start = cut.start()
-    out.append(text[start:])
-    return out
+    yield text[start:]
 
 
 _ENCODINGS: dict[tuple[int, str], object] = {}
@@ -98,11 +99,36 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id
     return picked.mapInArrow(run, f"id {id_type}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Token count and checksums of ids and decoded bytes."""
-    return decoded.select(
-        id_col,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """(id, ids if asked for, n_tokens, ids_sha256, decoded_sha256): each text encoded and its ids decoded in one worker.
+
+    Ids and bytes are hashed part by part, so a long text never stands whole in ids, digits and bytes at once.
+    """
+    small_batches(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast(ranks)  # a fixed vocabulary, under 1 MB
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def one(enc, text: str):
+        ids_hash, bytes_hash, n, kept = hashlib.sha256(), hashlib.sha256(), 0, []
+        for part in pieces(text):
+            ids = enc.encode_ordinary(part)
+            if ids:
+                ids_hash.update((" " * bool(n) + " ".join(map(str, ids))).encode())
+                bytes_hash.update(enc.decode_bytes(ids))
+                n += len(ids)
+                if with_ids:
+                    kept.append(np.array(ids, np.int32))
+        return np.concatenate(kept) if kept else np.zeros(0, np.int32), n, ids_hash.hexdigest(), bytes_hash.hexdigest()
+
+    def run(batches):
+        enc = encoding(shipped.value, pattern)
+        for batch in batches:
+            for part in textops.slices(batch, 1, BATCH_BYTES):
+                ids, n, ids_sha, bytes_sha = zip(*(one(enc, text or "") for text in part.column(1).to_pylist()))
+                out = [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())]
+                out += [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
+                yield pa.RecordBatch.from_arrays(out, ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
+
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return picked.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -60,7 +60,7 @@ def op10(spark, sf_dir):
 
 def op9(spark, sf_dir):
     ranks, pattern = tokenizer()
-    return bpe.digests(bpe.decode(bpe.encode(_read(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
+    return bpe.round_trip(_read(spark, sf_dir, "documents"), ranks, pattern, with_ids=False)
 
 
 OP2_SQL = """

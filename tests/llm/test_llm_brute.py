@@ -1,6 +1,7 @@
 """Operators that SQL cannot express, against plain Python on small inputs."""
 
 import base64
+import hashlib
 import math
 import random
 import re
@@ -142,7 +143,7 @@ def test_media_damage_is_counted():
 def test_bpe_cuts_change_nothing(text):
     ranks, pattern = registry.tokenizer()
     enc = bpe.encoding(ranks, pattern)
-    parts = bpe.pieces(text, 7)
+    parts = list(bpe.pieces(text, 7))
     assert "".join(parts) == text
     assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
@@ -154,6 +155,26 @@ def test_bpe_matches_library(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = {r.doc_id: r.ids for r in bpe.encode(docs, ranks, pattern).collect()}
     assert all(got[r.doc_id] == enc.encode_ordinary(r.text) for r in docs.collect())
+    for r in bpe.round_trip(docs, ranks, pattern).join(docs.select("doc_id", "text"), "doc_id").collect():
+        ids = enc.encode_ordinary(r.text)
+        assert (r.ids, r.n_tokens) == (ids, len(ids))
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(enc.decode_bytes(ids)).hexdigest() == hashlib.sha256(r.text.encode()).hexdigest()
+    undone = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern).join(docs, "doc_id")
+    assert undone.where("decoded <> encode(text, 'UTF-8')").count() == 0
+
+
+def test_bpe_long_texts_in_parts(spark):
+    """A text of several pieces, and one without any safe cut, have the library's ids and digests."""
+    ranks, pattern = registry.tokenizer()
+    enc = bpe.encoding(ranks, pattern)
+    texts = ["word, and 12 more. " * 20_000, "x" * 150_000, "\n" * 70_000 + "é " * 70_000]
+    frame = spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.round_trip(frame, ranks, pattern, with_ids=False).collect()}
+    for i, text in [*enumerate(texts), (9, "")]:
+        ids = enc.encode_ordinary(text)
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_language_model_counts_and_gain(spark):
