@@ -1,22 +1,28 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element. A line's weight is the length of its
-text, or 0 where its place in the page (menu, header, footer, sidebar, form, advert, notice, reader
-comments) or its share of link text marks it as no prose. Weights are summed over sliding windows of
-WINDOW lines: where the sum rises from nothing the text surges, where it falls back to nothing it
-dives, and the lines with weight between those points are a region. The start and end of an article or main
-element are surge and dive points too. Regions inside such an element are kept; on pages without
-one, all regions are kept, however light beside the heaviest.
+Markup is stripped into lines, one for each block element. Lines in menus, headers, footers, sidebars, forms, adverts,
+notices and reader comments are taken out. The others weigh their text: nothing where links make most of it, a
+tenth where the page has an article or main element and they stand outside. Weights are summed over sliding windows of
+WINDOW lines. Where the sum rises from nothing the text surges, where it falls back to nothing it dives; the start and
+end of an article are such points too. What stands between is a region, and it is kept if its highest sum reaches
+SURGE, or if no region does and none is heavier.
+
+Elements mark lines by name, role, or whole words of class and id, never by a part of a longer word or a `no-`,
+`has-` or `with-` form. An element that is marked by such words alone but holds most of the page's text is not
+taken out: it is a layout's name.
 
 Defined cases: a null or empty page has the empty text; unclosed and misnested tags are read as
-browsers do for blocks (a block starts a new line); unknown character references stay as written;
-pages of any length are read whole; equal rows give equal rows; other columns are not read.
+browsers do for blocks (a block starts a new line); a tag, comment or raw text that never ends takes the rest of
+the page with it, as in browsers; unknown character references stay as written; pages of any length are read whole,
+in time that grows with their length; equal rows give equal rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import html as references
 import re
-from html.parser import HTMLParser
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +31,8 @@ from pyspark.sql import functions as F
 from . import textops
 from .staging import small_batches
 
-WINDOW, LINK_PERCENT = 3, 60
+#: Production parameters: lines a window, share of link text from which a line weighs nothing, least sum of a region.
+WINDOW, LINK_PERCENT, SURGE = 3, 60, 40
 BATCH_BYTES = 4 << 20
 #: Elements by their part in a page, and words in class, id or role that mark one.
 BLOCKS = frozenset(
@@ -33,118 +40,257 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 HIDDEN = frozenset("head script style noscript template iframe object svg canvas textarea select button option datalist audio video map math title".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 ASIDE = frozenset("nav footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|footer|header|masthead|"
-    r"cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|disqus|replies|respond|"
-    r"copyright|legal|widget|toolbar|pagination|pager|skip|hidden)(?:$|[\s_-])",
-    re.I,
-)
+SELF_CLOSING = frozenset("li tr td th dt dd option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-CLOSED_BY_BLOCK = frozenset(["p"])
+#: Words that mark an element as a whole class or id, or as its last part; of these, those that do as its first part too.
+MARKED = frozenset(
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsors sponsored promo promos promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar side "
+    "footer header masthead cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup login share sharing social related recommended recommendations "
+    "comment comments disqus replies respond copyright legal widget toolbar pagination pager skip hidden".split()
+)
+LEADING = frozenset("ad ads advert sidebar cookie cookies consent nav navbar menu footer comment comments newsletter promo sponsor share related breadcrumb breadcrumbs".split())
+STATES = frozenset("no has with without is not layout".split())
+
+TAG_OPEN = re.compile(r"<(?=[A-Za-z/!?])")
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+SPACE = re.compile(r"[\s/]*")
+ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)\s*(=\s*)?")
+BARE = re.compile(r"[^\s>]*")
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+
+
+def marks(value: str, in_article: bool) -> bool:
+    """True if a class or id names a part that is not main text; a header inside an article is main text."""
+    for token in value.lower().split():
+        parts = [x for x in re.split("[-_]+", token) if x]
+        if not parts or parts[0] in STATES:
+            continue
+        word = token if token in MARKED else parts[-1] if parts[-1] in MARKED else parts[0] if parts[0] in LEADING else None
+        if word and not (in_article and word in ("header", "masthead")):
+            return True
+    return False
+
 
+class Lines:
+    """Text lines of a page: (text, link characters, aside, marker, article).
 
-class Lines(HTMLParser):
-    """Text lines of a page: (text, link characters, excluded, in article)."""
+    aside: taken out by its element; marker: the innermost element above that class or id mark, 0 for none; article: a number, 0 outside.
+    """
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int]] = []
-        self.stack: list[tuple[str, bool, bool, int]] = []
+    def __init__(self, page: str):
+        self.lines: list[tuple[str, int, bool, int, int]] = []
         self.parts: list[str] = []
-        self.links = 0
-        self.articles = 0
+        self.links = self.open_links = self.articles = 0
+        #: (name, is a block, hidden, aside, marker, article, is a link); blocks by name; inline elements of each open block by name.
+        self.stack: list[tuple] = []
+        self.blocks: Counter = Counter()
+        self.inline: list[Counter] = [Counter()]
+        self.block_places: list[int] = []
+        #: Parent of each marker; markers are numbered from 1 in page order.
+        self.parents = [0]
+        self.read(page)
+        self.end_line()
 
-    def state(self) -> tuple[bool, bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, False, 0)
+    # -- tokens --------------------------------------------------------------------------------
+
+    def read(self, page: str) -> None:
+        at, n = 0, len(page)
+        closed = {'"': True, "'": True}  # whether such a quote can still follow
+        while at < n:
+            found = TAG_OPEN.search(page, at)
+            if not found:
+                self.data(page[at:])
+                return
+            if found.start() > at:
+                self.data(page[at : found.start()])
+            at = found.end()
+            if page.startswith("!--", at):
+                end = at + 3 if page.startswith((">", "->"), at + 3) else page.find("-->", at + 3)
+                at = page.find(">", end) + 1 if end >= 0 else n
+                continue
+            closing = page[at] == "/"
+            name = NAME.match(page, at + closing)
+            if not name:  # a declaration or bogus comment, to the next >
+                end = page.find(">", at)
+                at = end + 1 if end >= 0 else n
+                continue
+            at, attributes = self.attributes(page, name.end(), closed)
+            if at < 0:
+                return
+            tag = name[0].lower()
+            if closing:
+                self.end(tag)
+                continue
+            self.start(tag, attributes)
+            if tag in RAW:
+                end = RAW_END[tag].search(page, at)
+                at = end.start() if end else n
+
+    @staticmethod
+    def attributes(page: str, at: int, closed: dict) -> tuple[int, dict]:
+        """(place after the tag, or -1 if it never ends; first value of each attribute)."""
+        out: dict[str, str] = {}
+        n = len(page)
+        while True:
+            at = SPACE.match(page, at).end()
+            if at >= n:
+                return -1, out
+            if page[at] == ">":
+                return at + 1, out
+            found = ATTRIBUTE.match(page, at)
+            if not found:  # a stray =
+                at += 1
+                continue
+            at, value = found.end(), ""
+            if found[2]:
+                quote = page[at : at + 1]
+                end = page.find(quote, at + 1) if quote in closed and closed.get(quote) else -1
+                if quote in closed and end < 0:
+                    closed[quote] = False
+                if end >= 0:
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    bare = BARE.match(page, at)
+                    value, at = bare[0], bare.end()
+            out.setdefault(found[1].lower(), value)
+
+    # -- tree ----------------------------------------------------------------------------------
 
     def end_line(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, aside, article = self.state()
-                self.lines.append((text, self.links, aside, article))
+                _, _, _, aside, marker, article, _ = self.stack[-1] if self.stack else (None, None, False, False, 0, 0, False)
+                self.lines.append((text, self.links, aside, marker, article))
             self.parts, self.links = [], 0
 
-    def handle_starttag(self, tag, attrs):
+    def data(self, text: str) -> None:
+        if self.stack and self.stack[-1][2]:
+            return
+        if "&" in text:
+            text = references.unescape(text)
+        self.parts.append(text)
+        if self.open_links:
+            self.links += len(text.strip())
+
+    def pop(self) -> tuple:
+        entry = self.stack.pop()
+        if entry[1]:
+            self.blocks[entry[0]] -= 1
+            self.inline.pop()
+            self.block_places.pop()
+        else:
+            self.inline[-1][entry[0]] -= 1
+        self.open_links -= entry[6]
+        return entry
+
+    def pop_block(self) -> str:
+        """Close the innermost block and what is open in it."""
+        while not (entry := self.pop())[1]:
+            pass
+        return entry[0]
+
+    def innermost(self) -> str | None:
+        return self.stack[self.block_places[-1]][0] if self.block_places else None
+
+    def start(self, tag: str, attributes: dict) -> None:
         if tag == "br":
             self.parts.append(" ")
             return
-        if tag in BLOCKS:
+        block = tag in BLOCKS
+        if block:
             self.end_line()
-            while self.stack and self.stack[-1][0] in CLOSED_BY_BLOCK:
-                self.stack.pop()
-            if self.stack and tag in ("li", "tr", "td", "th", "dt", "dd", "option") and self.stack[-1][0] == tag:
-                self.stack.pop()
+            inner = self.innermost()
+            if inner == "p" or tag in SELF_CLOSING and inner == tag:
+                self.pop_block()
         if tag in VOID:
             return
-        hidden, aside, article = self.state()
-        named = [v for k, v in attrs if v and k in ("class", "id")]
-        roles = {v.lower() for k, v in attrs if v and k == "role"}
-        concealed = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower() for k, v in attrs)
-        if tag in ("article", "main") and not aside:
+        if tag == "a":
+            self.end("a")  # links do not nest
+        _, _, hidden, aside, marker, article, _ = self.stack[-1] if self.stack else (None, None, False, False, 0, 0, False)
+        if tag in ("article", "main") and not aside and not article:
             self.articles += 1
-            article = self.articles if not article else article
-        body = tag in ("html", "body", "article", "main")
-        aside = aside or tag in ASIDE or bool(roles & ROLES) or concealed or (not body and any(MARKED.search(v) for v in named))
-        aside = aside or tag == "header" and not article
-        self.stack.append((tag, hidden or tag in HIDDEN, aside, article))
-
-    def handle_endtag(self, tag):
-        if tag in BLOCKS or tag == "br":
-            self.end_line() if tag != "br" else self.parts.append(" ")
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
-            if tag not in BLOCKS and self.stack[i][0] in BLOCKS:
-                return  # an inline end tag does not close blocks
-
-    def parse_marked_section(self, i, report=1):
-        try:
-            return super().parse_marked_section(i, report)
-        except AssertionError:  # no known section: a comment to the next >, as browsers read it
-            return self.parse_bogus_comment(i)
+            article = self.articles
+        style = attributes.get("style", "").replace(" ", "").lower()
+        concealed = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in style
+        aside = aside or tag in ASIDE or attributes.get("role", "").strip().lower() in ROLES or concealed or tag == "header" and not article
+        if tag not in ("html", "body", "article", "main") or article and tag == "article" and self.articles != article:
+            if any(marks(references.unescape(attributes[k]), article > 0) for k in ("class", "id") if attributes.get(k)):
+                self.parents.append(marker)
+                marker = len(self.parents) - 1
+        link = tag == "a" and ("href" in attributes or not ("name" in attributes or "id" in attributes))
+        self.open_links += link
+        if block:
+            self.blocks[tag] += 1
+            self.inline.append(Counter())
+            self.block_places.append(len(self.stack))
+        else:
+            self.inline[-1][tag] += 1
+        self.stack.append((tag, block, hidden or tag in HIDDEN, aside, marker, article, link))
 
-    def handle_data(self, data):
-        hidden, _, _ = self.state()
-        if not hidden:
-            self.parts.append(data)
-            if any(x[0] == "a" for x in self.stack[-4:]):
-                self.links += len(data.strip())
+    def end(self, tag: str) -> None:
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag in BLOCKS:
+            self.end_line()
+            if self.blocks[tag] > 0:
+                while self.pop_block() != tag:
+                    pass
+        elif self.inline[-1][tag] > 0:  # an inline end tag does not close blocks
+            while self.pop()[0] != tag:
+                pass
 
+    # -- what is taken out ---------------------------------------------------------------------
 
-def page_lines(html: str) -> list[tuple[str, int, bool, int]]:
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.end_line()
-    return parser.lines
+    def kept(self) -> list[tuple[str, int, int]]:
+        """(text, link characters, article) of the lines that are not taken out."""
+        own = [0] * len(self.parents)
+        for text, links, aside, marker, _ in self.lines:
+            own[marker] += 0 if aside else max(len(text) - links, 0)
+        total = sum(own)
+        for i in range(len(own) - 1, 0, -1):  # inner markers come after outer ones
+            own[self.parents[i]] += own[i]
+        out = [False] * len(own)
+        for i in range(1, len(own)):
+            out[i] = out[self.parents[i]] or 2 * own[i] <= total
+        return [(text, links, article) for text, links, aside, marker, article in self.lines if not aside and not out[marker]]
 
 
-def regions(weights: list[int], cuts: set[int]) -> list[tuple[int, int]]:
-    """[surge, dive) line ranges: window sums above 0, without the empty ends, cut at `cuts`."""
-    out, start = [], None
+def regions(weights: list[int], cuts: set[int], least: int = 0) -> list[tuple[int, int]]:
+    """[surge, dive) line ranges: runs of window sums above 0, without the empty ends, cut at `cuts`, whose highest sum reaches `least`."""
     n = len(weights)
+    total = [0, *accumulate(weights)]
+    out, start = [], None
     for i in range(n + 1):
-        inside = i < n and sum(weights[i : i + WINDOW]) > 0
+        inside = i < n and total[min(i + WINDOW, n)] > total[i]
         if start is not None and (not inside or i in cuts):
             out.append((start, i))
             start = None
         if inside and start is None and (weights[i] > 0 or i in cuts):
             start = i
-    return [r for r in out if sum(weights[r[0] : r[1]]) > 0]
+    peak = lambda a, b: max(total[min(i + WINDOW, b)] - total[i] for i in range(a, b))
+    return [(a, b) for a, b in out if total[b] > total[a] and peak(a, b) >= least]
+
+
+def weigh(lines: list[tuple[str, int, int]]) -> list[int]:
+    articles = any(article for _, _, article in lines)
+    out = []
+    for text, links, article in lines:
+        prose = article or 100 * links <= LINK_PERCENT * len(text)
+        out.append((len(text) if article or not articles else len(text) // 10) if prose else 0)
+    return out
 
 
-def main_text(html: str | None) -> str:
-    lines = page_lines(html or "")
-    has_article = any(article and not aside for _, _, aside, article in lines)
-    weights = [0 if aside or (not article and 100 * links > LINK_PERCENT * len(text)) else len(text) for text, links, aside, article in lines]
-    cuts = {i for i in range(1, len(lines)) if lines[i][3] != lines[i - 1][3]}
-    found = regions(weights, cuts)
-    if has_article:
-        found = [r for r in found if lines[r[0]][3]]
+def main_text(page: str | None) -> str:
+    lines = Lines(page or "").kept()
+    weights = weigh(lines)
+    cuts = {i for i in range(1, len(lines)) if lines[i][2] != lines[i - 1][2]}
+    found = regions(weights, cuts, SURGE)
+    if not found:
+        found = sorted(regions(weights, cuts), key=lambda r: (-sum(weights[r[0] : r[1]]), r[0]))[:1]
     return "\n".join(lines[i][0] for a, b in found for i in range(a, b) if weights[i])
 
 
