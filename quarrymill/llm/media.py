@@ -2,14 +2,16 @@
 
 `mux` stores bytes as one elementary stream of private data: a program association and a program
 map table, then PES packets with 90 kHz time stamps, cut into 188-byte packets. Every
-RAP_EVERY-th access unit is a random access point and carries a clock reference. `demux` reads
-stored streams back: it follows the tables to the elementary stream, checks sections by their
-CRC, checks continuity counters, reassembles the PES packets, and returns payload, time stamps
-and random access points.
+RAP_EVERY-th access unit is a random access point and carries a clock reference. `Demux` reads
+any transport stream: it follows the tables, whose sections may run over several packets, to the elementary
+streams of all programs, checks sections by their CRC, checks continuity counters, reassembles each stream's PES
+packets apart, and gives payloads, time stamps and random access points.
 
 Defined cases: a null or empty payload gives a stream with no access units, and reads back empty;
-equal payloads give equal streams; a damaged stream reads back as far as it parses, with its
-errors counted; an empty table gives an empty table; other columns are not read.
+equal payloads give equal streams; a packet sent twice counts once; after a lost packet the rest of its unit is left
+out and the unit counted as damaged; scrambled and damaged packets are left out and counted; where packets do not
+begin with their mark, reading goes on at the next two that do; a packet cut short counts as damaged; an empty table
+gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -94,87 +96,199 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _sections(body: bytes) -> tuple[bytes | None, int]:
-    """The section that starts in this payload, and 1 if it is damaged."""
-    start = 1 + body[0] if body else 0
-    if start + 3 > len(body):
-        return None, 1
-    end = start + 3 + ((body[start + 1] & 15) << 8 | body[start + 2])
-    if end > len(body) or end - start < 12 or crc_mpeg2(body[start:end]):
-        return None, 1
-    return body[start:end], 0
-
-
-def demux(stream: bytes) -> tuple:
-    """(payload, pts, rap offsets, rap pts, packets, programs, stream type, continuity errors, section errors)."""
-    programs: dict[int, int] = {}
-    streams: dict[int, int] = {}
-    last: dict[int, int] = {}
-    payload, pts, raps, rap_pts = [], [], [], []
-    unit: list[bytes] = []
-    lost = bad = packets = size = 0
-    rap = False
-
-    def close() -> None:
-        nonlocal size, bad
-        if not unit:
+class Elementary:
+    """One elementary stream: its PES packets reassembled as they arrive."""
+
+    def __init__(self, program: int, pid: int, kind: int):
+        self.program, self.pid, self.kind = program, pid, kind
+        self.payload, self.size = [], 0
+        self.pts: list[int | None] = []
+        self.dts: list[int | None] = []
+        self.raps: list[int] = []
+        self.rap_pts: list[int | None] = []
+        self.lost = self.damaged = 0
+        self.unit: list[bytes] | None = None
+        self.rap = self.broken = False
+
+    def feed(self, starts: bool, random_access: bool, body: bytes, gap: bool) -> None:
+        if gap:
+            self.lost += 1
+            self.broken = self.unit is not None  # what follows until the next unit has lost its place
+        if starts:
+            self.close()
+            self.unit, self.rap, self.broken = [], random_access, False
+        if self.unit is not None and not self.broken:
+            self.unit.append(body)
+
+    def close(self) -> None:
+        if self.unit is None:
             return
-        data = b"".join(unit)
-        unit.clear()
+        data, broken = b"".join(self.unit), self.broken
+        self.unit, self.broken = None, False
         if data[:3] != b"\x00\x00\x01" or len(data) < 9:
-            bad += 1
+            self.damaged += 1
             return
         start, length = 9 + data[8], int.from_bytes(data[4:6], "big")
-        stamp = None
-        if data[7] & 0x80 and len(data) >= 14:
-            a, b, c, d, e = data[9:14]
-            stamp = (a >> 1 & 7) << 30 | b << 22 | c >> 1 << 15 | d << 7 | e >> 1
+        pts = _stamp(data, 9) if data[7] & 0x80 and len(data) >= 14 else None
+        dts = _stamp(data, 14) if data[7] & 0xC0 == 0xC0 and len(data) >= 19 else pts
         body = data[start : 6 + length if length else None]
-        pts.append(stamp)
-        if rap:
-            raps.append(size)
-            rap_pts.append(stamp)
-        payload.append(body)
-        size += len(body)
-
-    for at in range(0, len(stream) - PACKET + 1, PACKET):
-        packets += 1
-        if stream[at] != SYNC:
-            bad += 1
-            continue
-        b1, b3 = stream[at + 1], stream[at + 3]
-        pid, has = (b1 & 31) << 8 | stream[at + 2], b3 >> 4 & 3
-        start, flags = at + 4, 0
+        self.damaged += broken or bool(length) and len(data) < 6 + length
+        self.pts.append(pts)
+        self.dts.append(dts)
+        if self.rap:
+            self.raps.append(self.size)
+            self.rap_pts.append(pts)
+        self.payload.append(body)
+        self.size += len(body)
+
+    def row(self) -> tuple:
+        return (b"".join(self.payload), self.pts, self.raps, self.rap_pts)
+
+
+def _stamp(data: bytes, at: int) -> int:
+    a, b, c, d, e = data[at : at + 5]
+    return (a >> 1 & 7) << 30 | b << 22 | c >> 1 << 15 | d << 7 | e >> 1
+
+
+class Tables:
+    """The table sections of one PID, which may begin anywhere in a packet and run over several."""
+
+    def __init__(self):
+        self.held: bytes | None = None
+        self.damaged = 0
+
+    def feed(self, starts: bool, body: bytes, gap: bool) -> list[bytes]:
+        """Whole, checked sections that end in this packet."""
+        out: list[bytes] = []
+        if gap and self.held is not None:
+            self.damaged += 1
+            self.held = None
+        if starts:
+            point = body[0] if body else 0
+            if 1 + point > len(body):
+                self.damaged += 1
+                self.held = None
+                return out
+            if self.held is not None:
+                self._take(self.held + body[1 : 1 + point], out)
+                if self.held is not None:  # a new section begins before the last one's end
+                    self.damaged += 1
+            self._take(body[1 + point :], out)
+        elif self.held is not None:
+            self._take(self.held + body, out)
+        return out
+
+    def _take(self, data: bytes, out: list[bytes]) -> None:
+        self.held = None
+        while data and data[0] != 0xFF:  # stuffing to the packet's end
+            if len(data) < 3 or len(data) < (end := 3 + ((data[1] & 15) << 8 | data[2])):
+                self.held = data
+                return
+            if end < 12 or crc_mpeg2(data[:end]):
+                self.damaged += 1
+            else:
+                out.append(data[:end])
+            data = data[end:]
+
+    def end(self) -> None:
+        self.damaged += self.held is not None
+        self.held = None
+
+
+class Demux:
+    """A whole transport stream: programs, elementary streams in the order of program and PID, and errors."""
+
+    def __init__(self, stream: bytes):
+        self.programs: dict[int, int] = {}
+        self.streams: dict[int, Elementary] = {}
+        self.tables: dict[int, Tables] = {0: Tables()}
+        self.last: dict[int, tuple[int, bytes, bool]] = {}
+        self.packets = self.damaged = self.lost = 0
+        self.read(stream)
+        for s in self.streams.values():
+            s.close()
+        for t in self.tables.values():
+            t.end()
+
+    def read(self, stream: bytes) -> None:
+        at, n = 0, len(stream)
+        while at + PACKET <= n:
+            if stream[at] != SYNC:
+                self.damaged += 1
+                at = self.resync(stream, at)
+                continue
+            self.packet(stream[at : at + PACKET])
+            at += PACKET
+        self.damaged += at < n  # a packet cut short
+
+    @staticmethod
+    def resync(stream: bytes, at: int) -> int:
+        """The next place that begins two packets, or the last one."""
+        at = stream.find(SYNC, at)
+        while at >= 0 and at + PACKET < len(stream) and stream[at + PACKET] != SYNC:
+            at = stream.find(SYNC, at + 1)
+        return at if at >= 0 else len(stream)
+
+    def packet(self, packet: bytes) -> None:
+        self.packets += 1
+        b1, b3 = packet[1], packet[3]
+        if b1 & 0x80 or b3 & 0xC0:  # damaged on its way, or scrambled
+            self.damaged += 1
+            return
+        pid, has, counter = (b1 & 31) << 8 | packet[2], b3 >> 4 & 3, b3 & 15
+        start, flags = 4, 0
         if has & 2:
-            field = stream[start]
-            flags = stream[start + 1] if field else 0
-            start += 1 + field
-        if not has & 1:
-            continue
-        if pid in last and last[pid] + 1 & 15 != b3 & 15 and not flags & 0x80:
-            lost += 1
-        last[pid] = b3 & 15
-        if pid in streams:
-            if b1 & 0x40:
-                close()
-                rap = bool(flags & 0x40)
-            if b1 & 0x40 or unit:
-                unit.append(stream[start : at + PACKET])
-        elif pid == 0 and b1 & 0x40:
-            found, wrong = _sections(stream[start : at + PACKET])
-            bad += wrong
-            for i in range(8, len(found or b"") - 4, 4):
-                if found[i] << 8 | found[i + 1]:
-                    programs[(found[i + 2] & 31) << 8 | found[i + 3]] = found[i] << 8 | found[i + 1]
-        elif pid in programs and b1 & 0x40:
-            found, wrong = _sections(stream[start : at + PACKET])
-            bad += wrong
-            i = 12 + ((found[10] & 15) << 8 | found[11]) if found else 0
-            while found and i + 5 <= len(found) - 4:
-                streams.setdefault((found[i + 1] & 31) << 8 | found[i + 2], found[i])
-                i += 5 + ((found[i + 3] & 15) << 8 | found[i + 4])
-    close()
-    return b"".join(payload), pts, raps, rap_pts, packets, len(programs), min(streams.values(), default=None), lost, bad
+            flags = packet[5] if packet[4] else 0
+            start = 5 + packet[4]
+        if not has & 1 or pid == 0x1FFF or start > PACKET:
+            return
+        gap = False
+        if pid in self.last:
+            before, same, doubled = self.last[pid]
+            if counter == before and packet[start:] == same and not doubled:
+                self.last[pid] = (counter, same, True)  # a packet may be sent twice
+                return
+            gap = before + 1 & 15 != counter and not flags & 0x80
+        self.last[pid] = (counter, packet[start:], False)
+        self.lost += gap
+        starts = bool(b1 & 0x40)
+        if pid in self.streams:
+            self.streams[pid].feed(starts, bool(flags & 0x40), packet[start:], gap)
+        elif pid in self.tables:
+            for found in self.tables[pid].feed(starts, packet[start:], gap):
+                self.section(pid, found)
+
+    def section(self, pid: int, data: bytes) -> None:
+        if not data[5] & 1:  # not yet in force
+            return
+        if pid == 0 and data[0] == 0:
+            for i in range(8, len(data) - 4, 4):
+                number, where = data[i] << 8 | data[i + 1], (data[i + 2] & 31) << 8 | data[i + 3]
+                if number:
+                    self.programs[where] = number
+                    self.tables.setdefault(where, Tables())
+        elif pid in self.programs and data[0] == 2:
+            i = 12 + ((data[10] & 15) << 8 | data[11])
+            while i + 5 <= len(data) - 4:
+                es = (data[i + 1] & 31) << 8 | data[i + 2]
+                if es not in self.streams:
+                    self.streams[es] = Elementary(self.programs[pid], es, data[i])
+                i += 5 + ((data[i + 3] & 15) << 8 | data[i + 4])
+
+    def ordered(self) -> list[Elementary]:
+        return sorted(self.streams.values(), key=lambda s: (s.program, s.pid))
+
+    def section_errors(self) -> int:
+        """Damaged packets, sections and units."""
+        return self.damaged + sum(t.damaged for t in self.tables.values()) + sum(s.damaged for s in self.streams.values())
+
+
+def demux(stream: bytes) -> tuple:
+    """(payload, pts, rap offsets, rap pts, packets, programs, stream type, continuity errors, section errors) of the first elementary stream."""
+    read = Demux(stream)
+    first = next(iter(read.ordered()), None)
+    row = first.row() if first else (b"", [], [], [])
+    return (*row, read.packets, len(read.programs), first.kind if first else None, read.lost, read.section_errors())
 
 
 def payload_of(text: Column) -> Column:
@@ -201,20 +315,29 @@ def mux_column(frame: DataFrame, key: str = "doc_id", payload: str = "payload")
 
 
 def demux_column(frame: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """(key, media, payload, time stamps, random access points, packet and error counts)."""
+    """(key, media, program, pid, payload, time stamps, random access points, packet and error counts): a row for each
+    elementary stream, in the order of program and PID; a stream without any gives one row without program and PID.
+    Packet and error counts are those of the whole transport stream."""
     kind = frame.schema[key].dataType.simpleString()
-    types = [pa.binary(), *[pa.list_(pa.int64())] * 3, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-    names = [x.split()[0] for x in DEMUX_SCHEMA.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    names = ["program", "pid", *(x.split()[0] for x in DEMUX_SCHEMA.split(", "))]
+
+    def rows(media: bytes) -> list[tuple]:
+        read = Demux(media)
+        whole = (read.packets, len(read.programs))
+        errors = (read.lost, read.section_errors())
+        return [(s.program, s.pid, *s.row(), *whole, s.kind, *errors) for s in read.ordered()] or [(None, None, b"", [], [], [], *whole, None, *errors)]
 
     def run(batches):
         for batch in batches:
             for part in textops.slices(batch, 1, BATCH_BYTES):
-                read = [demux(m or b"") for m in part.column(1).to_pylist()]
-                columns = [pa.array(list(c), t) for c, t in zip(zip(*read), types)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["id", "media", *names])
+                read = [rows(m or b"") for m in part.column(1).to_pylist()]
+                at = pa.array([i for i, r in enumerate(read) for _ in r], pa.int64())
+                columns = [pa.array(list(c), t) for c, t in zip(zip(*(x for r in read for x in r)), types)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *columns], ["id", "media", *names])
 
     picked = frame.select(F.col(key).alias("id"), F.col(media).alias("media"))
-    return picked.mapInArrow(run, f"id {kind}, media binary, {DEMUX_SCHEMA}").withColumnRenamed("id", key)
+    return picked.mapInArrow(run, f"id {kind}, media binary, program bigint, pid bigint, {DEMUX_SCHEMA}").withColumnRenamed("id", key)
 
 
 def feature(frame: DataFrame) -> Column:

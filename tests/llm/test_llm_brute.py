@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -138,6 +139,94 @@ def test_media_damage_is_counted():
     assert media.demux(b"\x00" * 188)[8] == 1
 
 
+def test_media_fields_by_the_standard():
+    """Packets of our own streams, taken apart by hand: marks, PIDs, counters, tables, time stamps and clock."""
+    payload = bytes(range(256)) * 300
+    stream = media.mux(payload)
+    counters, found, rap_packets = {}, b"", 0
+    for at in range(0, len(stream), 188):
+        p = stream[at : at + 188]
+        assert p[0] == 0x47
+        pid, control = (p[1] << 8 | p[2]) & 0x1FFF, p[3] >> 4 & 3
+        assert p[3] & 15 == counters.get(pid, 0)
+        counters[pid] = (p[3] & 15) + 1 & 15
+        body = p[5 + p[4] :] if control & 2 else p[4:]
+        rap_packets += bool(control & 2 and p[4] and p[5] & 0x40)
+        if pid == 0:
+            assert body[1:4] == b"\x00\xb0\x0d" and (body[11] << 8 | body[12]) & 0x1FFF == 0x1000
+        elif pid == 0x100:
+            if p[1] & 0x40:
+                assert body[:4] == b"\x00\x00\x01\xbd" and body[7] & 0x80
+                body = body[9 + body[8] :]
+            found += body
+    assert found == payload and set(counters) == {0, 0x1000, 0x100}
+    assert rap_packets == math.ceil(math.ceil(len(payload) / media.UNIT_BYTES) / media.RAP_EVERY)
+
+
+def hand_packet(pid, counter, body, starts=False, flags=None):
+    """A packet made without the module: the body padded by an adaptation field."""
+    room = 184 - len(body)
+    field = b"" if room == 0 and flags is None else bytes([room - 1]) + (bytes([flags or 0]) + b"\xff" * (room - 2) if room > 1 else b"")
+    return bytes([0x47, starts << 6 | pid >> 8, pid & 255, (3 if field else 1) << 4 | counter & 15]) + field + body
+
+
+def hand_section(table, number, body):
+    head = bytes([table, 0xB0 | len(body) + 9 >> 8, len(body) + 9 & 255, number >> 8, number & 255, 0xC1, 0, 0]) + body
+    return head + media.crc_mpeg2(head).to_bytes(4, "big")
+
+
+def hand_stream(payloads, descriptors=0, unit=170):
+    """Streams of several PIDs, interleaved packet by packet; the program map may run over several packets."""
+    pat = hand_section(0, 9, b"\x00\x05\xe0\x40")
+    pmt = hand_section(2, 5, b"\xe1\x00" + bytes([0xF0 | descriptors >> 8, descriptors & 255]) + b"\x0e" * descriptors + b"".join(bytes([6, 0xE1, i, 0xF0, 0]) for i in range(len(payloads))))
+    packets = [hand_packet(0, 0, b"\0" + pat, True)]
+    data = b"\0" + pmt
+    packets += [hand_packet(0x40, i, data[a : a + 180], i == 0) for i, a in enumerate(range(0, len(data), 180))]
+    queues = []
+    for i, payload in enumerate(payloads):
+        units = [payload[a : a + unit] for a in range(0, len(payload), unit)]
+        queues.append([hand_packet(0x100 + i, n, b"\x00\x00\x01\xbd" + (len(u) + 3).to_bytes(2, "big") + b"\x80\x00\x00" + u, True) for n, u in enumerate(units)])
+    while any(queues):
+        packets += [q.pop(0) for q in queues if q]
+    return packets
+
+
+def test_interleaved_streams_are_kept_apart():
+    payloads = [bytes([65 + i]) * (3000 + 500 * i) for i in range(3)]
+    read = media.Demux(b"".join(hand_stream(payloads)))
+    assert [(s.pid, s.kind, s.program) for s in read.ordered()] == [(0x100, 6, 5), (0x101, 6, 5), (0x102, 6, 5)]
+    assert [s.row()[0] for s in read.ordered()] == payloads and (read.lost, read.section_errors()) == (0, 0)
+
+
+def test_sections_over_several_packets():
+    payloads = [b"one" * 200, b"two" * 300]
+    read = media.Demux(b"".join(hand_stream(payloads, descriptors=600)))
+    assert [s.row()[0] for s in read.ordered()] == payloads and read.section_errors() == 0
+
+
+def test_duplicates_losses_and_noise():
+    payload = bytes(range(250)) * 8
+    packets = hand_stream([payload])
+    twice = media.Demux(b"".join(p for q in packets for p in (q, q)))
+    assert twice.ordered()[0].row()[0] == payload and (twice.lost, twice.section_errors()) == (0, 0)
+    lost = media.Demux(b"".join(packets[:5] + packets[6:]))
+    assert lost.lost == 1 and lost.ordered()[0].row()[0] == payload[: 170 * 3] + payload[170 * 4 :]
+    noisy = media.Demux(b"".join(packets[:4]) + b"\x01" * 77 + b"".join(packets[4:]))
+    assert noisy.ordered()[0].row()[0] == payload and noisy.damaged == 1
+    long_unit = media.mux(b"z" * 8000)
+    cut = media.Demux(long_unit[: 188 * 8] + long_unit[188 * 9 :])
+    assert cut.lost == 1 and cut.ordered()[0].damaged == 1 and len(cut.ordered()[0].row()[0]) < 8000
+    scrambled = bytearray(b"".join(packets))
+    scrambled[188 * 4 + 3] |= 0x80
+    assert media.Demux(bytes(scrambled)).damaged == 1
+
+
+def test_demux_column_has_a_row_for_each_stream(spark):
+    rows = [(1, b"".join(hand_stream([b"a" * 900, b"b" * 400]))), (2, b""), (3, None)]
+    got = media.demux_column(spark.createDataFrame(rows, "doc_id long, media binary")).orderBy("doc_id", "pid").collect()
+    assert [(r.doc_id, r.pid, bytes(r.payload)) for r in got] == [(1, 256, b"a" * 900), (1, 257, b"b" * 400), (2, None, b""), (3, None, b"")]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.text(alphabet="ab .,\n\t1'é語😀", max_size=400))
 def test_bpe_cuts_change_nothing(text):
@@ -195,29 +284,96 @@ def test_language_model_counts_and_gain(spark):
     assert sum(rows[i].score for i in out) > sum(rows[i].base_score for i in out)
 
 
+def small_restaurants(rng, contexts=5, kinds=300, tokens=4000):
+    words_of, context = rng.zipf(1.5, tokens) % kinds, rng.integers(0, contexts, tokens)
+    keys, counts = np.unique(context << 32 | words_of, return_counts=True)
+    words, places = np.unique(keys & 0xFFFFFFFF, return_inverse=True)
+    return np.diff(np.concatenate([lm.changes(keys >> 32), [len(keys)]])), words, places, counts
+
+
 def test_language_model_is_a_distribution():
     """Over all words and an unseen one, predictive probabilities of a context sum to one."""
     rng = np.random.default_rng(2)
-    words_of, contexts = rng.zipf(1.5, 4000) % 300, rng.integers(0, 5, 4000)
-    raw = np.sort((words_of.astype(np.uint64) << np.uint64(lm.CONTEXT_BITS)) | contexts.astype(np.uint64))
-    keys, counts = np.unique(raw, return_counts=True)
-    block = lm.Block(keys, counts)
-    customers = np.bincount(block.context, weights=counts, minlength=lm.CONTEXTS).astype(np.int64)
-    tables = np.bincount(block.context, minlength=lm.CONTEXTS)
-    served = np.diff(np.concatenate([block.start, [len(keys)]]))
-    root, kinds = np.ones(len(served), np.int64), len(served)
-    at = lm.Totals(customers, tables, served.sum(), kinds, kinds, counts.sum(), 0.7, 0.6)
+    per, words, places, counts = small_restaurants(rng)
+    served = np.bincount(places, minlength=len(words))
+    sums = lm.Sums(counts.sum(), len(words), 0.7, served.sum(), len(words), 0.6)
+    parent = sums.parent(served, np.ones(len(words)))
+    assert parent.sum() + sums.unseen() == pytest.approx(1)
+    block = lm.Block(per, places, counts, parent, sums.discount)
+    tables = np.ones(len(places))
+    seated = block.seated(tables)
     for _ in range(5):
-        t, served, root = block.sweep(served, root, at, rng)
-        assert ((t >= 1) & (t <= counts)).all() and ((root >= 1) & (root <= served)).all()
-        at = lm.Totals(customers, np.bincount(block.context, weights=t, minlength=lm.CONTEXTS), served.sum(), root.sum(), kinds, counts.sum(), 0.7, 0.6)
-    parent = block.parent(served, root, at)
-    assert parent.sum() + at.unseen() == pytest.approx(1)
-    for c in range(5):
-        share = (lm.CONTEXT_STRENGTH + at.discount * at.tables[c]) / (lm.CONTEXT_STRENGTH + customers[c])
-        mine = block.context == c
-        own = (counts - at.discount * t)[mine].sum() / (lm.CONTEXT_STRENGTH + customers[c])
-        assert own + share == pytest.approx(1)
+        tables = block.sweep(tables, seated, rng)
+        assert ((tables >= 1) & (tables <= counts)).all()
+        seated = block.seated(tables)
+    own, share = block.own(tables), block.share(seated)
+    assert np.bincount(block.context, own) + share == pytest.approx(np.ones(len(per)))
+
+
+@pytest.mark.parametrize(("count", "others", "p", "discount"), [(5, 10, 0.1, 0.6), (60, 400, 0.02, 0.8), (400, 2, 0.001, 0.7), (400, 50, 0.1, 0.7), (1500, 3000, 0.1, 0.9), (300, 90_000, 0.01, 0.6)])
+def test_tables_are_distributed_as_all_seatings_weigh(count, others, p, discount):
+    """Mean and spread of a dish's tables against the sum over all seatings, below and above EXACT customers."""
+    n, strength = 3000, 5.0
+    rng = np.random.default_rng(4)
+    ways = lm.stirling(discount, count)[count, 1:]
+    weights = np.cumsum(np.log((strength + discount * (others + np.arange(count))) * p)) + ways
+    weights = np.exp(weights - weights.max())
+    weights /= weights.sum()
+    k = np.arange(1, count + 1)
+    mean = weights @ k
+    spread = math.sqrt(max(weights @ k**2 - mean**2, 0))
+    got = lm.seat(np.full(n, count), np.full(n, float(others)), np.full(n, p), strength, discount, rng)
+    assert abs(got.mean() - mean) < 4 * spread / math.sqrt(n) + 0.01 * mean
+    assert abs(got.std() - spread) < 0.1 * spread + 0.02
+
+
+def test_sampler_against_brute_force():
+    """Tables of a block's restaurants against a plain Gibbs sampler that moves one customer at a time."""
+    rng = np.random.default_rng(6)
+    per, words, places, counts = small_restaurants(rng, contexts=2, kinds=12, tokens=200)
+    discount, strength = 0.5, lm.CONTEXT_STRENGTH
+    parent = np.full(len(words), 1 / (len(words) + 1))
+    block = lm.Block(per, places, counts, parent, discount)
+    state, mine = np.ones(len(places)), []
+    seated = block.seated(state)
+    for s in range(1500):
+        state = block.sweep(state, seated, rng)
+        seated = block.seated(state)
+        mine += [seated.sum()] if s >= 100 else []
+    # Plain: every table's customers are kept; a customer leaves and sits down again by the restaurant's own rule.
+    tables = [[int(n)] for n in counts]
+    plain = []
+    total = np.bincount(block.context, minlength=len(per)).astype(float)
+    for s in range(700):
+        for pair in range(len(counts)):
+            c = block.context[pair]
+            for _ in range(int(counts[pair])):
+                at = tables[pair]
+                k = rng.choice(len(at), p=np.array(at) / sum(at))
+                at[k] -= 1
+                if not at[k]:
+                    at.pop(k)
+                    total[c] -= 1
+                weights = np.array([x - discount for x in at] + [(strength + discount * total[c]) * parent[places[pair]]])
+                k = rng.choice(len(weights), p=weights / weights.sum())
+                if k == len(at):
+                    at.append(1)
+                    total[c] += 1
+                else:
+                    at[k] += 1
+        plain += [total.sum()] if s >= 100 else []
+    assert abs(np.mean(mine) / np.mean(plain) - 1) < 0.06
+
+
+def test_hot_contexts_are_split_alike(spark):
+    """With many blocks the frequent contexts are dealt into sub-blocks: counts stay exact and scores close to those of few blocks."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["the", "the", f"w{int(rng.paretovariate(0.7)) % 500}"]) for _ in range(40))) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    few = {r.doc_id: r for r in lm.train_and_score(frame, Staging(spark, "t")).collect()}
+    many = {r.doc_id: r for r in lm.train_and_score(frame, Staging(spark, "t"), block_bytes=300).collect()}
+    assert all(few[i].n_known == many[i].n_known and few[i].base_score == pytest.approx(many[i].base_score) for i in few)
+    assert np.mean([abs(few[i].score / many[i].score - 1) for i in few]) < 0.01
 
 
 def test_language_held_out_accuracy(spark):
@@ -283,6 +439,89 @@ def test_regions():
     assert html_text.regions([], set()) == []
 
 
+def plain_main_text(lines, window, link_percent, least):
+    """The method by plain loops: weights, window sums, surges, dives."""
+    articles = any(a for _, _, a in lines)
+    weights = []
+    for text, links, article in lines:
+        if not article and 100 * links > link_percent * len(text):
+            weights.append(0)
+        else:
+            weights.append(len(text) if article or not articles else len(text) // 10)
+    sums = []
+    for i in range(len(lines)):
+        s = 0
+        for j in range(i, min(i + window, len(lines))):
+            s += weights[j]
+        sums.append(s)
+    groups, group = [], []
+    for i in range(len(lines)):
+        if group and (sums[i] == 0 or lines[i][2] != lines[i - 1][2]):
+            groups.append(group)
+            group = []
+        if sums[i] > 0 and (group or weights[i] > 0 or i and lines[i][2] != lines[i - 1][2]):
+            group.append(i)
+    groups += [group] if group else []
+    groups = [g for g in groups if any(weights[i] for i in g)]
+    peak = lambda g: max(sum(weights[j] for j in range(i, min(i + window, g[-1] + 1))) for i in g)
+    kept = [g for g in groups if peak(g) >= least]
+    if not kept and groups:
+        kept = [max(groups, key=lambda g: (sum(weights[i] for i in g), -g[0]))]
+    return "\n".join(lines[i][0] for g in kept for i in g if weights[i])
+
+
+def test_main_text_against_plain_loops():
+    rng = random.Random(12)
+    for _ in range(400):
+        lines, html, number = [], "", 0
+        for _ in range(rng.randint(0, 30)):
+            text = "x" * rng.choice([0, 1, 3, 9, 30, 200]) or "y"
+            kind = rng.choice(["text", "text", "link", "nav", "article"])
+            if kind == "nav":
+                html += f"<nav><p>{text}</p></nav>"
+            elif kind == "link":
+                html += f"<div><a href=x>{text}</a></div>"
+                lines.append((text, len(text), 0))
+            elif kind == "article":
+                number += 1
+                html += f"<article><p>{text}</p><p>{text}z</p></article>"
+                lines += [(text, 0, number), (text + "z", 0, number)]
+            else:
+                html += f"<div>{text}</div>"
+                lines.append((text, 0, 0))
+        assert html_text.main_text(html) == plain_main_text(lines, html_text.WINDOW, html_text.LINK_PERCENT, html_text.SURGE)
+
+
+ARTICLE = "<article><h1>Title</h1><p>Some words of an article.</p><p>More.</p></article>"
+TEXT = "Title\nSome words of an article.\nMore."
+
+
+@pytest.mark.parametrize("attributes", ["class='content no-sidebar'", "id='page' class='has-sidebar'", "class='layout-header-fixed'", "class='social-science'", "class='sidebar'", "class='adventure'", "id=commentary"])
+def test_layout_names_do_not_hide_articles(attributes):
+    assert html_text.main_text(f"<body><nav><a href=/>Home</a></nav><div {attributes}>{ARTICLE}</div><footer>End</footer></body>") == TEXT
+
+
+@pytest.mark.parametrize("part", ["<div class='ad'>Buy this now and save</div>", "<div class='site-footer'>x y z</div>", "<div class=cookie-banner>We use cookies</div>", "<section id=comments><p>First!</p></section>", "<div role=navigation>a b</div>", "<form>Name <input></form>", "<p hidden>secret</p>", "<div class='post-comments'><article>I agree</article></div>"])
+def test_marked_parts_go(part):
+    assert html_text.main_text(f"<body>{part}{ARTICLE}{part}</body>") == TEXT
+
+
+def test_broken_markup():
+    assert html_text.main_text("<p>a &amp; b &copy &unknown; c<p>d < e <!-- x > y --> f") == "a & b © &unknown; c\nd < e f"
+    assert html_text.main_text("<article><p>before</p><p>array<![1]> middle</p><p>after</p></article>") == "before\narray middle\nafter"
+    assert html_text.main_text("<p>a<b>b</p><p>c</i></b></p>d</div>") == "ab\nc\nd"
+    assert html_text.main_text("<p>kept<script>if (a < b) '</p>'</script> text</p><p>end <a href='x") == "kept text\nend"
+    assert html_text.main_text("<ul><li>one<li>two</ul><p title='a > b'>three</p>") == "one\ntwo\nthree"
+    assert html_text.main_text("") == html_text.main_text(None) == html_text.main_text("<a b='") == ""
+
+
+@pytest.mark.parametrize("page", ["<p>" + "<b>" * 35_000 + "</i>" * 35_000, "<" * 200_000, "<a " * 70_000, '<a href="' * 25_000, "<b></i>" * 30_000, "&" * 200_000, "<!--" * 50_000, "<div>" * 40_000, "<li>" * 50_000, "<a href=x><div>" * 14_000, "".join(f"<x{i}>" for i in range(12_000)) + "<div></div>" * 12_000])
+def test_main_text_time_is_linear(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 1.5
+
+
 def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = corpus_pipeline.quality_rules(spark, docs, SMALL)
