@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,3 +56,8 @@ class Staging:
         for frame in frames:
             path = jvm.org.apache.hadoop.fs.Path(frame.staged_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def sweep(self) -> None:
+        """Lets go of the shuffle files of plans that nothing refers to any more, which else stay until the driver's next collection."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
