@@ -4,7 +4,8 @@ One model per learned language over the letters of words, lower-cased, with mark
 and end. Models are fitted on a bounded sample of labelled rows: of each language the SAMPLE_DOCS
 rows with the least hash of their id, up to SAMPLE_CHARS characters; a longer text counts with its
 first tenth of that from its first letter on, so no language is left out for its texts' length. Every
-fifth sampled row is kept out of the fit and calibrates rejection. N-grams are 64-bit hashes in one
+fifth sampled row is kept out of the fit and calibrates rejection and scores: the score is a softmax over the languages of
+-a * n^g * entropy for n characters, with the a and g that give the kept-out rows' labels the highest likelihood. N-grams are 64-bit hashes in one
 sorted array per order, with each language's discounted probability and back-off weight beside it.
 A text gets the language of least cross-entropy per character; words are scored once for a batch
 and found again by their hash, which changes no score as contexts do not cross words.
@@ -33,6 +34,8 @@ from .staging import small_batches
 ORDER = 5
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 1_500_000
 CALIBRATE_EVERY, REJECT_SIGMAS = 5, 6.0
+#: Factors and powers of the length among which the score's calibration chooses.
+FACTORS, POWERS = (0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.5, 4.0, 6.0), (0.0, 0.25, 0.5, 0.75, 1.0)
 #: Words whose scores a worker keeps between batches.
 CACHE_WORDS = 400_000
 START, END = "\x02", "\x03"
@@ -90,8 +93,8 @@ def gram_keys(codes: np.ndarray) -> list[np.ndarray]:
 class Model:
     """Sorted hash arrays of all languages."""
 
-    def __init__(self, languages: list[str], tables, uniform: np.ndarray, threshold: float):
-        self.languages, self.tables, self.uniform, self.threshold = languages, tables, uniform, threshold
+    def __init__(self, languages: list[str], tables, uniform: np.ndarray, threshold: float, evidence: tuple[float, float] = (1.0, 0.5)):
+        self.languages, self.tables, self.uniform, self.threshold, self.evidence = languages, tables, uniform, threshold, evidence
 
     @staticmethod
     def fit(rows: list[tuple[str, str]]) -> Model:
@@ -99,7 +102,7 @@ class Model:
         fit, check = [], []
         for lang in languages:
             mine = [t for at, t in rows if at == lang]
-            check += [t for i, t in enumerate(mine) if i % CALIBRATE_EVERY == CALIBRATE_EVERY - 1]
+            check += [(lang, t) for i, t in enumerate(mine) if i % CALIBRATE_EVERY == CALIBRATE_EVERY - 1]
             fit.append([t for i, t in enumerate(mine) if i % CALIBRATE_EVERY != CALIBRATE_EVERY - 1])
         collected = [_count(texts) for texts in fit]
         uniform = np.array([1.0 / (len(alphabet) + 1) for _, alphabet in collected])
@@ -116,8 +119,11 @@ class Model:
             tables.append((keys, alpha, gamma))
         root = np.array([c[ORDER] for c, _ in collected], np.float32)
         model = Model(languages, tables, uniform * root, math.inf)
-        entropies = [h for h, n, _ in (model.text_entropy(t) for t in check) if n]
+        measured = [(languages.index(lang), *model.text_entropies(t)) for lang, t in check]
+        measured = [(i, h, n) for i, h, n in measured if n]
+        entropies = [float(h.min()) for _, h, _ in measured]
         if entropies:
+            model.evidence = calibrated(*(np.array(x) for x in zip(*measured)))
             # Half way from a usual text to chance, or further out where usual texts vary more.
             chance = float(-np.log(uniform).mean())
             model.threshold = max(float(np.mean(entropies) + REJECT_SIGMAS * np.std(entropies)), (float(np.mean(entropies)) + chance) / 2)
@@ -155,13 +161,36 @@ class Model:
         np.add.at(chars, owner, np.diff(starts) - (ORDER - 1))
         return total, chars
 
-    def text_entropy(self, text: str) -> tuple[float, int, int]:
+    def text_entropies(self, text: str) -> tuple[np.ndarray, int]:
+        """(entropy by language, characters) of one text."""
         words = Counter(text.split())
         scores, chars = self.word_scores(list(words))
-        times = np.array(list(words.values()))
+        times = np.array(list(words.values()), np.int64)
         n = int((chars * times).sum())
-        entropy = -(scores * times[:, None]).sum(axis=0) / max(n, 1)
-        return float(entropy.min(initial=math.inf)), n, int(entropy.argmin()) if len(entropy) else -1
+        return -(scores * times[:, None]).sum(axis=0) / max(n, 1), n
+
+    def certainty(self, entropies: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Probability of the best language of each row; 0 for rows without a letter."""
+        return np.where(n > 0, np.exp(shares(entropies, n, self.evidence).max(axis=1)), 0.0)
+
+
+def shares(entropies: np.ndarray, n: np.ndarray, evidence: tuple[float, float]) -> np.ndarray:
+    """Log probability of each language."""
+    with np.errstate(invalid="ignore"):
+        x = -evidence[0] * np.maximum(n, 1)[:, None] ** evidence[1] * np.where(np.isfinite(entropies), entropies, 1e9)
+    x -= x.max(axis=1, keepdims=True)
+    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+
+
+def calibrated(labels: np.ndarray, entropies: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """The (factor, power) under which the labels are most likely; a hundredth of each row's weight stands for wrong labels."""
+    rows = np.arange(len(labels))
+
+    def likelihood(evidence):
+        p = np.exp(shares(entropies, n, evidence)[rows, labels])
+        return np.log(0.99 * p + 0.01 / entropies.shape[1]).sum()
+
+    return max(((a, g) for g in POWERS for a in FACTORS), key=likelihood)
 
 
 def _count(texts: list[str]):
@@ -271,8 +300,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     n = np.zeros_like(n)
                 best = entropies.argmin(axis=1)
                 least = entropies[np.arange(len(best)), best]
-                gap = np.minimum(n, 60)[:, None] * np.where(n[:, None] > 0, entropies - least[:, None], 0)
-                sure = np.where(n > 0, 1 / np.exp(-gap).sum(axis=1), 0.0)
+                sure = scorer.model.certainty(entropies, n)
                 best[n == 0] = len(languages) - 1
                 pred += [languages[i] for i in best.tolist()]
                 score += sure.tolist()
