@@ -43,7 +43,7 @@ def op5(spark, sf_dir):
 
 
 def op6(spark, sf_dir):
-    return chat.link(_read(spark, sf_dir, "conversations"))
+    return chat.link(_read(spark, sf_dir, "conversations"), Staging(spark, "chat"))
 
 
 def op7(spark, sf_dir):

@@ -9,6 +9,7 @@ import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -16,9 +17,10 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarrymill.llm import bpe, dedup, html_text, langid, lm, media, mixing, quality, registry, textops
+from quarrymill.llm import bpe, chat, dedup, html_text, langid, lm, media, mixing, quality, registry, textops
 from quarrymill.llm.staging import Staging
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -383,47 +385,66 @@ def test_language_held_out_accuracy(spark):
     assert sum(r.rejected for r in got) / len(got) < 0.02
 
 
-def test_character_models_are_distributions():
-    model = langid.Model.fit([("a", "banana bandana cabana " * 9)] * 6 + [("b", "zig zag zug zog " * 9)] * 6)
-    alphabet = {"a": "bandc" + langid.END, "b": "zigauo" + langid.END}
+def plain_kneser_ney(texts, order):
+    """Interpolated Kneser-Ney by dictionaries: probability(context, character) over padded words, lower orders by distinct histories."""
+    words = Counter(w for t in texts for w in re.findall(r"[^\W\d_]+", t.lower()))
+    counts = [Counter() for _ in range(order)]
+    for word, times in words.items():
+        padded = langid.START * (order - 1) + word + langid.END
+        for i in range(order - 1, len(padded)):
+            counts[-1][padded[i - order + 1 : i + 1]] += times
+    for k in range(order - 2, -1, -1):
+        for gram in counts[k + 1]:
+            counts[k][gram[1:]] += 1
+    alphabet = set(counts[0])
+
+    def probability(context, char, k=order - 1):
+        if k < 0:
+            return 1 / (len(alphabet) + 1)
+        history = context[len(context) - k :] if k else ""
+        followers = {g[-1]: n for g, n in counts[k].items() if g[:-1] == history}
+        below = probability(context, char, k - 1)
+        if not followers:
+            return below
+        ones, twos = (sum(v == x for v in counts[k].values()) for x in (1, 2))
+        discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+        total = sum(followers.values())
+        return max(followers.get(char, 0) - discount, 0) / total + discount * len(followers) / total * below
+
+    return probability, alphabet
+
+
+def test_character_models_against_brute_force():
+    """Words' log probabilities equal those of plain dictionaries, and each context's probabilities sum to one."""
+    samples = {"a": ["banana bandana cabana"] * 5 + ["ban nab"], "b": ["zig zag zug zog gizzard"] * 6}
+    rows = [(lang, t) for lang, texts in samples.items() for t in texts]
+    model = langid.Model.fit(rows)
     for i, lang in enumerate(model.languages):
-        for context in ("", "b", "ba", "zz", "q"):
-            total = 0.0
-            for c in alphabet[lang]:
-                with_c = model.word_scores([context + c])[0][0, i] if c != langid.END else None
-                if c == langid.END:
-                    total += math.exp(model.word_scores([context or "b"])[0][0, i] - prefix(model, context or "b", i)) if context else end_probability(model, i)
-                else:
-                    total += math.exp(prefix(model, context + c, i) - prefix(model, context, i))
-                del with_c
-            assert total <= 1 + 1e-4
-
-
-def prefix(model, text, i):
-    """Log probability of the characters of `text` after a word's start, without its end."""
-    if not text:
-        return 0.0
-    parts = [text]
-    codes, starts = langid.codes_of(parts)
-    whole = model.word_scores(parts)[0][0, i]
-    # The end's own probability, by the model's tables.
-    p = model.uniform[i]
-    keys = langid.gram_keys(codes)
-    at = len(codes) - 1
-    back = None
-    for k in range(langid.ORDER):
-        table, alpha, gamma = model.tables[k]
-        if back is not None:
-            p *= back
-        place = min(int(np.searchsorted(table, keys[k][at])), len(table) - 1)
-        p += alpha[place, i] if table[place] == keys[k][at] else 0.0
-        place = min(int(np.searchsorted(table, keys[k][at - 1])), len(table) - 1)
-        back = gamma[place, i] if table[place] == keys[k][at - 1] else 1.0
-    return whole - math.log(p)
-
-
-def end_probability(model, i):
-    return 0.0
+        fit = [t for k, t in enumerate(samples[lang]) if k % langid.CALIBRATE_EVERY != langid.CALIBRATE_EVERY - 1]
+        probability, alphabet = plain_kneser_ney(fit, langid.ORDER)
+        for word in ("banana", "zag", "bazog", "q", "gizzardbandana"):
+            padded = langid.START * (langid.ORDER - 1) + word + langid.END
+            plain = sum(math.log(probability(padded[:k], padded[k])) for k in range(langid.ORDER - 1, len(padded)))
+            assert model.word_scores([word])[0][0, i] == pytest.approx(plain, rel=1e-4)
+        for context in ("\2\2\2\2", "\2\2\2b", "\2\2ba", "xxzz", "gizz"):
+            assert sum(probability(context, c) for c in alphabet) + probability(context, "?") == pytest.approx(1)
+
+
+def test_language_scores_are_calibrated(spark):
+    """On held-out rows the mean score is near the share of right answers."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = registry.op5(spark, "/root/testdata/sf0.01").where("held_out AND lang_pred <> 'und'").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert abs(np.mean([r.score for r in got]) - np.mean([r.lang_pred == r.lang for r in got])) < 0.02
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_long_first_text_keeps_its_language(spark):
+    """A text longer than the sample's bound enters with a part: its language is learned all the same."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, ("uno dos tres cuatro cinco " * (70_000 if k == 0 else 4)) if k % 2 == 0 else "one two three four five " * 4, "es" if k % 2 == 0 else "en") for k, i in enumerate(ids[:60])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(frame, F.lit(True)).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {r[0]: r[2] for r in rows}
 
 
 def test_main_text_without_article():
@@ -522,6 +543,91 @@ def test_main_text_time_is_linear(page):
     assert time.process_time() - began < 1.5
 
 
+def quoting_conversations(seed, n=260):
+    """Conversations whose messages quote earlier ones whole, in part, nested, and lines that many share."""
+    rng = random.Random(seed)
+    rows = []
+    for conv in range(6):
+        texts = []
+        for turn in range(n // 6):
+            lines = []
+            for _ in range(rng.randint(0, 3)):
+                if texts and rng.random() < 0.7:
+                    source = rng.choice(texts).split("\n")
+                    a = rng.randrange(len(source))
+                    mark = rng.choice(["> ", ">", ">> ", " > > "])
+                    lines += [mark + x for x in source[a : a + rng.randint(1, 3)]]
+                    lines += rng.choice([[], ["> "], [""], ["Not there"]])
+                lines += rng.choice([["Thanks!"], ["Good  Morning", "all"], [f"line {rng.randint(0, 30)}", "", f"more {rng.randint(0, 9)}"], []])
+            texts.append("\n".join(lines) or "x")
+            rows.append((conv, turn, rng.choice(["user", "assistant"]), texts[-1]))
+    return rows
+
+
+def brute_links(rows):
+    """(conv, turn): (answered turn, root, depth, passages, linked) by comparing every message with every earlier one."""
+    mark = re.compile(r"^[ \t]*(?:>[ \t]?)+")
+    norm = lambda x: re.sub(r"[ \t\r\x0b\f]+", " ", mark.sub("", x).lower()).strip(" ")
+    own, quotes = {}, {}
+    for conv, turn, _, text in rows:
+        parsed = [((m := mark.match(x)) and m[0].count(">") or 0, norm(x)) for x in (text or "").split("\n")]
+        own[conv, turn] = [x for level, x in parsed if not level and x]
+        found, held, last = set(), [], 0
+        for level, x in [*parsed, (0, "")]:
+            if level and not x:
+                continue
+            if level != last and held:
+                found.add((last, tuple(held)))
+                held = []
+            if level:
+                held.append(x)
+            last = level
+        quotes[conv, turn] = found
+    answers, counts = {}, {}
+    for (conv, turn), found in quotes.items():
+        hits = []
+        for level, body in found:
+            sources = [t for (c, t), lines in own.items() if c == conv and t < turn and any(tuple(lines[i : i + len(body)]) == body for i in range(len(lines)))]
+            if sources:
+                hits.append((level, max(sources)))
+        counts[conv, turn] = (len(found), len(hits))
+        if hits:
+            low = min(level for level, _ in hits)
+            answers[conv, turn] = max(s for level, s in hits if level == low)
+    out = {}
+    for conv, turn in own:
+        root, depth = turn, 0
+        while (conv, root) in answers:
+            root, depth = answers[conv, root], depth + 1
+        out[conv, turn] = (answers.get((conv, turn)), root, depth, *counts[conv, turn])
+    return out
+
+
+def test_quotation_links_against_brute_force_and_sql(spark):
+    rows = quoting_conversations(7)
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.link(frame, Staging(spark, "t"))
+    got = {(r.conv_id, r.turn): (r.reply_to, r.thread, r.depth, r.n_passages, r.n_linked) for r in out.collect()}
+    expected = brute_links(rows)
+    assert got == expected
+    assert max(x[2] for x in expected.values()) > 3 and sum(x[4] for x in expected.values()) > 100
+    con = duckdb.connect()
+    con.register("conversations", pa.Table.from_pylist([dict(zip(("conv_id", "turn", "role", "text"), r)) for r in rows]))
+    sql = con.sql(chat.ORACLE)
+    order = [sql.columns.index(c) for c in out.columns]
+    assert sorted(map(repr, (tuple(r[i] for i in order) for r in sql.fetchall()))) == sorted(map(repr, map(tuple, out.collect())))
+    # In the order of thread, depth and turn each message stands after the one that it answers.
+    place = {k: i for i, k in enumerate(sorted(got, key=lambda k: (k[0], got[k][1], got[k][2], k[1])))}
+    assert all(place[k] > place[k[0], v[0]] for k, v in got.items() if v[0] is not None)
+
+
+def test_nearest_holder_over_ranges_of_turns(spark):
+    """Turns far apart: the nearest earlier holder may stand in an earlier range."""
+    rows = [(1, t, "user", "hello there") for t in (0, 5, 1500, 9000)] + [(1, t, "user", "> hello there\nok") for t in (3, 1400, 1501, 8000, 20_000)]
+    got = {r.turn: r.reply_to for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), Staging(spark, "t")).collect()}
+    assert {t: got[t] for t in (3, 1400, 1501, 8000, 20_000)} == {3: 0, 1400: 5, 1501: 1500, 8000: 1500, 20_000: 9000}
+
+
 def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = corpus_pipeline.quality_rules(spark, docs, SMALL)

@@ -178,14 +178,14 @@ def test_quotations(spark):
         (1, 3, "user", "> nobody said this\nWell."), (2, 0, "user", None), (2, 0, "user", None), (2, 1, None, ">\n> \nonly marks"), (None, 1, "user", "> I lost it."), (2, None, "user", "> x"),
     ]
     frame = spark.createDataFrame([r + ("c", 1) for r in rows], "conv_id long, turn long, role string, text string, h string, first int")
-    out = chat.link(frame).collect()
+    out = chat.link(frame, Staging(spark, "t")).collect()
     assert len(out) == len(rows)
     got = {(r.conv_id, r.turn): r for r in out}
     assert got[1, 1].reply_to == 0 and got[1, 1].text == "Under the mat."
     assert (got[1, 2].reply_to, got[1, 2].quote_level, got[1, 2].n_linked) == (1, 2, 2)
-    assert got[1, 3].reply_to is None and got[1, 3].order_turn == 3
+    assert got[1, 3].reply_to is None and (got[1, 3].thread, got[1, 3].depth) == (3, 0)
     assert got[2, 0].text == "" and got[2, 1].n_linked == 0 and got[None, 1].reply_to is None
-    assert chat.link(frame.limit(0)).count() == 0
+    assert chat.link(frame.limit(0), Staging(spark, "t")).count() == 0
 
 
 @pytest.mark.parametrize("stage", range(len(corpus_pipeline.STAGES)))
