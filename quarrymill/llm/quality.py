@@ -112,6 +112,7 @@ def apply_rules(docs: DataFrame, clean: bool = True) -> DataFrame:
 
 
 NOTICE_SQL = "(" + "|".join(x.replace("(", r"\(").replace(")", r"\)") for x in NOTICES) + ")"
+ENDS_SQL = LINE_ENDS.replace("'", "''")
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words,
@@ -123,8 +124,8 @@ m AS (SELECT r, sum(k)::BIGINT AS n_repeat_words FROM q GROUP BY r),
 l AS (SELECT r, x, length(x) AS n, length(x) - length(translate(x, '{NAV_MARKS}', '')) AS marks,
         length(x) - length(translate(x, '{SYMBOLS}', '')) AS syms FROM w, unnest(lines) AS u(x)),
 f AS (SELECT r, sum(n) AS line_chars, coalesce(sum(n) FILTER (WHERE (regexp_matches(lower(x), '{NOTICE_SQL}') AND n <= 200)
-        OR (marks >= 3 AND marks * 40 >= n) OR (syms * 10 > n AND syms >= 12)
-        OR (n >= 400 AND NOT regexp_matches(x, '[.!?…:;,]'))), 0)::BIGINT AS lost_chars FROM l GROUP BY r),
+        OR (marks >= 3 AND marks * 40 >= n) OR syms * 10 > n
+        OR (n >= {PROSE_CHARS} AND NOT contains('{ENDS_SQL}', right(rtrim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 1)))), 0)::BIGINT AS lost_chars FROM l GROUP BY r),
 a AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
         (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
