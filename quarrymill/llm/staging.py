@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,5 +60,6 @@ class Staging:
 
     def sweep(self) -> None:
         """Lets go of the shuffle files of plans that nothing refers to any more, which else stay until the driver's next collection."""
+        time.sleep(1)  # events of the plan that just ended refer to it until they are handled
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
