@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrymill.session import stage
+
 
 def ranked(frame: DataFrame, key: str, order: list[Column], branch: str, position: int) -> DataFrame:
     """(key, branch, branch_pos, rank from 0) of a short result list."""
@@ -55,3 +57,16 @@ def quota_fill(frame: DataFrame, kind: str, order: list[Column], limit: int) ->
     kept = sized.where(F.col("k") <= limit).withColumn("tier", tier).where("tier IS NOT NULL")
     final = F.row_number().over(W.orderBy("tier", "k"))
     return kept.withColumn("position", final).where(F.col("position") <= limit).drop("n", "k")
+
+
+def tfidf_scores(texts: DataFrame, key: str, text: str, query: int) -> DataFrame:
+    """(key, score): cosine of each text with the query's row, by term frequency and smoothed rarity; for the few candidates of one query."""
+    terms = texts.select(key, F.explode(F.regexp_extract_all(text, F.lit("([a-z0-9_]{2,})"), 1)).alias("term"))
+    tf = stage(terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")), "terms")
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = texts.agg(F.count(F.lit(1)).alias("n"))  # one row
+    v = tf.join(df, "term").join(F.broadcast(n)).select(key, "term", (F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("v"))
+    asked = v.where(F.col(key) == query).select("term", F.col("v").alias("qv"))
+    length = asked.agg(F.sqrt(F.sum(F.col("qv") * F.col("qv"))).alias("qlen"))  # one row
+    both = v.where(F.col(key) != query).join(asked, "term", "left").groupBy(key).agg(F.sum(F.col("v") * F.col("qv")).alias("dot"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("len"))
+    return both.where("dot IS NOT NULL").join(F.broadcast(length)).select(key, F.round(F.col("dot") / (F.col("len") * F.col("qlen")), 6).alias("score"))

@@ -5,18 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.session import stage
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(node, distance) within `depth` steps of the seeds, the seeds at 0; each level joins only its new nodes."""
-    seen = seeds.select("node").distinct().withColumn("distance", F.lit(0))
-    frontier = seen
-    for level in range(1, depth + 1):
+
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, distance) within `depth` steps of the seeds, or as far as edges lead; the seeds at 0.
+
+    Each level's new nodes are stored, so a level's plan reads the edges once and the earlier levels as tables.
+    """
+    seen = frontier = stage(seeds.select("node").distinct().withColumn("distance", F.lit(0)), "reach")
+    level = 0
+    while depth is None or level < depth:
+        level += 1
         following = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = following.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(level))
+        frontier = stage(following.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(level)), "reach")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
 
+def levels(rows: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, level, in_cycle): roots, whose parent is none or unknown, at 0, children below their parent.
+
+    Rows in a cycle, and those below one, have no level; by (in_cycle, level) parents come before their children.
+    """
+    pairs = rows.select(F.col(node).alias("src"), F.col(parent).alias("dst"))
+    known = pairs.select(F.col("src").alias("known"))
+    inner = stage(pairs.join(known, F.col("dst") == F.col("known"), "left_semi"), "levels")
+    roots = pairs.join(inner.select("src"), "src", "left_anti").select(F.col("src").alias("node"))
+    # Every row has one parent, so the first level at which it is reached is its only one.
+    found = reach(reverse(inner), roots)
+    every = pairs.select(F.col("src").alias("node")).join(found, "node", "left")
+    return every.select(F.col("node").alias(node), F.col("distance").alias("level"), F.col("distance").isNull().alias("in_cycle"))
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(src, dst, distance) of all pairs that edges lead to, at any depth, with the least distance; cycles end by it.
+
+    One stored table a level holds the new pairs; the work is the size of the answer.
+    """
+    step = edges.select("src", "dst").distinct()
+    seen = frontier = stage(step.withColumn("distance", F.lit(1)), "closure")
+    level = 1
+    while True:
+        level += 1
+        following = frontier.select("src", F.col("dst").alias("mid")).join(step.withColumnRenamed("src", "mid"), "mid").select("src", "dst").distinct()
+        frontier = stage(following.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("distance", F.lit(level)), "closure")
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 

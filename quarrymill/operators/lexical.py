@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,23 @@ from pyspark.sql import functions as F
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Letters of the alphabetic blocks whose decomposition is one base letter and marks, and those base letters."""
+    pairs = []
+    for code in [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]:
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and all(unicodedata.category(c) == "Mn" for c in parts[1:]):
+            pairs.append((chr(code), parts[0]))
+    marks = "".join(map(chr, range(0x300, 0x370)))  # without a partner in the other string they are dropped
+    return "".join(a for a, _ in pairs) + marks, "".join(b for _, b in pairs)
+
+
+_ACCENTED, _PLAIN = _plain_letters()
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of ASCII letters, digits and underscores."""
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), 1)
+    """Runs of Unicode letters and digits, in lower case and without accents."""
+    return F.regexp_extract_all(F.translate(F.lower(text), _ACCENTED, _PLAIN), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
 def term_frequency(tokens_col: str, term: str) -> Column:
@@ -124,3 +140,14 @@ def snippet(text: Column, terms: list[str], width: int, opening: str = "<mark>",
     part = F.slice(words, start + 1, width)
     marked = F.transform(part, lambda w: F.when(F.array_contains(wanted, F.regexp_replace(F.lower(w), "[^a-z0-9_]", "")), F.concat(F.lit(opening), w, F.lit(closing))).otherwise(w))
     return F.concat(F.when(start > 0, "...").otherwise(""), F.array_join(marked, " "), F.when(F.size(words) > start + width, "...").otherwise(""))
+
+
+def file_fields(files: DataFrame) -> DataFrame:
+    """The text columns of a file's index row: place, name, content, language, and the symbols, imports and comments of the content."""
+    every = lambda pattern: F.array_join(F.regexp_extract_all("content", F.lit(pattern), 1), " ")
+    return files.select(
+        "file_id", F.col("path").alias("filepath"), F.element_at(F.split("path", "/"), -1).alias("filename"), "content", "language",
+        every(r"(?m)^[ \t]*(?:def|class|function|func|fn|struct|interface)[ \t]+(\w+)").alias("symbols"),
+        every(r"(?m)^[ \t]*(?:import|from|use|require|#include)[ \t]+([\w./<>\"]+)").alias("imports"),
+        every(r"(?m)(?:^|[ \t])(?:#|//)[ \t]*([^\n]+)$").alias("comments"),
+    )

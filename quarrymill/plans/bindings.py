@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +34,17 @@ VIEWS = {
         CASE WHEN l_returnflag = 'A' THEN 'p1' ELSE 'p2' END AS profile_id, CASE WHEN l_linestatus = 'F' THEN 'c1' ELSE 'c2' END AS collection FROM {lineitem} WHERE l_suppkey % 3 <> 0""",
     "summaries": """SELECT DISTINCT 'ch' || cast(l_orderkey AS string) || '-' || cast(l_linenumber AS string) || '-' || cast(l_partkey AS string) AS chunk_hash,
         l_returnflag AS profile FROM {lineitem} WHERE l_suppkey % 5 <> 0""",
+    "chunk_tree": """SELECT o_orderkey AS chunk, CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey - 25 WHEN o_orderkey % 50 = 25 AND o_orderkey % 3 = 0 THEN o_orderkey + 25
+        WHEN o_orderkey > 3 THEN cast(floor(o_orderkey / 2) AS bigint) END AS parent FROM {orders}""",
     "repositories": """SELECT n_nationkey AS repo_id, n_name AS name, n_nationkey % 4 AS priority, n_nationkey % 7 <> 0 AS active, n_regionkey AS region FROM {nation}""",
     "repo_symbols": """SELECT s.c_nationkey AS repo_id, replace(s.c_name, '#', '_') AS name, lower(s.c_mktsegment) AS kind, s.c_custkey AS symbol_id, s.c_acctbal AS weight FROM {customer} s""",
 }
 
 
+#: In a check, tokens_of(column) stands for the tokens of a text by the checking engine's own functions.
+TOKENS_OF = re.compile(r"tokens_of\(([\w.]+)\)")
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or view as a DataFrame."""
     if name in BASE:
@@ -52,7 +59,7 @@ def duck(sql: str) -> str:
         sql = sql.replace("{" + name + "}", f"({text})")
     for name in BASE:
         sql = sql.replace("{" + name + "}", name)
-    return sql
+    return TOKENS_OF.sub(r"regexp_extract_all(strip_accents(lower(\1)), '[\\p{L}\\p{N}]+')", sql)
 
 
 class Queries:

@@ -12,7 +12,7 @@ from quarrymill.functions.text import code_intent
 from quarrymill.operators import chunking, lexical, prose, vector
 
 from .bindings import VIEWS, Queries
-from .lexical_queries import bm25_sql
+from .lexical_queries import bm25_sql, snippet_sql
 
 Q = Queries()
 
@@ -24,7 +24,6 @@ def per_text(key, rows, schema):
 per_text("N4_abbreviation_sentences", lambda t: list(enumerate(prose.sentences(t))), "i int, sentence string")
 per_text("N11_coherent_chunks", lambda t: list(enumerate(prose.coherent(chunking.by_sentence(t, 200, 0)))), "i int, content string")
 per_text("N20_boundaries", prose.boundaries, "at int, strength double")
-per_text("N21_typed_chunks", lambda t: list(enumerate(chunking.by_topic(t, 300))), "i int, content string")
 per_text("N23_merged_chunks", lambda t: list(enumerate(prose.merged(chunking.by_paragraph(t), 600))), "i int, content string")
 per_text("N25_block_parser", prose.blocks, "kind string, first int, last int")
 per_text("N26_markdown_chunks", lambda t: [(s["title"], s["start"], s["end"]) for s in chunking.sections("# Text\n" + t)], "title string, first int, last int")
@@ -57,15 +56,12 @@ def client(get):
     return api.Engine(files.sparkSession, files, get("symbols")).lookup("red_gear_2").select("symbol_id", "name")
 
 
-@Q.plan("E20_marked_search")
+@Q.plan("E20_marked_search", snippet_sql("file_id", "content", "{files}", "only", 10, "**", "**"))
 def marked(get):
     hits = get("files").where(F.lower("content").rlike(r"\bonly\b"))
     return hits.select("file_id", lexical.snippet(F.col("content"), ["only"], 10, "**", "**").alias("snippet"))
 
 
-Q.sql("E24_compact", "SELECT file_id % 8 AS part, count(*) AS rows FROM {files} GROUP BY file_id % 8")
-
-
 @Q.plan("F7_snippet_similarity")
 def ratio(get):
     """Neighbouring messages of a conversation by the matching share of their texts."""
@@ -117,15 +113,13 @@ def hashed(get):
     return get("symbols").select("symbol_id", api.hashed_vector(F.translate("name", "_", " "), 16).alias("v"))
 
 
-@Q.plan("G18_indexed_vectors", "SELECT file_id, len(regexp_extract_all(lower(content), '[a-z0-9_]+'))::DOUBLE AS mass FROM {files}")
+@Q.plan("G18_indexed_vectors", "SELECT file_id, len(tokens_of(content))::DOUBLE AS mass FROM {files}")
 def indexed(get):
     """Vectors of every file; the mass of a vector is its number of tokens."""
     vectors = get("files").select("file_id", api.hashed_vector(F.col("content"), 16).alias("v"))
     return vectors.select("file_id", F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("mass"))
 
 
-Q.sql("G16_collection_provenance", "SELECT CASE WHEN count(*) = 0 THEN 'empty' WHEN count(DISTINCT vec_id) <> count(*) THEN 'duplicate_ids' ELSE 'ok' END AS verdict, md5(cast(sum(vec_id) AS string)) AS digest FROM {embeddings}")
-Q.sql("H3_branch_execution", "SELECT 'symbols' AS branch, count(*) AS hits FROM {symbols} WHERE name LIKE 'red%' UNION ALL SELECT 'files', count(*) FROM {files} WHERE content LIKE '%only%' UNION ALL SELECT 'vectors', count(*) FROM {embeddings} WHERE label = 1")
 Q.sql("H4_weight_normalise", "SELECT p_partkey, round(least(greatest(p_size / 25, 0), 1) / (least(greatest(p_size / 25, 0), 1) + 0.5), 6) AS weight FROM {part}", "SELECT p_partkey, round(least(greatest(p_size / 25, 0), 1) / (least(greatest(p_size / 25, 0), 1) + 0.5::DOUBLE), 6) AS weight FROM {part}")
 
 
@@ -154,13 +148,6 @@ def strategy(get):
     return api.STRATEGIES.run(["best_first"], get("files").where("repo = 'src2'").select("file_id", F.col("size").alias("score")))
 
 
-Q.sql("K8_branch_expansion", "SELECT p_partkey, CASE WHEN p_name LIKE '%gear%' THEN p_name || ' cog wheel' ELSE p_name END AS expanded FROM {part}")
-Q.sql("K13_parser_routing", "SELECT file_id, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.go' THEN 'go' ELSE 'text' END AS parser, CASE WHEN path LIKE '%.py' OR path LIKE '%.go' THEN 0.9D ELSE 0.5D END AS confidence FROM {files}", "SELECT file_id, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.go' THEN 'go' ELSE 'text' END AS parser, CASE WHEN path LIKE '%.py' OR path LIKE '%.go' THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM {files}")
 Q.sql("L1_graph_build", "SELECT 'f' || cast(r.file_id AS string) AS src, 's' || cast(r.symbol_id AS string) AS dst, CASE r.reference_kind WHEN 'A' THEN 'calls' WHEN 'R' THEN 'imports' ELSE 'references' END AS kind, count(*) AS n FROM {refs} r GROUP BY r.file_id, r.symbol_id, r.reference_kind")
-Q.sql("M10_cross_repo_rerank", "SELECT repo, file_id, row_number() OVER (PARTITION BY repo ORDER BY length(content) - length(replace(content, 'the', '')) DESC, file_id) AS new_rank FROM {files} WHERE repo IN ('src1', 'src2')")
-Q.sql("A19_schema_bootstrap", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {{{n}}}" for n in VIEWS))
-Q.sql("U8_language_extractors", "SELECT language, count(*) AS files FROM (SELECT CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.go' THEN 'go' ELSE 'generic' END AS language FROM {files}) GROUP BY language")
-Q.sql("U11_reranker_registry", "SELECT file_id, size FROM {files} ORDER BY size DESC, file_id LIMIT 15")
-Q.sql("P15_staged_write", "SELECT symbol_id, name FROM {symbols} WHERE symbol_id % 2 = 0 UNION SELECT symbol_id, name FROM {symbols} WHERE symbol_id % 2 = 1")
 
 QUERIES, ORACLES = Q.queries, Q.oracles

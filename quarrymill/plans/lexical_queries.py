@@ -7,57 +7,87 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import ranking, text
 from quarrymill.operators import lexical
+from quarrymill.operators.index import fresh, stored
 
 from .bindings import Queries
 
 Q = Queries()
 TERMS = ["the", "that", "une"]
-TOKENS_SQL = "regexp_extract_all(lower(content), '[a-z0-9_]+')"
 
 
-def bm25_sql(docs: str, terms: list[str], key: str = "file_id", content: str = "content", where: str = "true") -> str:
-    """The closed form of the ranking, for checks."""
+def bm25_sql(docs: str, terms: list[str], key: str = "file_id", content: str | tuple = "content", where: str = "true", weights: tuple = ()) -> str:
+    """The closed form of the ranking, for checks: relation w (key, score, matched)."""
     quoted = ", ".join(f"'{t}'" for t in terms)
-    return f"""d AS (SELECT {key}, regexp_extract_all(lower({content}), '[a-z0-9_]+') AS t FROM {docs} WHERE {where}),
-s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
-p AS (SELECT {key}, len(t) AS dl, term, len(list_filter(t, lambda x: x = term)) AS tf FROM d, (SELECT unnest([{quoted}]) AS term)),
+    columns = (content,) if isinstance(content, str) else content
+    lists = ", ".join(f"coalesce(tokens_of({c}), []) AS t{i}" for i, c in enumerate(columns))
+    length = " + ".join(f"len(t{i})" for i in range(len(columns)))
+    tf = " + ".join(f"{(weights or (1,) * len(columns))[i]}::DOUBLE * len(list_filter(t{i}, lambda x: x = term))" for i in range(len(columns)))
+    return f"""d AS (SELECT {key}, {lists} FROM {docs} WHERE {where}),
+s AS (SELECT count(*) AS n, avg({length}) AS avgdl FROM d),
+p AS (SELECT {key}, {length} AS dl, term, {tf} AS tf FROM d, (SELECT unnest([{quoted}]) AS term)),
 h AS (SELECT * FROM p WHERE tf > 0),
 f AS (SELECT term, count(*) AS df FROM h GROUP BY term),
 w AS (SELECT {key}, -sum(CASE WHEN ln((n-df+0.5)/(df+0.5)) > 0 THEN ln((n-df+0.5)/(df+0.5)) ELSE 1e-6 END
         * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score, count(*) AS matched FROM h JOIN f USING (term), s GROUP BY {key})"""
 
 
+def vocabulary_sql(rows: str, columns: tuple = ("text",)) -> str:
+    """(term, docs, hits) of a relation with the column k and text columns."""
+    parts = " UNION ALL ".join(f"SELECT k, unnest(tokens_of({c})) AS term FROM {rows}" for c in columns)
+    return f"SELECT term, count(DISTINCT k) AS docs, count(*)::BIGINT AS hits FROM ({parts}) GROUP BY term"
+
+
+def documents_index(get):
+    return stored(get("documents"), "doc_id", ("text",))
+
+
 @Q.plan("E2_bm25_match", f"WITH {bm25_sql('documents', TERMS, 'doc_id', 'text')} SELECT doc_id, round(score, 6) AS score FROM w ORDER BY round(score, 6), doc_id LIMIT 20")
 def bm25_match(get):
-    return lexical.bm25_top(get("documents"), "doc_id", "text", TERMS, 20)
+    return documents_index(get).top(TERMS, 20).withColumnRenamed("key", "doc_id")
 
 
-@Q.plan("E1_postings", "WITH x AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents) SELECT term, count(*) AS postings, count(DISTINCT doc_id) AS df FROM x GROUP BY term")
+@Q.plan("E1_postings", f"WITH r AS (SELECT doc_id AS k, text FROM documents) {vocabulary_sql('r')}")
 def postings(get):
-    return lexical.postings(get("documents"), "doc_id", "text").groupBy("term").agg(F.sum("tf").alias("postings"), F.count(F.lit(1)).alias("df"))
+    return documents_index(get).vocabulary()
 
 
-@Q.plan("E4_content_bm25", f"""WITH {bm25_sql('{files}', ['der', 'und'], where="language = 'de'")}, t AS (SELECT * FROM w ORDER BY round(score, 6), file_id LIMIT 30)
+@Q.plan("E4_content_bm25", f"""WITH {bm25_sql('{files}', ['der', 'und', 'fur'], where="language = 'de'")}, t AS (SELECT * FROM w ORDER BY round(score, 6), file_id LIMIT 30)
 SELECT file_id, path, round(round(score, 6) + CASE WHEN regexp_matches(path, '(^|/)__init__[.]py$') THEN 1.2 ELSE 0 END, 6) AS score FROM t JOIN {{files}} USING (file_id)""")
 def content_bm25(get):
     files = get("files").where("language = 'de'")
-    best = lexical.bm25_top(files, "file_id", "content", ["der", "und"], 30)
+    best = stored(files, "file_id", ("content",)).top("der und für", 30).withColumnRenamed("key", "file_id")
     out = best.join(files.select("file_id", "path"), "file_id")
     return out.select("file_id", "path", F.round(F.col("score") + ranking.path_adjustment(F.lit("der und"), F.col("path"), ranking.CONTENT_INDEX), 6).alias("score"))
 
 
-@Q.plan("E5_symbol_bm25", f"""WITH {bm25_sql("(SELECT symbol_id, replace(name, '_', ' ') || ' ' || kind AS content FROM {symbols})", ['red', 'economy'], 'symbol_id')}
+#: Columns of the symbol table's index, and their weights in a query that prefers names.
+SYMBOL_COLUMNS = ("name", "kind", "signature", "documentation", "filepath")
+SYMBOL_ROWS = "(SELECT s.symbol_id, s.name, s.kind, s.signature, f.language AS documentation, f.path AS filepath FROM {symbols} s LEFT JOIN {files} f ON f.file_id = s.file_id)"
+
+
+def symbol_index(get):
+    rows = get("symbols").join(get("files").select("file_id", F.col("language").alias("documentation"), F.col("path").alias("filepath")), "file_id", "left")
+    return stored(rows.select("symbol_id", *SYMBOL_COLUMNS), "symbol_id", SYMBOL_COLUMNS)
+
+
+@Q.plan("E5_symbol_bm25", f"""WITH {bm25_sql(SYMBOL_ROWS, ['red', 'economy', 'src'], 'symbol_id', SYMBOL_COLUMNS, weights=(3, 1, 1, 1, 0.5))}
 SELECT symbol_id, regexp_replace(name, '(red)', '<b>\\1</b>', 'g') AS marked, round(score, 6) AS score FROM w JOIN {{symbols}} USING (symbol_id) ORDER BY round(score, 6), symbol_id LIMIT 15""")
 def symbol_bm25(get):
-    symbols = get("symbols")
-    docs = symbols.select("symbol_id", F.concat_ws(" ", F.translate("name", "_", " "), "kind").alias("content"))
-    best = lexical.bm25_top(docs, "symbol_id", "content", ["red", "economy"], 15)
-    return best.join(symbols, "symbol_id").select("symbol_id", F.regexp_replace("name", "(red)", "<b>$1</b>").alias("marked"), "score")
+    best = symbol_index(get).top("red economy src", 15, (3, 1, 1, 1, 0.5)).withColumnRenamed("key", "symbol_id")
+    return best.join(get("symbols"), "symbol_id").select("symbol_id", F.regexp_replace("name", "(red)", "<b>$1</b>").alias("marked"), "score")
+
 
+#: Parts of a page as text columns: title, whole markup, headings, links.
+PAGE_COLUMNS = ("title", "html", "sections", "metadata")
+PAGE_ROWS = """(SELECT page_id, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, array_to_string(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)', 1), ' ') AS sections,
+  array_to_string(regexp_extract_all(html, 'href="([^"]*)"', 1), ' ') AS metadata FROM pages)"""
 
-@Q.plan("E6_document_bm25", f"WITH {bm25_sql('pages', ['example', 'nav', 'title'], 'page_id', 'html')} SELECT page_id, round(score, 6) AS score FROM w ORDER BY round(score, 6), page_id LIMIT 10")
+
+@Q.plan("E6_document_bm25", f"WITH {bm25_sql(PAGE_ROWS, ['example', 'nav', 'title'], 'page_id', PAGE_COLUMNS, weights=(2, 1, 1.5, 1))} SELECT page_id, round(score, 6) AS score FROM w ORDER BY round(score, 6), page_id LIMIT 10")
 def document_bm25(get):
-    return lexical.bm25_top(get("pages"), "page_id", "html", ["example", "nav", "title"], 10)
+    every = lambda pattern: F.array_join(F.regexp_extract_all("html", F.lit(pattern), 1), " ")
+    rows = get("pages").select("page_id", "html", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), every("<h[1-6][^>]*>([^<]*)").alias("sections"), every('href="([^"]*)"').alias("metadata"))
+    return stored(rows, "page_id", PAGE_COLUMNS).top("example nav title", 10, (2, 1, 1.5, 1)).withColumnRenamed("key", "page_id")
 
 
 @Q.plan("E7_symbol_definition_search", """WITH c AS (SELECT 'red_gear' AS cand, 0 AS o UNION ALL SELECT 'Bolt_1', 1),
@@ -72,34 +102,50 @@ def symbol_definitions(get):
     return hits.withColumn("k", first).where("k = 1").select("symbol_id", "name", "score")
 
 
-@Q.plan("E8_phrase_query", f"SELECT doc_id FROM (SELECT doc_id, array_to_string({TOKENS_SQL.replace('content', 'text')}, ' ') AS s FROM documents) WHERE contains(' ' || s || ' ', ' of the ')")
+LISTED = "(SELECT doc_id, tokens_of(text) AS t FROM documents)"
+
+
+@Q.plan("E8_phrase_query", f"SELECT doc_id FROM (SELECT doc_id, array_to_string(t, ' ') AS s FROM {LISTED}) WHERE contains(' ' || s || ' ', ' of the ')")
 def phrase(get):
-    t = get("documents").select("doc_id", lexical.tokens(F.col("text")).alias("t"))
-    return t.where(lexical.contains_phrase("t", ["of", "the"])).select("doc_id")
+    return documents_index(get).match('"of the"').select(F.col("key").alias("doc_id"))
 
 
-@Q.plan("E9_near_query", """WITH x AS (SELECT doc_id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS t FROM documents))
-SELECT DISTINCT a.doc_id FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.term = 'with' AND b.term = 'from' AND abs(a.pos - b.pos) <= 6""")
+@Q.plan("E9_near_query", f"""WITH x AS (SELECT doc_id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS pos FROM {LISTED})
+SELECT DISTINCT doc_id, 'two' AS query FROM (SELECT a.doc_id FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.term = 'with' AND b.term = 'from' AND abs(a.pos - b.pos) <= 6)
+UNION ALL SELECT DISTINCT a.doc_id, 'three' FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.term = 'with' AND b.term = 'from' JOIN x c ON a.doc_id = c.doc_id AND c.term = 'only'
+WHERE greatest(a.pos, b.pos, c.pos) - least(a.pos, b.pos, c.pos) <= 22""")
 def near_query(get):
-    t = get("documents").select("doc_id", lexical.tokens(F.col("text")).alias("t"))
-    return t.where(lexical.near("t", "with", "from", 5)).select("doc_id")
+    index = documents_index(get)
+    two = index.match("NEAR(with from, 5)").select(F.col("key").alias("doc_id"), F.lit("two").alias("query"))
+    return two.unionByName(index.match("NEAR(with from only, 20)").select(F.col("key").alias("doc_id"), F.lit("three").alias("query")))
 
 
-@Q.plan("E10_prefix_query", """WITH x AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: starts_with(t, 'thin')) AS h FROM documents)
-SELECT doc_id, len(h)::INT AS hits, len(list_distinct(h))::INT AS terms FROM x WHERE len(h) > 0""")
+@Q.plan("E10_prefix_query", f"""WITH x AS (SELECT doc_id, list_filter(t, lambda x: starts_with(x, 'thin')) AS h FROM {LISTED})
+SELECT doc_id, len(h) AS hits, len(list_distinct(h)) AS terms FROM x WHERE len(h) > 0""")
 def prefix(get):
-    return lexical.prefix_matches(get("documents"), "doc_id", "text", "thin")
+    hit = documents_index(get).postings(prefix="thin").groupBy(F.col("key").alias("doc_id"))
+    return hit.agg(F.sum("tf").alias("hits"), F.count_distinct("term").alias("terms"))
 
 
-@Q.plan("E11_boolean_query", """WITH x AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS t FROM documents)
-SELECT doc_id, list_has_all(t, ['the', 'with', 'from', 'only']) AS is_and FROM x WHERE list_has_any(t, ['the', 'with', 'from', 'only'])""")
+@Q.plan("E11_boolean_query", f"""SELECT doc_id, list_has_all(t, ['the', 'with', 'from']) AS is_and, list_has_any(t, ['only', 'from']) AND NOT list_contains(t, 'the') AS is_not FROM {LISTED} WHERE list_has_any(t, ['the', 'with', 'from', 'only'])""")
 def boolean(get):
-    terms = ["the", "with", "from", "only"]
-    t = get("documents").select("doc_id", lexical.tokens(F.col("text")).alias("t"))
-    return t.where(lexical.any_term("t", terms)).select("doc_id", lexical.all_terms("t", terms).alias("is_and"))
+    index = documents_index(get)
+    every = index.match("the OR with OR from OR only").withColumnRenamed("key", "doc_id")
+    both = index.match("the AND with from").select(F.col("key").alias("doc_id"), F.lit(True).alias("a"))
+    less = index.match("(only OR from) NOT the").select(F.col("key").alias("doc_id"), F.lit(True).alias("n"))
+    out = every.join(both, "doc_id", "left").join(less, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("a", F.lit(False)).alias("is_and"), F.coalesce("n", F.lit(False)).alias("is_not"))
+
+
+def snippet_sql(key: str, text: str, source: str, term: str, width: int, opening: str, closing: str) -> str:
+    bare = "regexp_replace(lower(x), '[^a-z0-9_]', '', 'g')"
+    return f"""WITH x AS (SELECT {key}, string_split_regex(trim({text}), '\\s+') AS ws FROM {source} WHERE regexp_matches({text}, '(?i)\\b{term}\\b')),
+a AS (SELECT *, greatest(coalesce(list_position(list_transform(ws, lambda x: {bare}), '{term}'), 1) - 1 - {width // 2}, 0) AS s FROM x)
+SELECT {key}, CASE WHEN s > 0 THEN '...' ELSE '' END || array_to_string(list_transform(ws[s + 1:s + {width}], lambda x: CASE WHEN {bare} = '{term}' THEN '{opening}' || x || '{closing}' ELSE x END), ' ')
+  || CASE WHEN len(ws) > s + {width} THEN '...' ELSE '' END AS snippet FROM a"""
 
 
-@Q.plan("E12_snippet")
+@Q.plan("E12_snippet", snippet_sql("doc_id", "text", "documents", "from", 32, "<mark>", "</mark>"))
 def snippets(get):
     hit = get("documents").where(F.col("text").rlike(r"(?i)\bfrom\b"))
     return hit.select("doc_id", lexical.snippet(F.col("text"), ["from"], 32).alias("snippet"))
@@ -110,11 +156,11 @@ def highlights(get):
     return get("documents").select("doc_id", F.md5(lexical.highlight(F.col("text"), ["from", "only"], "<b>", "</b>")).alias("marked"))
 
 
-@Q.plan("E14_symbol_text_search", f"""WITH {bm25_sql("(SELECT symbol_id, replace(name, '_', ' ') || ' ' || signature AS content FROM {symbols})", ['widget'], 'symbol_id')}
+@Q.plan("E14_symbol_text_search", f"""WITH {bm25_sql("(SELECT symbol_id, name, signature AS documentation FROM {symbols})", ['widget', 'gear'], 'symbol_id', ('name', 'documentation'))}
 SELECT symbol_id, round(score, 6) AS score FROM w ORDER BY round(score, 6), symbol_id LIMIT 20""")
 def symbol_text(get):
-    docs = get("symbols").select("symbol_id", F.concat_ws(" ", F.translate("name", "_", " "), "signature").alias("content"))
-    return lexical.bm25_top(docs, "symbol_id", "content", ["widget"], 20)
+    rows = get("symbols").select("symbol_id", "name", F.col("signature").alias("documentation"))
+    return stored(rows, "symbol_id", ("name", "documentation")).top("widget gear", 20).withColumnRenamed("key", "symbol_id")
 
 
 ADJUST_SQL = """(CASE WHEN regexp_matches(p, '(^|/)__init__[.]py$') THEN {0} ELSE 0 END + CASE WHEN regexp_matches(p, '(^|/)tests/') THEN {1} ELSE 0 END
@@ -147,23 +193,27 @@ def boost(get):
 
 @Q.plan("E19_lexical_search", f"""WITH {bm25_sql('{files}', ['from', 'only', 'with'])}, t AS (SELECT *, matched = 3 AS strict FROM w),
 r AS (SELECT file_id, strict, row_number() OVER (ORDER BY strict DESC, round(score, 6), file_id) AS k, score FROM t),
-c AS (SELECT * FROM r WHERE k <= 80)
-SELECT file_id, strict, path, language, round(round(score, 6) + CASE WHEN ends_with(path, '.json') THEN 0.5 ELSE 0.0 END, 6) AS score
-FROM c JOIN {{files}} USING (file_id) ORDER BY round(round(score, 6) + CASE WHEN ends_with(path, '.json') THEN 0.5 ELSE 0.0 END, 6), file_id LIMIT 10""")
+c AS (SELECT * FROM r WHERE k <= 80),
+o AS (SELECT file_id, strict, path, language, content, round(round(score, 6) + CASE WHEN ends_with(path, '.json') THEN 0.5 ELSE 0.0 END, 6) AS score FROM c JOIN {{files}} USING (file_id) ORDER BY score, file_id LIMIT 10),
+n AS (SELECT *, string_split(content, chr(10)) AS ls FROM o)
+SELECT file_id, strict, path, language, score, list_position(list_transform(ls, lambda x: list_has_any(tokens_of(x), ['from', 'only', 'with'])), true)::INT AS line,
+  substr(trim(ls[list_position(list_transform(ls, lambda x: list_has_any(tokens_of(x), ['from', 'only', 'with'])), true)]), 1, 200) AS matched_line FROM n""")
 def lexical_search(get):
-    """Strict matches first, filled up with any-term matches; oversampled, adjusted by path, cut to ten."""
+    """Strict matches first, filled up with any-term matches; oversampled, adjusted by path, cut to ten, with the first line that holds a term."""
     terms = ["from", "only", "with"]
     files = get("files")
-    scored = lexical.bm25_scores(files, "file_id", "content", terms).withColumn("score", F.round("score", 6))
-    about = files.select("file_id", "path", "language", lexical.tokens(F.col("content")).alias("t"))
-    found = scored.join(about.withColumn("strict", lexical.all_terms("t", terms)).drop("t"), "file_id")
+    scored = stored(files, "file_id", ("content",)).scores(terms)
+    found = scored.select(F.col("key").alias("file_id"), F.round("score", 6).alias("score"), (F.col("matched") == len(terms)).alias("strict"))
     best = found.orderBy(F.col("strict").desc(), "score", "file_id").limit(80)
-    adjusted = best.withColumn("score", F.round(F.col("score") + ranking.path_penalty(F.col("path")), 6))
-    return adjusted.orderBy("score", "file_id").limit(10).select("file_id", "strict", "path", "language", "score")
+    adjusted = F.broadcast(best).join(files.select("file_id", "path", "language", "content"), "file_id").withColumn("score", F.round(F.col("score") + ranking.path_penalty(F.col("path")), 6))
+    top = adjusted.orderBy("score", "file_id").limit(10)
+    numbered = F.transform(F.split("content", "\n"), lambda x, i: F.struct((i + 1).alias("line"), F.substring(F.btrim(x), 1, 200).alias("text"), F.arrays_overlap(lexical.tokens(x), F.array(*map(F.lit, terms))).alias("hit")))
+    first = F.get(F.filter(numbered, lambda x: x["hit"]), F.lit(0))
+    return top.withColumn("f", first).select("file_id", "strict", "path", "language", "score", F.col("f.line").alias("line"), F.col("f.text").alias("matched_line"))
 
 
 @Q.plan("E25_documentation_search", """WITH v AS (SELECT unnest(['readme', 'guide', 'docs']) AS kind, unnest(['the of', 'que de', 'der die']) AS q),
-h AS (SELECT v.kind, f.file_id, f.path, len(list_filter(regexp_extract_all(lower(content), '[a-z0-9_]+'), lambda t: list_contains(string_split(q, ' '), t))) AS hits FROM v, {files} f
+h AS (SELECT v.kind, f.file_id, f.path, len(list_filter(tokens_of(content), lambda t: list_contains(string_split(q, ' '), t))) AS hits FROM v, {files} f
       WHERE starts_with(f.path, 'docs/') OR ends_with(f.path, '.md')),
 b AS (SELECT file_id, path, max(hits) AS hits FROM h WHERE hits > 0 GROUP BY 1, 2) SELECT file_id, path, hits FROM b ORDER BY hits DESC, file_id LIMIT 20""")
 def documentation(get):
@@ -180,7 +230,7 @@ def count_of(terms):
 STATS = ["the", "que", "zu", "zzzz"]
 
 
-@Q.plan("D9_term_statistics", """WITH d AS (SELECT regexp_extract_all(lower(text), '[a-z0-9_]+') AS t, length(text) AS c FROM documents), n AS (SELECT count(*) AS n, avg(c) AS a FROM d),
+@Q.plan("D9_term_statistics", """WITH d AS (SELECT tokens_of(text) AS t, length(text) AS c FROM documents), n AS (SELECT count(*) AS n, avg(c) AS a FROM d),
 q AS (SELECT unnest(['the', 'que', 'zu', 'zzzz']) AS term), f AS (SELECT term, count(*) FILTER (WHERE list_contains(t, term)) AS df FROM q, d GROUP BY term)
 SELECT term, df, n, round(CASE WHEN df > 0 THEN ln((n + 1) / (df + 1)) ELSE 0.0 END, 6) AS smooth_idf, round(CASE WHEN df > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 0.0 END, 6) AS okapi_idf,
   round(100.0 * df / n, 6) AS percent, round(a, 6) AS avg_chars FROM f, n""")
@@ -188,15 +238,80 @@ def term_stats(get):
     return lexical.term_statistics(get("documents"), "text", STATS)
 
 
-@Q.plan("D11_document_frequency", "WITH x AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents) SELECT term, count(*) AS df FROM x GROUP BY term HAVING count(*) > 5")
+@Q.plan("D11_document_frequency", "WITH x AS (SELECT DISTINCT doc_id, unnest(tokens_of(text)) AS term FROM documents) SELECT term, count(*) AS df FROM x GROUP BY term HAVING count(*) > 5")
 def document_frequency(get):
-    words = get("documents").select(F.explode(F.array_distinct(lexical.tokens(F.col("text")))).alias("term"))
-    return words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df > 5")
+    return documents_index(get).vocabulary().select("term", F.col("docs").alias("df")).where("df > 5")
 
 
 @Q.plan("D12_bm25_all_scores", f"WITH {bm25_sql('documents', TERMS, 'doc_id', 'text')} SELECT doc_id, round(score, 5) + 0.0::DOUBLE AS score FROM w")
 def bm25_all(get):
-    return lexical.bm25_scores(get("documents"), "doc_id", "text", TERMS).select("doc_id", F.round("score", 5).alias("score"))
+    return documents_index(get).scores(TERMS).select(F.col("key").alias("doc_id"), F.round("score", 5).alias("score"))
+
+
+# -- a changing index --------------------------------------------------------------------------
+
+FIELDS = ("filepath", "filename", "content", "language", "symbols", "imports", "comments")
+BEFORE = "(SELECT file_id, CASE WHEN file_id % 4 = 2 THEN content || ' before' ELSE content END AS content FROM {files} WHERE file_id % 4 <> 1)"
+
+
+FIELD_ROWS = r"""(SELECT *, regexp_extract(path, '[^/]+$') AS name,
+  array_to_string(regexp_extract_all(content, '(?m)^[ \t]*(?:def|class|function|func|fn|struct|interface)[ \t]+(\w+)', 1), ' ') AS symbols,
+  array_to_string(regexp_extract_all(content, '(?m)^[ \t]*(?:import|from|use|require|#include)[ \t]+([\w./<>"]+)', 1), ' ') AS imports,
+  array_to_string(regexp_extract_all(content, '(?m)(?:^|[ \t])(?:#|//)[ \t]*([^\n]+)$', 1), ' ') AS comments FROM {files})"""
+
+
+@Q.plan("E21_add_documents", f"""SELECT f.file_id, CASE WHEN b.file_id IS NULL THEN 'add' WHEN b.content IS NOT DISTINCT FROM f.content THEN 'skip' ELSE 'update' END AS decision,
+  ({' + '.join(f'len(tokens_of(f.{c}))' for c in ('path', 'content', 'language', 'name', 'symbols', 'imports', 'comments'))})::BIGINT AS total
+FROM {FIELD_ROWS} f LEFT JOIN {BEFORE} b ON b.file_id = f.file_id""")
+def add_documents(get):
+    """An index of an earlier state takes in the files of today: unchanged ones are skipped."""
+    files = lexical.file_fields(get("files"))
+    index = fresh(files, "file_id", FIELDS)
+    earlier = files.where("file_id % 4 <> 1").withColumn("content", F.when(F.col("file_id") % 4 == 2, F.concat("content", F.lit(" before"))).otherwise(F.col("content")))
+    index.add(earlier)
+    decided = index.add(files)
+    return decided.join(index.documents().select("key", "total"), "key").select(F.col("key").alias("file_id"), "decision", "total")
+
+
+@Q.plan("E22_remove_document", f"WITH r AS (SELECT doc_id AS k, CASE WHEN doc_id % 10 = 0 THEN 'the document came back' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 10 = 0) {vocabulary_sql('r')}")
+def remove_documents(get):
+    """Documents leave the index, and some come back with another text."""
+    docs = get("documents")
+    index = fresh(docs, "doc_id", ("text",))
+    index.add(docs)
+    index.remove(docs.where("doc_id % 5 = 0").select("doc_id"))
+    index.add(docs.where("doc_id % 10 = 0").withColumn("text", F.lit("the document came back")))
+    return index.vocabulary()
+
+
+def index_figures(index):
+    head = index.head()
+    row = index.vocabulary().agg(F.count(F.lit(1)).alias("terms"), F.sum("hits").alias("hits"))
+    return row.select(F.lit(len(head["segments"])).cast("long").alias("segments"), F.lit(head["documents"]).cast("long").alias("documents"), F.lit(head["tokens"]).cast("long").alias("tokens"), "terms", "hits")
+
+
+FIGURES = "SELECT 1::BIGINT AS segments, (SELECT count(*) FROM r) AS documents, (SELECT coalesce(sum(len(tokens_of(text))), 0) FROM r)::BIGINT AS tokens, count(*) AS terms, sum(hits)::BIGINT AS hits FROM v"
+
+
+@Q.plan("E23_rebuild_live", f"WITH r AS (SELECT file_id AS k, content AS text FROM {{files}} WHERE NOT is_deleted), v AS ({vocabulary_sql('r')}) {FIGURES}")
+def rebuild(get):
+    files = get("files").where("NOT is_deleted")
+    index = fresh(files, "file_id", ("content",))
+    index.add(files)
+    return index_figures(index)
+
+
+@Q.plan("E24_compact", f"WITH r AS (SELECT doc_id AS k, text FROM documents WHERE doc_id % 7 <> 0), v AS ({vocabulary_sql('r')}) {FIGURES}")
+def compact(get):
+    """Three segments and their tombstones become one segment; the old files go."""
+    docs = get("documents")
+    index = fresh(docs, "doc_id", ("text",))
+    for i in range(3):
+        index.add(docs.where(F.col("doc_id") % 3 == i))
+    index.remove(docs.where("doc_id % 7 = 0").select("doc_id"))
+    index.optimize()
+    index.vacuum()
+    return index_figures(index)
 
 
 # -- queries as rows ---------------------------------------------------------------------------
@@ -252,16 +367,6 @@ def document_queries(get):
     return asked(get).select("query_id", F.coalesce(F.get(F.split(F.btrim(F.lower("query")), " "), F.lit(0)).isin(*QUESTION_WORDS), F.lit(False)).alias("is_document"))
 
 
-#: Related terms that widen documentation queries.
-RELATED = {"install": ["installation", "setup", "getting started", "requirements"], "example": ["sample", "snippet", "demo", "code example"], "error": ["troubleshoot", "debug", "issue", "problem", "fix"]}
-
-
-@Q.plan("K7_document_expansion", f"""WITH r AS (SELECT * FROM (VALUES ('install', 'installation'), ('install', 'setup'), ('install', 'getting started'), ('install', 'requirements')) AS t(term, related))
-SELECT query_id, replace(lower(query), term, related) AS expanded FROM {ASKED_SQL}, r WHERE contains(lower(query), term)""")
-def expansion(get):
-    pairs = F.array(*[F.struct(F.lit(k).alias("term"), F.lit(v).alias("related")) for k, vs in RELATED.items() for v in vs])
-    rows = asked(get).select("query_id", F.lower("query").alias("q"), F.explode(F.filter(pairs, lambda p: F.contains(F.lower("query"), p["term"]))).alias("p"))
-    return rows.select("query_id", F.replace("q", F.col("p.term"), F.col("p.related")).alias("expanded"))
 
 
 @Q.plan("K9_keyword_expansion", f"""SELECT query_id, array_to_string(list_concat([query], list_filter(['main', 'install', 'index'], lambda k: NOT contains(lower(query), k))), ' ') AS expanded FROM {ASKED_SQL}""")
@@ -283,9 +388,4 @@ def documentation_files(get):
     return get("files").select("file_id", F.lower("path").rlike(r"\.(md|rst|txt|adoc)$|(^|/)(docs?|documentation)/|readme|changelog|contributing|license").alias("is_doc"))
 
 
-@Q.plan("K12_search_mode", f"SELECT query_id, CASE WHEN regexp_matches(query, '^[A-Za-z_]+$') THEN 'classic' WHEN length(query) > 30 THEN 'hybrid' ELSE 'bm25' END AS mode FROM {ASKED_SQL}")
-def mode(get):
-    return asked(get).select("query_id", F.when(F.col("query").rlike("^[A-Za-z_]+$"), "classic").when(F.length("query") > 30, "hybrid").otherwise("bm25").alias("mode"))
-
-
 QUERIES, ORACLES = Q.queries, Q.oracles

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quarrymill.functions import ranking
 from quarrymill.functions.text import code_intent, jaccard, point_id, trigrams
 from quarrymill.operators import fusion, fuzzy, graph, lexical, vector
+from quarrymill.operators.index import stored
+from quarrymill.session import stage
 
 from .bindings import Queries
 from .lexical_queries import bm25_sql
@@ -106,11 +108,10 @@ Q.plan("G1_knn_query", nearest_sql("cosine", 10))(nearest_plan("cosine", 10))
 @Q.plan("G4_type_weighted", """WITH s AS (SELECT a.vec_id, a.label, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 3 AND a.label IN (1, 2, 5))
 SELECT vec_id, label, round(round(score, 5) * CASE label WHEN 1 THEN 1.2 WHEN 2 THEN 0.9 ELSE 1.0 END, 5)::DOUBLE AS weighted FROM s ORDER BY round(round(score, 5) * CASE label WHEN 1 THEN 1.2 WHEN 2 THEN 0.9 ELSE 1.0 END, 5)::DOUBLE DESC, vec_id LIMIT 20""")
 def type_weighted(get):
-    points = get("embeddings").where("label IN (1, 2, 5)")
-    best = vector.nearest(points, get("embeddings").where("vec_id = 3"), 1 << 30)
     weight = F.when(F.col("label") == 1, 1.2).when(F.col("label") == 2, 0.9).otherwise(1.0)
-    out = best.join(points.select("vec_id", "label"), "vec_id").select("vec_id", "label", F.round(F.col("score") * weight, 5).alias("weighted"))
-    return out.orderBy(F.desc("weighted"), "vec_id").limit(20)
+    points = get("embeddings").where("label IN (1, 2, 5)").withColumn("weight", weight)
+    best = vector.nearest(points, get("embeddings").where("vec_id = 3"), 20, weight="weight")
+    return best.join(points.select("vec_id", "label"), "vec_id").select("vec_id", "label", F.col("score").alias("weighted"))
 
 
 @Q.plan("G5_point_id", "SELECT symbol_id, ('0x' || substr(sha1(name || ':' || kind || ':' || line_start), 1, 16))::UBIGINT::DECIMAL(20,0) AS point FROM {symbols}")
@@ -168,7 +169,7 @@ WEIGHTS = {"bm25": 0.5, "semantic": 0.3, "fuzzy": 0.2}
 
 def three_lists(get):
     docs, points = get("documents"), get("embeddings")
-    b = lexical.bm25_top(docs, "doc_id", "text", ["the", "from"], 50)
+    b = stored(docs, "doc_id", ("text",)).top("the from", 50).withColumnRenamed("key", "doc_id")
     v = vector.nearest(points, points.where("vec_id = 0"), 50).select(F.col("vec_id").alias("doc_id"), "score")
     z = docs.select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(50)
     return [
@@ -227,19 +228,12 @@ l AS (SELECT doc_id, sqrt(sum(v * v)) AS len FROM x GROUP BY doc_id)
 SELECT a.doc_id, round(sum(a.v * b.v) / (max(l.len) * max(q.len)), 6) AS score FROM x a JOIN x b ON a.term = b.term AND b.doc_id = -1 JOIN l ON l.doc_id = a.doc_id JOIN l q ON q.doc_id = -1 WHERE a.doc_id >= 0 GROUP BY a.doc_id""")
 def tfidf(get):
     """Candidates of one query, weighed by term frequency and rarity among query and candidates; cosine with the query."""
-    best = lexical.bm25_top(get("documents"), "doc_id", "text", ["only", "from"], 50)
-    docs = get("documents").join(best, "doc_id", "left_semi").select("doc_id", F.lower("text").alias("t"))
+    docs = get("documents")
+    best = stored(docs, "doc_id", ("text",)).top("only from", 50).withColumnRenamed("key", "doc_id")
+    # At most 51 rows go on: as one stored table they are read once by all that follows.
+    candidates = stage(docs.join(F.broadcast(best), "doc_id", "left_semi").select("doc_id", F.lower("text").alias("t")), "candidates")
     asked = docs.sparkSession.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("the that from with only").alias("t"))
-    every = docs.unionByName(asked)
-    tf = every.select("doc_id", F.explode(F.regexp_extract_all("t", F.lit("([a-z0-9_]{2,})"), 1)).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = every.agg(F.count(F.lit(1)).alias("n"))
-    v = tf.join(df, "term").join(F.broadcast(n)).select("doc_id", "term", (F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("v"))
-    length = v.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("len"))
-    query = v.where("doc_id = -1").select("term", F.col("v").alias("qv"))
-    shared = v.where("doc_id >= 0").join(query, "term").groupBy("doc_id").agg(F.sum(F.col("v") * F.col("qv")).alias("dot"))
-    qlen = length.where("doc_id = -1").select(F.col("len").alias("qlen"))
-    return shared.join(length, "doc_id").join(F.broadcast(qlen)).select("doc_id", F.round(F.col("dot") / (F.col("len") * F.col("qlen")), 6).alias("score"))
+    return fusion.tfidf_scores(candidates.unionByName(asked), "doc_id", "t", -1)
 
 
 Q.sql("H12_endpoint_rerank_order", "SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN quality = 1 THEN n_chars END DESC NULLS LAST, doc_id) AS new_rank FROM {documents} JOIN {labels} USING (doc_id) ORDER BY new_rank LIMIT 40")
@@ -255,7 +249,6 @@ Q.sql("H21_most_complete_definition", "WITH r AS (SELECT name, symbol_id, length
 Q.sql("H22_references", "WITH r AS (SELECT file_id, line_number, symbol_id, row_number() OVER (PARTITION BY file_id, line_number ORDER BY symbol_id) AS k FROM {refs}) SELECT file_id, line_number, symbol_id FROM r WHERE k = 1")
 Q.sql("H23_documents_first", "SELECT file_id, path, row_number() OVER (ORDER BY CASE WHEN path LIKE '%.md' THEN 0 ELSE 1 END, size * CASE WHEN path LIKE '%.md' THEN 1.5 ELSE 1.0 END DESC, file_id) AS position FROM {files} ORDER BY position LIMIT 30")
 Q.sql("H24_aggregate_statistics", "SELECT count(*) AS total, count(DISTINCT file_id) AS kept, count(*) - count(DISTINCT file_id) AS duplicates_removed FROM {refs}")
-Q.sql("H14_rerank_filter", "SELECT file_id, path FROM {files} WHERE path NOT LIKE 'docs/%' ORDER BY size DESC, file_id LIMIT 25")
 
 
 @Q.plan("H19_similarity_groups")
@@ -328,10 +321,20 @@ def symbol_dependents(get):
     return graph.reach(get("edges"), seeded(get, "s3"), 3).where("distance > 0")
 
 
-Q.sql("L11_topological_levels", "WITH RECURSIVE b(node, d) AS (SELECT 'r' || cast(r_regionkey AS string), 0 FROM {region} UNION ALL SELECT src, d + 1 FROM b JOIN {edges} e ON e.dst = b.node WHERE d < 2 AND src NOT LIKE 'r%') SELECT node, max(d) AS level FROM b GROUP BY node")
-Q.sql("L12_interface_satisfaction", "SELECT s.p_brand AS type_name FROM (SELECT DISTINCT p_brand FROM {part}) s WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT p_type FROM {part} WHERE p_size = 1) m LEFT JOIN {part} p ON p.p_type = m.p_type AND p.p_brand = s.p_brand WHERE p.p_partkey IS NULL)",
-      "SELECT p_brand AS type_name FROM part WHERE p_type IN (SELECT p_type FROM part WHERE p_size = 1) GROUP BY p_brand HAVING count(DISTINCT p_type) = (SELECT count(DISTINCT p_type) FROM part WHERE p_size = 1)")
-Q.sql("L13_hierarchy_closure", "WITH RECURSIVE b(node, anc, d) AS (SELECT src, dst, 1 FROM {edges} WHERE src LIKE 's%' UNION ALL SELECT b.node, e.dst, d + 1 FROM b JOIN {edges} e ON e.src = b.anc WHERE d < 2) SELECT node, anc, min(d) AS distance FROM b GROUP BY node, anc")
+@Q.plan("L11_topological_levels", """WITH RECURSIVE c AS (SELECT chunk, CASE WHEN parent IN (SELECT chunk FROM {chunk_tree}) THEN parent END AS parent FROM {chunk_tree}),
+b(chunk, level) AS (SELECT chunk, 0 FROM c WHERE parent IS NULL UNION ALL SELECT c.chunk, level + 1 FROM b JOIN c ON c.parent = b.chunk)
+SELECT c.chunk, level, level IS NULL AS in_cycle FROM c LEFT JOIN b ON b.chunk = c.chunk""")
+def topological(get):
+    return graph.levels(get("chunk_tree"), "chunk", "parent")
+
+
+@Q.plan("L13_hierarchy_closure", """WITH RECURSIVE b(node, anc, d) AS (SELECT chunk, parent, 1 FROM {chunk_tree} WHERE parent IS NOT NULL UNION SELECT b.node, t.parent, d + 1 FROM b JOIN {chunk_tree} t ON t.chunk = b.anc WHERE t.parent IS NOT NULL AND d < 40)
+SELECT node, anc, min(d)::INT AS distance FROM b GROUP BY node, anc""")
+def hierarchy(get):
+    tree = get("chunk_tree").where("parent IS NOT NULL")
+    return graph.closure(tree.select(F.col("chunk").alias("src"), F.col("parent").alias("dst"))).withColumnsRenamed({"src": "node", "dst": "anc"})
+
+
 Q.sql("L14_adjacency_sets", "SELECT src, count(DISTINCT dst) AS n, min(dst) AS least FROM {edges} GROUP BY src")
 Q.sql("C13_graph_seed_join", "SELECT DISTINCT src FROM {edges} WHERE src IN (SELECT 'c' || cast(file_id AS string) FROM {files} WHERE language = 'de')")
 Q.sql("C14_symbol_seeds", "SELECT src, dst FROM {edges} WHERE src IN ('n1', 'n2', 's7')")
@@ -346,7 +349,7 @@ def cross_repo(get):
     return ranked.where("k <= 5").select("repo_id", "name", "symbol_id", "k")
 
 
-@Q.plan("M2_cross_repo_code", """WITH d AS (SELECT file_id, repo, regexp_extract_all(lower(content), '[a-z0-9_]+') AS t FROM {files}), s AS (SELECT repo, count(*) AS n, avg(len(t)) AS avgdl FROM d GROUP BY repo),
+@Q.plan("M2_cross_repo_code", """WITH d AS (SELECT file_id, repo, tokens_of(content) AS t FROM {files}), s AS (SELECT repo, count(*) AS n, avg(len(t)) AS avgdl FROM d GROUP BY repo),
 p AS (SELECT file_id, repo, len(t) AS dl, len(list_filter(t, lambda x: x = 'only')) AS tf FROM d), f AS (SELECT repo, count(*) AS df FROM p WHERE tf > 0 GROUP BY repo),
 w AS (SELECT file_id, repo, round(-CASE WHEN ln((n-df+0.5)/(df+0.5)) > 0 THEN ln((n-df+0.5)/(df+0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM p JOIN s USING (repo) JOIN f USING (repo) WHERE tf > 0)
 SELECT repo, file_id, score, k::INT AS k FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score, file_id) AS k FROM w) WHERE k <= 3""")
@@ -369,12 +372,8 @@ Q.sql("D15_content_hash_groups", "SELECT md5(name || ':' || kind) AS key, count(
 Q.sql("M8_relative_key", "SELECT file_id, md5(substr(path, instr(path, '/') + 1)) AS key FROM {files}")
 Q.sql("M3_coordinated_search", f"WITH s AS (SELECT name, kind, min(repo_id) AS repo_id, count(DISTINCT repo_id) AS n, cast(max({SYMBOL_SCORE}) AS double) AS score FROM {{repo_symbols}} WHERE contains(name, '1') GROUP BY name, kind) SELECT name, kind, repo_id, cast(round(score * CASE WHEN n > 1 THEN 1 + 0.1 * (n - 1) ELSE 1 END, 4) AS double) AS score FROM s ORDER BY score DESC, name LIMIT 25")
 Q.sql("M9_code_best_first", "SELECT repo, file_id, size FROM (SELECT repo, file_id, size, row_number() OVER (PARTITION BY md5(substr(path, instr(path, '/') + 1)) ORDER BY size DESC, file_id) AS k FROM {files}) WHERE k = 1 ORDER BY size DESC, file_id LIMIT 40")
-Q.sql("M11_dependency_search", "SELECT DISTINCT r.repo_id, r.name, CASE WHEN r.repo_id IN (1, 2) THEN false ELSE true END AS from_dependency FROM {repositories} r WHERE r.repo_id IN (1, 2) OR r.repo_id IN (SELECT region + 7 FROM {repositories} WHERE repo_id IN (1, 2))")
-Q.sql("J11_dependency_closure", "SELECT repo_id FROM {repositories} WHERE repo_id IN (3, 4) UNION SELECT region + 7 FROM {repositories} WHERE repo_id IN (3, 4)")
-Q.sql("M12_language_scope", "SELECT repo, language, count(*) AS n FROM {files} WHERE language IN ('en', 'fr') GROUP BY repo, language")
 Q.sql("M13_repository_listing", "SELECT repo_id, name, priority FROM {repositories} WHERE active ORDER BY priority DESC, name")
 Q.sql("M14_repository_identity", "SELECT repo_id, substr(sha2(coalesce(nullif(name, 'NATION_3'), 'path/' || cast(repo_id AS string)), 256), 1, 16) AS identity FROM {repositories}", "SELECT repo_id, substr(sha256(coalesce(nullif(name, 'NATION_3'), 'path/' || cast(repo_id AS string))), 1, 16) AS identity FROM {repositories}")
-Q.sql("I11_priority_sort", "SELECT r.repo_id, s.symbol_id, row_number() OVER (ORDER BY priority DESC, r.repo_id, s.symbol_id) AS position FROM {repositories} r JOIN {repo_symbols} s ON s.repo_id = r.repo_id")
 Q.sql("I12_scope_top_repositories", "SELECT repo_id, priority FROM {repositories} WHERE active AND repo_id < 20 ORDER BY priority DESC, repo_id LIMIT 6")
 Q.sql("D6_repository_rollup", "SELECT language, count(DISTINCT repo) AS repositories, count(*) AS files, sum(size) AS bytes FROM {files} GROUP BY language")
 Q.sql("D7_cross_repo_statistics", "SELECT count(*) AS repositories, sum(CASE WHEN active THEN 1 ELSE 0 END) AS active, max(priority) AS top FROM {repositories}")

@@ -14,8 +14,6 @@ Q = Queries()
 
 # -- scans -------------------------------------------------------------------------------------
 
-Q.sql("A1_file_tree_scan", "SELECT file_id, path, size FROM {files} WHERE size <= 5000 AND path LIKE '%.py'")
-Q.sql("A2_directory_index_scan", "SELECT CASE WHEN size > 10000 THEN 'too_large' WHEN path LIKE '%.json' THEN 'ignored' ELSE 'indexed' END AS status, count(*) AS files FROM {files} GROUP BY CASE WHEN size > 10000 THEN 'too_large' WHEN path LIKE '%.json' THEN 'ignored' ELSE 'indexed' END")
 
 IGNORED = ("docs/*", "*.json", "*/__init__.*")
 
@@ -56,9 +54,7 @@ Q.sql("A12_diff_source", "SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.p
 Q.sql("A13_working_tree", "SELECT path, action FROM {changes} WHERE action = 'added' UNION ALL SELECT path, action FROM {changes} WHERE action = 'modified' AND value > 50 UNION ALL SELECT path, 'untracked' FROM {changes} WHERE action = 'renamed'")
 Q.sql("A14_name_status_lines", "SELECT event_id, split(line, ';')[0] AS status, split(line, ';')[1] AS path FROM (SELECT event_id, CASE action WHEN 'added' THEN 'A;' WHEN 'deleted' THEN 'D;' WHEN 'renamed' THEN 'R100;' ELSE 'M;' END || path AS line FROM {changes}) WHERE line NOT LIKE 'R%'",
       "SELECT event_id, string_split(line, ';')[1] AS status, string_split(line, ';')[2] AS path FROM (SELECT event_id, CASE action WHEN 'added' THEN 'A;' WHEN 'deleted' THEN 'D;' WHEN 'renamed' THEN 'R100;' ELSE 'M;' END || path AS line FROM {changes}) WHERE line NOT LIKE 'R%'")
-Q.sql("A15_issue_source", "SELECT conv_id, turn, role FROM {conversations} WHERE role = 'user' AND turn = 0")
 Q.sql("A17_keyed_upsert", "SELECT coalesce(n.vec_id, o.vec_id) AS vec_id, coalesce(n.label, o.label) AS label FROM (SELECT vec_id, label FROM {embeddings} WHERE vec_id % 3 <> 0) o FULL OUTER JOIN (SELECT vec_id, label + 100 AS label FROM {embeddings} WHERE vec_id % 2 = 0) n ON o.vec_id = n.vec_id")
-Q.sql("A21_artifact_checksums", "SELECT path, sha2(content, 256) AS checksum, size FROM {files}", "SELECT path, sha256(content) AS checksum, size FROM {files}")
 
 # -- predicates and projections ----------------------------------------------------------------
 
@@ -111,7 +107,6 @@ Q.sql("C8_missing_vectors", "SELECT count(*) AS missing FROM {chunks} c LEFT ANT
 Q.sql("C9_references_of_symbol", "SELECT r.line_number, f.path FROM {refs} r JOIN {files} f ON r.file_id = f.file_id WHERE r.symbol_id = 12")
 Q.sql("C10_name_map", "SELECT name, count(*) AS n, min(s.symbol_id) AS first, min(f.path) AS path FROM {symbols} s JOIN {files} f ON s.file_id = f.file_id GROUP BY name")
 Q.sql("C11_unsummarised_by_path", "SELECT c.chunk_id, f.path FROM {files} f JOIN {chunks} c ON c.file_id = f.file_id LEFT JOIN {summaries} s ON s.chunk_hash = c.chunk_id WHERE s.chunk_hash IS NULL AND f.path LIKE 'src/%'")
-Q.sql("C15_package_repository_join", "SELECT a.repo_id, b.repo_id AS dependency FROM {repositories} a JOIN {repositories} b ON b.repo_id = a.region + 3 WHERE a.repo_id <> b.repo_id")
 Q.sql("C16_issue_upsert", "SELECT conv_id, role, turn, n FROM (SELECT conv_id, role, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS k FROM {conversations}) WHERE k = 1")
 SNAPSHOT = "(SELECT path, hash FROM {files} WHERE file_id % 10 <> 0) a FULL OUTER JOIN (SELECT CASE WHEN file_id % 8 = 0 THEN 'moved/' || path ELSE path END AS path, CASE WHEN file_id % 7 = 0 THEN 'x' || hash ELSE hash END AS hash FROM {files} WHERE file_id % 9 <> 0) b ON a.path = b.path"
 Q.sql("C17_snapshot_differences", f"SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'created' ELSE 'deleted' END AS change FROM {SNAPSHOT} WHERE a.path IS NULL OR b.path IS NULL")
@@ -145,21 +140,7 @@ Q.sql("D22_latency_percentiles", "SELECT event_type, round(avg(value), 4) AS mea
       "SELECT event_type, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS median, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99, min(value) AS least, max(value) AS most FROM {events} GROUP BY event_type")
 
 
-@Q.plan("D23_histogram_buckets", "SELECT bound, count(*) FILTER (WHERE value <= bound) AS n FROM events, (SELECT unnest([1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 'inf'::DOUBLE])::DOUBLE AS bound) GROUP BY bound")
-def histogram(get):
-    bounds = [1.0, 5.0, 10.0, 25.0, 50.0, 100.0, float("inf")]
-    one = get("events").agg(*[F.count_if(F.col("value") <= b).alias(f"b{i}") for i, b in enumerate(bounds)])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(b).alias("bound"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)])).alias("x")).select("x.*")
-
-
 Q.sql("D24_running_mean", "SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS total, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM {events}")
-Q.sql("D25_metric_means", "SELECT lang AS arm, quality AS depth, round(avg(n_chars), 4) AS mean_chars, avg(toxic) AS toxic_rate FROM {documents} JOIN {labels} USING (doc_id) GROUP BY lang, quality")
-
-
-@Q.plan("D26_best_chunk", "SELECT file_id, chunk_id FROM (SELECT file_id, chunk_id, row_number() OVER (PARTITION BY file_id ORDER BY (contains(chunk_id, '7')::INT + contains(chunk_id, '12')::INT) DESC, line_start, chunk_id) AS k FROM {chunks}) WHERE k = 1")
-def best_chunk(get):
-    hits = F.contains("chunk_id", F.lit("7")).cast("int") + F.contains("chunk_id", F.lit("12")).cast("int")
-    return get("chunks").groupBy("file_id").agg(F.min_by("chunk_id", F.struct(-hits, F.col("line_start"), F.col("chunk_id"))).alias("chunk_id"))
 
 
 Q.sql("D27_type_token_ratio", "SELECT doc_id, round(size(array_distinct(w)) / size(w), 6) AS ratio FROM (SELECT doc_id, split(trim(lower(text)), '[ \\n]+') AS w FROM {documents})", "SELECT doc_id, round(len(list_distinct(w)) / len(w), 6) AS ratio FROM (SELECT doc_id, string_split_regex(trim(lower(text)), '[ \\n]+') AS w FROM {documents})")

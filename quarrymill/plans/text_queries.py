@@ -34,12 +34,6 @@ for _key, _strategy in (("N13_sentence_chunks", "sentence"), ("N14_paragraph_chu
     chunk_query(_key, _strategy)
 
 
-@Q.plan("N3_sentence_split", "SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s) <> ''))::BIGINT AS sentences FROM documents WHERE NOT regexp_matches(text, '[`\\[\\])]|\\n\\n|[.!?]\\s+[A-Z][.!?]')")
-def sentence_split(get):
-    docs = get("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.mapInPandas(lambda it: (p.assign(sentences=[len(chunking.sentences(t)) for t in p["text"]])[["doc_id", "sentences"]] for p in it), "doc_id long, sentences long")
-
-
 @Q.plan("N5_sentence_offsets", "SELECT doc_id, i::INT AS i, s, (sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(s) - 1)::BIGINT AS start FROM (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS s FROM (SELECT doc_id, string_split(text, '.') AS l FROM documents))")
 def offsets(get):
     s = get("documents").select("doc_id", F.posexplode(F.split("text", r"\.")).alias("i", "s"))
@@ -105,12 +99,6 @@ def headings(get):
     return lines.where(F.col("line").rlike(r"^#{1,6}\s+\S") | F.col("line").rlike("^All rights")).select("doc_id", (F.col("at") + 1).alias("i"), "line")
 
 
-@Q.plan("N27_front_matter", "SELECT doc_id, regexp_extract(t, '^---\\nlang: (.*)\\n---\\n', 1) AS lang, length(t) - length(regexp_replace(t, '^---\\nlang: .*\\n---\\n', '')) AS cut FROM (SELECT doc_id, '---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || text AS t FROM documents)")
-def front_matter(get):
-    t = F.concat(F.lit("---\nlang: "), "lang", F.lit("\n---\n"), "text")
-    return get("documents").select("doc_id", t.alias("t")).select("doc_id", F.regexp_extract("t", r"^---\nlang: (.*)\n---\n", 1).alias("lang"), (F.length("t") - F.length(F.regexp_replace("t", r"^---\nlang: .*\n---\n", ""))).cast("long").alias("cut"))
-
-
 READ = "206.835 - 1.015 * (w / s) - 84.6 * (y / w)"
 
 
@@ -149,21 +137,6 @@ def keywords(get):
     return ranked.where("k <= 20").select("doc_id", "term", "score")
 
 
-@Q.plan("N38_key_phrases", f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents),
-g AS (SELECT doc_id, w[i] || ' ' || w[i+1] AS phrase, list_contains({STOP_SQL}, w[i])::INT + list_contains({STOP_SQL}, w[i+1])::INT AS stops FROM d, unnest(range(1, len(w))) AS u(i)),
-c AS (SELECT doc_id, phrase, count(*) AS n FROM g WHERE stops <= 1 GROUP BY 1, 2 HAVING count(*) > 1)
-SELECT doc_id, phrase, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, phrase) AS k FROM c) WHERE k <= 10""")
-def phrases(get):
-    sentences = get("documents").select("doc_id", F.explode(F.split(F.lower("text"), r"\.")).alias("s"))
-    d = sentences.select("doc_id", F.regexp_extract_all("s", F.lit("([a-z]+)"), 1).alias("w")).where(F.size("w") > 1)
-    at = lambda n: F.sequence(F.lit(1), F.size("w") - n + 1)
-    pairs = F.transform(at(2), lambda i: F.slice("w", i, 2))
-    triples = F.when(F.size("w") > 2, F.transform(at(3), lambda i: F.slice("w", i, 3))).otherwise(F.array().cast("array<array<string>>"))
-    g = d.select("doc_id", F.explode(F.concat(pairs, triples)).alias("p")).where(F.size(F.filter("p", lambda x: x.isin(STOP))) <= 1)  # n // 2 of both lengths
-    c = g.groupBy("doc_id", F.array_join("p", " ").alias("phrase")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return c.withColumn("k", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "phrase"))).where("k <= 10").drop("k")
-
-
 @Q.plan("N39_special_terms", "SELECT symbol_id, len(list_distinct(list_concat(regexp_extract_all(name, '[a-z]+(?:_[a-z]+)+'), regexp_extract_all(signature, '\\b[A-Z]{2,}\\b'))))::INT AS terms FROM {symbols}")
 def special(get):
     found = F.array_distinct(F.concat(F.regexp_extract_all("name", F.lit("([a-z]+(?:_[a-z]+)+)"), 1), F.regexp_extract_all("signature", F.lit(r"\b([A-Z]{2,})\b"), 1)))
@@ -173,11 +146,6 @@ def special(get):
 Q.sql("N40_technical_term", "SELECT symbol_id, name RLIKE '[0-9_-]|....(tion|ment|ize|able)$' AS technical FROM {symbols}", "SELECT symbol_id, regexp_matches(name, '[0-9_-]|....(tion|ment|ize|able)$') AS technical FROM {symbols}")
 
 
-@Q.plan("N41_related_terms", "SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(lower(text), '\\bfrom ([a-z]+)', 1)) AS term FROM documents) WHERE length(term) > 2 ORDER BY term LIMIT 10")
-def related(get):
-    return get("documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\bfrom ([a-z]+)"), 1)).alias("term")).where(F.length("term") > 2).distinct().orderBy("term").limit(10)
-
-
 @Q.plan("N42_relevance", "SELECT doc_id, least(2.0, CASE WHEN contains(lower(text), 'of the') THEN 1.0 ELSE 0 END + 0.5 * (contains(lower(text), 'from')::INT + contains(lower(text), 'que')::INT))::DOUBLE AS relevance FROM documents")
 def relevance(get):
     t = F.lower("text")
@@ -310,12 +278,6 @@ def recall(get):
 
 
 Q.sql("R4_percentile", "SELECT lang, round(percentile(n_chars, 0.95), 4) AS p95 FROM {documents} GROUP BY lang", "SELECT lang, round(quantile_cont(n_chars, 0.95), 4) AS p95 FROM {documents} GROUP BY lang")
-Q.sql("R5_arm_depth", "SELECT lang AS arm, d.depth, count(*) AS hits, sum(CASE WHEN rel = 1 THEN 1 ELSE 0 END) AS relevant FROM " + RANKED.replace("lang AS query_id", "lang, lang AS query_id") + " r JOIN (SELECT 10 AS depth UNION ALL SELECT 50) d ON r.rank <= d.depth JOIN (SELECT doc_id, quality AS rel FROM {labels}) j ON j.doc_id = r.doc_id GROUP BY lang, d.depth")
-Q.sql("R6_ranking_normaliser", f"SELECT query_id, doc_id, cast(rank AS double) AS score FROM {RANKED} WHERE rank <= 5")
-Q.sql("R7_query_split", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'holdout' ELSE 'main' END AS split FROM {labels}")
-Q.sql("R8_freeze_gate", "SELECT sha2(concat_ws(',', min(text), max(text)), 256) AS digest, count(*) AS rows FROM {benchmark}", "SELECT sha256(concat_ws(',', min(text), max(text))) AS digest, count(*) AS rows FROM {benchmark}")
-Q.sql("R9_regressions", "SELECT a.user_id, round(100 * (b.p - a.p) / a.p, 4) AS change FROM (SELECT user_id, sum(value) AS p FROM {events} WHERE event_id % 2 = 0 GROUP BY user_id) a JOIN (SELECT user_id, sum(value) AS p FROM {events} WHERE event_id % 2 = 1 GROUP BY user_id) b ON a.user_id = b.user_id WHERE abs(100 * (b.p - a.p) / a.p) > 10")
 Q.sql("R10_slow_queries", "SELECT event_id, value FROM {events} WHERE value > 95 ORDER BY value DESC, event_id")
-Q.sql("A16_frozen_eval", "SELECT item_id, sha2(text, 256) AS digest FROM {benchmark}", "SELECT item_id, sha256(text) AS digest FROM {benchmark}")
 
 QUERIES, ORACLES = Q.queries, Q.oracles

@@ -69,16 +69,9 @@ def apply_changes(get):
 
 PAIRS = "WITH c AS (SELECT path, hash FROM (SELECT 'moved/' || path AS path, hash FROM {files} WHERE file_id % 8 = 0) n), d AS (SELECT path, hash FROM {files} WHERE file_id % 8 = 0), a AS (SELECT hash, min(path) AS new_path FROM c GROUP BY hash HAVING count(*) = 1), b AS (SELECT hash, min(path) AS old_path FROM d GROUP BY hash HAVING count(*) = 1) SELECT old_path, new_path, a.hash FROM a JOIN b ON a.hash = b.hash"
 Q.sql("P6_rename_pairing", PAIRS)
-Q.sql("P5_sweep_counts", "SELECT hour(ts) AS hour, count(*) AS n FROM {changes} GROUP BY hour(ts)")
-Q.sql("P8_monitor_new_commits", "SELECT path, count(DISTINCT action) AS actions, min(event_id) AS first FROM {changes} GROUP BY path")
 Q.sql("P9_change_set_normalise", "SELECT event_id, CASE WHEN action = 'renamed' AND user_id % 3 = 0 THEN 'deleted' WHEN action = 'renamed' AND user_id % 3 = 1 THEN 'added' ELSE action END AS action FROM {changes}")
-Q.sql("P10_apply_order", "SELECT event_id, row_number() OVER (ORDER BY CASE action WHEN 'deleted' THEN 0 WHEN 'renamed' THEN 1 ELSE 2 END, event_id) AS position FROM {changes}")
-Q.sql("P11_full_or_incremental", "SELECT user_id % 20 AS repo, CASE WHEN count(*) > 1000 THEN 'full' WHEN count(DISTINCT path) >= 4 THEN 'full' ELSE 'incremental' END AS mode FROM {changes} GROUP BY user_id % 20")
-Q.sql("P12_remaining_after_checkpoint", "SELECT file_id, path FROM {files} WHERE file_id > (SELECT max(file_id) FROM {files} WHERE file_id % 100 = 37) OR file_id % 41 = 0")
 Q.sql("P13_needs_reindex", "SELECT a.file_id FROM {files} a LEFT JOIN (SELECT file_id, CASE WHEN file_id % 6 = 0 THEN 'old' ELSE hash END AS hash FROM {files} WHERE file_id % 5 <> 0) b ON a.file_id = b.file_id AND a.hash = b.hash WHERE b.file_id IS NULL")
-Q.sql("P14_sync_states", "SELECT repo_id, CASE WHEN region = 4 THEN 'wrong_branch' WHEN priority = 0 THEN 'up_to_date' WHEN NOT active THEN 'full' ELSE 'incremental' END AS state FROM {repositories}")
 Q.sql("P16_pending_deletions", "SELECT DISTINCT p.chunk_id, p.profile_id FROM {points} p WHERE p.collection = 'c2' AND NOT EXISTS (SELECT 1 FROM {summaries} s WHERE s.chunk_hash = p.chunk_id)")
-Q.sql("P19_tracked_branch_guard", "SELECT event_id FROM {events} WHERE event_type = 'view' AND user_id % 2 = 0")
 
 # -- table maintenance -------------------------------------------------------------------------
 
@@ -89,17 +82,11 @@ Q.sql("Q5_delete_chunks", "SELECT count(*) AS kept FROM {chunks} c LEFT ANTI JOI
 Q.sql("Q6_persist_shard", "SELECT symbol_id, file_id, name FROM {symbols} WHERE file_id <> 12 UNION ALL SELECT symbol_id + 100000, 12, name || '_v2' FROM {symbols} WHERE file_id = 12")
 Q.sql("Q7_store_reference", "SELECT symbol_id, count(*) AS n FROM (SELECT symbol_id FROM {refs} UNION ALL SELECT symbol_id FROM {symbols} WHERE kind = 'promo') GROUP BY symbol_id")
 Q.sql("Q8_soft_delete", "SELECT file_id, CASE WHEN path LIKE 'tests/%' THEN true ELSE is_deleted END AS is_deleted FROM {files}")
-Q.sql("Q9_delete_cascade", "SELECT 'symbols' AS t, count(*) AS n FROM {symbols} WHERE file_id NOT IN (SELECT file_id FROM {files} WHERE is_deleted) UNION ALL SELECT 'refs', count(*) FROM {refs} WHERE file_id NOT IN (SELECT file_id FROM {files} WHERE is_deleted)")
 Q.sql("Q10_move_file", "SELECT file_id, CASE WHEN path LIKE 'lib/%' THEN 'core/' || substr(path, 5) ELSE path END AS path, CASE WHEN path LIKE 'lib/%' THEN 'relocate' END AS move_type FROM {files}")
-Q.sql("Q11_ttl_cleanup", "SELECT file_id FROM {files} WHERE NOT (is_deleted AND version < 9)")
 Q.sql("Q12_token_count_update", "SELECT chunk_id, CASE WHEN file_id = 33 THEN line_end - line_start ELSE 0 END AS token_count FROM {chunks}")
 Q.sql("Q13_point_map", "SELECT profile_id, chunk_id, max(collection) AS collection FROM {points} GROUP BY profile_id, chunk_id")
 Q.sql("Q14_summary_upsert", "SELECT chunk_hash, min(profile) AS profile, count(*) AS n FROM {summaries} GROUP BY chunk_hash")
-Q.sql("Q15_invalidation_plan", "SELECT s.chunk_hash, CASE WHEN s.profile = 'A' THEN 'preserve' ELSE 'delete' END AS decision, p.collection FROM {summaries} s JOIN {points} p ON p.chunk_id = s.chunk_hash OR p.chunk_id = s.chunk_hash || ':part:1' WHERE s.chunk_hash LIKE 'ch1%'",
-      "SELECT s.chunk_hash, CASE WHEN s.profile = 'A' THEN 'preserve' ELSE 'delete' END AS decision, p.collection FROM {summaries} s JOIN {points} p ON p.chunk_id = s.chunk_hash WHERE s.chunk_hash LIKE 'ch1%'")
-Q.sql("Q16_scheme_guard", "SELECT profile_id, CASE WHEN count(DISTINCT collection) = 1 THEN 'match' ELSE 'mixed' END AS state FROM {points} GROUP BY profile_id")
 Q.sql("Q17_scheme_rebuild", "SELECT md5(chunk_id || ':v2') AS chunk_id, file_id FROM {chunks}")
-Q.sql("Q18_migrated_columns", "SELECT file_id, path, 'v2' AS schema_version, cast(NULL AS string) AS deleted_at FROM {files}")
 
 
 @Q.plan("Q3_symbol_with_trigrams", "SELECT symbol_id, len(list_distinct(list_transform(range(1, length(name) + 3), lambda i: substr('  ' || lower(name) || '  ', i, 3))))::INT AS trigrams FROM {symbols}")
@@ -110,30 +97,15 @@ def symbol_trigrams(get):
 
 
 Q.sql("Q19_derived_recompute", "SELECT s.file_id, count(*) AS terms FROM {symbols} s JOIN (SELECT DISTINCT file_id FROM {files} WHERE version = 3) t ON t.file_id = s.file_id GROUP BY s.file_id")
-Q.sql("Q20_task_priority", "SELECT file_id, priority, row_number() OVER (ORDER BY priority DESC, file_id) AS position FROM (SELECT file_id, version % 4 AS priority FROM {files})")
-Q.sql("E21_add_documents", "SELECT file_id, CASE WHEN hash = prev THEN 'skip' ELSE 'index' END AS decision FROM (SELECT file_id, hash, CASE WHEN file_id % 4 = 0 THEN hash ELSE '' END AS prev FROM {files})")
-Q.sql("E22_remove_document", "SELECT file_id FROM {files} WHERE file_id NOT IN (5, 6, 7) UNION ALL SELECT 5 FROM {region} WHERE r_regionkey = 0")
-Q.sql("E23_rebuild_live", "SELECT language, count(*) AS docs, sum(length(content)) AS chars FROM {files} WHERE NOT is_deleted GROUP BY language")
 
 # -- cache -------------------------------------------------------------------------------------
 
-Q.sql("S1_cache_key", "SELECT user_id, event_type, md5(event_type || ':' || cast(user_id AS string)) AS key, CASE event_type WHEN 'view' THEN 300 WHEN 'click' THEN 60 ELSE 3600 END AS ttl FROM (SELECT DISTINCT user_id, event_type FROM {events})")
-Q.sql("S2_cached_results", "SELECT e.event_id FROM {events} e JOIN (SELECT user_id, max(event_id) AS put FROM {events} WHERE event_type = 'purchase' GROUP BY user_id) c ON c.user_id = e.user_id AND e.event_id > c.put WHERE e.event_type = 'view'")
-Q.sql("S3_invalidate", "SELECT event_id, user_id FROM {events} WHERE user_id NOT IN (SELECT user_id FROM {events} WHERE event_type = 'error' AND value > 99)")
-Q.sql("S4_lru_keep", "SELECT user_id, last FROM (SELECT user_id, max(ts) AS last FROM {events} GROUP BY user_id) ORDER BY last DESC, user_id LIMIT 50")
-Q.sql("S6_expired_purge", "SELECT event_id FROM {events} WHERE ts >= timestamp '2024-01-20 00:00:00'")
 Q.sql("S7_popular_queries", "SELECT user_id, event_type, count(*) AS hits FROM {events} GROUP BY user_id, event_type HAVING count(*) >= 5")
 
 # -- artifacts ---------------------------------------------------------------------------------
 
-DELTA = "(SELECT path, hash FROM {files} WHERE file_id % 10 <> 0) a FULL OUTER JOIN (SELECT path, CASE WHEN file_id % 7 = 0 THEN 'x' || hash ELSE hash END AS hash FROM {files} WHERE file_id % 9 <> 0) b ON a.path = b.path"
-Q.sql("T1_delta_manifest", f"SELECT path, operation, row_number() OVER (ORDER BY CASE operation WHEN 'delete' THEN 1 ELSE 0 END, path) AS position FROM (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'add' WHEN b.path IS NULL THEN 'delete' ELSE 'modify' END AS operation FROM {DELTA} WHERE a.hash IS DISTINCT FROM b.hash)")
 Q.sql("T2_manifest_validate", "SELECT file_id, path LIKE '/%' OR path LIKE '%..%' OR path = '' AS unsafe FROM {files}")
-Q.sql("T3_delta_chain", "WITH RECURSIVE c(target, base, depth) AS (SELECT o_orderkey, o_orderkey - 7, 1 FROM {orders} WHERE o_orderkey = 100 UNION ALL SELECT o.o_orderkey, o.o_orderkey - 7, depth + 1 FROM c JOIN {orders} o ON o.o_orderkey = c.base WHERE depth < 30 AND c.base > 10) SELECT target, base, depth FROM c")
 Q.sql("T4_best_target", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM {orders}) WHERE k = 1")
-Q.sql("T5_full_or_delta", "SELECT o_orderkey, CASE WHEN o_totalprice <= 250000 THEN 'full' WHEN o_custkey % 3 = 0 THEN 'full' ELSE 'delta' END AS strategy FROM {orders}")
-Q.sql("T6_freshness", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'invalid' WHEN o_custkey % 5 = 0 THEN 'stale_commit' WHEN o_orderdate < timestamp '2000-01-01 00:00:00' THEN 'stale_age' ELSE 'fresh' END AS verdict FROM {orders}")
-Q.sql("T7_retention", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM {orders}) WHERE k > 3 AND o_orderdate < timestamp '1999-01-01 00:00:00'")
 Q.sql("T8_artifact_id", "SELECT repo_id, 'index-' || replace(name, '_', '-') || '-main-' || substr(md5(name), 1, 8) || '-full' AS artifact FROM {repositories}")
 
 # -- extension surface -------------------------------------------------------------------------
@@ -180,6 +152,5 @@ def manifests(get):
 
 
 Q.sql("U14_store_health", "SELECT 'files' AS name, count(*) > 0 AS present FROM {files} UNION ALL SELECT 'symbols', count(*) > 0 FROM {symbols} UNION ALL SELECT 'points', count(*) > 0 FROM {points}")
-Q.sql("U16_readiness", "SELECT repo_id, CASE WHEN region = 0 THEN 'git_unavailable' WHEN priority = 3 THEN 'building' WHEN NOT active THEN 'missing_index' WHEN region = 4 THEN 'stale' ELSE 'ready' END AS state FROM {repositories}")
 
 QUERIES, ORACLES = Q.queries, Q.oracles

@@ -12,6 +12,8 @@ MODULES = (
     "quarrymill.plans.text_queries",
     "quarrymill.plans.upkeep_queries",
     "quarrymill.plans.extra_queries",
+    "quarrymill.plans.state_queries",
+    "quarrymill.plans.refined_queries",
 )
 
 

@@ -1,4 +1,4 @@
-"""Session construction for local runs; on a cluster the caller passes its own session."""
+"""Session construction for local runs; on a cluster the caller passes its own session. Files of the shared folder."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str | None = None, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -25,9 +25,11 @@ def local_session(cores: int | str | None = None, partitions: int = 8, memory: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where the setting is absent."""
+    """The folder in spark.checkpoint.dir; in local mode alone one of our own where the setting is absent."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='quarrymill-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -36,3 +38,53 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as readers of its store give it."""
+    where, store = _place(spark, path)
+    return store.makeQualified(where).toString()
+
+
+def write_small(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file in any store that Spark reaches: written beside its place, then renamed into it."""
+    part, store = _place(spark, f"{path}.{uuid.uuid4().hex}.part")
+    out = store.create(part)
+    for start in range(0, len(data), 1 << 20):
+        out.write(bytearray(data[start : start + (1 << 20)]))
+    out.close()
+    if not store.rename(part, _place(spark, path)[0]):
+        store.delete(part, False)
+        raise FileExistsError(path)
+
+
+def read_small(spark: SparkSession, path: str) -> bytes:
+    where, store = _place(spark, path)
+    stream = store.open(where)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def list_files(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; empty if it is not there."""
+    where, store = _place(spark, folder)
+    return [s.getPath().getName() for s in store.listStatus(where)] if store.exists(where) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, store = _place(spark, path)
+    store.delete(where, True)
+
+
+def stage(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written as a table of the shared folder and read again: computed once, its lineage cut."""
+    path = scratch(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

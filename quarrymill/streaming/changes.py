@@ -81,3 +81,12 @@ def latest(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
 def changed_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A stream of change records from parquet files as they arrive."""
     return spark.readStream.schema(schema).parquet(path)
+
+
+def on_timer(spark: SparkSession, step: Callable[[], DataFrame], base: str, period: str | None = None) -> DataFrame:
+    """Writes step()'s rows at each tick of a timer stream and gives what was written; without a period one tick, as a sweep by hand."""
+    source = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    writer = source.writeStream.option("checkpointLocation", f"{base}/state").foreachBatch(lambda batch, number: step().write.mode("overwrite").parquet(f"{base}/out/tick={number}"))
+    writer = writer.trigger(processingTime=period) if period else writer.trigger(once=True)
+    writer.start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("tick")
