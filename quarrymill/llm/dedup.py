@@ -15,8 +15,9 @@ Work by step:
    shingles is dealt into blocks that also hold the bucket's least member; blocks find their own links,
 4. links give components by alternating large-star and small-star steps,
 5. a dealt bucket that still holds several components has the pairs of its blocks compared, without
-   pairs inside one component. So no link is lost, and groups whose members link to their least
-   member, or to others in their block, cost time in proportion to their size.
+   pairs inside one component: first by sketches alone, 512 bytes a member and pair of blocks, then on the full
+   sets of the members that have a near sketch in another component. So no link is lost, and groups whose members
+   link to their least member, or to others in their block, cost time in proportion to their size.
 
 Defined cases: null or blank texts have empty sets and link with nothing; rows with a null id are
 never linked and have a null component; repeated rows of one id are one document, each row is
@@ -40,7 +41,7 @@ BANDS = REGISTERS // ROWS
 #: Estimates this far below the threshold are still confirmed on full sets.
 MARGIN = 0.2
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
-#: Band memberships up to this count (16 bytes each) are broadcast; more are joined by a shuffle.
+#: Band memberships up to this count are broadcast, about 40 bytes each with their block's name; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _order = np.random.Generator(np.random.PCG64(77))
 _PROBES = np.stack([np.concatenate([p[p != j], [j]])[: REGISTERS - 1] for j in range(REGISTERS) for p in [_order.permutation(REGISTERS)]])
@@ -133,13 +134,14 @@ def block_links(key: int, ids, sizes, keys, sketches, sets, percent: int, groups
     """Links between the members of a block that join parts not joined before.
 
     groups: components known from earlier blocks; pairs of one component are not compared. A pair that
-    meets in a lower band too is left to that band's bucket.
+    meets in a lower band too is left to that band's bucket. Without sets: (id, id) of every member that has
+    a near sketch in another component.
     """
     n = len(ids)
     order = np.argsort(sizes, kind="stable")
     ids, sizes, keys, sketches = ids[order], sizes[order], keys[order], sketches[order]
-    sets = [sets[i] for i in order]
-    forest, out = Forest(n), []
+    sets = None if sets is None else [sets[i] for i in order]
+    forest, out, marked = Forest(n), [], set()
     if groups is not None:
         seen: dict = {}
         for i, g in enumerate(groups[order].tolist()):
@@ -159,10 +161,13 @@ def block_links(key: int, ids, sizes, keys, sketches, sets, percent: int, groups
                 continue
             if band and (keys[i, :band] == keys[j, :band]).any():
                 continue
+            if sets is None:
+                marked |= {i, j}
+                continue
             if linked(sets[i], sets[j], percent):
                 forest.parent[forest.root(j)] = forest.root(i)
                 out.append((int(ids[j]), int(ids[i])))
-    return out
+    return out if sets is not None else [(int(ids[i]), int(ids[i])) for i in sorted(marked)]
 
 
 def components_of(edges: DataFrame, staging: Staging) -> DataFrame:
@@ -230,8 +235,8 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFr
 MEMBER = "key bigint, block string, id bigint, grp bigint, n bigint, bands array<bigint>, sk binary, members binary"
 
 
-def _with_sets(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """One row for each place (key, block, id, grp) with the sketch and full set of id's document."""
+def _with_sets(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, k: int, full: bool = True) -> DataFrame:
+    """One row for each place (key, block, id, grp) with the sketch of id's document, its band keys and its full set, or the sketch alone."""
 
     def run(batches):
         for batch in batches:
@@ -243,8 +248,8 @@ def _with_sets(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, k
                 registers = sketch(members)
                 keys = band_keys(registers[None])[0].tolist()
                 for p in places_of[i]:
-                    rows.append((p["key"], p["block"], ids[i], p["grp"], len(members), keys, registers.tobytes(), members.tobytes()))
-                    size += 8 * len(members) + 1024
+                    rows.append((p["key"], p["block"], ids[i], p["grp"], len(members), keys if full else None, registers.tobytes(), members.tobytes() if full else None))
+                    size += 8 * len(members) + 1024 if full else 600
                     if size > 4 << 20:
                         yield _rows(rows)
                         rows, size = [], 0
@@ -264,7 +269,7 @@ def _with_sets(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, k
 
 
 def _links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) found inside the (key, block) groups."""
+    """Links (a, b) found inside the (key, block) groups; of members without sets, (id, id) of those with a near sketch."""
 
     def solve(group: list[pa.RecordBatch]):
         table = pa.Table.from_batches(group)
@@ -274,10 +279,11 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
         if len(table) < 2:
             return []
         grp = table["grp"].to_pylist()
+        sketches = np.stack([np.frombuffer(x, np.uint16) for x in table["sk"].to_pylist()])
+        whole = table["members"].null_count == 0
         return block_links(
-            table["key"][0].as_py(), table["id"].to_numpy(), table["n"].to_numpy(), np.array(table["bands"].to_pylist(), np.int64),
-            np.stack([np.frombuffer(x, np.uint16) for x in table["sk"].to_pylist()]), [np.frombuffer(x, np.uint64) for x in table["members"].to_pylist()],
-            percent, None if grp[0] is None else np.array(grp),
+            table["key"][0].as_py(), table["id"].to_numpy(), table["n"].to_numpy(), np.array(table["bands"].to_pylist(), np.int64) if whole else band_keys(sketches),
+            sketches, [np.frombuffer(x, np.uint64) for x in table["members"].to_pylist()] if whole else None, percent, None if grp[0] is None else np.array(grp),
         )
 
     def run(batches):
@@ -343,10 +349,11 @@ def components(docs: DataFrame, staging: Staging, k: int = 4, percent: int = 80,
         second = open_rows.select("key", "id", "grp", "b", pairs).select(
             "key", F.concat_ws("-", F.least("b", "o").cast("string"), F.greatest("b", "o").cast("string")).alias("block"), "id", "grp"
         )
-        more = staging.write(_links(_with_sets(docs, second, id_col, text_col, k), percent))
+        near = staging.write(_links(_with_sets(docs, second, id_col, text_col, k, full=False), percent).select(F.col("a").alias("id")).distinct())
+        more = staging.write(_links(_with_sets(docs, second.join(near, "id", "left_semi"), id_col, text_col, k), percent))
         roots = staging.write(components_of(links.union(more), staging))
     named = staging.write(sets.join(roots, sets["rep"] == roots["id"], "left").select("fp", F.coalesce("root", "rep").alias("root")))
-    staging.drop(banded, placed, links)
+    staging.drop(banded, buckets, placed, links)
     # Copies of one text may be a third of all rows: both sides are scans, so skewed parts can be split.
     out = prints.select("id", "n", "fp").join(named, "fp", "left")
     component = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id")).cast("long")
