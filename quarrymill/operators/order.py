@@ -10,7 +10,7 @@ from quarrymill.session import stage
 
 
 def positions(frame: DataFrame, order: list[Column], name: str = "position", parts: int | None = None) -> DataFrame:
-    """The frame with each row's number from 1 in the order, which should decide between any two rows.
+    """The frame with each row's number from 1 in the order (columns by name), which should decide between any two rows.
 
     Rows are dealt into ranges of the order and stored; ranges are counted, and each row's number is that inside its
     range and what the ranges before it hold.
