@@ -36,6 +36,13 @@ def normal_weights(values: dict[str, float]) -> dict[str, float]:
     return {k: v / total for k, v in clamped.items()} if total > 0 else values
 
 
+def normal_weight_columns(values: dict[str, Column]) -> dict[str, Column]:
+    """As `normal_weights`, for a row a setting; a null stays what it is without the others."""
+    clamped = {k: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v)) for k, v in values.items()}
+    total = sum(F.coalesce(c, F.lit(0.0)) for c in clamped.values())
+    return {k: F.when(total > 0, c / total).otherwise(c) for k, c in clamped.items()}
+
+
 def first_per(frame: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in an explicit order."""
     return frame.withColumn("first_rank", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where("first_rank = 1").drop("first_rank")

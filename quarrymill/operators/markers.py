@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +47,55 @@ def issue_type(labels: Column, title: Column) -> Column:
     )
 
 
-def learnings(body: Column) -> Column:
-    """Learnings of an issue text: after `Learning:` on a line, distinct and sorted without regard to case."""
-    lines = F.transform(F.split(F.coalesce(body, F.lit("")), "\n"), lambda x: F.btrim(F.regexp_extract(F.btrim(x), r"(?i)^learnings?:\s*(.+)$", 1)))
-    return F.array_sort(F.array_distinct(F.filter(lines, lambda x: x != "")), lambda a, b: F.when(F.lower(a) < F.lower(b), -1).when(F.lower(a) > F.lower(b), 1).otherwise(0))
+SAID = re.compile(r"learnings?:\s*(.+)$", re.I)
+#: Headings over bullets that are learnings.
+HEADINGS = frozenset(("learnings", "key learnings", "lessons learned"))
+
+
+def issue_learnings(body: str) -> list[str]:
+    """Learnings of an issue text: what follows `Learning:` on a line, and the bullets right under a heading; distinct, by letters."""
+    found, under = set(), False
+    for line in map(str.strip, body.splitlines()):
+        if said := SAID.match(line):
+            found.add(said[1].strip())
+            under = False
+        elif line.lower().rstrip(":") in HEADINGS:
+            under = True
+        elif under and line[:1] in ("-", "*"):
+            found |= {line[1:].strip()} - {""}
+        else:
+            under = False
+    return sorted(found, key=lambda x: (x.lower(), x))
+
+
+def _plain(values) -> list[str]:
+    return [v.strip().lower() for v in values or () if v.strip()]
+
+
+def matching(envelopes: DataFrame, version: str, source_type: str | None = None, categories=None, labels=None, repos=None) -> DataFrame:
+    """(chunk_id, records): normalised records of envelopes of a version that fit, in order, as text; envelopes without any are left out.
+
+    envelopes: chunk_id, version, records (type, category, labels, repo). Categories ask only of friction records, labels and repositories
+    only of history records; records of other types, or without their category or repository, do not count.
+    """
+    low = lambda c: F.lower(F.btrim(c))
+    names = lambda r: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(r["labels"], F.array().cast("array<string>")), low), lambda x: x != "")))
+    wanted = {k: F.array(*map(F.lit, _plain(v))) for k, v in (("categories", categories), ("labels", labels), ("repos", repos)) if v is not None}
+
+    def fits(r) -> Column:
+        friction, history = r["type"] == "friction", r["type"] == "history"
+        ok = (friction & r["category"].isNotNull()) | (history & r["repo"].isNotNull())
+        if source_type:
+            ok = ok & (r["type"] == source_type)
+        if "categories" in wanted:
+            ok = ok & (history | F.array_contains(wanted["categories"], low(r["category"])))
+        if "labels" in wanted:
+            ok = ok & (friction | F.arrays_overlap(names(r), wanted["labels"]))
+        if "repos" in wanted:
+            ok = ok & (friction | F.array_contains(wanted["repos"], low(r["repo"])))
+        return F.coalesce(ok, F.lit(False))
+
+    text = lambda r: F.when(r["type"] == "friction", F.concat(F.lit("friction:"), low(r["category"]))).otherwise(F.concat_ws(":", F.lit("history"), F.array_join(names(r), ","), low(r["repo"])))
+    rows = envelopes.where(F.col("version") == version)
+    found = rows.select("chunk_id", F.array_sort(F.transform(F.filter("records", fits), text)).alias("records"))
+    return found.where(F.size("records") > 0)

@@ -67,3 +67,14 @@ def fit_into(cache: DataFrame, most_entries: int, most_bytes: int, ranges: int =
     inside = W.partitionBy("part").orderBy(F.desc("used"), "key").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = dealt.join(F.broadcast(offsets), "part").withColumn("at", F.col("n0") + F.count(F.lit(1)).over(inside)).withColumn("total", F.col("b0") + F.sum("bytes").over(inside))
     return ranked.where((F.col("at") <= most_entries) & (F.col("total") <= most_bytes)).drop("part", "n0", "b0", "at", "total")
+
+
+def tiered_get(near: DataFrame, far: DataFrame, asked: DataFrame, most_near: int) -> tuple[DataFrame, DataFrame]:
+    """(answers with the tier that gave them, the near tier after): the near table first, then the far one, whose hits move near."""
+    first, near_used = get(near, asked)
+    missed = first.where("value IS NULL").select("key", "at")
+    second, far_used = get(far, missed)
+    answers = first.where("value IS NOT NULL").withColumn("tier", F.lit("near")).unionByName(second.withColumn("tier", F.when(F.col("value").isNotNull(), "far").otherwise("none")))
+    moved = far_used.join(second.where("value IS NOT NULL").select("key").distinct(), "key", "left_semi")
+    both = near_used.join(moved.select("key"), "key", "left_anti").unionByName(moved.select(*near_used.columns))
+    return answers, fit_into(both, most_near, 1 << 62)

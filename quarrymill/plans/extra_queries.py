@@ -120,9 +120,6 @@ def indexed(get):
     return vectors.select("file_id", F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("mass"))
 
 
-Q.sql("H4_weight_normalise", "SELECT p_partkey, round(least(greatest(p_size / 25, 0), 1) / (least(greatest(p_size / 25, 0), 1) + 0.5), 6) AS weight FROM {part}", "SELECT p_partkey, round(least(greatest(p_size / 25, 0), 1) / (least(greatest(p_size / 25, 0), 1) + 0.5::DOUBLE), 6) AS weight FROM {part}")
-
-
 @Q.plan("H10_pair_scorer")
 def pair_scores(get):
     rerank = api.pair_scorer(lambda texts: [float(len(set(t.split()))) for t in texts])

@@ -347,11 +347,6 @@ def terms_of(get):
     return asked(get).select("query_id", F.array_join(text.query_terms(F.col("query")), " ").alias("terms"))
 
 
-@Q.plan("K4_symbol_candidates")
-def candidates(get):
-    return asked(get).select("query_id", F.array_join(text.symbol_candidates(F.col("query")), " ").alias("candidates"))
-
-
 @Q.plan("K5_code_intent", rf"""SELECT query_id, regexp_matches(q, '\b(class|def|function|method|symbol|module|file|filepath)\b') OR regexp_matches(q, '\b(py|python|js|ts|typescript|javascript|treesitter|tree-sitter)\b')
  OR regexp_matches(q, '\b(where is|how does|how do|implemented|implementation|extract|validate)\b') OR regexp_matches(q, '\.[a-z0-9]{{1,6}}\b') AS code FROM (SELECT query_id, lower(query) AS q FROM {ASKED_SQL})""")
 def code_queries(get):

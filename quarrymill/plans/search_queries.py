@@ -251,22 +251,6 @@ Q.sql("H23_documents_first", "SELECT file_id, path, row_number() OVER (ORDER BY
 Q.sql("H24_aggregate_statistics", "SELECT count(*) AS total, count(DISTINCT file_id) AS kept, count(*) - count(DISTINCT file_id) AS duplicates_removed FROM {refs}")
 
 
-@Q.plan("H19_similarity_groups")
-def similar_groups(get):
-    """Rows of one file within two lines of a group's first row join it, in line order, one file at a time."""
-    rows = get("refs").select("file_id", "line_number").distinct()
-
-    def group(pdf):
-        leader, out = None, []
-        for line in sorted(pdf["line_number"]):
-            if leader is None or line - leader > 2:
-                leader = line
-            out.append(leader)
-        return pdf.sort_values("line_number").assign(leader=out)
-
-    return rows.groupBy("file_id").applyInPandas(group, "file_id long, line_number int, leader int")
-
-
 # -- graph -------------------------------------------------------------------------------------
 
 REACH_SQL = """WITH RECURSIVE e AS (SELECT * FROM {{edges}}), b(node, d) AS (SELECT {seed}, 0 UNION SELECT {to}, d + 1 FROM b JOIN e ON {frm} = node WHERE d < {depth})
@@ -376,7 +360,6 @@ Q.sql("M13_repository_listing", "SELECT repo_id, name, priority FROM {repositori
 Q.sql("M14_repository_identity", "SELECT repo_id, substr(sha2(coalesce(nullif(name, 'NATION_3'), 'path/' || cast(repo_id AS string)), 256), 1, 16) AS identity FROM {repositories}", "SELECT repo_id, substr(sha256(coalesce(nullif(name, 'NATION_3'), 'path/' || cast(repo_id AS string))), 1, 16) AS identity FROM {repositories}")
 Q.sql("I12_scope_top_repositories", "SELECT repo_id, priority FROM {repositories} WHERE active AND repo_id < 20 ORDER BY priority DESC, repo_id LIMIT 6")
 Q.sql("D6_repository_rollup", "SELECT language, count(DISTINCT repo) AS repositories, count(*) AS files, sum(size) AS bytes FROM {files} GROUP BY language")
-Q.sql("D7_cross_repo_statistics", "SELECT count(*) AS repositories, sum(CASE WHEN active THEN 1 ELSE 0 END) AS active, max(priority) AS top FROM {repositories}")
 Q.sql("D16_dedup_statistics", "SELECT repo, count(*) AS original, count(DISTINCT hash) AS kept, count(*) - count(DISTINCT hash) AS duplicates FROM {files} GROUP BY repo")
 
 QUERIES, ORACLES = Q.queries, Q.oracles

@@ -50,10 +50,6 @@ def line_scan(get):
     return hits.where(F.contains(F.lower("line"), F.lit("licensed"))).select("file_id", (F.col("at") + 1).alias("line_number")).orderBy("file_id", "line_number").limit(50)
 
 
-Q.sql("A12_diff_source", "SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' ELSE 'modified' END AS action FROM (SELECT path, hash FROM {files} WHERE file_id % 10 <> 0) a FULL OUTER JOIN (SELECT path, CASE WHEN file_id % 7 = 0 THEN 'x' ELSE hash END AS hash FROM {files} WHERE file_id % 9 <> 0) b ON a.path = b.path WHERE a.hash IS DISTINCT FROM b.hash")
-Q.sql("A13_working_tree", "SELECT path, action FROM {changes} WHERE action = 'added' UNION ALL SELECT path, action FROM {changes} WHERE action = 'modified' AND value > 50 UNION ALL SELECT path, 'untracked' FROM {changes} WHERE action = 'renamed'")
-Q.sql("A14_name_status_lines", "SELECT event_id, split(line, ';')[0] AS status, split(line, ';')[1] AS path FROM (SELECT event_id, CASE action WHEN 'added' THEN 'A;' WHEN 'deleted' THEN 'D;' WHEN 'renamed' THEN 'R100;' ELSE 'M;' END || path AS line FROM {changes}) WHERE line NOT LIKE 'R%'",
-      "SELECT event_id, string_split(line, ';')[1] AS status, string_split(line, ';')[2] AS path FROM (SELECT event_id, CASE action WHEN 'added' THEN 'A;' WHEN 'deleted' THEN 'D;' WHEN 'renamed' THEN 'R100;' ELSE 'M;' END || path AS line FROM {changes}) WHERE line NOT LIKE 'R%'")
 Q.sql("A17_keyed_upsert", "SELECT coalesce(n.vec_id, o.vec_id) AS vec_id, coalesce(n.label, o.label) AS label FROM (SELECT vec_id, label FROM {embeddings} WHERE vec_id % 3 <> 0) o FULL OUTER JOIN (SELECT vec_id, label + 100 AS label FROM {embeddings} WHERE vec_id % 2 = 0) n ON o.vec_id = n.vec_id")
 
 # -- predicates and projections ----------------------------------------------------------------
@@ -64,14 +60,6 @@ Q.sql("B3_escaped_like", "SELECT symbol_id FROM {symbols} WHERE name LIKE '%@_wi
 Q.sql("B4_json_predicate", "SELECT event_id, cast(get_json_object(props, '$.k') AS int) AS k FROM {events} WHERE props LIKE '%\"k\"%' AND cast(get_json_object(props, '$.k') AS int) > 90 ORDER BY event_id LIMIT 100", "SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM {events} WHERE json_extract_string(props, '$.k')::INT > 90 ORDER BY event_id LIMIT 100")
 
 
-@Q.plan("B5_record_matcher", "SELECT conv_id, count(*) FILTER (WHERE role = 'user' AND length(text) > 200) AS matched FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'user' AND length(text) > 200) > 0")
-def matcher(get):
-    """Records of a document as an array of structs; a higher-order filter keeps the matching ones."""
-    records = get("conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", F.length("text").alias("n"))).alias("records"))
-    kept = records.select("conv_id", F.filter("records", lambda r: (r["role"] == "user") & (r["n"] > 200)).alias("m"))
-    return kept.where(F.size("m") > 0).select("conv_id", F.size("m").cast("long").alias("matched"))
-
-
 STAB = "SELECT file_id, line_number, chunk_id FROM (SELECT q.file_id, q.line_number, c.chunk_id, row_number() OVER (PARTITION BY q.file_id, q.line_number ORDER BY c.line_end - c.line_start, c.line_start, c.chunk_id) AS k FROM (SELECT DISTINCT file_id, line_number * 11 AS line_number FROM {refs}) q JOIN {chunks} c ON c.file_id = q.file_id AND q.line_number BETWEEN c.line_start AND c.line_end) WHERE k = 1"
 Q.sql("B6_chunk_at_line", STAB.replace("FROM {refs})", "FROM {refs} WHERE file_id = 7)"))
 Q.sql("C12_interval_join", STAB)
@@ -133,8 +121,6 @@ def grouped(get):
 
 Q.sql("D18_reindex_cost", "SELECT sum(CASE WHEN action IN ('added', 'modified') THEN 1 ELSE 0 END) AS to_index, sum(CASE WHEN action = 'deleted' THEN 1 ELSE 0 END) AS to_remove, sum(CASE WHEN action = 'renamed' THEN 1 ELSE 0 END) AS to_move, cast(round(sum(CASE WHEN action IN ('added', 'modified') THEN 10 WHEN action = 'deleted' THEN 1 ELSE 2 END) / 100, 2) AS double) AS seconds FROM {changes}")
 Q.sql("D19_affected_directories", "SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory FROM {files} WHERE path LIKE '%/%'")
-Q.sql("D20_source_weights", "WITH f AS (SELECT event_type, value + 1 AS rank FROM {events} ORDER BY event_id DESC LIMIT 100), g AS (SELECT event_type, count(*) AS n, avg(rank) AS avg_rank FROM f GROUP BY event_type) SELECT event_type, n, round(avg_rank, 6) AS avg_rank, round(n / 100 * (1 + 0.2D / avg_rank), 6) AS weight FROM g",
-      "WITH f AS (SELECT event_type, value + 1 AS rank FROM {events} ORDER BY event_id DESC LIMIT 100), g AS (SELECT event_type, count(*) AS n, avg(rank) AS avg_rank FROM f GROUP BY event_type) SELECT event_type, n, round(avg_rank, 6) AS avg_rank, round(n / 100 * (1 + 0.2::DOUBLE / avg_rank), 6) AS weight FROM g")
 Q.sql("D21_feedback_report", "SELECT event_type, count(*) AS selections, round(avg(value), 4) AS avg_rank FROM {events} GROUP BY event_type")
 Q.sql("D22_latency_percentiles", "SELECT event_type, round(avg(value), 4) AS mean, round(percentile(value, 0.5), 4) AS median, round(percentile(value, 0.95), 4) AS p95, round(percentile(value, 0.99), 4) AS p99, min(value) AS least, max(value) AS most FROM {events} GROUP BY event_type",
       "SELECT event_type, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS median, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99, min(value) AS least, max(value) AS most FROM {events} GROUP BY event_type")

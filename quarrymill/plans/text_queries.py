@@ -97,12 +97,6 @@ def windows(get):
     return chunking.with_neighbours(chunking.chunk(get("documents"), "sliding"))
 
 
-@Q.plan("N24_markdown_headings", "SELECT doc_id, i::INT AS i, line FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE regexp_matches(line, '^#{1,6}\\s+\\S') OR regexp_matches(line, '^All rights')")
-def headings(get):
-    lines = get("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return lines.where(F.col("line").rlike(r"^#{1,6}\s+\S") | F.col("line").rlike("^All rights")).select("doc_id", (F.col("at") + 1).alias("i"), "line")
-
-
 READ = "206.835 - 1.015 * (w / s) - 84.6 * (y / w)"
 
 
@@ -162,16 +156,7 @@ def special(get):
 Q.sql("N40_technical_term", "SELECT symbol_id, name RLIKE '[0-9_-]|....(tion|ment|ize|able)$' AS technical FROM {symbols}", "SELECT symbol_id, regexp_matches(name, '[0-9_-]|....(tion|ment|ize|able)$') AS technical FROM {symbols}")
 
 
-@Q.plan("N42_relevance", "SELECT doc_id, least(2.0, CASE WHEN contains(lower(text), 'of the') THEN 1.0 ELSE 0 END + 0.5 * (contains(lower(text), 'from')::INT + contains(lower(text), 'que')::INT))::DOUBLE AS relevance FROM documents")
-def relevance(get):
-    t = F.lower("text")
-    score = F.when(F.contains(t, F.lit("of the")), 1.0).otherwise(0.0) + 0.5 * (F.contains(t, F.lit("from")).cast("int") + F.contains(t, F.lit("que")).cast("int"))
-    return get("documents").select("doc_id", F.least(F.lit(2.0), score).alias("relevance"))
-
-
-Q.sql("N43_contextual_snippet", "SELECT doc_id, substr(text, greatest(instr(lower(text), 'from') - 100, 1), 200) AS snippet FROM {documents} WHERE lower(text) LIKE '%from%'")
 Q.sql("N44_text_search", "SELECT doc_id, CASE WHEN lower(text) LIKE '%of the%' THEN 2 ELSE 1 END AS score FROM {documents} WHERE lower(text) LIKE '%of the%' OR lower(text) LIKE '%from%' ORDER BY score DESC, doc_id LIMIT 50")
-Q.sql("N45_encoding_repair", "SELECT doc_id, md5(trim(regexp_replace(translate(text, '“”‘’', '\"\"~~'), '[ \\n]+', ' '))) AS fixed FROM {documents}", "SELECT doc_id, md5(trim(regexp_replace(translate(text, '“”‘’', '\"\"~~'), '[ \\n]+', ' ', 'g'))) AS fixed FROM {documents}")
 
 
 @Q.plan("N46_language_markers", "SELECT doc_id, CASE WHEN len(list_intersect(list_distinct(string_split(lower(text), ' ')), ['the', 'of', 'and', 'to', 'in', 'that', 'is', 'for', 'with'])) > 5 THEN 'en' ELSE 'unknown' END AS language FROM documents")
@@ -249,12 +234,6 @@ def envelope(get):
 ISSUES = "(SELECT p_partkey AS number, CASE p_partkey % 5 WHEN 0 THEN 'Phase complete: ' || p_name WHEN 1 THEN 'Reflection on ' || p_name ELSE p_name END AS title, CASE p_partkey % 4 WHEN 0 THEN 'retrospective' ELSE 'bug' END AS label, 'Text' || chr(10) || 'Learnings: ' || p_type || chr(10) || 'learning: ' || p_brand AS body FROM {part})"
 
 
-@Q.plan("O4_issue_learnings", "SELECT p_partkey AS number, CASE WHEN lower(p_type) < lower(p_brand) THEN p_type || '|' || p_brand ELSE p_brand || '|' || p_type END AS learnings FROM part")
-def issue_learnings(get):
-    part = get("part")
-    return part.sparkSession.sql(f"SELECT * FROM {ISSUES}", part=part).select("number", F.array_join(markers.learnings(F.col("body")), "|").alias("learnings"))
-
-
 @Q.plan("O5_issue_type", f"SELECT number, CASE WHEN contains(lower(title), 'phase complete') THEN 'phase_complete' WHEN contains(lower(title), 'reflection') THEN 'reflection' WHEN label = 'retrospective' THEN 'retrospective' ELSE 'issue' END AS type FROM {ISSUES}")
 def issue_types(get):
     part = get("part")

@@ -46,18 +46,6 @@ def windowed(get):
     return streamed(get, lambda s: stream.windowed_counts(s, "1 day", delay="1 hour"), keep=True)
 
 
-@Q.plan("P7_ref_poller")
-def poller(get):
-    events = get("events")
-    spark = events.sparkSession
-    base = scratch(spark, "poll")
-    refs = events.select((F.col("user_id") % 25).alias("repo"), F.col("event_id").alias("seq"), F.floor("value").alias("commit"), F.when(F.col("event_type") == "error", "topic").otherwise("main").alias("branch"), F.lit("main").alias("tracked"))
-    refs.write.parquet(f"{base}/in")
-    flow = stream.poll_refs(spark.readStream.schema(refs.schema).parquet(f"{base}/in"))
-    stream.run_once(flow, f"{base}/state", lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}"))
-    return spark.read.parquet(f"{base}/out").drop("batch")
-
-
 Q.sql("P3_flush_pending", "SELECT path, action, ts FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS k FROM {changes}) WHERE k = 1")
 
 
@@ -76,7 +64,6 @@ Q.sql("P16_pending_deletions", "SELECT DISTINCT p.chunk_id, p.profile_id FROM {p
 # -- table maintenance -------------------------------------------------------------------------
 
 Q.sql("Q1_upsert_repository", "SELECT coalesce(n.repo_id, o.repo_id) AS repo_id, coalesce(n.name, o.name) AS name FROM (SELECT repo_id, name FROM {repositories}) o FULL OUTER JOIN (SELECT repo_id + 20 AS repo_id, name || '_new' AS name FROM {repositories} WHERE repo_id % 2 = 0) n ON o.repo_id = n.repo_id")
-Q.sql("Q2_upsert_file", "SELECT hash, version, file_id FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY version DESC, file_id DESC) AS k FROM {files}) WHERE k = 1")
 Q.sql("Q4_upsert_chunks", "SELECT chunk_id, max(line_end) AS line_end, count(*) AS writes FROM {chunks} GROUP BY chunk_id")
 Q.sql("Q5_delete_chunks", "SELECT count(*) AS kept FROM {chunks} c LEFT ANTI JOIN {symbols} s ON s.symbol_id = c.file_id", "SELECT count(*) AS kept FROM {chunks} c WHERE c.file_id NOT IN (SELECT symbol_id FROM {symbols})")
 Q.sql("Q6_persist_shard", "SELECT symbol_id, file_id, name FROM {symbols} WHERE file_id <> 12 UNION ALL SELECT symbol_id + 100000, 12, name || '_v2' FROM {symbols} WHERE file_id = 12")

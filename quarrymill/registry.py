@@ -14,6 +14,7 @@ MODULES = (
     "quarrymill.plans.extra_queries",
     "quarrymill.plans.state_queries",
     "quarrymill.plans.refined_queries",
+    "quarrymill.plans.finer_queries",
 )
 
 

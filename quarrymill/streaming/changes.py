@@ -42,8 +42,9 @@ def poll_refs(refs: DataFrame) -> DataFrame:
     def step(key, frames, state):
         last = state.get[0] if state.exists else None
         out = []
-        for pdf in frames:
-            for row in pdf.sort_values("seq").itertuples():
+        pieces = list(frames)  # a group comes in Arrow pieces; its order runs over all of them
+        if pieces:
+            for row in pd.concat(pieces).sort_values("seq").itertuples():
                 if row.branch != row.tracked:
                     decision = "skip"
                 elif last is None or row.commit < last:
