@@ -38,6 +38,8 @@ CALIBRATE_EVERY, REJECT_SIGMAS = 5, 6.0
 FACTORS, POWERS = (0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.5, 4.0, 6.0), (0.0, 0.25, 0.5, 0.75, 1.0)
 #: Words whose scores a worker keeps between batches.
 CACHE_WORDS = 400_000
+#: Bytes of words that are scored at a time; each takes about 400 bytes of array work.
+WORD_BYTES = 128 << 10
 START, END = "\x02", "\x03"
 LETTERS = regex.compile(r"\p{L}+")
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -241,6 +243,12 @@ def _keys(strings: list[str]) -> np.ndarray:
     return key
 
 
+def part_words(which: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """Places of words in parts of about WORD_BYTES each; a longer word is a part alone."""
+    part = np.concatenate([[0], np.cumsum(lengths)[:-1]]) // WORD_BYTES
+    return np.split(which, np.flatnonzero(np.diff(part)) + 1)
+
+
 class Scorer:
     """Scores batches, with the word scores of earlier batches at hand."""
 
@@ -263,8 +271,9 @@ class Scorer:
             new = np.flatnonzero(~known)
             if len(new):
                 raw = data.tobytes()
-                words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-                scores[new], chars[new] = self.model.word_scores(words)
+                for some in part_words(new, ends[first[new]] - starts[first[new]]):
+                    words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[some]].tolist(), ends[first[some]].tolist())]
+                    scores[some], chars[some] = self.model.word_scores(words)
                 if len(self.hashes) + len(new) <= CACHE_WORDS:
                     merged = np.concatenate([self.hashes, kinds[new]])
                     order = np.argsort(merged, kind="stable")

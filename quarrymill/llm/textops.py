@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one round of array work holds at a time (one longer text is a round alone).
-ROUND_BYTES = 2 << 20
+ROUND_BYTES = 512 << 10
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
