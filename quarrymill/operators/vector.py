@@ -59,13 +59,13 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
 def _scored(points: DataFrame, asked: list, k: int, metric: str, key: str, vector: str, weight: str | None) -> DataFrame:
     kind = points.schema[key].dataType.simpleString()
     ids = [r[0] for r in asked]
-    wanted = np.array([r[1] for r in asked], np.float64).reshape(len(ids), -1)
+    wanted = np.array([r[1] for r in asked], np.float64).reshape(len(ids), len(asked[0][1]) if asked else 0)
     shipped = points.sparkSession.sparkContext.broadcast((ids, wanted))  # BLOCK_QUERIES rows at most, about
     sign = -1 if metric in ("euclid", "manhattan") else 1
 
     def run(batches):
         names, b = shipped.value
-        for batch in batches:
+        for batch in batches if names else ():
             step = max(BLOCK_SCORES // max(len(names), 1), 1)
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)

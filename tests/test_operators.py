@@ -51,12 +51,13 @@ def test_path_rules(spark):
     assert one(spark, ranking.path_penalty(F.lit("a/htmlcov/x.html"))) == 10.0
 
 
-def test_nearest_checks_its_queries(spark, monkeypatch):
+def test_nearest_takes_queries_in_blocks(spark, monkeypatch):
     points = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "vec_id long, embedding array<float>")
     assert vector.nearest(points, points.where("vec_id = 0"), 2, "euclid").count() == 2
-    monkeypatch.setattr(vector, "MAX_QUERIES", 1)
-    with pytest.raises(ValueError, match="queries"):
-        vector.nearest(points, points, 2)
+    rows = lambda: sorted(map(tuple, vector.nearest(points, points, 2).collect()))
+    whole = rows()
+    monkeypatch.setattr(vector, "BLOCK_QUERIES", 2)
+    assert rows() == whole and len(whole) == 10
 
 
 def test_fusion(spark):

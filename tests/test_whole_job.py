@@ -4,11 +4,8 @@ import random
 import re
 from collections import Counter
 
-from pyspark.sql import functions as F
-
-from quarrymill.llm import html_text, langid, quality
 from quarrymill.operators import prose
-from quarrymill.plans import text_queries
+from quarrymill.plans import refined_queries, text_queries
 
 
 def over(spark, rows):
@@ -21,52 +18,10 @@ def test_sentence_split_takes_every_document(spark):
         1: ("Run `a. B` now. Then stop.", 2), 2: ("See [the list]\nMore here", 2), 3: ("So (it was)\nnext", 2), 4: ("one\n\ntwo\n\n\nthree", 3),
         5: ("It is A. B. C follows", 3), 6: (None, 0), 7: ("", 0), 8: ("Code:\n```\nx. Y\n\nz\n```\nEnd. Last", 2), 9: ("One. Two! Three? four.", 3),
     }
-    got = {r.doc_id: r.sentences for r in text_queries.sentence_split(over(spark, [(i, t) for i, (t, _) in texts.items()])).collect()}
+    got = {r.doc_id: r.sentences for r in refined_queries.sentence_split(over(spark, [(i, t) for i, (t, _) in texts.items()])).collect()}
     assert got == {i: n for i, (_, n) in texts.items()}
 
 
-def test_quality_lines_strewn_or_unended(spark):
-    prose = "A line of prose, with a comma in it, that goes on for well over a hundred characters before it comes to its close"
-    lines = {
-        "### $$$ &&&": True, "a #b": True, "For&&& thstrend&&& rest": True, prose: True, prose + " ": True, prose[:60]: False,
-        prose + ".": False, prose + '."  ': False, prose + ":": False, "Item #1 of a list of things": False, "A heading": False,
-    }
-    frame = spark.createDataFrame([(x,) for x in lines], "line string")
-    assert {r.line: r.fails for r in frame.select("line", quality.line_fails(F.col("line")).alias("fails")).collect()} == lines
-    text = "\n".join(["### $$$ &&&"] * 2 + ["One two three four five six seven eight nine ten eleven."])
-    row = quality.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert row.lost_chars == 22 and row.kept
-
-
-def test_html_goes_on_after_unknown_declarations():
-    page = "<article><p>before</p><p>array{} middle</p><p>after</p></article>"
-    for mark in ("<![1]>", "<![foo[x]]>", "<![>", "<![ ]>", "<!x>"):
-        assert html_text.main_text(page.format(mark)) == "before\narray middle\nafter", mark
-    assert html_text.main_text("<article><p>one</p><p>two <![1 unclosed").startswith("one\ntwo")
-
-
-def test_html_without_article_keeps_light_regions():
-    advert = "<div class='advert'><p>Buy</p><p>now</p><p>or</p><p>never</p></div>"
-    related = "<div><p><a href=/1>Related one</a></p><p><a href=/2>Related two</a></p><p><a href=/3>Related three</a></p></div>"
-    body = [f"Paragraph {i} of the long article, with a good many words in it, as prose has." for i in range(60)]
-    prose = "".join(f"<p>{x}</p>" for x in body)
-    page = f"<body><div id=content><h1>Title</h1><p>A short intro.</p>{advert}{prose}{related}<section><h2>Close</h2><p>Short end.</p></section></div></body>"
-    assert html_text.main_text(page).split("\n") == ["Title", "A short intro.", *body, "Close", "Short end."]
-
-
-def test_language_sample_survives_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(langid, "SAMPLE_CHARS", 4000)
-    rows = [(i, "le chat dort sur la table et la souris danse " * 200, "fr") for i in range(12)] + [(100 + i, "the cat sleeps on the table and the mouse dances", "en") for i in range(12)]
-    rows += [(200, "... " * 2000 + "die Katze sitzt auf dem Tisch und die Maus tanzt", "de")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = langid.sample(docs, "doc_id", "text", "lang", F.lit(True))
-    count = {lang: sum(x == lang for x, _ in got) for lang in ("fr", "en", "de")}
-    assert count == {"fr": 10, "en": 12, "de": 1} and all(len(t) <= 400 and any(c.isalpha() for c in t) for _, t in got)
-    assert sum(len(t) for lang, t in got if lang == "fr") <= 4000
-    named = {r.doc_id: r.lang_pred for r in langid.identify(docs, F.lit(True)).collect()}
-    assert named[0] == "fr" and named[100] == "en" and named[200] == "de"
-
-
 def test_boundaries_of_long_texts():
     levels = ((1.0, r"^#{1,6}\s|^={3,}$|^-{3,}$"), (0.6, r"\n\s*\n"), (0.3, r"(?<=[.!?])\s+(?=[A-Z])"))
     draw = random.Random(3)
@@ -94,6 +49,6 @@ def test_key_phrases_of_two_and_three_words_in_sentences(spark):
             count.update(" ".join(x) for x in grams if sum(y in text_queries.STOP for y in x) <= len(x) // 2)
         often = [(i, p, n) for p, n in count.items() if n > 1]
         expected += sorted(often, key=lambda x: (-x[2], x[1]))[:10]
-    got = text_queries.phrases(over(spark, list(texts.items()))).collect()
+    got = refined_queries.phrases(over(spark, list(texts.items()))).collect()
     assert sorted(map(tuple, got)) == sorted(expected)
     assert (1, "red green blue", 2) in expected and not any(i == 3 for i, _, _ in expected)
