@@ -4,8 +4,8 @@ Markup is stripped into lines, one for each block element. Lines in menus, heade
 notices and reader comments are taken out. The others weigh their text: nothing where links make most of it, a
 tenth where the page has an article or main element and they stand outside. Weights are summed over sliding windows of
 WINDOW lines. Where the sum rises from nothing the text surges, where it falls back to nothing it dives; the start and
-end of an article are such points too. What stands between is a region, and it is kept if its highest sum reaches
-SURGE, or if no region does and none is heavier.
+end of an article are such points too. What stands between is a region. Regions of an article are kept, and all regions
+where the page has none, however light; regions beside an article are kept if their highest sum reaches SURGE.
 
 Elements mark lines by name, role, or whole words of class and id, never by a part of a longer word or a `no-`,
 `has-` or `with-` form. An element that is marked by such words alone but holds most of the page's text is not
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import textops
 from .staging import small_batches
 
-#: Production parameters: lines a window, share of link text from which a line weighs nothing, least sum of a region.
+#: Production parameters: lines a window, share of link text from which a line weighs nothing, least sum of a region beside an article.
 WINDOW, LINK_PERCENT, SURGE = 3, 60, 40
 BATCH_BYTES = 4 << 20
 #: Elements by their part in a page, and words in class, id or role that mark one.
@@ -288,9 +288,9 @@ def main_text(page: str | None) -> str:
     lines = Lines(page or "").kept()
     weights = weigh(lines)
     cuts = {i for i in range(1, len(lines)) if lines[i][2] != lines[i - 1][2]}
-    found = regions(weights, cuts, SURGE)
-    if not found:
-        found = sorted(regions(weights, cuts), key=lambda r: (-sum(weights[r[0] : r[1]]), r[0]))[:1]
+    beside = any(article for _, _, article in lines)
+    strong = set(regions(weights, cuts, SURGE))
+    found = [r for r in regions(weights, cuts) if not beside or lines[r[0]][2] or r in strong]
     return "\n".join(lines[i][0] for a, b in found for i in range(a, b) if weights[i])
 
 

@@ -485,9 +485,7 @@ def plain_main_text(lines, window, link_percent, least):
     groups += [group] if group else []
     groups = [g for g in groups if any(weights[i] for i in g)]
     peak = lambda g: max(sum(weights[j] for j in range(i, min(i + window, g[-1] + 1))) for i in g)
-    kept = [g for g in groups if peak(g) >= least]
-    if not kept and groups:
-        kept = [max(groups, key=lambda g: (sum(weights[i] for i in g), -g[0]))]
+    kept = [g for g in groups if not articles or lines[g[0]][2] or peak(g) >= least]
     return "\n".join(lines[i][0] for g in kept for i in g if weights[i])
 
 
