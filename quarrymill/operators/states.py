@@ -29,10 +29,10 @@ def readiness() -> Column:
     full_commit = c("git_managed") & c("commit").rlike("^[0-9a-fA-F]{40}$")
     branch = F.when(full_commit, c("live_branch")).otherwise(F.coalesce("branch", "live_branch"))
     commit = F.when(full_commit, c("live_commit")).otherwise(F.coalesce("commit", "live_commit"))
-    inspected = [(c("index_state") == s, s) for s in ("index_locked", "corrupt", "missing_schema", "index_rebuilding", "scheme_mismatch")]
+    inspected = [(c("index_state") == s, s) for s in ("index_locked", "corrupt_sqlite", "missing_schema", "index_rebuilding", "scheme_mismatch")]
     return first_of(
         [
-            (full_commit & (c("live_branch").isNull() | c("live_commit").isNull()), "unregistered"),
+            (full_commit & (c("live_branch").isNull() | c("live_commit").isNull()), "unregistered_repository"),
             (c("indexing") | (c("staleness") == "index_building"), "index_building"),
             (c("tracked") != branch, "wrong_branch"),
             (c("index_state").isNull(), "missing_index"),
@@ -80,6 +80,7 @@ def freshness(commit: Column, stamp: Column, is_ancestor: Column, now: Column, m
     return first_of([(blank(commit) | blank(stamp) | at.isNull(), "invalid"), (~F.coalesce(is_ancestor, F.lit(False)), "stale_commit"), (age > most_days * 86400, "stale_age")], "fresh")
 
 
+#: Fixed value: the scheme that unmarked indexes were built with.
 LEGACY_SCHEME = "treesitter_chunk_id_v1"
 
 

@@ -39,14 +39,14 @@ REGISTRY = "git_managed boolean, live_branch string, live_commit string, branch
 GOOD = {"git_managed": True, "live_branch": "main", "live_commit": FULL, "branch": "main", "commit": FULL, "tracked": "main", "indexed_commit": FULL, "indexing": False, "index_state": "ok"}
 REPOSITORIES = {
     "fine": (GOOD, "ready"),
-    "checkout gone": (GOOD | {"live_commit": None}, "unregistered"),
+    "checkout gone": (GOOD | {"live_commit": None}, "unregistered_repository"),
     "being built": (GOOD | {"indexing": True, "tracked": "dev"}, "index_building"),
     "marked as building": (GOOD | {"staleness": "index_building"}, "index_building"),
     "other branch": (GOOD | {"live_branch": "topic"}, "wrong_branch"),
     "cached branch of an unmanaged one": (GOOD | {"git_managed": False, "live_branch": "topic"}, "ready"),
     "no index": (GOOD | {"index_state": None}, "missing_index"),
     "locked": (GOOD | {"index_state": "index_locked", "indexed_commit": OTHER}, "index_locked"),
-    "broken": (GOOD | {"index_state": "corrupt"}, "corrupt"),
+    "broken": (GOOD | {"index_state": "corrupt_sqlite"}, "corrupt_sqlite"),
     "old schema": (GOOD | {"index_state": "missing_schema"}, "missing_schema"),
     "rebuilding": (GOOD | {"index_state": "index_rebuilding"}, "index_rebuilding"),
     "other scheme": (GOOD | {"index_state": "scheme_mismatch"}, "scheme_mismatch"),
