@@ -49,7 +49,7 @@ CHUNK_TOKENS, CHUNK_DOCS = 600_000, 65_000
 #: Bytes of stored input for each block of pairs; contexts that may be split; document sums that a scoring task holds.
 BLOCK_BYTES, HOT, HELD_SUMS = 4 << 20, 1 << 16, 1 << 19
 #: Rounds over the rows in scoring; each moves its share of the pairs.
-WAVES = 5
+WAVES = 4
 END_WORD, FIRST_WORD = np.uint64(0xD1B54A32D192ED03), np.uint64(0xABC98388FB8FAC03)
 
 

@@ -59,7 +59,18 @@ class Staging:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def sweep(self) -> None:
-        """Lets go of the shuffle files of plans that nothing refers to any more, which else stay until the driver's next collection."""
-        time.sleep(1)  # events of the plan that just ended refer to it until they are handled
+        """Lets go of the shuffle files of plans that nothing refers to any more, which else stay until the driver's next
+        collection, and waits until the cleaner has no more of them to remove."""
+        jvm = self.spark.sparkContext._jvm
+        self.spark.range(1).collect()  # the scheduler refers to its last job, so let that be a small one
         gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        jvm.System.gc()
+        tracker = jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+        known, same = -1, 0
+        for _ in range(40):
+            now = tracker.shuffleStatuses().size()
+            same = same + 1 if now == known else 0
+            if same == 4:
+                break
+            known = now
+            time.sleep(0.25)
