@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions import ranking, text
@@ -104,7 +104,9 @@ def run_branches(spark: SparkSession, branches: dict[str, Callable[[], DataFrame
     def job(name: str, build: Callable[[], DataFrame]) -> int:
         spark.addTag(f"{group}-{name}")
         try:
-            return build().rdd.count()
+            counted = Observation()
+            build().observe(counted, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()  # all columns are computed, nothing is kept
+            return counted.get["n"]
         finally:
             spark.removeTag(f"{group}-{name}")
 
