@@ -324,14 +324,14 @@ def priority_sort(get):
 
 @Q.plan("T1_delta_manifest", """WITH a AS (SELECT path, hash FROM {files} WHERE file_id % 10 <> 0), b AS (SELECT path, CASE WHEN file_id % 7 = 0 THEN 'x' || hash ELSE hash END AS hash FROM {files} WHERE file_id % 9 <> 0),
 o AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'add' WHEN b.path IS NULL THEN 'delete' ELSE 'modify' END AS operation, b.hash FROM a FULL JOIN b ON a.path = b.path WHERE a.hash IS DISTINCT FROM b.hash)
-SELECT path, operation, hash, row_number() OVER (ORDER BY (operation = 'delete')::INT, path) AS position FROM o""")
+SELECT path, operation, hash, row_number() OVER (ORDER BY (operation = 'delete')::INT, path, hash) AS position FROM o""")
 def delta_manifest(get):
     """What turns one snapshot of an artifact into the next: files to carry first, then files to delete, each by path."""
     files = get("files")
     a = files.where("file_id % 10 <> 0").select("path", F.col("hash").alias("was"))
     b = files.where("file_id % 9 <> 0").select("path", F.when(F.col("file_id") % 7 == 0, F.concat(F.lit("x"), "hash")).otherwise(F.col("hash")).alias("hash"))
     changed = a.join(b, "path", "full").where("NOT was <=> hash").withColumn("operation", F.when(F.col("was").isNull(), "add").when(F.col("hash").isNull(), "delete").otherwise("modify"))
-    return order.positions(changed, [(F.col("operation") == "delete").cast("int").asc(), F.col("path").asc()]).select("path", "operation", "hash", "position")
+    return order.positions(changed, [(F.col("operation") == "delete").cast("int").asc(), F.col("path").asc(), F.col("hash").asc()]).select("path", "operation", "hash", "position")
 
 
 @Q.plan("Q9_delete_cascade", "SELECT 'symbols' AS t, count(*) AS n FROM {symbols} WHERE file_id NOT IN (SELECT file_id FROM {files} WHERE is_deleted) UNION ALL SELECT 'refs', count(*) FROM {refs} WHERE file_id NOT IN (SELECT file_id FROM {files} WHERE is_deleted) UNION ALL SELECT 'chunks', count(*) FROM {chunks} WHERE file_id NOT IN (SELECT file_id FROM {files} WHERE is_deleted) UNION ALL SELECT 'points', count(*) FROM {points} p WHERE p.chunk_id NOT IN (SELECT chunk_id FROM {chunks} WHERE file_id IN (SELECT file_id FROM {files} WHERE is_deleted)) UNION ALL SELECT 'files', count(*) FROM {files} WHERE NOT is_deleted")
