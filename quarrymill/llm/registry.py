@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, dedup, html_text, langid, lm, media, mixing, quality, urlfilter
+from . import audit, bpe, chat, dedup, html_text, langid, lm, media, mixing, quality, repair, urlfilter
 from .staging import Staging
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -63,6 +63,14 @@ def op9(spark, sf_dir):
     return bpe.round_trip(_read(spark, sf_dir, "documents"), ranks, pattern, with_ids=False)
 
 
+def op12(spark, sf_dir):
+    return repair.damage_and_repair(_read(spark, sf_dir, "conversations"), Staging(spark, "repair"))
+
+
+def op13(spark, sf_dir):
+    return audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), Staging(spark, "audit"))
+
+
 OP2_SQL = """
 WITH u AS (SELECT page_id, CASE WHEN url IS NOT NULL AND contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -89,8 +97,10 @@ def queries():
         "op8_source_mixing": op8,
         "op9_byte_bpe": op9,
         "op10_html_text": op10,
+        "op12_structure_repair": op12,
+        "op13_filter_audit": op13,
     }
 
 
 def oracle_sql():
-    return {"op1_near_dedup": dedup.ORACLE, "op2_url_filter": OP2_SQL, "op6_quotation_linking": chat.ORACLE, "op7_quality_rules": quality.ORACLE, "op8_source_mixing": mixing.ORACLE}
+    return {"op1_near_dedup": dedup.ORACLE, "op2_url_filter": OP2_SQL, "op6_quotation_linking": chat.ORACLE, "op7_quality_rules": quality.ORACLE, "op8_source_mixing": mixing.ORACLE, "op12_structure_repair": repair.ORACLE, "op13_filter_audit": audit.ORACLE}
