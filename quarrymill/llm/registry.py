@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import audit, bpe, chat, dedup, html_text, langid, lm, media, mixing, quality, repair, urlfilter
+from . import audit, bpe, chat, dedup, html_text, langid, lm, media, mixing, quality, repair, triejoin, urlfilter
 from .staging import Staging
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -63,6 +63,10 @@ def op9(spark, sf_dir):
     return bpe.round_trip(_read(spark, sf_dir, "documents"), ranks, pattern, with_ids=False)
 
 
+def op11(spark, sf_dir):
+    return triejoin.join(_read(spark, sf_dir, "documents"), Staging(spark, "triejoin"))
+
+
 def op12(spark, sf_dir):
     return repair.damage_and_repair(_read(spark, sf_dir, "conversations"), Staging(spark, "repair"))
 
@@ -97,10 +101,11 @@ def queries():
         "op8_source_mixing": op8,
         "op9_byte_bpe": op9,
         "op10_html_text": op10,
+        "op11_ngram_join": op11,
         "op12_structure_repair": op12,
         "op13_filter_audit": op13,
     }
 
 
 def oracle_sql():
-    return {"op1_near_dedup": dedup.ORACLE, "op2_url_filter": OP2_SQL, "op6_quotation_linking": chat.ORACLE, "op7_quality_rules": quality.ORACLE, "op8_source_mixing": mixing.ORACLE, "op12_structure_repair": repair.ORACLE, "op13_filter_audit": audit.ORACLE}
+    return {"op1_near_dedup": dedup.ORACLE, "op2_url_filter": OP2_SQL, "op6_quotation_linking": chat.ORACLE, "op7_quality_rules": quality.ORACLE, "op8_source_mixing": mixing.ORACLE, "op11_ngram_join": triejoin.ORACLE, "op12_structure_repair": repair.ORACLE, "op13_filter_audit": audit.ORACLE}
