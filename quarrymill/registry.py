@@ -15,6 +15,7 @@ MODULES = (
     "quarrymill.plans.state_queries",
     "quarrymill.plans.refined_queries",
     "quarrymill.plans.finer_queries",
+    "quarrymill.plans.stored_queries",
 )
 
 
