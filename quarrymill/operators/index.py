@@ -1,14 +1,19 @@
 """A stored inverted index: postings by term, kept as segments in a folder and looked up without a scan of the texts.
 
-Folder: `postings/seg=S/part=P` (term, key, col, tf, positions, total) sorted by term, where P is a hash
-of the term; `documents/seg=S` (key, hash, total); `gone/seg=S` keys whose rows in segments before S no
-longer count; `head/<generation>.json`, written last, names the live segments and holds the number of
-live documents and tokens. A query reads one part for each term, and of it the row groups that hold the
-term; a posting carries its document's length, so ranking joins nothing.
+Folder: `postings/seg=S/part=P` (term, block, key, col, tf, positions, total), sorted by term and block and cut into ranges of about
+PART_POSTINGS postings, so a frequent term lies in several parts and a rare one shares a part; `ranges/seg=S` the first and last
+term of each part; `blocks/seg=S` for terms of FREQUENT postings or more, by block: how many, the greatest tf, the least length;
+`documents/seg=S` (key, hash, total); `gone/seg=S` keys whose rows in segments before S no longer count; `head/<generation>.json`,
+written last, names the live segments and holds the number of live documents and tokens. A query reads the parts whose range
+holds its terms, and of them the row groups that do; a posting carries its document's length, so ranking joins nothing.
+
+A block is a set of about BLOCK_DOCS documents of like length, the same for all terms, so the sum of its terms' bounds is a bound of any
+score in it: `top` scores the blocks of the greatest bounds first and reads others only where their bound reaches the k-th score.
 
 Terms are runs of Unicode letters and digits, lower-cased and without accents; `porter` also cuts endings.
 A null text has no terms; adding a key again replaces it, or skips it when its texts are unchanged; removing
 an unknown key changes nothing. Readers see the last head, so a failed write leaves the index as it was.
+Segments of like size are merged, MERGED at a time, so a row is written anew a logarithmic number of times.
 """
 
 from __future__ import annotations
@@ -16,21 +21,29 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import defaultdict
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions.porter import stem
 from quarrymill.operators.lexical import B, K1, idf
-from quarrymill.session import list_files, read_small, remove, scratch, write_small
+from quarrymill.session import list_files, read_small, remove, scratch, stage, stamps, write_small
 
 RUN = re.compile(r"[^\W_]+")
-#: Postings of about so many parts' files; a power of two.
-PARTS = 64
-SEGMENTS_BEFORE_MERGE = 8
+#: Postings of one part, and the least of a part where there are fewer parts than cores.
+PART_POSTINGS, LEAST_POSTINGS = 2_000_000, 50_000
+BLOCK_DOCS, FREQUENT = 256, 1024
+#: Segments of one size (within a factor of MERGED) that become one.
+MERGED = 4
+#: Bytes of text whose terms a task holds at a time.
+ROUND_BYTES = 1 << 20
+#: Postings of a query's terms up to this number are scored without a look at bounds.
+PLAIN_POSTINGS = 200_000
 
 
 def fold(text: str) -> str:
@@ -49,22 +62,19 @@ def terms_of(text: str | None, porter: bool = False) -> list[str]:
 cut = lru_cache(maxsize=1 << 18)(stem)
 
 
-def part_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
-
-
 class StoredIndex:
     """columns: text columns in the order of their weights."""
 
     def __init__(self, spark: SparkSession, path: str, key: str, columns: tuple[str, ...], porter: bool = False):
         self.spark, self.path, self.key, self.columns, self.porter = spark, path.rstrip("/"), key, columns, porter
+        self._ranges: dict[int, tuple[list, list]] = {}
 
     # -- head ----------------------------------------------------------------------------------
 
     def head(self) -> dict:
         names = sorted(n for n in list_files(self.spark, f"{self.path}/head") if n.endswith(".json"))
         if not names:
-            return {"generation": 0, "segments": [], "next": 1, "documents": 0, "tokens": 0, "gone": []}
+            return {"generation": 0, "segments": [], "next": 1, "documents": 0, "tokens": 0, "gone": [], "sizes": {}}
         return json.loads(read_small(self.spark, f"{self.path}/head/{names[-1]}"))
 
     def _commit(self, head: dict) -> None:
@@ -74,32 +84,36 @@ class StoredIndex:
     # -- writing -------------------------------------------------------------------------------
 
     def _postings(self, docs: DataFrame) -> DataFrame:
-        """(term, key, col, tf, positions, total): tokens are counted row by row, without a shuffle."""
+        """(term, key, col, tf, positions, total): terms are numbered and sorted by row in arrays, without a shuffle."""
         porter, n = self.porter, len(self.columns)
         kind = docs.schema[self.key].dataType.simpleString()
 
+        def counted(keys, texts):
+            found = [terms_of(texts[c][row], porter) for row in range(len(keys)) for c in range(n)]
+            lengths = np.array([len(f) for f in found])
+            flat = pa.array([t for f in found for t in f], pa.string()).dictionary_encode()
+            place = np.repeat(np.arange(len(found)), lengths)
+            at = np.arange(len(place)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            name = place * max(len(flat.dictionary), 1) + flat.indices.to_numpy()
+            order = np.argsort(name, kind="stable")
+            first = np.flatnonzero(np.diff(name[order], prepend=-1))
+            one = order[first]
+            row, total = place[one] // n, np.add.reduceat(lengths, np.arange(0, len(found), n)) if len(found) else lengths
+            return pa.RecordBatch.from_arrays(
+                [flat.dictionary.take(flat.indices.take(pa.array(one))), keys.take(pa.array(row)), pa.array((place[one] % n).astype(np.int32)), pa.array(np.diff(first, append=len(order)).astype(np.int32)),
+                 pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(at[order].astype(np.int32))), pa.array(total[row].astype(np.int32))],
+                ["term", "key", "col", "tf", "positions", "total"],
+            )
+
         def run(batches):
             for batch in batches:
-                out: list[tuple] = []
-                keys = batch.column(0).to_pylist()
                 texts = [batch.column(i + 1).to_pylist() for i in range(n)]
-                for row, key in enumerate(keys):
-                    found: dict = defaultdict(list)
-                    total = 0
-                    for c in range(n):
-                        for at, term in enumerate(terms_of(texts[c][row], porter)):
-                            found[term, c].append(at)
-                            total += 1
-                    out += [(t, key, c, len(at), at, total) for (t, c), at in found.items()]
-                    if len(out) > 1 << 16:
-                        yield rows(out, batch.schema.field(0).type)
-                        out = []
-                if out:
-                    yield rows(out, batch.schema.field(0).type)
-
-        def rows(out, key_type):
-            types = [pa.string(), key_type, pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["term", "key", "col", "tf", "positions", "total"])
+                start = size = 0
+                for row in range(batch.num_rows):
+                    size += sum(len(t[row] or "") for t in texts)
+                    if size >= ROUND_BYTES or row == batch.num_rows - 1:
+                        yield counted(batch.column(0).slice(start, row + 1 - start), [t[start : row + 1] for t in texts])
+                        start, size = row + 1, 0
 
         picked = docs.select(F.col(self.key).alias("key"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(self.columns)])
         return picked.mapInArrow(run, f"term string, key {kind}, col int, tf int, positions array<int>, total int")
@@ -108,11 +122,27 @@ class StoredIndex:
         return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c), F.lit("\x1e")) for c in self.columns]), 256)
 
     def _write_segment(self, docs: DataFrame, number: int) -> None:
-        postings = self._postings(docs).withColumn("part", part_of(F.col("term")))
-        postings.repartition("part").sortWithinPartitions("part", "term", "key", "col").write.partitionBy("part").parquet(f"{self.path}/postings/seg={number}")
+        wanted = docs.select(F.col(self.key).alias("key"), self._hash().alias("hash"))
+        self._write_postings(stage(self._postings(docs), "postings"), max(1, -(-wanted.count() // BLOCK_DOCS)), number)
         totals = self.spark.read.parquet(f"{self.path}/postings/seg={number}").groupBy("key").agg(F.first("total").alias("total"))
-        rows = docs.select(F.col(self.key).alias("key"), self._hash().alias("hash")).join(totals, "key", "left")
-        rows.select("key", "hash", F.coalesce("total", F.lit(0)).cast("long").alias("total")).write.parquet(f"{self.path}/documents/seg={number}")
+        wanted.join(totals, "key", "left").select("key", "hash", F.coalesce("total", F.lit(0)).cast("long").alias("total")).write.parquet(f"{self.path}/documents/seg={number}")
+
+    def _write_postings(self, postings: DataFrame, slots: int, number: int) -> None:
+        """A segment's postings in ranges of terms and blocks, the ranges, and the bounds of frequent terms' blocks. `postings` is a stored table: it is sampled first."""
+        n = postings.count()
+        parts = max(1, -(-n // PART_POSTINGS), min(self.spark.sparkContext.defaultParallelism, -(-n // LEAST_POSTINGS)))
+        like = F.floor(F.log2(F.col("total") + 1) * 2).cast("long")
+        blocked = postings.withColumn("block", like * slots + F.pmod(F.xxhash64("key"), F.lit(slots)))
+        dealt = blocked.repartitionByRange(parts, "term", "block").withColumn("part", F.spark_partition_id())
+        where = f"{self.path}/postings/seg={number}"
+        dealt.sortWithinPartitions("part", "term", "block", "key", "col").write.partitionBy("part").parquet(where)
+        if not n:
+            self.spark.createDataFrame([], postings.select("term", "key", "col", "tf", "positions", "total").schema).withColumn("block", F.lit(0).cast("long")).withColumn("part", F.lit(0)).write.mode("append").parquet(where)
+        written = self.spark.read.parquet(where)
+        written.groupBy("part").agg(F.min("term").alias("low"), F.max("term").alias("high")).coalesce(1).write.parquet(f"{self.path}/ranges/seg={number}")
+        frequent = written.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT).select("term")
+        bounds = written.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("tf"), F.min("total").alias("total"))
+        bounds.join(frequent, "term", "left_semi").sort("term").write.parquet(f"{self.path}/blocks/seg={number}")
 
     def decisions(self, docs: DataFrame) -> DataFrame:
         """(key, decision): add, update or skip, by the hash of the texts."""
@@ -135,9 +165,9 @@ class StoredIndex:
         added = self.spark.read.parquet(f"{self.path}/documents/seg={number}").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("t")).first()
         head["documents"] += added.n
         head["tokens"] += added.t or 0
+        head["sizes"][str(number)] = added.n
         self._commit(head)
-        if len(head["segments"]) > SEGMENTS_BEFORE_MERGE:
-            self.optimize()
+        self.merge()
         return decided
 
     def remove(self, keys: DataFrame) -> None:
@@ -160,16 +190,36 @@ class StoredIndex:
             head["documents"] -= lost.n
             head["tokens"] -= lost.t or 0
 
+    def merge(self) -> None:
+        """Segments of one size become one, until no size has MERGED of them."""
+        while True:
+            head, tiers = self.head(), defaultdict(list)
+            for seg in head["segments"]:
+                size, tier = head["sizes"].get(str(seg), 0), 0
+                while size >= MERGED ** (tier + 1):
+                    tier += 1
+                tiers[tier].append(seg)
+            full = [held for held in tiers.values() if len(held) >= MERGED]
+            if not full:
+                return
+            self._merge(head, full[0])
+
     def optimize(self) -> None:
         """All live postings in one segment, without tombstones; readers of the old head keep their files until `vacuum`."""
         head = self.head()
-        if len(head["segments"]) < 2 and not head["gone"]:
-            return
-        number = head["next"]
-        live = self._live(head, self._read(head, "postings"))
-        live.repartition("part").sortWithinPartitions("part", "term", "key", "col").write.partitionBy("part").parquet(f"{self.path}/postings/seg={number}")
-        self._live_documents(head).write.parquet(f"{self.path}/documents/seg={number}")
-        head |= {"segments": [number], "gone": [], "next": number + 1}
+        if len(head["segments"]) > 1 or head["gone"]:
+            self._merge(head, head["segments"])
+
+    def _merge(self, head: dict, old: list[int]) -> None:
+        number, part = head["next"], head | {"segments": old}
+        self._live_documents(part).write.parquet(f"{self.path}/documents/seg={number}")
+        size = self.spark.read.parquet(f"{self.path}/documents/seg={number}").count()
+        live = self._live(head, self._read(part, "postings")).drop("part", "block")
+        self._write_postings(stage(live, "merged") if head["gone"] else live, max(1, -(-size // BLOCK_DOCS)), number)
+        head["segments"] = [s for s in head["segments"] if s not in old] + [number]
+        head["gone"] = [g for g in head["gone"] if any(s < g for s in head["segments"])]
+        head["sizes"] = {str(s): head["sizes"].get(str(s), 0) for s in head["segments"]} | {str(number): size}
+        head["next"] = number + 1
         self._commit(head)
 
     def vacuum(self) -> list[int]:
@@ -177,7 +227,7 @@ class StoredIndex:
         head = self.head()
         old = [s for s in range(1, head["next"]) if s not in head["segments"] and s not in head["gone"]]
         for s in old:
-            for kind in ("postings", "documents", "gone", "decisions"):
+            for kind in ("postings", "ranges", "blocks", "documents", "gone", "decisions"):
                 remove(self.spark, f"{self.path}/{kind}/seg={s}")
         return old
 
@@ -211,18 +261,37 @@ class StoredIndex:
         found = self._live_documents(self.head())
         return self.spark.createDataFrame([], "key string, hash string, total long") if found is None else found
 
+    def _parts(self, seg: int, terms: list[str]) -> list[int]:
+        """The parts of a segment whose range holds one of the terms; the ranges are read once, a row a part."""
+        if seg not in self._ranges:
+            rows = sorted((r.low, r.high, r.part) for r in self.spark.read.parquet(f"{self.path}/ranges/seg={seg}").collect() if r.low is not None)
+            self._ranges[seg] = ([r[0] for r in rows], rows)
+        lows, rows = self._ranges[seg]
+        found = set()
+        for term in terms:
+            at = bisect_right(lows, term) - 1
+            while at >= 0 and rows[at][1] >= term:
+                found.add(rows[at][2])
+                at -= 1
+        return sorted(found)
+
     def postings(self, terms: list[str] | None = None, prefix: str | None = None, head: dict | None = None) -> DataFrame:
         """Live postings of some terms, of terms with a prefix, or of all."""
         head = head or self.head()
-        rows = self._read(head, "postings")
-        if rows is None:
-            return self.spark.createDataFrame([], "term string, key string, col int, tf int, positions array<int>, total int, part int")
-        if terms is not None:
-            at = [r.p for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(part_of(F.col("t")).alias("p")).collect()] if terms else []
-            rows = rows.where(F.col("part").isin(sorted(set(at))) & F.col("term").isin(terms))
-        if prefix is not None:
-            rows = rows.where(F.startswith("term", F.lit(prefix)))
-        return self._live(head, rows)
+        if not head["segments"]:
+            return self.spark.createDataFrame([], "term string, key string, col int, tf int, positions array<int>, total int, block long, part int")
+        return self._live(head, self._found(head, terms, prefix))
+
+    def _found(self, head: dict, terms: list[str] | None, prefix: str | None = None) -> DataFrame:
+        out = None
+        for s in head["segments"]:
+            rows = self.spark.read.parquet(f"{self.path}/postings/seg={s}").withColumn("seg", F.lit(s))
+            if terms is not None:
+                rows = rows.where(F.col("part").isin(self._parts(s, terms)) & F.col("term").isin(terms))
+            if prefix is not None:
+                rows = rows.where(F.startswith("term", F.lit(prefix)))
+            out = rows if out is None else out.unionByName(rows)
+        return out
 
     def vocabulary(self) -> DataFrame:
         """(term, docs, hits): rows that hold a term in any column, and its occurrences."""
@@ -245,10 +314,61 @@ class StoredIndex:
         out = by_row.join(F.broadcast(df), "term").groupBy("key").agg((-F.sum(part)).alias("score"), F.count(F.lit(1)).alias("matched"))
         return out.where(F.col("matched") == len(terms)) if every else out
 
-    def top(self, query: str | list[str], k: int, weights: tuple[float, ...] = (), every: bool = False) -> DataFrame:
+    def top(self, query: str | list[str], k: int, weights: tuple[float, ...] = (), every: bool = False, skip: bool | None = None) -> DataFrame:
+        """The k best rows; skip: whether blocks are looked at by their bounds first (by default where the terms have many postings)."""
+        if skip is not False and len(self.columns) == 1 and not every:
+            found = self._top_by_bounds(query, k, weights[0] if weights else 1.0, bool(skip))
+            if found is not None:
+                return found[0]
         found = self.scores(query, weights, every).withColumn("score", F.round("score", 6))
         return found.select("key", "score").orderBy("score", "key").limit(k)
 
+    def _top_by_bounds(self, query: str | list[str], k: int, weight: float, always: bool = True) -> tuple[DataFrame, int, int] | None:
+        """(the k best rows, blocks scored, blocks there are); None where bounds do not hold (rows were replaced since the last merge) or do not pay."""
+        terms = list(dict.fromkeys(terms_of(query, self.porter) if isinstance(query, str) else query))
+        head = self.head()
+        if head["gone"] or not head["segments"] or not terms:
+            return None
+        stored = None
+        for s in head["segments"]:
+            rows = self.spark.read.parquet(f"{self.path}/blocks/seg={s}").where(F.col("term").isin(terms)).withColumn("seg", F.lit(s))
+            stored = rows if stored is None else stored.unionByName(rows)
+        counts = {(r.term, r.seg): r.n for r in stored.groupBy("term", "seg").agg(F.sum("n").alias("n")).collect()}  # a row a term and segment
+        if not always and sum(counts.values()) <= PLAIN_POSTINGS:
+            return None
+        # Terms without stored bounds in a segment have fewer than FREQUENT postings there.
+        postings = self._found(head, terms)
+        known = F.lit(False)
+        for term, seg in counts:
+            known = known | ((F.col("term") == term) & (F.col("seg") == seg))
+        rare = postings.where(~known).groupBy("term", "block", "seg").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("tf"), F.min("total").alias("total"))
+        bounds = stage(stored.unionByName(rare), "bounds")
+        df = {r.term: r.n for r in bounds.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        if not df:
+            return None
+        average = head["tokens"] / head["documents"]
+        worth = F.create_map(*[x for t, n in df.items() for x in (F.lit(t), idf(F.lit(float(head["documents"])), F.lit(n)))])
+
+        def part():
+            tf = F.col("tf") * F.lit(float(weight))
+            return F.element_at(worth, F.col("term")) * tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * F.col("total") / F.lit(average)))
+
+        def scored(rows):
+            return rows.groupBy("key").agg((-F.sum(part())).alias("score")).select("key", F.round("score", 6).alias("score"))
+
+        most = stage(bounds.groupBy("seg", "block").agg(F.sum(part()).alias("bound"), F.max("n").alias("n")), "most")
+        first = most.orderBy(F.desc("bound"), "seg", "block").limit(max(k, 8)).collect()
+        best = scored(postings.where(_inside(first))).orderBy("score", "key").limit(k).collect()
+        # Scores are negative; one that rounds to the k-th still counts.
+        edge = -best[-1].score - 2e-6 if len(best) == k else 0.0
+        chosen = most.where(F.col("bound") >= edge).select("seg", "block")
+        several = chosen.count()
+        if several <= 1000:
+            rows = postings.where(_inside(chosen.collect()))
+        else:
+            rows = postings.join(chosen, ["seg", "block"], "left_semi")
+        return scored(rows).orderBy("score", "key").limit(k), several, most.count()
+
     def match(self, query: str) -> DataFrame:
         """Keys of rows that fit a query: words, "phrases", prefix*, column:word, NEAR(a b, n), AND, OR, NOT, brackets; words side by side are all wanted."""
         tree = Parser(query, self.columns, self.porter).parse()
@@ -304,6 +424,17 @@ class StoredIndex:
         return out
 
 
+def _inside(blocks: list) -> Column:
+    """Whether a posting lies in one of some (seg, block) rows."""
+    by_seg: dict[int, list[int]] = defaultdict(list)
+    for r in blocks:
+        by_seg[r.seg].append(r.block)
+    out = F.lit(False)
+    for seg, held in by_seg.items():
+        out = out | ((F.col("seg") == seg) & F.col("block").isin(held))
+    return out
+
+
 def _all(tests: list[Column]) -> Column:
     out = tests[0]
     for t in tests[1:]:
@@ -400,9 +531,9 @@ _BUILT: dict[tuple, StoredIndex] = {}
 
 
 def stored(docs: DataFrame, key: str, columns: tuple[str, ...], porter: bool = False) -> StoredIndex:
-    """The index of these rows; rows of the same files and plan share one for the life of the application."""
+    """The index of these rows; rows of the same plan over the same files, by name, length and time, share one for the life of the application."""
     plan = docs._jdf.queryExecution().analyzed()
-    name = (docs.sparkSession.sparkContext.applicationId, plan.semanticHash(), tuple(sorted(docs.inputFiles())), key, columns, porter)
+    name = (docs.sparkSession.sparkContext.applicationId, plan.semanticHash(), stamps(docs.sparkSession, docs.inputFiles()), key, columns, porter)
     if name not in _BUILT:
         index = StoredIndex(docs.sparkSession, scratch(docs.sparkSession, "index"), key, columns, porter)
         index.add(docs)

@@ -78,6 +78,17 @@ def list_files(spark: SparkSession, folder: str) -> list[str]:
     return [s.getPath().getName() for s in store.listStatus(where)] if store.exists(where) else []
 
 
+def stamps(spark: SparkSession, files: list[str]) -> tuple:
+    """(name, length, time of change) of every file: one listing a folder."""
+    held = {_place(spark, f)[0].toUri().getPath() for f in files}
+    out = []
+    for folder in sorted({f.rpartition("/")[0] for f in files}):
+        where, store = _place(spark, folder)
+        found = ((s.getPath().toUri().getPath(), s.getLen(), s.getModificationTime()) for s in store.listStatus(where))
+        out += [f for f in found if f[0] in held]
+    return tuple(sorted(out))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where, store = _place(spark, path)
     store.delete(where, True)
