@@ -35,6 +35,7 @@ from quarrymill.operators.lexical import B, K1, idf
 from quarrymill.session import list_files, read_small, remove, scratch, stage, stamps, write_small
 
 RUN = re.compile(r"[^\W_]+")
+BEYOND_ASCII = re.compile(r"[^\x00-\x7f]{1,16}")
 #: Postings of one part, and the least of a part where there are fewer parts than cores.
 PART_POSTINGS, LEAST_POSTINGS = 2_000_000, 50_000
 BLOCK_DOCS, FREQUENT = 256, 1024
@@ -46,12 +47,15 @@ ROUND_BYTES = 1 << 20
 PLAIN_POSTINGS = 200_000
 
 
+@lru_cache(maxsize=1 << 12)
+def _unmarked(run: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", run) if unicodedata.category(c) != "Mn")
+
+
 def fold(text: str) -> str:
     """Lower case, without combining marks."""
     lowered = text.lower()
-    if lowered.isascii():
-        return lowered
-    return "".join(c for c in unicodedata.normalize("NFD", lowered) if unicodedata.category(c) != "Mn")
+    return lowered if lowered.isascii() else BEYOND_ASCII.sub(lambda m: _unmarked(m[0]), lowered)
 
 
 def terms_of(text: str | None, porter: bool = False) -> list[str]:
