@@ -16,6 +16,7 @@ MODULES = (
     "quarrymill.plans.refined_queries",
     "quarrymill.plans.finer_queries",
     "quarrymill.plans.stored_queries",
+    "quarrymill.plans.mechanism_queries",
 )
 
 
