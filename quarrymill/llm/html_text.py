@@ -1,19 +1,22 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element. Lines in menus, headers, footers, sidebars, forms, adverts,
-notices and reader comments are taken out. The others weigh their text: nothing where links make most of it, a
-tenth where the page has an article or main element and they stand outside. Weights are summed over sliding windows of
-WINDOW lines. Where the sum rises from nothing the text surges, where it falls back to nothing it dives; the start and
-end of an article are such points too. What stands between is a region. Regions of an article are kept, and all regions
-where the page has none, however light; regions beside an article are kept if their highest sum reaches SURGE.
-
-Elements mark lines by name, role, or whole words of class and id, never by a part of a longer word or a `no-`,
-`has-` or `with-` form. An element that is marked by such words alone but holds most of the page's text is not
-taken out: it is a layout's name.
+Markup is stripped into lines, one for each block element; a line weighs its length, nothing where links make most of it (a lone
+paragraph that is a link, with prose on both sides, keeps its weight), and a quarter beside an article or main element. Weights are
+summed over sliding windows of WINDOW lines. A page has a level of its own: the lesser of PROSE_CHARS and LEVEL_PERCENT of its highest
+window sum. Where the sum first reaches the level the text surges, after it last does so the text dives; the ends of an article are
+such points too. Lines of an article surge by themselves, and so do paragraphs and headings on a page without one. What stands
+between surge and dive is kept, but for weightless lines and, at both ends, lines that are neither paragraphs or headings nor reach the
+level alone: a menu of short plain blocks goes, a short first or last paragraph stays.
+
+Before that, lines of menus, headers, footers, sidebars, forms, adverts, notices and reader comments have no weight. Elements mark them by
+name or role, or by words of a class, or of the id of a container (never of a heading or paragraph, whose ids are anchors): a whole word, the
+last part of a word, or a first part that only words of layout follow; never a `no-`, `has-` or `with-` form. What is marked by words or
+as a form alone but holds most of the page's text (of its articles' text, if it has articles) is a layout's name and weighs as any other.
 
 Defined cases: a null or empty page has the empty text; unclosed and misnested tags are read as
 browsers do for blocks (a block starts a new line); a tag, comment or raw text that never ends takes the rest of
-the page with it, as in browsers; unknown character references stay as written; pages of any length are read whole,
+the page with it, as in browsers; unknown character references stay as written; a page whose every line is marked by words
+has the text of the element that holds most of it, and none if no element does; pages of any length are read whole,
 in time that grows with their length; equal rows give equal rows; other columns are not read.
 """
 
@@ -31,17 +34,20 @@ from pyspark.sql import functions as F
 from . import textops
 from .staging import small_batches
 
-#: Production parameters: lines a window, share of link text from which a line weighs nothing, least sum of a region beside an article.
-WINDOW, LINK_PERCENT, SURGE = 3, 60, 40
+#: Production parameters: lines a window, share of link text from which a line weighs nothing, share of the highest sum and length
+#: of text that make a page's level, and the part of its weight that a line beside an article keeps.
+WINDOW, LINK_PERCENT, LEVEL_PERCENT, PROSE_CHARS, BESIDE = 3, 60, 16, 60, 4
 BATCH_BYTES = 4 << 20
 #: Elements by their part in a page, and words in class, id or role that mark one.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-HIDDEN = frozenset("head script style noscript template iframe object svg canvas textarea select button option datalist audio video map math title".split())
+HIDDEN = frozenset("head script style noscript template iframe object svg canvas textarea select button option datalist audio video map title".split())
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
-ASIDE = frozenset("nav footer aside form menu dialog".split())
+ASIDE = frozenset("nav footer aside menu dialog".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd figcaption".split())
+CONTAINERS = frozenset("div section ul ol dl table tbody header form center details fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SELF_CLOSING = frozenset("li tr td th dt dd option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -49,9 +55,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsors sponsored promo promos promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar side "
     "footer header masthead cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup login share sharing social related recommended recommendations "
-    "comment comments disqus replies respond copyright legal widget toolbar pagination pager skip hidden".split()
+    "comment comments discussion discussions disqus replies respond copyright legal widget toolbar pagination pager skip hidden".split()
 )
 LEADING = frozenset("ad ads advert sidebar cookie cookies consent nav navbar menu footer comment comments newsletter promo sponsor share related breadcrumb breadcrumbs".split())
+#: Words of layout that may follow a leading word.
+LAYOUT = frozenset("area bar block body bottom box btn button buttons col column container content form group header heading holder inner item items left link links list module nav outer panel right row section slot tabs text title top unit widget wrap wrapper zone".split())
 STATES = frozenset("no has with without is not layout".split())
 
 TAG_OPEN = re.compile(r"<(?=[A-Za-z/!?])")
@@ -68,20 +76,22 @@ def marks(value: str, in_article: bool) -> bool:
         parts = [x for x in re.split("[-_]+", token) if x]
         if not parts or parts[0] in STATES:
             continue
-        word = token if token in MARKED else parts[-1] if parts[-1] in MARKED else parts[0] if parts[0] in LEADING else None
+        leads = parts[0] in LEADING and all(x in LAYOUT or x.isdigit() for x in parts[1:])
+        word = token if token in MARKED else parts[-1] if parts[-1] in MARKED else parts[0] if leads else None
         if word and not (in_article and word in ("header", "masthead")):
             return True
     return False
 
 
 class Lines:
-    """Text lines of a page: (text, link characters, aside, marker, article).
+    """Text lines of a page: (text, link characters, aside, marker, article, prose).
 
-    aside: taken out by its element; marker: the innermost element above that class or id mark, 0 for none; article: a number, 0 outside.
+    aside: without weight by its element; marker: the innermost element above that class, id or a form mark, 0 for none; article: a number, 0
+    outside; prose: the innermost block is a paragraph, a heading or the like.
     """
 
     def __init__(self, page: str):
-        self.lines: list[tuple[str, int, bool, int, int]] = []
+        self.lines: list[tuple[str, int, bool, int, int, bool]] = []
         self.parts: list[str] = []
         self.links = self.open_links = self.articles = 0
         #: (name, is a block, hidden, aside, marker, article, is a link); blocks by name; inline elements of each open block by name.
@@ -164,7 +174,7 @@ class Lines:
             text = " ".join("".join(self.parts).split())
             if text:
                 _, _, _, aside, marker, article, _ = self.stack[-1] if self.stack else (None, None, False, False, 0, 0, False)
-                self.lines.append((text, self.links, aside, marker, article))
+                self.lines.append((text, self.links, aside, marker, article, self.innermost() in PROSE))
             self.parts, self.links = [], 0
 
     def data(self, text: str) -> None:
@@ -218,7 +228,8 @@ class Lines:
         concealed = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in style
         aside = aside or tag in ASIDE or attributes.get("role", "").strip().lower() in ROLES or concealed or tag == "header" and not article
         if tag not in ("html", "body", "article", "main") or article and tag == "article" and self.articles != article:
-            if any(marks(references.unescape(attributes[k]), article > 0) for k in ("class", "id") if attributes.get(k)):
+            named = [attributes[k] for k in ("class", "id") if attributes.get(k) and (k == "class" or tag in CONTAINERS)]
+            if tag == "form" or any(marks(references.unescape(v), article > 0) for v in named):
                 self.parents.append(marker)
                 marker = len(self.parents) - 1
         link = tag == "a" and ("href" in attributes or not ("name" in attributes or "id" in attributes))
@@ -245,53 +256,68 @@ class Lines:
 
     # -- what is taken out ---------------------------------------------------------------------
 
-    def kept(self) -> list[tuple[str, int, int]]:
-        """(text, link characters, article) of the lines that are not taken out."""
+    def kept(self) -> list[tuple[str, int, int, bool]]:
+        """(text, link characters, article, prose) of the lines that no mark takes the weight from."""
         own = [0] * len(self.parents)
-        for text, links, aside, marker, _ in self.lines:
-            own[marker] += 0 if aside else max(len(text) - links, 0)
+        articles = any(line[4] and not line[2] for line in self.lines)
+        for text, links, aside, marker, article, _ in self.lines:
+            own[marker] += 0 if aside or articles and not article else max(len(text) - links, 0)
         total = sum(own)
         for i in range(len(own) - 1, 0, -1):  # inner markers come after outer ones
             own[self.parents[i]] += own[i]
         out = [False] * len(own)
         for i in range(1, len(own)):
             out[i] = out[self.parents[i]] or 2 * own[i] <= total
-        return [(text, links, article) for text, links, aside, marker, article in self.lines if not aside and not out[marker]]
+        return [(text, links, article, prose) for text, links, aside, marker, article, prose in self.lines if not aside and not out[marker]]
 
 
-def regions(weights: list[int], cuts: set[int], least: int = 0) -> list[tuple[int, int]]:
-    """[surge, dive) line ranges: runs of window sums above 0, without the empty ends, cut at `cuts`, whose highest sum reaches `least`."""
-    n = len(weights)
-    total = [0, *accumulate(weights)]
-    out, start = [], None
-    for i in range(n + 1):
-        inside = i < n and total[min(i + WINDOW, n)] > total[i]
-        if start is not None and (not inside or i in cuts):
-            out.append((start, i))
-            start = None
-        if inside and start is None and (weights[i] > 0 or i in cuts):
-            start = i
-    peak = lambda a, b: max(total[min(i + WINDOW, b)] - total[i] for i in range(a, b))
-    return [(a, b) for a, b in out if total[b] > total[a] and peak(a, b) >= least]
-
-
-def weigh(lines: list[tuple[str, int, int]]) -> list[int]:
-    articles = any(article for _, _, article in lines)
+def weigh(lines: list[tuple[str, int, int, bool]]) -> list[float]:
+    articles = any(article for _, _, article, _ in lines)
+    linked = [not article and 100 * links > LINK_PERCENT * len(text) for text, links, article, _ in lines]
     out = []
-    for text, links, article in lines:
-        prose = article or 100 * links <= LINK_PERCENT * len(text)
-        out.append((len(text) if article or not articles else len(text) // 10) if prose else 0)
+    for i, (text, _, article, prose) in enumerate(lines):
+        lone = prose and 0 < i < len(lines) - 1 and not (linked[i - 1] or linked[i + 1]) and lines[i - 1][3] and lines[i + 1][3]
+        weight = len(text) if not linked[i] or lone else 0
+        out.append(weight if article or not articles else weight / BESIDE)
     return out
 
 
+def sums(weights: list[float]) -> list[float]:
+    """Of each line, the weight of the window that starts with it."""
+    total = [0, *accumulate(weights)]
+    return [total[min(i + WINDOW, len(weights))] - total[i] for i in range(len(weights))]
+
+
+def region(weights: list[float], sure: list[bool], prose: list[bool], level: float) -> tuple[int, int]:
+    """[surge, dive): from the first window sum that reaches the level, or sure line, to the end of the last, without weak ends."""
+    points = [i for i, x in enumerate(sums(weights)) if sure[i] or x >= level > 0]
+    if not points:
+        return 0, 0
+    a, b = points[0], min(points[-1] + WINDOW, len(weights))
+    strong = [w > 0 and (s or p or w >= level) for w, s, p in zip(weights, sure, prose)]
+    while a < b and not strong[a]:
+        a += 1
+    while a < b and not strong[b - 1]:
+        b -= 1
+    return a, b
+
+
 def main_text(page: str | None) -> str:
     lines = Lines(page or "").kept()
     weights = weigh(lines)
-    cuts = {i for i in range(1, len(lines)) if lines[i][2] != lines[i - 1][2]}
-    beside = any(article for _, _, article in lines)
-    strong = set(regions(weights, cuts, SURGE))
-    found = [r for r in regions(weights, cuts) if not beside or lines[r[0]][2] or r in strong]
-    return "\n".join(lines[i][0] for a, b in found for i in range(a, b) if weights[i])
+    articles = any(line[2] for line in lines)
+    level = min(LEVEL_PERCENT * max(sums(weights), default=0) / 100, PROSE_CHARS)
+    out, start = [], 0
+    for end in range(1, len(lines) + 1):
+        if end < len(lines) and lines[end][2] == lines[start][2]:
+            continue
+        part = range(start, end)
+        prose = [lines[i][3] for i in part]
+        sure = [weights[i] > 0 and bool(lines[i][2] or not articles and lines[i][3]) for i in part]
+        a, b = region([weights[i] for i in part], sure, prose, level)
+        out += [lines[i][0] for i in part[a:b] if weights[i] > 0]
+        start = end
+    return "\n".join(out)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

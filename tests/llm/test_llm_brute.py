@@ -454,61 +454,86 @@ def test_main_text_without_article():
     assert html_text.main_text(html).split("\n") == [f"Paragraph {i} has a good many words in it, as prose has." for i in range(6)]
 
 
-def test_regions():
-    assert html_text.regions([0, 5, 0, 5, 0, 0, 0, 9], set()) == [(1, 4), (7, 8)]
-    assert html_text.regions([4, 4, 4], {1}) == [(0, 1), (1, 3)]
-    assert html_text.regions([], set()) == []
-
-
-def plain_main_text(lines, window, link_percent, least):
-    """The method by plain loops: weights, window sums, surges, dives."""
-    articles = any(a for _, _, a in lines)
-    weights = []
-    for text, links, article in lines:
-        if not article and 100 * links > link_percent * len(text):
-            weights.append(0)
-        else:
-            weights.append(len(text) if article or not articles else len(text) // 10)
-    sums = []
-    for i in range(len(lines)):
-        s = 0
-        for j in range(i, min(i + window, len(lines))):
-            s += weights[j]
-        sums.append(s)
-    groups, group = [], []
-    for i in range(len(lines)):
-        if group and (sums[i] == 0 or lines[i][2] != lines[i - 1][2]):
-            groups.append(group)
-            group = []
-        if sums[i] > 0 and (group or weights[i] > 0 or i and lines[i][2] != lines[i - 1][2]):
-            group.append(i)
-    groups += [group] if group else []
-    groups = [g for g in groups if any(weights[i] for i in g)]
-    peak = lambda g: max(sum(weights[j] for j in range(i, min(i + window, g[-1] + 1))) for i in g)
-    kept = [g for g in groups if not articles or lines[g[0]][2] or peak(g) >= least]
-    return "\n".join(lines[i][0] for g in kept for i in g if weights[i])
+def test_region():
+    no = [False] * 8
+    assert html_text.region([0, 5, 0, 5, 0, 0, 0, 9], no, no, 5) == (1, 8)
+    assert html_text.region([4, 4, 60, 4, 4], no[:5], no[:5], 20) == (2, 3)
+    assert html_text.region([4, 4, 60, 4, 4], no[:5], [False, True, True, True, False], 20) == (1, 4)
+    assert html_text.region([1, 1], no[:2], no[:2], 20) == (0, 0) == html_text.region([], [], [], 0)
+    assert html_text.region([1, 1], [False, True], no[:2], 20) == (1, 2)
+
+
+def plain_main_text(lines):
+    """The method by plain loops over (text, link characters, article, prose) lines: weights, level, windows, surge and dive, ends."""
+    articles = any(a for _, _, a, _ in lines)
+    n, weights = len(lines), []
+
+    def linked(i):
+        return not lines[i][2] and 100 * lines[i][1] > 60 * len(lines[i][0])
+
+    for i, (text, _, article, prose) in enumerate(lines):
+        w = len(text)
+        if linked(i) and not (prose and 0 < i < n - 1 and not linked(i - 1) and not linked(i + 1) and lines[i - 1][3] and lines[i + 1][3]):
+            w = 0
+        weights.append(w if article or not articles else w / 4)
+    level = min(max([sum(weights[i : i + 3]) for i in range(n)], default=0) * 0.16, 60)
+    kept, i = [], 0
+    while i < n:
+        j = i
+        while j < n and lines[j][2] == lines[i][2]:
+            j += 1
+        certain = [weights[x] > 0 and (lines[x][2] > 0 or not articles and lines[x][3]) for x in range(i, j)]
+        surges = [x for x in range(i, j) if certain[x - i] or sum(weights[x : min(x + 3, j)]) >= level > 0]
+        if surges:
+            part = list(range(surges[0], min(surges[-1] + 3, j)))
+            firm = [weights[x] > 0 and (certain[x - i] or lines[x][3] or weights[x] >= level) for x in part]
+            part = [x for k, x in enumerate(part) if any(firm[: k + 1]) and any(firm[k:])]
+            kept += [lines[x][0] for x in part if weights[x] > 0]
+        i = j
+    return "\n".join(kept)
 
 
 def test_main_text_against_plain_loops():
     rng = random.Random(12)
-    for _ in range(400):
-        lines, html, number = [], "", 0
+    for _ in range(600):
+        lines, html, number, rich = [], "", 0, rng.random() < 0.5
         for _ in range(rng.randint(0, 30)):
             text = "x" * rng.choice([0, 1, 3, 9, 30, 200]) or "y"
-            kind = rng.choice(["text", "text", "link", "nav", "article"])
+            kind = rng.choice(["div", "div", "p", "link", "link p", "nav", "article" if rich else "p"])
             if kind == "nav":
                 html += f"<nav><p>{text}</p></nav>"
-            elif kind == "link":
-                html += f"<div><a href=x>{text}</a></div>"
-                lines.append((text, len(text), 0))
+            elif kind.startswith("link"):
+                tag = "p" if kind.endswith("p") else "div"
+                html += f"<{tag}><a href=x>{text}</a></{tag}>"
+                lines.append((text, len(text), 0, tag == "p"))
             elif kind == "article":
                 number += 1
-                html += f"<article><p>{text}</p><p>{text}z</p></article>"
-                lines += [(text, 0, number), (text + "z", 0, number)]
+                html += f"<article><p>{text}</p><div>{text}z</div></article>"
+                lines += [(text, 0, number, True), (text + "z", 0, number, False)]
             else:
-                html += f"<div>{text}</div>"
-                lines.append((text, 0, 0))
-        assert html_text.main_text(html) == plain_main_text(lines, html_text.WINDOW, html_text.LINK_PERCENT, html_text.SURGE)
+                html += f"<{kind}>{text}</{kind}>"
+                lines.append((text, 0, 0, kind == "p"))
+        assert html_text.main_text(html) == plain_main_text(lines), html
+
+
+LONG_PROSE = "A paragraph of prose, with commas and a good many words, that goes on for a while. " * 3
+
+
+@pytest.mark.parametrize("page,lost,held", [
+    ("<div>Home</div><div>About</div><div>Contact</div><p>{p}</p><div>Terms of use</div>", ["Home", "About", "Contact", "Terms"], []),
+    ("<article><h2 id='related'>Related work</h2><p>{p}</p><h2 id='menu'>The menu</h2><p>x</p><h2 id='copyright'>On copyright</h2></article>", [], ["Related work", "The menu", "x", "On copyright"]),
+    ("<article><p>{p}</p><p class='share-of-market'>Shares fell.</p><p>a <math><mi>y</mi></math> b</p></article>", [], ["Shares fell.", "a y b"]),
+    ("<p>{p}</p><p><a href=x>The whole report</a></p><p>{p}</p>", [], ["The whole report"]),
+    ("<p>{p}</p><p><a href=x>One</a></p><p><a href=x>Two</a></p><p>{p}</p>", ["One", "Two"], []),
+    ("<p>Before it, {p}</p><article><p>{p}</p></article>", [], ["Before it, A paragraph"]),
+    ("<article><p>{p}</p></article><section class='discussion'><p>Reader: {p}</p></section>", ["Reader"], []),
+    ("<form id=all><div>Menu</div><p>{p}</p></form>", ["Menu"], ["A paragraph"]),
+    ("<div class='ad-slot'><p>Buy</p></div><div class='sidebar-left-2'>Side</div><p>{p}</p>", ["Buy", "Side"], []),
+    ("<div class='ad'>An advert that is longer than the article, by far, as adverts may be.</div><article><h1>Short.</h1></article>", ["advert"], ["Short."]),
+])
+def test_main_text_of_awkward_pages(page, lost, held):
+    text = html_text.main_text("<body>" + page.replace("{p}", LONG_PROSE) + "</body>")
+    assert not [x for x in lost if x in text] and not [x for x in held if x not in text], text
 
 
 ARTICLE = "<article><h1>Title</h1><p>Some words of an article.</p><p>More.</p></article>"
