@@ -2,8 +2,8 @@
 
 List entries (a host, or a host and the start of a path) are hashed with 64-bit xxHash; the sorted
 digests lie in one file that executors map into memory, next to the offsets of the full strings.
-A URL's candidate keys (each suffix of its host, alone and with each listed path length) are hashed,
-probed by vectorised binary search, and a hit counts only if the stored string is the same.
+A URL's candidate keys (each suffix of its host of at most as many labels as a listed host has, alone and with each listed path
+length) are hashed, probed by vectorised binary search, and a hit counts only if the stored string is the same.
 
 Defined cases: a null URL or one without `://` has an empty host and path and fits no entry; of
 entries that fit, the longest wins, and of equal lengths the one with the longer host; equal rows
@@ -59,10 +59,10 @@ class DigestArray:
     """Sorted digests, string offsets, values and strings in one mapped file."""
 
     def __init__(self, path: str):
-        head = np.fromfile(path, dtype="<i8", count=2)
-        n, self.size = int(head[0]), int(head[1])
+        head = np.fromfile(path, dtype="<i8", count=3)
+        n, self.size, self.labels = (int(x) for x in head)
         whole = np.memmap(path, dtype=np.uint8, mode="r")
-        at = 16
+        at = 24
         self.digests = whole[at : at + 8 * n].view("<u8")
         self.offsets = whole[at + 8 * n : at + 8 * (2 * n + 1)].view("<i8")
         at += 8 * (2 * n + 1)
@@ -78,7 +78,7 @@ class DigestArray:
         if 17 * len(rows) + sum(len(k) for _, k, _ in rows) > MAX_LIST_BYTES:
             raise ValueError("the list is larger than one filter may hold")
         parts = [
-            np.array([len(rows), len(lengths)], "<i8"),
+            np.array([len(rows), len(lengths), max((h.count(".") + 1 for h, _, _ in entries), default=0)], "<i8"),
             np.array([r[0] for r in rows], "<u8"),
             np.cumsum([0, *(len(r[1]) for r in rows)]).astype("<i8"),
             np.array([r[2] for r in rows], np.uint8),
@@ -108,11 +108,14 @@ class DigestArray:
         return host, path, int(self.values[i])
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[bytes]:
-    if not host:
+def candidates(host: str, path: str, lengths: list[int], most: int) -> list[bytes]:
+    """Keys of the host's suffixes of 1 to `most` labels, in time that grows with the host's length."""
+    if not host or not most:
         return []
-    labels = host.split(".")
-    hosts = [".".join(labels[i:]) for i in range(len(labels))]
+    ends = [len(host)]
+    while len(ends) <= most and ends[-1] >= 0:
+        ends.append(host.rfind(".", 0, ends[-1]))
+    hosts = [host[at + 1 :] for at in ends[1:]]
     return [entry_key(h, path[:n]) for h in hosts for n in lengths if n <= len(path)]
 
 
@@ -120,7 +123,7 @@ def best(array: DigestArray, pairs: list[tuple[str, str]]) -> list[tuple[str, st
     """The longest entry that fits each (host, path)."""
     keys, owner = [], []
     for i, (host, path) in enumerate(pairs):
-        mine = candidates(host, path, array.lengths)
+        mine = candidates(host, path, array.lengths, array.labels)
         keys += mine
         owner += [i] * len(mine)
     out: list = [None] * len(pairs)
