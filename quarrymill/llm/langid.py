@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model per learned language over the letters of words, lower-cased, with marks for a word's start
-and end. Models are fitted on a bounded sample of labelled rows: of each language the SAMPLE_DOCS
+and end. A model takes memory in proportion to its n-grams: each key's values are listed for the languages that have it. Models are fitted on a bounded sample of labelled rows: of each language the SAMPLE_DOCS
 rows with the least hash of their id, up to SAMPLE_CHARS characters; a longer text counts with its
 first tenth of that from its first letter on, so no language is left out for its texts' length. Every
 fifth sampled row is kept out of the fit and calibrates rejection and scores: the score is a softmax over the languages of
@@ -92,6 +92,45 @@ def gram_keys(codes: np.ndarray) -> list[np.ndarray]:
     return keys
 
 
+class Table:
+    """The n-grams of one order: sorted keys, and behind each the languages that have it with their probability and back-off weight."""
+
+    def __init__(self, collected):
+        """collected: of each language keys and probabilities, and keys (among them) and back-off weights."""
+        gamma = [np.ones(len(c[0]), np.float32) for c in collected]
+        for g, c in zip(gamma, collected):
+            order = np.argsort(c[0], kind="stable")
+            g[order[np.searchsorted(c[0], c[2], sorter=order)]] = c[3]
+        keys = np.concatenate([c[0] for c in collected]) if collected else np.zeros(0, np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.first = np.append(first, len(keys)).astype(np.int64)
+        self.language = np.repeat(np.arange(len(collected)), [len(c[0]) for c in collected])[order].astype(np.uint16)
+        self.alpha = np.concatenate([c[1] for c in collected])[order] if collected else np.zeros(0, np.float32)
+        self.gamma = np.concatenate(gamma)[order] if collected else np.zeros(0, np.float32)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.first, self.language, self.alpha, self.gamma))
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def spread(self, places: np.ndarray, values: np.ndarray, default: float, languages: int) -> np.ndarray:
+        """(places, languages): the value of each, the default where a language does not have the key."""
+        out = np.full((len(places), languages), default, np.float32)
+        row = np.flatnonzero(places >= 0)
+        first = self.first[places[row]]
+        n = self.first[places[row] + 1] - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out[np.repeat(row, n), self.language[at]] = values[at]
+        return out
+
+
 class Model:
     """Sorted hash arrays of all languages."""
 
@@ -110,15 +149,7 @@ class Model:
         uniform = np.array([1.0 / (len(alphabet) + 1) for _, alphabet in collected])
         tables = []
         for k in range(ORDER):
-            keys = np.unique(np.concatenate([c[k][0] for c, _ in collected])) if collected else np.zeros(0, np.uint64)
-            alpha = np.zeros((len(keys), len(languages)), np.float32)
-            gamma = np.ones((len(keys), len(languages)), np.float32)
-            for i, (c, _) in enumerate(collected):
-                at = np.searchsorted(keys, c[k][0])
-                alpha[at, i] = c[k][1]
-                at = np.searchsorted(keys, c[k][2])
-                gamma[at, i] = c[k][3]
-            tables.append((keys, alpha, gamma))
+            tables.append(Table([c[k] for c, _ in collected]))
         root = np.array([c[ORDER] for c, _ in collected], np.float32)
         model = Model(languages, tables, uniform * root, math.inf)
         measured = [(languages.index(lang), *model.text_entropies(t)) for lang, t in check]
@@ -147,16 +178,14 @@ class Model:
         real = np.ones(len(codes), bool)
         real[(starts[:-1, None] + np.arange(ORDER - 1)).reshape(-1)] = False
         at = np.flatnonzero(real)
-        p = np.broadcast_to(self.uniform, (len(at), len(self.languages)))
+        p = np.repeat(self.uniform[None], len(at), axis=0)
         back = None
         for k in range(ORDER):
-            table, alpha, gamma = self.tables[k]
-            place = np.minimum(np.searchsorted(table, keys[k]), max(len(table) - 1, 0))
-            hit = table[place] == keys[k]
+            place = self.tables[k].places(keys[k])
             if back is not None:
-                p = p * back
-            p = np.where(hit[at, None], alpha[place[at]], 0.0) + p
-            back = np.where(hit[at - 1, None], gamma[place[at - 1]], 1.0)  # of the k-gram before the character
+                p *= back
+            p += self.tables[k].spread(place[at], self.tables[k].alpha, 0.0, len(self.languages))
+            back = self.tables[k].spread(place[at - 1], self.tables[k].gamma, 1.0, len(self.languages))  # of the k-gram before the character
         logs = np.log(p)
         sums = np.add.reduceat(logs, np.searchsorted(at, starts[:-1]))
         np.add.at(total, owner, sums)
