@@ -1,8 +1,12 @@
 """Operators on the inputs that were once left out."""
 
+import random
+import time
+import tracemalloc
+
 from pyspark.sql import functions as F
 
-from quarrymill.llm import html_text, langid, quality
+from quarrymill.llm import html_text, langid, quality, urlfilter
 
 
 def test_quality_lines_strewn_or_unended(spark):
@@ -45,3 +49,39 @@ def test_language_sample_survives_long_texts(spark, monkeypatch):
     assert sum(len(t) for lang, t in got if lang == "fr") <= 4000
     named = {r.doc_id: r.lang_pred for r in langid.identify(docs, F.lit(True)).collect()}
     assert named[0] == "fr" and named[100] == "en" and named[200] == "de"
+
+
+def test_hosts_of_many_labels(tmp_path):
+    path = tmp_path / "list.bin"
+    path.write_bytes(urlfilter.DigestArray.pack([("com", "/en/", 0), ("a.b.example.com", "", 1), (".x", "/", 0)]))
+    array = urlfilter.DigestArray(str(path))
+    host = "x." * 100_000 + "example.com"
+    tracemalloc.start()
+    began = time.process_time()
+    found = urlfilter.best(array, [(host, "/en/1"), ("a.b." + "b." * 0 + "example.com", "/en/"), ("c.a.b.example.com", "/"), ("b.example.com", "/"), ("q..x", "/"), ("", "/")])
+    spent, (_, peak) = time.process_time() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert found == [("com", "/en/", 0), ("a.b.example.com", "", 1), ("a.b.example.com", "", 1), None, (".x", "/", 0), None]
+    assert peak < 50 << 20 and spent < 0.5
+
+
+def test_language_models_grow_with_their_ngrams():
+    rng = random.Random(8)
+
+    def rows(languages):
+        return [(f"l{i:02d}", " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(80))) for i in range(languages) for _ in range(10)]
+
+    size = [sum(t.nbytes for t in langid.Model.fit(rows(n)).tables) for n in (4, 8, 16)]
+    assert size[1] < 2.3 * size[0] and size[2] < 2.3 * size[1]
+
+
+def test_notices_count_by_length(spark):
+    notice = "We value your privacy. This site uses cookies, see our cookie policy and the privacy policy, and the terms of use, before you go on"
+    lines = {
+        notice + ", " + notice + ", " + notice + ", " + notice + ".": True, notice + ".": True, "A line with the privacy policy of a state, " + "and many other words about it, " * 12 + "to its end.": False,
+        "Alle Rechte vorbehalten": True, "Tous droits réservés.": True, "Todos los derechos reservados": True, "Overall rights reserved": False,
+    }
+    frame = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert {r.line: r.fails for r in frame.select("line", quality.line_fails(F.col("line")).alias("fails")).collect()} == lines
+    own = quality.judge(spark.createDataFrame([(1, "eigene Meldung")], "doc_id long, text string"), notices={"xx": ("eigene meldung",)}).first()
+    assert own.lost_chars == 14
