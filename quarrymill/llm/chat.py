@@ -5,12 +5,15 @@ another level, or an unquoted blank line, ends it, and blank quoted lines do not
 line (lower case, single spaces) and hashed. It belongs to the nearest earlier message of the same conversation whose own lines,
 blank ones left out, hold it whole and in one piece. A message answers the message from which it quotes at its lowest
 linked level, of several the latest. Messages come back without their quotes, with the first message of their thread,
-their depth in it and the message that they answer: in the order of (thread, depth, turn) each stands after the one that it answers.
+their depth in it, the message that they answer and their position: a thread in the order of positions has every message behind the
+one that it answers, each answer followed by its own answers, those to one message in the order of turns.
 
 Work by step: only conversations with a passage are looked at. Passages are known by first line and length; own
 lines that open one are found by a join, and just there windows of that length are hashed. The nearest earlier holder comes
 from a running maximum over turns in ranges of RANGE_TURNS and over the ranges, so a passage that many messages
 hold or quote gives no pairs and no large group. Threads are followed by doubling: their joins are the logarithm of the depth.
+Positions come from the tour around each thread's tree, a list of one way down and one up a message, whose length from each way to
+the end is found by doubling too. Without any passage nothing of this runs.
 
 Defined cases: a null text has no lines and an empty clean text; passages that no earlier message
 holds link to nothing; a message never answers itself or a later turn, so there are no cycles; null ids link to nothing;
@@ -104,8 +107,31 @@ def threads(answers: DataFrame, staging: Staging) -> DataFrame:
             return current
 
 
+def positions(answers: DataFrame, staging: Staging) -> DataFrame:
+    """(c, t, position) in its thread of every message that answers one (c, t, reply_to) or is answered."""
+    child = answers.select("c", "t", F.col("reply_to").alias("up"))
+    siblings = W.partitionBy("c", "up").orderBy("t")  # answers to one message
+    # Where many answer one message, the window's rows are its answers' turns alone.
+    placed = staging.write(child.select("c", "t", "up", F.lead("t").over(siblings).alias("beside")))
+    first = child.groupBy("c", "up").agg(F.min("t").alias("below")).select("c", F.col("up").alias("t"), "below")
+    every = child.select("c", "t").union(first.select("c", "t")).distinct()
+    about = every.join(first, ["c", "t"], "left").join(placed, ["c", "t"], "left")
+    # A way: (turn, down). Down leads to the first answer or back up; up leads to the next answer beside or the parent's way up.
+    down = about.select("c", "t", F.lit(True).alias("down"), F.coalesce("below", "t").alias("nt"), F.col("below").isNotNull().alias("nd"), F.lit(1).cast("long").alias("w"))
+    up = about.select("c", "t", F.lit(False).alias("down"), F.coalesce("beside", "up").alias("nt"), F.col("beside").isNotNull().alias("nd"), F.lit(0).cast("long").alias("w"))
+    ways = staging.write(down.unionByName(up))
+    while not ways.where("nt IS NOT NULL").isEmpty():
+        ahead = ways.select("c", F.col("t").alias("nt"), F.col("down").alias("nd"), F.col("nt").alias("ft"), F.col("nd").alias("fd"), F.col("w").alias("more"))
+        # Ways that have come to the end meet nothing; they are kept apart from the join, so they do not gather in it.
+        moved = ways.where("nt IS NOT NULL").join(ahead, ["c", "nt", "nd"]).select("c", "t", "down", F.col("ft").alias("nt"), F.col("fd").alias("nd"), (F.col("w") + F.col("more")).alias("w"))
+        following = staging.write(moved.unionByName(ways.where("nt IS NULL")))
+        staging.drop(ways)
+        ways = following
+    return ways.where("down").select("c", "t", F.col("w").alias("left"))
+
+
 def link(messages: DataFrame, staging: Staging, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, turn, role, quote_level, n_quoted, n_passages, n_linked, reply_to, thread, depth, text)."""
+    """(conv, turn, role, quote_level, n_quoted, n_passages, n_linked, reply_to, thread, depth, position, text)."""
     parsed = parse(messages, conv, turn, role, text)
     wanted = staging.write(passages(parsed))
     clean = F.btrim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["raw"]), "\n"), F.lit(" \t\r\n"))
@@ -114,17 +140,27 @@ def link(messages: DataFrame, staging: Staging, conv: str = "conv_id", turn: str
         F.coalesce(F.array_max(F.transform("lines", lambda x: x["level"])), F.lit(0)).cast("long").alias("quote_level"),
         F.size(F.filter("lines", lambda x: x["level"] > 0)).cast("long").alias("n_quoted"),
     )
+    zero = F.lit(0).cast("long")
+
+    def shaped(rows, *found):
+        names = ("n_passages", "n_linked", "reply_to", "thread", "depth", "position")
+        return rows.select(F.col("c").alias(conv), F.col("t").alias(turn), F.col("r").alias(role), "quote_level", "n_quoted", *[c.alias(n) for n, c in zip(names, found)], F.col("clean").alias(text))
+
+    if wanted.isEmpty():
+        staging.drop(wanted)
+        kind = messages.schema[turn].dataType
+        return shaped(base, zero, zero, F.lit(None).cast(kind), F.col("t"), zero, zero)
     hits = staging.write(nearest(wanted, holders(parsed, wanted, staging)))
     linked = staging.write(hits.groupBy("c", "t").agg(F.count_distinct("h", "level").alias("n_linked"), F.max_by("source", F.struct(-F.col("level"), F.col("source"))).alias("reply_to")))
     staging.drop(hits)
     counts = wanted.groupBy("c", "t").agg(F.count(F.lit(1)).alias("n_passages"))
-    about = counts.join(linked, ["c", "t"], "left").join(threads(linked, staging), ["c", "t"], "left")
+    placed = positions(linked, staging)
+    # A thread's first message has the whole tour before it, so its length is the thread's size.
+    sizes = placed.join(linked.select("c", "t"), ["c", "t"], "left_anti").select("c", F.col("t").alias("root"), F.col("left").alias("size"))
+    rooted = threads(linked, staging).join(placed, ["c", "t"]).join(sizes, ["c", "root"]).select("c", "t", "root", "depth", (F.col("size") - F.col("left")).alias("position"))
+    about = counts.join(linked, ["c", "t"], "left").join(rooted, ["c", "t"], "left")
     joined = base.join(about, ["c", "t"], "left")
-    zero = F.lit(0).cast("long")
-    return joined.select(
-        F.col("c").alias(conv), F.col("t").alias(turn), F.col("r").alias(role), "quote_level", "n_quoted", F.coalesce("n_passages", zero).alias("n_passages"),
-        F.coalesce("n_linked", zero).alias("n_linked"), "reply_to", F.coalesce("root", "t").alias("thread"), F.coalesce("depth", zero).alias("depth"), F.col("clean").alias(text),
-    )
+    return shaped(joined, F.coalesce("n_passages", zero), F.coalesce("n_linked", zero), F.col("reply_to"), F.coalesce("root", "t"), F.coalesce("depth", zero), F.coalesce("position", zero))
 
 
 ORACLE = r"""
@@ -138,11 +174,12 @@ p AS (SELECT DISTINCT conv_id, turn, level, body FROM (SELECT conv_id, turn, lev
 o AS (SELECT conv_id, turn, chr(10) || string_agg(norm, chr(10) ORDER BY i) || chr(10) AS own FROM l WHERE level = 0 AND norm <> '' GROUP BY k, conv_id, turn),
 h AS (SELECT p.conv_id, p.turn, p.level, p.body, max(o.turn) AS source FROM p JOIN o ON o.conv_id = p.conv_id AND o.turn < p.turn AND contains(o.own, chr(10) || p.body || chr(10)) GROUP BY 1, 2, 3, 4),
 a AS (SELECT conv_id, turn, count(*) AS n_linked, arg_max(source, [-level, source]) AS reply_to FROM h GROUP BY 1, 2),
-t(conv_id, turn, up, depth) AS (SELECT conv_id, turn, reply_to, 1 FROM a UNION ALL SELECT t.conv_id, t.turn, a.reply_to, depth + 1 FROM t JOIN a ON a.conv_id = t.conv_id AND a.turn = t.up),
-d AS (SELECT conv_id, turn, arg_max(up, depth) AS root, max(depth)::BIGINT AS depth FROM t GROUP BY 1, 2),
+t(conv_id, turn, up, depth, path) AS (SELECT conv_id, turn, reply_to, 1, [reply_to, turn] FROM a UNION ALL SELECT t.conv_id, t.turn, a.reply_to, depth + 1, list_prepend(a.reply_to, path) FROM t JOIN a ON a.conv_id = t.conv_id AND a.turn = t.up),
+e AS (SELECT conv_id, turn, arg_max(up, depth) AS root, max(depth)::BIGINT AS depth, arg_max(path, depth) AS path FROM t GROUP BY 1, 2),
+d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, root ORDER BY path) AS position FROM e),
 n AS (SELECT conv_id, turn, count(*) AS n_passages FROM p GROUP BY 1, 2),
 b AS (SELECT k, max(level) AS quote_level, count(*) FILTER (WHERE level > 0) AS n_quoted,
         trim(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE level = 0), ''), ' ' || chr(9) || chr(13) || chr(10)) AS text FROM l GROUP BY k)
 SELECT m.conv_id, m.turn, m.role, b.quote_level::BIGINT AS quote_level, b.n_quoted, coalesce(n.n_passages, 0)::BIGINT AS n_passages, coalesce(a.n_linked, 0)::BIGINT AS n_linked, a.reply_to,
-  coalesce(d.root, m.turn) AS thread, coalesce(d.depth, 0)::BIGINT AS depth, b.text
+  coalesce(d.root, m.turn) AS thread, coalesce(d.depth, 0)::BIGINT AS depth, coalesce(d.position, 0)::BIGINT AS position, b.text
 FROM m JOIN b USING (k) LEFT JOIN a ON a.conv_id = m.conv_id AND a.turn = m.turn LEFT JOIN n ON n.conv_id = m.conv_id AND n.turn = m.turn LEFT JOIN d ON d.conv_id = m.conv_id AND d.turn = m.turn"""

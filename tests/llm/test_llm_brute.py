@@ -639,9 +639,36 @@ def test_quotation_links_against_brute_force_and_sql(spark):
     sql = con.sql(chat.ORACLE)
     order = [sql.columns.index(c) for c in out.columns]
     assert sorted(map(repr, (tuple(r[i] for i in order) for r in sql.fetchall()))) == sorted(map(repr, map(tuple, out.collect())))
-    # In the order of thread, depth and turn each message stands after the one that it answers.
-    place = {k: i for i, k in enumerate(sorted(got, key=lambda k: (k[0], got[k][1], got[k][2], k[1])))}
-    assert all(place[k] > place[k[0], v[0]] for k, v in got.items() if v[0] is not None)
+    # Positions are the pre-order of each thread, answers to one message in the order of turns.
+    below = {}
+    for (conv, turn), v in sorted(expected.items()):
+        if v[0] is not None:
+            below.setdefault((conv, v[0]), []).append(turn)
+    place = {}
+    for conv, turn in expected:
+        if expected[conv, turn][0] is None:
+            todo, at = [turn], 0
+            while todo:
+                t = todo.pop()
+                place[conv, t], at = at, at + 1
+                todo += reversed(below.get((conv, t), []))
+    assert {(r.conv_id, r.turn): r.position for r in out.collect()} == place and max(place.values()) > 5
+
+
+def test_positions_of_a_deep_thread_and_none(spark):
+    """A chain of 60 answers, with a second answer to every tenth message that is answered itself."""
+    rows = [(1, 0, "user", "message 0")]
+    for i in range(1, 60):
+        rows.append((1, i, "user", f"> message {i - 1}\nmessage {i}"))
+    for i in range(0, 60, 10):
+        rows.append((1, 100 + i, "user", f"> message {i}\nside {i}"))
+        rows.append((1, 200 + i, "user", f"> side {i}\nend {i}"))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    order = [r.turn for r in chat.link(frame, Staging(spark, "t")).orderBy("position").collect()]
+    tail = [x for i in range(50, -1, -10) for x in (100 + i, 200 + i)]
+    assert order == [*range(60), *tail]
+    plain = chat.link(frame.where("turn = 0"), Staging(spark, "t")).collect()
+    assert [(r.reply_to, r.thread, r.depth, r.position) for r in plain] == [(None, 0, 0, 0)]
 
 
 def test_nearest_holder_over_ranges_of_turns(spark):
