@@ -77,3 +77,39 @@ def tfidf_scores(texts: DataFrame, key: str, text: str, query: int) -> DataFrame
     length = asked.agg(F.sqrt(F.sum(F.col("qv") * F.col("qv"))).alias("qlen"))  # one row
     both = v.where(F.col(key) != query).join(asked, "term", "left").groupBy(key).agg(F.sum(F.col("v") * F.col("qv")).alias("dot"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("len"))
     return both.where("dot IS NOT NULL").join(F.broadcast(length)).select(key, F.round(F.col("dot") / (F.col("len") * F.col("qlen")), 6).alias("score"))
+
+
+#: Weights of the smart score's terms, ranges of scores by source, and the boosts of groups.
+SMART_WEIGHTS = {"relevance": 0.4, "confidence": 0.3, "frequency": 0.2, "recency": 0.1}
+SCORE_RANGES = {"bm25": (0.0, 15.0), "semantic": (0.0, 1.0), "fuzzy": (0.0, 1.0)}
+
+
+def normal_score(score: Column, source: Column, default: float = 0.5) -> Column:
+    """A score brought to [0, 1] by its source's range; of unknown sources above 1.5 as lexical, else as similarity; the default without a score."""
+    low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for name, (a, b) in SCORE_RANGES.items():
+        low, high = F.when(source == name, F.lit(a)).otherwise(low), F.when(source == name, F.lit(b)).otherwise(high)
+    guessed = F.when(score > 1.5, F.lit(SCORE_RANGES["bm25"][1])).otherwise(1.0)
+    low, high = F.coalesce(low, F.lit(0.0)), F.coalesce(high, guessed)
+    # least and greatest skip nulls, so a missing score is asked for first.
+    return F.when(score.isNull(), F.lit(default)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (score - low) / (high - low))))
+
+
+def smart_score(results: DataFrame, group: str, order: list[Column], default: float = 0.5) -> DataFrame:
+    """(group, size, files, score) of groups of results (file, line, snippet, score, source): relevance of the first by `order`, confidence
+    and frequency by the group's size, recency as the default, then boosts for several results, for lines close together in one file, for a
+    short snippet of one line, for a high lexical score, for a very high similarity. Partial aggregation, no group is gathered."""
+    first = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col("score"), F.col("source"))).alias("first")
+    short = F.max((F.length("snippet") < 100) & ~F.contains("snippet", F.lit("\n"))).alias("short")
+    # The number of files matters up to two.
+    found = results.groupBy(group).agg(F.count(F.lit(1)).alias("size"), F.min("file").alias("a"), F.max("file").alias("b"), (F.max("line") - F.min("line")).alias("span"), short, first)
+    score, source = F.col("first.score"), F.col("first.source")
+    relevance, several = normal_score(score, source, default), F.col("size") > 1
+    files = F.col("a") != F.col("b")
+    confidence = F.least(F.lit(1.0), F.least(F.lit(1.0), F.col("size") / 3) + F.when(several, 0.1).otherwise(0.0))
+    frequency = F.least(F.lit(1.0), F.col("size") / 5) * F.when(files, 1.2).otherwise(1.0)
+    base = relevance * SMART_WEIGHTS["relevance"] + confidence * SMART_WEIGHTS["confidence"] + frequency * SMART_WEIGHTS["frequency"] + default * SMART_WEIGHTS["recency"]
+    near = F.when(several & ~files & (F.col("span") <= 5), 1.1).when(several & ~files & (F.col("span") <= 10), 1.05).otherwise(1.0)
+    boost = F.when(several, 1.1).otherwise(1.0) * near * F.when(F.col("short"), 1.05).otherwise(1.0)
+    boost = boost * F.when((source == "bm25") & (score > 10), 1.05).otherwise(1.0) * F.when((source == "semantic") & (relevance > 0.9), 1.03).otherwise(1.0)
+    return found.select(group, "size", F.when(files, 2).otherwise(1).alias("files"), F.round(F.least(F.lit(1.0), base * boost), 6).alias("score"))

@@ -17,6 +17,7 @@ MODULES = (
     "quarrymill.plans.finer_queries",
     "quarrymill.plans.stored_queries",
     "quarrymill.plans.mechanism_queries",
+    "quarrymill.plans.run_queries",
 )
 
 
