@@ -132,36 +132,6 @@ def progress(tasks: DataFrame, elapsed_s: float) -> DataFrame:
     return tasks.agg(done.alias("done"), count("running").alias("running"), count("pending").alias("pending"), count("cancelled").alias("cancelled"), F.round(rate, 6).alias("throughput"), F.round(F.when(rate > 0, (total - done) / rate), 6).alias("left_s"))
 
 
-class Lock:
-    """One writer a repository: a file that only one can make, with a time after which a lost holder no longer counts."""
-
-    def __init__(self, spark: SparkSession, path: str, owner: str, seconds: float = 600.0):
-        self.spark, self.path, self.owner, self.seconds = spark, path, owner, seconds
-
-    def acquire(self, now: float) -> bool:
-        """True if the lock is ours; each holder has a file of its own number, and the least live number holds."""
-        holders = []
-        for name in list_files(self.spark, self.path):
-            if name.endswith(".json"):
-                held = json.loads(read_small(self.spark, f"{self.path}/{name}"))
-                if held["until"] > now:
-                    holders.append((name, held["owner"]))
-                else:
-                    remove(self.spark, f"{self.path}/{name}")
-        if holders:
-            return min(holders)[1] == self.owner
-        try:
-            write_small(self.spark, f"{self.path}/lock.json", json.dumps({"owner": self.owner, "until": now + self.seconds}).encode())
-        except FileExistsError:
-            return False
-        return True
-
-    def release(self) -> None:
-        for name in list_files(self.spark, self.path):
-            if name.endswith(".json") and json.loads(read_small(self.spark, f"{self.path}/{name}"))["owner"] == self.owner:
-                remove(self.spark, f"{self.path}/{name}")
-
-
 def upsert_files(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(the table after, moves): files by (repo, path); a live file whose hash comes in under another path, while its own path does not come in, has moved.
 

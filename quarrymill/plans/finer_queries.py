@@ -61,26 +61,6 @@ def working_tree(get):
 
 # -- envelopes and issues ----------------------------------------------------------------------
 
-RECORDS = [
-    ("c1", "1", [("friction", "TODO ", None, None), ("history", None, ["Bug", " P1 "], "Owner/A"), ("odd", None, None, None)]),
-    ("c2", "1", [("history", None, ["docs"], "owner/b"), ("history", None, ["bug"], "owner/b"), ("friction", "hack", None, None)]),
-    ("c3", "0", [("history", None, ["bug"], "owner/a")]),
-    ("c4", "1", [("friction", "wish", None, None)]),
-    ("c5", None, None),
-]
-
-
-@Q.plan("B5_source_matcher", "SELECT * FROM (VALUES ('history of bugs', 'c1', 'history:bug,p1:owner/a'), ('history of bugs', 'c2', 'history:bug:owner/b'), ('friction', 'c1', 'friction:todo'), ('friction', 'c2', 'friction:hack'), ('in one repository', 'c1', 'friction:todo|history:bug,p1:owner/a'), ('in one repository', 'c2', 'friction:hack'), ('in one repository', 'c4', 'friction:wish')) AS t(asked, chunk_id, records)")
-def source_matcher(get):
-    """Envelopes of one version whose records fit what is asked for; envelopes without any are left out."""
-    rows = get("region").sparkSession.createDataFrame(RECORDS, "chunk_id string, version string, records array<struct<type: string, category: string, labels: array<string>, repo: string>>")
-    out = None
-    for name, wanted in (("history of bugs", {"source_type": "history", "labels": ["BUG "]}), ("friction", {"categories": ["todo", "HACK"], "source_type": "friction"}), ("in one repository", {"repos": ["OWNER/a"]})):
-        found = markers.matching(rows, "1", **wanted).select(F.lit(name).alias("asked"), "chunk_id", F.array_join("records", "|").alias("records"))
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
 BODIES = "(SELECT p_partkey AS number, 'Text' || chr(10) || 'Learnings: ' || p_type || chr(10) || 'no learning here' || chr(10) || 'Key learnings:' || chr(10) || '- ' || p_brand || chr(10) || '* ' || p_name || chr(10) || '-' || chr(10) || 'end' || chr(10) || '- not this' || chr(10) || 'learning: ' || p_brand AS body FROM part)"
 
 
@@ -213,17 +193,6 @@ def poller(get):
     return spark.read.parquet(f"{base}/out").drop("batch")
 
 
-@Q.plan("P17_writer_lock", "SELECT * FROM (VALUES ('a takes', true), ('a again', true), ('b while a has', false), ('b after release', true), ('a while b has', false), ('a after time', true)) AS t(step, held)")
-def writer_lock(get):
-    spark = get("region").sparkSession
-    place = scratch(spark, "lock")
-    a, b = (maintenance.Lock(spark, place, name, 100.0) for name in "ab")
-    out = [("a takes", a.acquire(0.0)), ("a again", a.acquire(1.0)), ("b while a has", b.acquire(2.0))]
-    a.release()
-    out += [("b after release", b.acquire(3.0)), ("a while b has", a.acquire(4.0)), ("a after time", a.acquire(200.0))]
-    return spark.createDataFrame(out, "step string, held boolean")
-
-
 @Q.plan("Q2_upsert_file", """WITH s AS (SELECT repo, path, hash, is_deleted FROM {files} WHERE file_id % 3 <> 0), i AS (SELECT repo, CASE WHEN file_id % 4 = 1 THEN 'moved/' || path ELSE path END AS path, CASE WHEN file_id % 4 = 2 THEN 'x' || hash ELSE hash END AS hash FROM {files} WHERE file_id % 5 <> 0),
 g AS (SELECT s.repo, s.hash, min(s.path) AS old_path FROM s WHERE NOT is_deleted AND NOT EXISTS (SELECT 1 FROM i WHERE i.repo = s.repo AND i.path = s.path) GROUP BY 1, 2),
 n AS (SELECT i.repo, i.hash, min(i.path) AS path FROM i WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.repo = i.repo AND s.path = i.path) GROUP BY 1, 2), m AS (SELECT * FROM g JOIN n USING (repo, hash))

@@ -225,14 +225,6 @@ def metric_means(get):
     return measured(get).groupBy("arm", "depth").agg(F.count(F.lit(1)).alias("queries"), *means, F.round(F.avg(F.col("failed").cast("int")), 5).alias("error_rate"))
 
 
-@Q.plan("R6_ranking_normaliser", "SELECT * FROM (VALUES ('ids', 1, 'a', NULL), ('ids', 2, 'b', NULL), ('pairs', 1, 'a', 0.5), ('pairs', 2, 'b', NULL), ('records', 1, 'c', 2.0), ('records', 2, 'a', NULL)) AS t(arm, rank, doc_id, score)")
-def normaliser(get):
-    """Rankings as ids, as pairs or as records, all as (rank, doc_id, score)."""
-    raw = {"ids": '["a", "b"]', "pairs": '[["a", 0.5], ["b", null]]', "records": '[{"doc_id": "c", "score": 2}, {"doc_id": "a"}]'}
-    rows = get("region").sparkSession.createDataFrame(list(raw.items()), "arm string, raw string")
-    return evaluation.normal_rankings(rows, "arm", "raw").withColumn("score", F.col("score").cast("decimal(2,1)"))
-
-
 @Q.plan("R7_query_split", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR quality = 0 THEN 'holdout' ELSE 'main' END AS split FROM labels")
 def query_split(get):
     """A query is held out if its id is listed or its own flag says so."""
@@ -294,21 +286,6 @@ def retention(get):
     return rows.where((F.col("k") > 3) & (F.unix_micros(F.col("o_orderdate").cast("timestamp")) < F.unix_micros(F.col("now").cast("timestamp")) - 365 * 86_400_000_000)).select("o_custkey", "o_orderkey")
 
 
-METHODS = [("Reader", "Read", "(b)int"), ("Closer", "Close", "()error"), ("ReadCloser", "Read", "(b)int"), ("ReadCloser", "Close", "()error")]
-TYPES = [("File", "Read", "(b)int"), ("File", "Close", "()error"), ("File", "Name", "()s"), ("Pipe", "Read", "(b)int"), ("Pipe", "Close", "()int"), ("Empty", "Other", "()")]
-
-
-@Q.plan("L12_interface_satisfaction", "SELECT * FROM (VALUES ('File', 'Reader'), ('File', 'Closer'), ('File', 'ReadCloser'), ('Pipe', 'Reader')) AS t(type, interface)")
-def satisfaction(get):
-    """Types that have every method of an interface, embedded ones included, with its signature: relational division by counts."""
-    spark = get("region").sparkSession
-    wanted = spark.createDataFrame(METHODS, "interface string, method string, signature string")
-    have = spark.createDataFrame(TYPES, "type string, method string, signature string").distinct()
-    needs = wanted.groupBy("interface").agg(F.count_distinct("method", "signature").alias("needs"))
-    met = have.join(wanted.distinct(), ["method", "signature"]).groupBy("type", "interface").agg(F.count(F.lit(1)).alias("met"))
-    return met.join(needs, "interface").where("met = needs").select("type", "interface")
-
-
 @Q.plan("P10_apply_order", "SELECT event_id, row_number() OVER (ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END, event_id) AS position FROM events")
 def apply_order(get):
     """Deletions first, then renames, then the rest, each in order of arrival."""
@@ -347,7 +324,10 @@ def delete_cascade(get):
     return out
 
 
-@Q.plan("Q15_invalidation_plan", "SELECT s.chunk_hash, CASE WHEN s.profile = 'A' THEN 'preserve' ELSE 'delete' END AS decision, p.collection, p.chunk_id <> s.chunk_hash AS is_part FROM {summaries} s JOIN (SELECT chunk_id, collection FROM {points} UNION ALL SELECT chunk_id || ':part:1', collection FROM {points} WHERE collection = 'c2') p ON p.chunk_id = s.chunk_hash OR p.chunk_id = s.chunk_hash || ':part:1'")
+POINTS_AND_PARTS = "SELECT chunk_id AS owner, collection, false AS is_part FROM {points} UNION ALL SELECT chunk_id, collection, true FROM {points} WHERE collection = 'c2'"
+
+
+@Q.plan("Q15_invalidation_plan", f"SELECT s.chunk_hash, CASE WHEN s.profile = 'A' THEN 'preserve' ELSE 'delete' END AS decision, p.collection, p.is_part FROM {{summaries}} s JOIN ({POINTS_AND_PARTS}) p ON p.owner = s.chunk_hash")
 def invalidation_plan(get):
     """Vectors of a summarised chunk and of its parts, and what becomes of them: one equi-join on the chunk that a part belongs to."""
     points = get("points").select("chunk_id", "collection")

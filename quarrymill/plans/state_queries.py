@@ -1,7 +1,4 @@
-"""Repository, index and artifact states, the result cache, maintenance, and sources beside tables.
-
-State machines run over small tables of real states, one row a case; their checks list the expected verdicts.
-"""
+"""Guards, reranking, the result cache, maintenance, and sources beside tables."""
 
 from __future__ import annotations
 
@@ -11,7 +8,7 @@ import json
 from pyspark.sql import functions as F
 
 from quarrymill import api
-from quarrymill.operators import graph, maintenance, results, states
+from quarrymill.operators import maintenance, results, states
 from quarrymill.session import scratch, write_small
 from quarrymill.sources import code, external
 from quarrymill.streaming import changes as stream
@@ -19,7 +16,6 @@ from quarrymill.streaming import changes as stream
 from .bindings import Queries
 
 Q = Queries()
-FULL, OTHER = "a" * 40, "b" * 40
 
 
 def expected(key: str, column: str, rows: dict) -> str:
@@ -27,67 +23,8 @@ def expected(key: str, column: str, rows: dict) -> str:
     return f"SELECT * FROM (VALUES {', '.join(f"('{k}', '{v}')" for k, v in rows.items())}) AS t({key}, {column})"
 
 
-def cases(get, schema: str, rows: dict[str, dict]):
-    """A small table of named cases; columns that a case does not name are null."""
-    names = [c.split()[0] for c in schema.split(", ")]
-    return get("region").sparkSession.createDataFrame([(k, *(r.get(n) for n in names)) for k, r in rows.items()], f"name string, {schema}")
-
-
 # -- repositories ------------------------------------------------------------------------------
 
-REGISTRY = "git_managed boolean, live_branch string, live_commit string, branch string, commit string, tracked string, indexed_commit string, staleness string, indexing boolean, index_state string"
-GOOD = {"git_managed": True, "live_branch": "main", "live_commit": FULL, "branch": "main", "commit": FULL, "tracked": "main", "indexed_commit": FULL, "indexing": False, "index_state": "ok"}
-REPOSITORIES = {
-    "fine": (GOOD, "ready"),
-    "checkout gone": (GOOD | {"live_commit": None}, "unregistered_repository"),
-    "being built": (GOOD | {"indexing": True, "tracked": "dev"}, "index_building"),
-    "marked as building": (GOOD | {"staleness": "index_building"}, "index_building"),
-    "other branch": (GOOD | {"live_branch": "topic"}, "wrong_branch"),
-    "cached branch of an unmanaged one": (GOOD | {"git_managed": False, "live_branch": "topic"}, "ready"),
-    "no index": (GOOD | {"index_state": None}, "missing_index"),
-    "locked": (GOOD | {"index_state": "index_locked", "indexed_commit": OTHER}, "index_locked"),
-    "broken": (GOOD | {"index_state": "corrupt_sqlite"}, "corrupt_sqlite"),
-    "old schema": (GOOD | {"index_state": "missing_schema"}, "missing_schema"),
-    "rebuilding": (GOOD | {"index_state": "index_rebuilding"}, "index_rebuilding"),
-    "other scheme": (GOOD | {"index_state": "scheme_mismatch"}, "scheme_mismatch"),
-    "published in part": (GOOD | {"staleness": "partial_index_failure", "index_state": "index_empty"}, "missing_provenance"),
-    "empty": (GOOD | {"index_state": "index_empty", "indexed_commit": None}, "index_empty"),
-    "never indexed": (GOOD | {"indexed_commit": "  "}, "missing_provenance"),
-    "behind": (GOOD | {"indexed_commit": OTHER}, "stale_commit"),
-    "nothing known": ({}, "missing_index"),
-}
-
-
-@Q.plan("U16_readiness", expected("name", "state", {k: v for k, (_, v) in REPOSITORIES.items()}))
-def readiness(get):
-    return cases(get, REGISTRY, {k: r for k, (r, _) in REPOSITORIES.items()}).select("name", states.readiness().alias("state"))
-
-
-SYNC = "known boolean, commit string, branch string, tracked string, indexed_commit string, force_full boolean, artifacts_on boolean, artifact_commit string, context_ok boolean, changed int, tracked_files int"
-SYNC_GOOD = {"known": True, "commit": FULL, "branch": "main", "tracked": "main", "indexed_commit": OTHER, "force_full": False, "artifacts_on": False, "context_ok": True, "changed": 3, "tracked_files": 100}
-SYNCS = {
-    "few changes": (SYNC_GOOD, "incremental"),
-    "unknown": (SYNC_GOOD | {"known": False}, "failed"),
-    "no commit": (SYNC_GOOD | {"commit": ""}, "failed"),
-    "drift": (SYNC_GOOD | {"branch": "topic"}, "wrong_branch"),
-    "nothing tracked": (SYNC_GOOD | {"tracked": None}, "up_to_date"),
-    "same commit": (SYNC_GOOD | {"indexed_commit": FULL}, "up_to_date"),
-    "same commit, forced": (SYNC_GOOD | {"indexed_commit": FULL, "force_full": True}, "full"),
-    "artifact there": (SYNC_GOOD | {"artifacts_on": True, "artifact_commit": FULL}, "downloaded"),
-    "artifact of another commit": (SYNC_GOOD | {"artifacts_on": True, "artifact_commit": OTHER}, "incremental"),
-    "no context": (SYNC_GOOD | {"context_ok": False}, "failed"),
-    "first time": (SYNC_GOOD | {"indexed_commit": None}, "full"),
-    "no file changed": (SYNC_GOOD | {"changed": 0}, "up_to_date"),
-    "half of the files changed": (SYNC_GOOD | {"changed": 50}, "full"),
-    "over a thousand": (SYNC_GOOD | {"changed": 1001, "tracked_files": 90_000}, "full"),
-}
-
-
-@Q.plan("P14_sync_states", expected("name", "action", {k: v for k, (_, v) in SYNCS.items()}))
-def sync_states(get):
-    return cases(get, SYNC, {k: r for k, (r, _) in SYNCS.items()}).select("name", states.sync_action().alias("action"))
-
-
 @Q.plan("P19_tracked_branch_guard", """SELECT e.event_id FROM events e WHERE CASE WHEN e.event_type = 'error' THEN 'topic' WHEN e.event_type <> 'signup' THEN 'main' END = CASE WHEN e.user_id % 7 = 0 THEN 'dev' ELSE 'main' END""")
 def tracked_branch(get):
     """Pushes pass if they are on the branch that their repository tracks; a push without a branch never passes."""
@@ -96,150 +33,8 @@ def tracked_branch(get):
     return get("events").where(states.on_tracked_branch(branch, tracked)).select("event_id")
 
 
-STAMPS = {
-    "new": ((FULL, "2026-01-09T00:00:00Z", True), "fresh"),
-    "old": ((FULL, "2025-11-01T12:30:00", True), "stale_age"),
-    "other line": ((FULL, "2026-01-09T00:00:00Z", False), "stale_commit"),
-    "old on another line": ((FULL, "2025-11-01T00:00:00Z", False), "stale_commit"),
-    "no commit": ((None, "2026-01-09T00:00:00Z", True), "invalid"),
-    "no time": ((FULL, "", True), "invalid"),
-    "not a time": ((FULL, "yesterday", True), "invalid"),
-}
-
-
-@Q.plan("T6_freshness", expected("name", "verdict", {k: v for k, (_, v) in STAMPS.items()}))
-def freshness(get):
-    rows = cases(get, "commit string, stamp string, ancestor boolean", {k: dict(zip(("commit", "stamp", "ancestor"), r)) for k, (r, _) in STAMPS.items()})
-    return rows.select("name", states.freshness(F.col("commit"), F.col("stamp"), F.col("ancestor"), F.lit("2026-01-10 00:00:00").cast("timestamp"), 14).alias("verdict"))
-
-
-SCHEMES = {
-    "same": ({"marker": "s4", "target": "s4", "chunk_rows": 5}, "compatible"),
-    "other": ({"marker": "s3", "target": "s4", "chunk_rows": 5}, "mismatch"),
-    "unmarked, old target": ({"target": states.LEGACY_SCHEME, "chunk_rows": 5}, "compatible_legacy"),
-    "unmarked, new target": ({"target": "s4", "chunk_rows": 5}, "missing_marker"),
-    "nothing yet": ({"target": "s4", "chunk_rows": 0}, "empty"),
-    "rebuild under way": ({"rebuild_target": "s4", "marker": "s4", "target": "s4", "chunk_rows": 5}, "rebuilding"),
-}
-READABLE = {"compatible", "compatible_legacy", "empty"}
-
-
-@Q.plan("Q16_scheme_guard", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}', {str(v in READABLE).lower()})" for k, (_, v) in SCHEMES.items()) + ") AS t(name, state, readable)")
-def scheme_guard(get):
-    rows = cases(get, "rebuild_target string, marker string, target string, chunk_rows int", {k: r for k, (r, _) in SCHEMES.items()})
-    return rows.select("name", states.chunk_scheme().alias("state")).withColumn("readable", states.readable(F.col("state")))
-
-
-MANIFEST = "version string, collection string, indexed_commit string, corpus_sha256 string, profile string, provider string, revision string, point_set string, want_collection string, want_indexed_commit string, want_corpus_sha256 string, want_profile string, want_provider string, want_revision string, want_point_set string"
-BOUND = {"version": "v1", "collection": "c", "indexed_commit": FULL, "corpus_sha256": "s", "profile": "p", "provider": "q", "revision": "1", "point_set": "x", "want_indexed_commit": FULL, "want_corpus_sha256": "s"}
-MANIFESTS = {
-    "bound": (BOUND, "verified"),
-    "all asked for": (BOUND | {"want_collection": "c", "want_profile": "p", "want_provider": "q", "want_revision": "1", "want_point_set": "x"}, "verified"),
-    "none": ({"want_indexed_commit": FULL}, "missing"),
-    "other version": (BOUND | {"version": "v0"}, "tampered"),
-    "no profile": (BOUND | {"profile": ""}, "tampered"),
-    "other commit": (BOUND | {"indexed_commit": OTHER}, "stale"),
-    "other corpus": (BOUND | {"corpus_sha256": "t", "want_profile": "z"}, "stale"),
-    "no corpus": (BOUND | {"corpus_sha256": None}, "corpus_unbound"),
-    "other collection": (BOUND | {"want_collection": "d", "want_profile": "z"}, "collection_mismatch"),
-    "other profile": (BOUND | {"want_profile": "z", "want_provider": "z"}, "profile_mismatch"),
-    "other provider": (BOUND | {"want_provider": "z"}, "provider_mismatch"),
-    "other revision": (BOUND | {"want_revision": "2", "want_point_set": "z"}, "provider_mismatch"),
-    "other run": (BOUND | {"want_point_set": "z"}, "mixed_run"),
-}
-
-
-@Q.plan("G16_collection_provenance", expected("name", "verdict", {k: v for k, (_, v) in MANIFESTS.items()}))
-def provenance(get):
-    return cases(get, MANIFEST, {k: r for k, (r, _) in MANIFESTS.items()}).select("name", states.provenance().alias("verdict"))
-
-
-#: kind, commit, base; c9 stands on a chain of three, the others end in each kind of error.
-ARTIFACTS = [("full", "c1", None), ("delta", "c4", "c1"), ("delta", "c7", "c4"), ("delta", "c9", "c7"), ("full", "c8", None), ("delta", "d2", "d1"), ("delta", "e1", None), ("delta", "f1", "f2"), ("delta", "f2", "f1"), ("delta", "g1", "f1")]
-CHAINS = [("c1", "c1", "", None), ("c4", "c1", "c4", None), ("c7", "c1", "c4>c7", None), ("c9", "c1", "c4>c7>c9", None), ("c8", "c8", "", None), ("d2", None, "d2", "missing delta d1"), ("e1", None, "", "missing base"), ("f1", None, "f2>f1", "cycle"), ("f2", None, "f1>f2", "cycle"), ("g1", None, "f2>f1>g1", "cycle")]
-quoted = lambda x: "NULL" if x is None else f"'{x}'"
-
-
-@Q.plan("T3_delta_chain", "SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(quoted, r))})" for r in CHAINS) + ') AS t(target, "full", deltas, problem)')
-def delta_chain(get):
-    artifacts = get("region").sparkSession.createDataFrame(ARTIFACTS, "kind string, commit string, base string")
-    return states.delta_chains(artifacts).withColumn("deltas", F.array_join("deltas", ">"))
-
-
-# -- dependencies between repositories ---------------------------------------------------------
-
-#: Repositories with the manifest of each: what they depend on, by package name.
-PACKAGES = [("r1", "core", "requirements", "requests>=2\ntools==1.0\n"), ("r2", "tools", "gomod", "require shared v1.2\nrequire core v0.1\n"), ("r3", "shared", "npm", '  "tools": "^1.2",\n  "shared": "~2.0",\n'), ("r4", "lonely", "cargo", 'serde = "1"\n'), ("r5", "tools", "requirements", "core\n")]
-NAMED = "(VALUES ('r1', 'core', 'requests'), ('r1', 'core', 'tools'), ('r2', 'tools', 'shared'), ('r2', 'tools', 'core'), ('r3', 'shared', 'tools'), ('r3', 'shared', 'shared'), ('r4', 'lonely', 'serde'), ('r5', 'tools', 'core'))"
-DEPENDS = f"SELECT DISTINCT n.repo, o.dependency FROM {NAMED} AS n(repo, own, package) JOIN (VALUES ('core', 'r1'), ('tools', 'r5'), ('shared', 'r3'), ('lonely', 'r4')) AS o(package, dependency) ON o.package = n.package AND o.dependency <> n.repo"
-
-
-def dependency_edges(get):
-    """(repo, dependency): manifest packages that are registered repositories; of one name the last counts, a repository is not its own."""
-    rows = get("region").sparkSession.createDataFrame(PACKAGES, "repo string, name string, kind string, text string")
-    owner = rows.groupBy(F.col("name").alias("package")).agg(F.max("repo").alias("dependency"))
-    wanted = code.manifest_packages(rows, "repo", "kind", "text").distinct()
-    return wanted.join(owner, "package").where("repo <> dependency").select("repo", "dependency").distinct()
-
-
-@Q.plan("C15_package_repositories", DEPENDS)
-def package_repositories(get):
-    return dependency_edges(get)
-
-
-@Q.plan("J11_dependency_closure", f"WITH d AS ({DEPENDS}) SELECT 'r1' AS repo, false AS from_dependency UNION SELECT 'r4', false UNION SELECT dependency, true FROM d WHERE repo IN ('r1', 'r4') AND dependency NOT IN ('r1', 'r4')")
-def dependency_closure(get):
-    """The asked repositories and those that they depend on directly, which are marked."""
-    asked = get("region").sparkSession.createDataFrame([("r1",), ("r4",)], "repo string")
-    direct = dependency_edges(get).join(asked, "repo", "left_semi").select(F.col("dependency").alias("repo")).distinct().join(asked, "repo", "left_anti")
-    return asked.withColumn("from_dependency", F.lit(False)).unionByName(direct.withColumn("from_dependency", F.lit(True)))
-
-
-#: The repositories' names for sources of files.
-REPO_SOURCES = {"r1": "src1", "r2": "src2", "r3": "src3", "r4": "src4", "r5": "src5"}
-
-
-@Q.plan("M11_dependency_search", f"WITH d AS ({DEPENDS}), s AS (SELECT 'r1' AS repo, false AS dep UNION SELECT dependency, true FROM d WHERE repo = 'r1' AND dependency <> 'r1'), h AS (SELECT file_id, repo AS source, len(list_filter(tokens_of(content), lambda x: x = 'only')) AS hits FROM {{files}}) SELECT h.file_id, s.repo, s.dep AS from_dependency, hits FROM h JOIN s ON h.source = 'src' || substr(s.repo, 2) WHERE hits > 0")
-def dependency_search(get):
-    """A search over a repository and its direct dependencies; hits of the latter are marked."""
-    spark = get("region").sparkSession
-    asked = spark.createDataFrame([("r1",)], "repo string")
-    direct = dependency_edges(get).join(asked, "repo", "left_semi").select(F.col("dependency").alias("repo")).distinct().join(asked, "repo", "left_anti")
-    scope = asked.withColumn("from_dependency", F.lit(False)).unionByName(direct.withColumn("from_dependency", F.lit(True)))
-    scope = scope.withColumn("source", F.concat(F.lit("src"), F.substring("repo", 2, 9)))
-    from quarrymill.operators import lexical
-
-    hits = get("files").select("file_id", F.col("repo").alias("source"), F.size(F.filter(lexical.tokens(F.col("content")), lambda t: t == "only")).cast("long").alias("hits"))
-    return hits.where("hits > 0").join(F.broadcast(scope), "source").select("file_id", "repo", "from_dependency", "hits")  # scope: the asked repositories
-
-
-@Q.plan("L9_transitive_dependencies", f"WITH RECURSIVE d AS ({DEPENDS}), b AS (SELECT repo, dependency FROM d UNION SELECT b.repo, d.dependency FROM b JOIN d ON d.repo = b.dependency) SELECT repo, count(*) AS reach FROM b GROUP BY repo")
-def transitive(get):
-    pairs = graph.closure(dependency_edges(get).toDF("src", "dst"))
-    return pairs.groupBy(F.col("src").alias("repo")).agg(F.count(F.lit(1)).alias("reach"))
-
-
 # -- rerank ------------------------------------------------------------------------------------
 
-CALL = "configured boolean, semantic boolean, skips_semantic boolean, raised boolean, fallback boolean, last_error string, reordered boolean"
-USUAL = {"configured": True, "semantic": False, "skips_semantic": False, "raised": False, "fallback": False, "reordered": True}
-CALLS = {
-    "new order": (USUAL, "succeeded"),
-    "same order": (USUAL | {"reordered": False}, "attempted"),
-    "none": (USUAL | {"configured": False, "raised": True}, "not_configured"),
-    "policy": (USUAL | {"semantic": True, "skips_semantic": True}, "skipped_policy"),
-    "lexical under that policy": (USUAL | {"skips_semantic": True}, "succeeded"),
-    "raised": (USUAL | {"raised": True, "fallback": True}, "failed"),
-    "fell back": (USUAL | {"fallback": True, "last_error": "timeout"}, "fallback_applied"),
-    "swallowed": (USUAL | {"last_error": "timeout", "reordered": False}, "failed"),
-}
-
-
-@Q.plan("H14_rerank_outcomes", expected("name", "outcome", {k: v for k, (_, v) in CALLS.items()}))
-def rerank_outcomes(get):
-    return cases(get, CALL, {k: r for k, (r, _) in CALLS.items()}).select("name", states.rerank_outcome().alias("outcome"))
-
-
 NOT_NOISE = "path NOT LIKE '%htmlcov/%' AND path NOT LIKE '%docs/benchmarks/%'"
 
 
@@ -481,25 +276,6 @@ def new_commits(get):
     return spark.read.parquet(f"{base}/out").select("repo", "commit")
 
 
-ISSUES = [
-    {"number": 7, "title": " Fix crash ", "state": "CLOSED", "labels": [{"name": "Bug"}, {"name": " bug "}, {"name": "P1"}], "createdAt": "2026-01-01T00:00:00Z", "updatedAt": "2026-01-09T00:00:00Z", "closedAt": "2026-01-09T00:00:00Z", "url": "u7", "body": "x"},
-    {"number": 8, "title": "Docs", "state": "OPEN", "labels": [], "createdAt": "2026-01-02T00:00:00Z", "updatedAt": "2026-01-03T00:00:00Z", "closedAt": "", "url": "u8"},
-    {"number": 9, "title": "Slow bug", "state": "open", "labels": [{"name": "bug"}], "createdAt": "2026-01-02T00:00:00Z", "updatedAt": "2026-02-03T00:00:00Z", "closedAt": None, "url": "u9"},
-    {"title": "no number"},
-]
-
-
-@Q.plan("A15_issues", "SELECT * FROM (VALUES (7, 'Fix crash', 'bug,p1', 'closed', '2026-01-09T00:00:00Z', true), (8, 'Docs', '', 'open', NULL, false), (9, 'Slow bug', 'bug', 'open', NULL, false)) AS t(number, title, labels, state, closed_at, asked)")
-def issue_source(get):
-    """An issue export, normalised; `asked` marks what a search for a label updated until a day gives."""
-    spark = get("region").sparkSession
-    base = scratch(spark, "issues")
-    write_small(spark, f"{base}/issues.json", "\n".join(map(json.dumps, ISSUES)).encode())
-    every = external.issues(spark, base, " Owner/Repo ")
-    asked = external.issues(spark, base, "owner/repo", labels=("bug",), until="2026-01-31").select("number", F.lit(True).alias("asked"))
-    return every.join(asked, "number", "left").select("number", "title", F.array_join("labels", ",").alias("labels"), "state", "closed_at", F.coalesce("asked", F.lit(False)).alias("asked"))
-
-
 def evaluation_folder(get, change=None) -> str:
     """A signed set made of the benchmark's rows; change: edits the manifest or the files after signing."""
     spark = get("benchmark").sparkSession
@@ -561,18 +337,4 @@ def artifact(get):
     return external.import_artifact(spark, path).withColumn("note", F.lit(note))
 
 
-@Q.plan("A19_schema_bootstrap", "SELECT * FROM (VALUES ('chunks', 0), ('files', 0), ('refs', 0), ('repositories', 0), ('summaries', 0), ('symbols', 0)) AS t(name, rows)")
-def bootstrap(get):
-    """The catalog's tables, created empty where they are not there; a second call changes nothing."""
-    spark = get("region").sparkSession
-    place = scratch(spark, "catalog")
-    for _ in range(2):
-        api.create_tables(spark, "quarry_boot", place)
-    counts = [spark.table(f"quarry_boot.{name}").agg(F.lit(name).alias("name"), F.count(F.lit(1)).cast("int").alias("rows")) for name in api.TABLES]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
-
-
 QUERIES, ORACLES = Q.queries, Q.oracles

@@ -67,9 +67,9 @@ Q.sql("B7_language_filter", "SELECT file_id FROM {files} WHERE language = 'fr' A
 Q.sql("B8_kind_filter", "SELECT symbol_id, name FROM {symbols} WHERE kind = 'promo' AND name LIKE 'hot%'")
 
 
-@Q.plan("B9_pattern_filter", "SELECT file_id FROM {files} WHERE language IN ('en', 'de') AND regexp_matches(path, '^src/.*file_1.[.]py')")
+@Q.plan("B9_pattern_filter", "SELECT file_id FROM {files} WHERE language IN ('en', 'de') AND regexp_matches(path, '^src/.*file_[0-9]*[369]0[.]py')")
 def pattern_filter(get):
-    return get("files").where(F.col("language").isin("en", "de") & F.col("path").rlike("^src/.*file_1.[.]py")).select("file_id")
+    return get("files").where(F.col("language").isin("en", "de") & F.col("path").rlike("^src/.*file_[0-9]*[369]0[.]py")).select("file_id")
 
 
 Q.sql("B10_suffix_after_limit", "SELECT file_id, path FROM (SELECT file_id, path, row_number() OVER (ORDER BY size DESC, file_id) AS k FROM {files}) WHERE k <= 50 AND path LIKE '%.py'")
@@ -166,7 +166,10 @@ def summary_sentences(get):
 Q.sql("J1_and_then_or", "SELECT path, 0 AS tier FROM {files} WHERE content LIKE '%only%' AND content LIKE '%from%' UNION ALL SELECT path, 1 FROM {files} WHERE (content LIKE '%only%' OR content LIKE '%from%') AND NOT (content LIKE '%only%' AND content LIKE '%from%')")
 Q.sql("J2_symbols_then_content", "SELECT file_id, min(tier) AS tier FROM (SELECT file_id, 0 AS tier FROM {symbols} WHERE name LIKE 'hot%' UNION ALL SELECT file_id, 1 FROM {files} WHERE language = 'es') GROUP BY file_id")
 Q.sql("J4_distinct_file_line", "SELECT file_id, line_number, min(symbol_id) AS symbol_id FROM {refs} GROUP BY file_id, line_number")
-Q.sql("J5_context_then_results", "SELECT file_id, 'context' AS kind FROM {symbols} WHERE kind = 'promo' AND file_id NOT IN (SELECT file_id FROM {files} WHERE language = 'en') UNION SELECT file_id, 'result' FROM {files} WHERE language = 'en'")
+Q.sql(
+    "J5_context_then_results", "SELECT s.file_id, 'context' AS kind FROM {symbols} s LEFT ANTI JOIN (SELECT file_id FROM {files} WHERE language = 'en') r ON r.file_id = s.file_id WHERE s.kind LIKE 'promo%' UNION SELECT file_id, 'result' FROM {files} WHERE language = 'en'",
+    "SELECT file_id, 'context' AS kind FROM {symbols} WHERE kind LIKE 'promo%' AND file_id NOT IN (SELECT file_id FROM {files} WHERE language = 'en') UNION SELECT file_id, 'result' FROM {files} WHERE language = 'en'",
+)
 
 
 @Q.plan("J7_keyword_jaccard", "SELECT a.doc_id, round(len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k))), 6) AS score FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS k FROM documents) a JOIN (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS k FROM documents) b ON b.doc_id = a.doc_id + 1 WHERE len(a.k) + len(b.k) > 0")

@@ -18,6 +18,7 @@ MODULES = (
     "quarrymill.plans.stored_queries",
     "quarrymill.plans.mechanism_queries",
     "quarrymill.plans.run_queries",
+    "quarrymill.plans.derived_queries",
 )
 
 
