@@ -140,9 +140,9 @@ for _key, _entry in (("U9_aggregation_strategy", "first_per_file"),):
     )
 
 
-@Q.plan("U10_search_strategy", "SELECT file_id, size AS score FROM {files} WHERE repo = 'src2'")
+@Q.plan("U10_search_strategy", "SELECT file_id, size AS score FROM {files}")
 def strategy(get):
-    return api.STRATEGIES.run(["best_first"], get("files").where("repo = 'src2'").select("file_id", F.col("size").alias("score")))
+    return api.STRATEGIES.run(["best_first"], get("files").select("file_id", F.col("size").alias("score")))
 
 
 Q.sql("L1_graph_build", "SELECT 'f' || cast(r.file_id AS string) AS src, 's' || cast(r.symbol_id AS string) AS dst, CASE r.reference_kind WHEN 'A' THEN 'calls' WHEN 'R' THEN 'imports' ELSE 'references' END AS kind, count(*) AS n FROM {refs} r GROUP BY r.file_id, r.symbol_id, r.reference_kind")

@@ -121,7 +121,7 @@ def point_ids(get):
 
 Q.sql("G10_embedding_text", "SELECT symbol_id, md5(substr('File: ' || path || chr(10) || 'Symbol: ' || name || chr(10) || 'Kind: ' || kind || chr(10) || content, 1, 6000)) AS unit FROM {symbols} s JOIN {files} f ON s.file_id = f.file_id")
 Q.sql("G13_stale_vectors", "SELECT p.chunk_id, p.profile_id FROM {points} p LEFT JOIN {chunks} c ON c.chunk_id = p.chunk_id AND c.line_end > 30 WHERE c.chunk_id IS NULL")
-Q.sql("G14_move_vectors", "SELECT chunk_id, CASE WHEN collection = 'c1' THEN 'moved/' || chunk_id ELSE chunk_id END AS path, collection FROM {points} WHERE profile_id <> 'p1'")
+Q.sql("G14_move_vectors", "SELECT chunk_id, CASE WHEN collection = 'c1' THEN 'moved/' || chunk_id ELSE chunk_id END AS path, profile_id, collection FROM {points}")
 Q.sql("G15_compatibility", "SELECT sha2(profile_id || ':' || collection, 256) AS hash, count(*) AS points FROM {points} GROUP BY profile_id, collection", "SELECT sha256(profile_id || ':' || collection) AS hash, count(*) AS points FROM {points} GROUP BY profile_id, collection")
 Q.sql("A18_collection_shape", "SELECT size(embedding) AS dimension, count(*) AS points FROM {embeddings} GROUP BY size(embedding)", "SELECT len(embedding)::INT AS dimension, count(*) AS points FROM {embeddings} GROUP BY len(embedding)")
 Q.sql("B12_payload_filter", "SELECT file_id, hash FROM {files} WHERE hash IN (SELECT hash FROM {files} WHERE file_id = 5) ORDER BY file_id LIMIT 1000")
@@ -236,7 +236,8 @@ def tfidf(get):
     return fusion.tfidf_scores(candidates.unionByName(asked), "doc_id", "t", -1)
 
 
-Q.sql("H12_endpoint_rerank_order", "SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN quality = 1 THEN n_chars END DESC NULLS LAST, doc_id) AS new_rank FROM {documents} JOIN {labels} USING (doc_id) ORDER BY new_rank LIMIT 40")
+Q.sql("H12_endpoint_rerank_order", "SELECT doc_id, row_number() OVER (ORDER BY s DESC NULLS LAST, doc_id) AS new_rank FROM (SELECT doc_id, CASE WHEN quality = 1 THEN n_chars END AS s FROM {documents} JOIN {labels} USING (doc_id) ORDER BY s DESC NULLS LAST, doc_id LIMIT 40)",
+    "SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN quality = 1 THEN n_chars END DESC NULLS LAST, doc_id) AS new_rank FROM {documents} JOIN {labels} USING (doc_id) ORDER BY new_rank LIMIT 40")
 Q.sql("H15_min_max_normalise", "SELECT event_id, round((greatest(0.0D, least(15.0D, value)) - 0.0D) / 15.0D, 6) AS score FROM {events}", "SELECT event_id, round((greatest(0.0, least(15.0, value)) - 0.0) / 15.0, 6) AS score FROM {events}")
 Q.sql("H16_score_source", "SELECT event_id, CASE WHEN props LIKE '%7%' THEN 'fuzzy' WHEN value > 1.5 THEN 'bm25' WHEN value >= 0 AND value <= 1.0 THEN 'semantic' ELSE 'unknown' END AS source FROM {events}")
 GROUPS = "SELECT user_id, event_type, count(*) AS n, max(value) AS best FROM {events} GROUP BY user_id, event_type"
@@ -247,7 +248,8 @@ Q.sql("H20_context_merge", """WITH g AS (SELECT file_id, line_number, CASE WHEN
 i AS (SELECT file_id, line_number, sum(fresh) OVER (PARTITION BY file_id ORDER BY line_number) AS island FROM g) SELECT file_id, island, min(line_number) AS first, max(line_number) AS last, count(*) AS n FROM i GROUP BY file_id, island""")
 Q.sql("H21_most_complete_definition", "WITH r AS (SELECT name, symbol_id, length(signature) AS filled, row_number() OVER (PARTITION BY name ORDER BY length(signature) DESC, symbol_id) AS k FROM {symbols}) SELECT name, symbol_id, filled FROM r WHERE k = 1")
 Q.sql("H22_references", "WITH r AS (SELECT file_id, line_number, symbol_id, row_number() OVER (PARTITION BY file_id, line_number ORDER BY symbol_id) AS k FROM {refs}) SELECT file_id, line_number, symbol_id FROM r WHERE k = 1")
-Q.sql("H23_documents_first", "SELECT file_id, path, row_number() OVER (ORDER BY CASE WHEN path LIKE '%.md' THEN 0 ELSE 1 END, size * CASE WHEN path LIKE '%.md' THEN 1.5 ELSE 1.0 END DESC, file_id) AS position FROM {files} ORDER BY position LIMIT 30")
+Q.sql("H23_documents_first", "SELECT file_id, path, row_number() OVER (ORDER BY late, weight DESC, file_id) AS position FROM (SELECT file_id, path, CASE WHEN path LIKE '%.md' THEN 0 ELSE 1 END AS late, size * CASE WHEN path LIKE '%.md' THEN 1.5 ELSE 1.0 END AS weight FROM {files} ORDER BY late, weight DESC, file_id LIMIT 30)",
+    "SELECT file_id, path, row_number() OVER (ORDER BY CASE WHEN path LIKE '%.md' THEN 0 ELSE 1 END, size * CASE WHEN path LIKE '%.md' THEN 1.5 ELSE 1.0 END DESC, file_id) AS position FROM {files} ORDER BY position LIMIT 30")
 Q.sql("H24_aggregate_statistics", "SELECT count(*) AS total, count(DISTINCT file_id) AS kept, count(*) - count(DISTINCT file_id) AS duplicates_removed FROM {refs}")
 
 

@@ -61,7 +61,7 @@ Q.sql("B4_json_predicate", "SELECT event_id, cast(get_json_object(props, '$.k')
 
 
 STAB = "SELECT file_id, line_number, chunk_id FROM (SELECT q.file_id, q.line_number, c.chunk_id, row_number() OVER (PARTITION BY q.file_id, q.line_number ORDER BY c.line_end - c.line_start, c.line_start, c.chunk_id) AS k FROM (SELECT DISTINCT file_id, line_number * 11 AS line_number FROM {refs}) q JOIN {chunks} c ON c.file_id = q.file_id AND q.line_number BETWEEN c.line_start AND c.line_end) WHERE k = 1"
-Q.sql("B6_chunk_at_line", STAB.replace("FROM {refs})", "FROM {refs} WHERE file_id = 7)"))
+Q.sql("B6_chunk_at_line", STAB)
 Q.sql("C12_interval_join", STAB)
 Q.sql("B7_language_filter", "SELECT file_id FROM {files} WHERE language = 'fr' AND path LIKE '%src1%'")
 Q.sql("B8_kind_filter", "SELECT symbol_id, name FROM {symbols} WHERE kind = 'promo' AND name LIKE 'hot%'")

@@ -55,7 +55,7 @@ def apply_changes(get):
     return stream.upsert(get("files").select(F.col("file_id").alias("user_id"), "hash"), last, "user_id")
 
 
-PAIRS = "WITH c AS (SELECT path, hash FROM (SELECT 'moved/' || path AS path, hash FROM {files} WHERE file_id % 8 = 0) n), d AS (SELECT path, hash FROM {files} WHERE file_id % 8 = 0), a AS (SELECT hash, min(path) AS new_path FROM c GROUP BY hash HAVING count(*) = 1), b AS (SELECT hash, min(path) AS old_path FROM d GROUP BY hash HAVING count(*) = 1) SELECT old_path, new_path, a.hash FROM a JOIN b ON a.hash = b.hash"
+PAIRS = "WITH c AS (SELECT path, hash FROM (SELECT 'moved/' || path AS path, hash FROM {files}) n), d AS (SELECT path, hash FROM {files}), a AS (SELECT hash, min(path) AS new_path FROM c GROUP BY hash HAVING count(*) = 1), b AS (SELECT hash, min(path) AS old_path FROM d GROUP BY hash HAVING count(*) = 1) SELECT old_path, new_path, a.hash FROM a JOIN b ON a.hash = b.hash"
 Q.sql("P6_rename_pairing", PAIRS)
 Q.sql("P9_change_set_normalise", "SELECT event_id, CASE WHEN action = 'renamed' AND user_id % 3 = 0 THEN 'deleted' WHEN action = 'renamed' AND user_id % 3 = 1 THEN 'added' ELSE action END AS action FROM {changes}")
 Q.sql("P13_needs_reindex", "SELECT a.file_id FROM {files} a LEFT JOIN (SELECT file_id, CASE WHEN file_id % 6 = 0 THEN 'old' ELSE hash END AS hash FROM {files} WHERE file_id % 5 <> 0) b ON a.file_id = b.file_id AND a.hash = b.hash WHERE b.file_id IS NULL")
