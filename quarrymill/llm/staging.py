@@ -8,7 +8,9 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.session import scratch
+from quarrymill.session import scratch, small_batches
+
+__all__ = ["Staging", "put_file", "small_batches"]
 
 
 def put_file(spark: SparkSession, name: str, data: bytes) -> str:
@@ -22,19 +24,6 @@ def put_file(spark: SparkSession, name: str, data: bytes) -> str:
     return path
 
 
-def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
-    """Lower this session's Arrow batches to `limit` bytes, for rows that carry large binaries.
-
-    The setting bounds memory outside the heap on both sides of a worker's pipe and changes no result.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key).lower().rstrip("b")
-    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
-    digits = now.rstrip("kmg")
-    if not digits.isdigit() or int(digits) * unit > limit:
-        spark.conf.set(key, str(limit))
-
-
 class Staging:
     """Writes intermediate tables under one folder and removes those that are used up."""
 

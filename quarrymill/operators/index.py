@@ -1,9 +1,9 @@
 """A stored inverted index: postings by term, kept as segments in a folder and looked up without a scan of the texts.
 
-Folder: `postings/seg=S/part=P` (term, block, key, col, tf, positions, total), sorted by term and block and cut into ranges of about
-PART_POSTINGS postings, so a frequent term lies in several parts and a rare one shares a part; `ranges/seg=S` the first and last
-term of each part; `blocks/seg=S` for terms of FREQUENT postings or more, by block: how many, the greatest tf, the least length;
-`documents/seg=S` (key, hash, total); `gone/seg=S` keys whose rows in segments before S no longer count; `head/<generation>.json`,
+Folder: `postings/seg=S/part=P` (term, block, key, col, tf, positions, total, lead, block_n, block_tf, block_total), sorted by term and block
+and cut into ranges of about PART_POSTINGS postings, so a frequent term lies in several parts and a rare one shares a part; `lead` marks a
+key's first posting of a term, and the first posting of a term's block says how many there are, the greatest tf and the least length;
+`ranges/seg=S` the first and last term of each part; `documents/seg=S` (key, hash, total); `gone/seg=S` keys whose rows in segments before S no longer count; `head/<generation>.json`,
 written last, names the live segments and holds the number of live documents and tokens. A query reads the parts whose range
 holds its terms, and of them the row groups that do; a posting carries its document's length, so ranking joins nothing.
 
@@ -27,17 +27,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrymill.functions.porter import stem
 from quarrymill.operators.lexical import B, K1, idf
-from quarrymill.session import list_files, read_small, remove, scratch, stage, stamps, write_small
+from quarrymill.session import list_files, read_small, remove, scratch, small_batches, stage, stamps, write_small
 
 RUN = re.compile(r"[^\W_]+")
 BEYOND_ASCII = re.compile(r"[^\x00-\x7f]{1,16}")
 #: Postings of one part, and the least of a part where there are fewer parts than cores.
 PART_POSTINGS, LEAST_POSTINGS = 2_000_000, 50_000
+#: Bounds of blocks do not pay where every term of a query has fewer than FREQUENT postings.
 BLOCK_DOCS, FREQUENT = 256, 1024
 #: Segments of one size (within a factor of MERGED) that become one.
 MERGED = 4
@@ -45,6 +48,10 @@ MERGED = 4
 ROUND_BYTES = 1 << 20
 #: Postings of a query's terms up to this number are scored without a look at bounds.
 PLAIN_POSTINGS = 200_000
+#: Tombstones up to this number are broadcast.
+GONE_ROWS = 1_000_000
+#: What a posting carries beside its own values, made anew whenever it is written.
+MADE = ("part", "block", "lead", "block_n", "block_tf", "block_total")
 
 
 @lru_cache(maxsize=1 << 12)
@@ -66,6 +73,11 @@ def terms_of(text: str | None, porter: bool = False) -> list[str]:
 cut = lru_cache(maxsize=1 << 18)(stem)
 
 
+def column_bytes(texts: pa.Array) -> list[int]:
+    """Length of each text in bytes, 0 for a null."""
+    return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+
+
 class StoredIndex:
     """columns: text columns in the order of their weights."""
 
@@ -88,11 +100,12 @@ class StoredIndex:
     # -- writing -------------------------------------------------------------------------------
 
     def _postings(self, docs: DataFrame) -> DataFrame:
-        """(term, key, col, tf, positions, total): terms are numbered and sorted by row in arrays, without a shuffle."""
+        """(term, key, col, tf, positions, total, hash): terms are numbered and sorted by row in arrays, without a shuffle. Each row
+        also gives one without a term, for its length and hash; the hash is null elsewhere."""
         porter, n = self.porter, len(self.columns)
         kind = docs.schema[self.key].dataType.simpleString()
 
-        def counted(keys, texts):
+        def counted(keys, hashes, texts):
             found = [terms_of(texts[c][row], porter) for row in range(len(keys)) for c in range(n)]
             lengths = np.array([len(f) for f in found])
             flat = pa.array([t for f in found for t in f], pa.string()).dictionary_encode()
@@ -103,50 +116,56 @@ class StoredIndex:
             first = np.flatnonzero(np.diff(name[order], prepend=-1))
             one = order[first]
             row, total = place[one] // n, np.add.reduceat(lengths, np.arange(0, len(found), n)) if len(found) else lengths
-            return pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [flat.dictionary.take(flat.indices.take(pa.array(one))), keys.take(pa.array(row)), pa.array((place[one] % n).astype(np.int32)), pa.array(np.diff(first, append=len(order)).astype(np.int32)),
-                 pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(at[order].astype(np.int32))), pa.array(total[row].astype(np.int32))],
-                ["term", "key", "col", "tf", "positions", "total"],
+                 pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(at[order].astype(np.int32))), pa.array(total[row].astype(np.int32)), pa.nulls(len(row), pa.string())],
+                names,
             )
+            none = [pa.nulls(len(keys), k) for k in (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([none[0], keys, *none[1:], pa.array(total.astype(np.int32)), hashes], names)
 
         def run(batches):
             for batch in batches:
-                texts = [batch.column(i + 1).to_pylist() for i in range(n)]
                 start = size = 0
-                for row in range(batch.num_rows):
-                    size += sum(len(t[row] or "") for t in texts)
+                for row, held in enumerate(zip(*(column_bytes(batch.column(i + 2)) for i in range(n)))):
+                    size += sum(held)
                     if size >= ROUND_BYTES or row == batch.num_rows - 1:
-                        yield counted(batch.column(0).slice(start, row + 1 - start), [t[start : row + 1] for t in texts])
+                        part = batch.slice(start, row + 1 - start)
+                        yield from counted(part.column(0), part.column(1), [part.column(i + 2).to_pylist() for i in range(n)])
                         start, size = row + 1, 0
 
-        picked = docs.select(F.col(self.key).alias("key"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(self.columns)])
-        return picked.mapInArrow(run, f"term string, key {kind}, col int, tf int, positions array<int>, total int")
+        names = ["term", "key", "col", "tf", "positions", "total", "hash"]
+        picked = docs.select(F.col(self.key).alias("key"), self._hash().alias("hash"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(self.columns)])
+        small_batches(self.spark)
+        return picked.mapInArrow(run, f"term string, key {kind}, col int, tf int, positions array<int>, total int, hash string")
 
     def _hash(self) -> Column:
         return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c), F.lit("\x1e")) for c in self.columns]), 256)
 
     def _write_segment(self, docs: DataFrame, number: int) -> None:
-        wanted = docs.select(F.col(self.key).alias("key"), self._hash().alias("hash"))
-        self._write_postings(stage(self._postings(docs), "postings"), max(1, -(-wanted.count() // BLOCK_DOCS)), number)
-        totals = self.spark.read.parquet(f"{self.path}/postings/seg={number}").groupBy("key").agg(F.first("total").alias("total"))
-        wanted.join(totals, "key", "left").select("key", "hash", F.coalesce("total", F.lit(0)).cast("long").alias("total")).write.parquet(f"{self.path}/documents/seg={number}")
+        held = stage(self._postings(docs), "postings")
+        held.where("term IS NULL").select("key", "hash", F.col("total").cast("long").alias("total")).write.parquet(f"{self.path}/documents/seg={number}")
+        size = self.spark.read.parquet(f"{self.path}/documents/seg={number}").count()
+        self._write_postings(held.where("term IS NOT NULL").drop("hash"), max(1, -(-size // BLOCK_DOCS)), number)
 
     def _write_postings(self, postings: DataFrame, slots: int, number: int) -> None:
-        """A segment's postings in ranges of terms and blocks, the ranges, and the bounds of frequent terms' blocks. `postings` is a stored table: it is sampled first."""
+        """A segment's postings in ranges of terms and blocks with the bounds of their blocks, and the ranges. `postings` is read from files: it is
+        counted and sampled first. A block's postings of a term lie in one range, so its bounds need no shuffle of their own."""
         n = postings.count()
         parts = max(1, -(-n // PART_POSTINGS), min(self.spark.sparkContext.defaultParallelism, -(-n // LEAST_POSTINGS)))
         like = F.floor(F.log2(F.col("total") + 1) * 2).cast("long")
         blocked = postings.withColumn("block", like * slots + F.pmod(F.xxhash64("key"), F.lit(slots)))
         dealt = blocked.repartitionByRange(parts, "term", "block").withColumn("part", F.spark_partition_id())
+        inside = W.partitionBy("part", "term", "block").orderBy("key", "col")
+        whole, first = inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), F.row_number().over(inside) == 1
+        bounds = (F.count(F.lit(1)).over(whole).cast("int"), F.max("tf").over(whole), F.min("total").over(whole))
+        made = dealt.withColumns({"lead": ~F.col("key").eqNullSafe(F.lag("key").over(inside)) | first} | {c: F.when(first, b) for c, b in zip(MADE[3:], bounds)})
         where = f"{self.path}/postings/seg={number}"
-        dealt.sortWithinPartitions("part", "term", "block", "key", "col").write.partitionBy("part").parquet(where)
+        made.sortWithinPartitions("part", "term", "block", "key", "col").write.partitionBy("part").parquet(where)
         if not n:
-            self.spark.createDataFrame([], postings.select("term", "key", "col", "tf", "positions", "total").schema).withColumn("block", F.lit(0).cast("long")).withColumn("part", F.lit(0)).write.mode("append").parquet(where)
+            self.spark.createDataFrame([], made.drop("part").schema).withColumn("part", F.lit(0)).write.mode("append").parquet(where)
         written = self.spark.read.parquet(where)
         written.groupBy("part").agg(F.min("term").alias("low"), F.max("term").alias("high")).coalesce(1).write.parquet(f"{self.path}/ranges/seg={number}")
-        frequent = written.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT).select("term")
-        bounds = written.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("tf"), F.min("total").alias("total"))
-        bounds.join(frequent, "term", "left_semi").sort("term").write.parquet(f"{self.path}/blocks/seg={number}")
 
     def decisions(self, docs: DataFrame) -> DataFrame:
         """(key, decision): add, update or skip, by the hash of the texts."""
@@ -159,10 +178,17 @@ class StoredIndex:
         """Index new and changed rows, one row a key; the decisions taken, as a stored table."""
         head = self.head()
         number = head["next"]
-        self.decisions(docs).write.parquet(f"{self.path}/decisions/seg={number}")
-        decided = self.spark.read.parquet(f"{self.path}/decisions/seg={number}")
-        wanted = docs.join(decided.where("decision <> 'skip'").select(F.col("key").alias(self.key)), self.key, "left_semi")
-        self._write_segment(wanted, number)
+        if head["segments"]:
+            self.decisions(docs).write.parquet(f"{self.path}/decisions/seg={number}")
+            decided = self.spark.read.parquet(f"{self.path}/decisions/seg={number}")
+            # Of the two sides the keys are kept in memory: texts are not sorted.
+            wanted = docs.join(decided.where("decision <> 'skip'").select(F.col("key").alias(self.key)).hint("shuffle_hash"), self.key, "left_semi")
+            self._write_segment(wanted, number)
+        else:
+            self._write_segment(docs, number)
+            decided = self.spark.read.parquet(f"{self.path}/documents/seg={number}").select("key", F.lit("add").alias("decision"))
+            decided.write.parquet(f"{self.path}/decisions/seg={number}")
+            decided = self.spark.read.parquet(f"{self.path}/decisions/seg={number}")
         self._retire(head, decided.where("decision = 'update'").select("key"), number)
         head["segments"].append(number)
         head["next"] += 1
@@ -191,6 +217,7 @@ class StoredIndex:
         lost = self.spark.read.parquet(f"{self.path}/gone/seg={number}").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("t")).first()
         if lost.n:
             head["gone"].append(number)
+            head.setdefault("lost", {})[str(number)] = lost.n
             head["documents"] -= lost.n
             head["tokens"] -= lost.t or 0
 
@@ -218,8 +245,9 @@ class StoredIndex:
         number, part = head["next"], head | {"segments": old}
         self._live_documents(part).write.parquet(f"{self.path}/documents/seg={number}")
         size = self.spark.read.parquet(f"{self.path}/documents/seg={number}").count()
-        live = self._live(head, self._read(part, "postings")).drop("part", "block")
-        self._write_postings(stage(live, "merged") if head["gone"] else live, max(1, -(-size // BLOCK_DOCS)), number)
+        live = self._live(head, self._read(part, "postings")).drop(*MADE)
+        # Postings are read thrice, and each time held against the tombstones; what that would shuffle is stored first.
+        self._write_postings(live if self._few_gone(head) else stage(live, "merged"), max(1, -(-size // BLOCK_DOCS)), number)
         head["segments"] = [s for s in head["segments"] if s not in old] + [number]
         head["gone"] = [g for g in head["gone"] if any(s < g for s in head["segments"])]
         head["sizes"] = {str(s): head["sizes"].get(str(s), 0) for s in head["segments"]} | {str(number): size}
@@ -231,7 +259,7 @@ class StoredIndex:
         head = self.head()
         old = [s for s in range(1, head["next"]) if s not in head["segments"] and s not in head["gone"]]
         for s in old:
-            for kind in ("postings", "ranges", "blocks", "documents", "gone", "decisions"):
+            for kind in ("postings", "ranges", "documents", "gone", "decisions"):
                 remove(self.spark, f"{self.path}/{kind}/seg={s}")
         return old
 
@@ -254,8 +282,12 @@ class StoredIndex:
             one = self.spark.read.parquet(f"{self.path}/gone/seg={s}").select(F.col("key").alias("gone_key"), F.lit(s).alias("until"))
             gone = one if gone is None else gone.unionByName(one)
         gone = gone.groupBy("gone_key").agg(F.max("until").alias("until"))
+        gone = F.broadcast(gone) if self._few_gone(head) else gone.hint("shuffle_hash")  # postings are never sorted for this
         return rows.join(gone, (F.col("key") == F.col("gone_key")) & (F.col("seg") < F.col("until")), "left_anti").drop("seg")
 
+    def _few_gone(self, head: dict) -> bool:
+        return sum(head.get("lost", {}).get(str(s), GONE_ROWS + 1) for s in head["gone"]) <= GONE_ROWS
+
     def _live_documents(self, head: dict) -> DataFrame | None:
         rows = self._read(head, "documents")
         return None if rows is None else self._live(head, rows)
@@ -265,13 +297,13 @@ class StoredIndex:
         found = self._live_documents(self.head())
         return self.spark.createDataFrame([], "key string, hash string, total long") if found is None else found
 
-    def _parts(self, seg: int, terms: list[str]) -> list[int]:
-        """The parts of a segment whose range holds one of the terms; the ranges are read once, a row a part."""
+    def _parts(self, seg: int, terms: list[str], prefix: str | None = None) -> list[int]:
+        """The parts of a segment whose range holds one of the terms, or terms with a prefix; the ranges are read once, a row a part."""
         if seg not in self._ranges:
             rows = sorted((r.low, r.high, r.part) for r in self.spark.read.parquet(f"{self.path}/ranges/seg={seg}").collect() if r.low is not None)
             self._ranges[seg] = ([r[0] for r in rows], rows)
         lows, rows = self._ranges[seg]
-        found = set()
+        found = set() if prefix is None else {part for low, high, part in rows if low[: len(prefix)] <= prefix <= high}
         for term in terms:
             at = bisect_right(lows, term) - 1
             while at >= 0 and rows[at][1] >= term:
@@ -283,7 +315,7 @@ class StoredIndex:
         """Live postings of some terms, of terms with a prefix, or of all."""
         head = head or self.head()
         if not head["segments"]:
-            return self.spark.createDataFrame([], "term string, key string, col int, tf int, positions array<int>, total int, block long, part int")
+            return self.spark.createDataFrame([], "term string, key string, col int, tf int, positions array<int>, total int, block long, lead boolean, block_n int, block_tf int, block_total int, part int")
         return self._live(head, self._found(head, terms, prefix))
 
     def _found(self, head: dict, terms: list[str] | None, prefix: str | None = None) -> DataFrame:
@@ -293,14 +325,13 @@ class StoredIndex:
             if terms is not None:
                 rows = rows.where(F.col("part").isin(self._parts(s, terms)) & F.col("term").isin(terms))
             if prefix is not None:
-                rows = rows.where(F.startswith("term", F.lit(prefix)))
+                rows = rows.where(F.col("part").isin(self._parts(s, [], prefix)) & F.startswith("term", F.lit(prefix)))
             out = rows if out is None else out.unionByName(rows)
         return out
 
     def vocabulary(self) -> DataFrame:
         """(term, docs, hits): rows that hold a term in any column, and its occurrences."""
-        by_row = self.postings().groupBy("term", "key").agg(F.sum("tf").alias("tf"))
-        return by_row.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("hits"))
+        return self.postings().groupBy("term").agg(F.count_if("lead").alias("docs"), F.sum("tf").alias("hits"))
 
     # -- querying ------------------------------------------------------------------------------
 
@@ -333,20 +364,12 @@ class StoredIndex:
         head = self.head()
         if head["gone"] or not head["segments"] or not terms:
             return None
-        stored = None
-        for s in head["segments"]:
-            rows = self.spark.read.parquet(f"{self.path}/blocks/seg={s}").where(F.col("term").isin(terms)).withColumn("seg", F.lit(s))
-            stored = rows if stored is None else stored.unionByName(rows)
-        counts = {(r.term, r.seg): r.n for r in stored.groupBy("term", "seg").agg(F.sum("n").alias("n")).collect()}  # a row a term and segment
-        if not always and sum(counts.values()) <= PLAIN_POSTINGS:
-            return None
-        # Terms without stored bounds in a segment have fewer than FREQUENT postings there.
         postings = self._found(head, terms)
-        known = F.lit(False)
-        for term, seg in counts:
-            known = known | ((F.col("term") == term) & (F.col("seg") == seg))
-        rare = postings.where(~known).groupBy("term", "block", "seg").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("tf"), F.min("total").alias("total"))
-        bounds = stage(stored.unionByName(rare), "bounds")
+        stored = postings.where("block_n IS NOT NULL").select("term", "seg", "block", F.col("block_n").cast("long").alias("n"), F.col("block_tf").alias("tf"), F.col("block_total").alias("total"))
+        counts = [r.n for r in stored.groupBy("term").agg(F.sum("n").alias("n")).collect()]  # a row a term
+        if not always and (sum(counts) <= PLAIN_POSTINGS or max(counts) < FREQUENT):
+            return None
+        bounds = stage(stored, "bounds")
         df = {r.term: r.n for r in bounds.groupBy("term").agg(F.sum("n").alias("n")).collect()}
         if not df:
             return None

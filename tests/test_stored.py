@@ -63,6 +63,28 @@ def test_bounds_give_the_same_rows_and_fewer_blocks(spark, corpus, monkeypatch):
     assert made._top_by_bounds("w1 w2", 10, 1.0)[0].collect() == before and all(r.key % 7 for r in before)
 
 
+def test_what_an_index_derives_from_its_postings_is_stored_with_them(spark, monkeypatch):
+    """Lengths, bounds and counts of documents come with the sorted postings: nothing is grouped by row or by block any more."""
+    monkeypatch.setattr(index, "BLOCK_DOCS", 4)
+    docs = spark.createDataFrame([(1, "a b a", "b c"), (2, "a", None), (3, None, "a a"), (4, None, None)] + [(i, "b d", "d") for i in range(5, 40)], "id long, one string, two string")
+    made = index.StoredIndex(spark, scratch(spark, "derived"), "id", ("one", "two"))
+    assert {r.decision for r in made.add(docs).collect()} == {"add"}
+    assert {(r.key, r.total) for r in made.documents().where("key < 6").collect()} == {(1, 5), (2, 1), (3, 2), (4, 0), (5, 3)}
+    found = made.postings()
+    per_block = found.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("tf"), F.min("total").alias("total"))
+    stored = found.where("block_n IS NOT NULL").select("term", "block", F.col("block_n").cast("long").alias("n"), F.col("block_tf").alias("tf"), F.col("block_total").alias("total"))
+    assert sorted(per_block.collect()) == sorted(stored.collect())
+    assert {tuple(r) for r in made.vocabulary().collect()} == {("a", 3, 5), ("b", 36, 37), ("c", 1, 1), ("d", 35, 70)}
+    assert made.vocabulary()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    # Tombstones, few or many, take out whole rows.
+    for most in (index.GONE_ROWS, 0):
+        monkeypatch.setattr(index, "GONE_ROWS", most)
+        made.remove(spark.createDataFrame([(1 if most else 2,)], "id long"))
+        assert {tuple(r) for r in made.vocabulary().where("term = 'a'").collect()} == {("a", 2, 3) if most else ("a", 1, 2)}
+    made.optimize()
+    assert {tuple(r) for r in made.vocabulary().collect()} == {("a", 1, 2), ("b", 35, 35), ("d", 35, 70)}
+
+
 def test_segments_merge_by_size(spark):
     made = index.StoredIndex(spark, scratch(spark, "tiers"), "id", ("body",))
     made.add(spark.range(100).select("id", F.lit("large segment of many rows").alias("body")))
