@@ -43,9 +43,12 @@ def levels(rows: DataFrame, node: str, parent: str) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """(src, dst, distance) of all pairs that edges lead to, at any depth, with the least distance; cycles end by it.
 
-    One stored table a level holds the new pairs; the work is the size of the answer.
+    One stored table a level holds the new pairs; the work is the size of the answer. Where no node has two edges out, as in a
+    hierarchy, a level looks at its own pairs alone; else new pairs are held against all earlier ones.
     """
-    step = edges.select("src", "dst").distinct()
+    step = stage(edges.select("src", "dst").distinct(), "step")
+    if step.groupBy("src").count().where("count > 1").isEmpty():
+        return _closure_of_paths(step)
     seen = frontier = stage(step.withColumn("distance", F.lit(1)), "closure")
     level = 1
     while True:
@@ -57,6 +60,52 @@ def closure(edges: DataFrame) -> DataFrame:
         seen = seen.unionByName(frontier)
 
 
+def _closure_of_paths(step: DataFrame) -> DataFrame:
+    """The closure where each node has one edge out: a node's pairs are its one path, which ends or comes round a cycle once."""
+    sizes = cycle_sizes(step)
+    # `left`: how many more nodes there are once a path has come to a cycle of `size`.
+    sized = stage(step.join(sizes, step["dst"] == sizes["node"], "left").select("src", "dst", "size"), "sized")
+    after = sized.select(F.col("src").alias("mid"), F.col("dst").alias("next"), "size")
+    frontier = stage(sized.select("src", "dst", (F.col("size") - 1).alias("left"), F.lit(1).alias("distance")), "closure")
+    seen, level = [frontier], 1
+    while True:
+        level += 1
+        going = frontier.where("left IS NULL OR left > 0").select("src", F.col("dst").alias("mid"), "left")
+        left = F.coalesce(F.col("left"), F.col("size")) - 1
+        frontier = stage(going.join(after, "mid").select("src", F.col("next").alias("dst"), left.alias("left"), F.lit(level).alias("distance")), "closure")
+        if frontier.isEmpty():
+            break
+        seen.append(frontier)
+    out = seen[0]
+    for one in seen[1:]:
+        out = out.unionByName(one)
+    return out.select("src", "dst", "distance")
+
+
+def cycle_sizes(step: DataFrame) -> DataFrame:
+    """(node, size) of the nodes on cycles where each node has one edge out: edges from nodes that none leads to go until none does,
+    then each node that is left walks round."""
+    rest, n = step, step.count()
+    while True:
+        rest = stage(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "rest")
+        now = rest.count()
+        if now == n:
+            break
+        n = now
+    after = rest.select(F.col("src").alias("mid"), F.col("dst").alias("next"))
+    walk, size, out = rest, 1, []
+    while True:
+        out.append(walk.where("src = dst").select(F.col("src").alias("node"), F.lit(size).alias("size")))
+        walk = stage(walk.where("src <> dst").select("src", F.col("dst").alias("mid")).join(after, "mid").select("src", F.col("next").alias("dst")), "walk")
+        if walk.isEmpty():
+            break
+        size += 1
+    found = out[0]
+    for one in out[1:]:
+        found = found.unionByName(one)
+    return found
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
