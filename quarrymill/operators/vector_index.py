@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrymill.operators.keyed import KeyedTable, Parts, numbers_of
-from quarrymill.operators.vector import BLOCK_QUERIES, MARGIN, matrix, similarity
+from quarrymill.operators.vector import BLOCK_QUERIES, BLOCK_SCORES, MARGIN, matrix, similarity
 from quarrymill.session import read_small, stage, write_small
 
 METRICS = ("cosine", "euclid")
@@ -47,6 +47,12 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, with BLOCK_SCORES distances held at a time."""
+    step = max(BLOCK_SCORES // max(len(centres), 1), 1)
+    return np.concatenate([distances(rows[i : i + step], centres).argmin(axis=1) for i in range(0, len(rows), step)])
+
+
 class VectorIndex:
     def __init__(self, spark: SparkSession, path: str, dimension: int, metric: str = "cosine"):
         self.spark, self.path = spark, path.rstrip("/")
@@ -109,7 +115,7 @@ class VectorIndex:
         def run(batches):
             for batch in batches:
                 a = matrix(batch.column(at)).reshape(-1, dimension)
-                cell = distances(direction(a) if metric == "cosine" else a, shipped.value).argmin(axis=1) if len(a) and len(shipped.value) else np.zeros(len(a))
+                cell = nearest(direction(a) if metric == "cosine" else a, shipped.value) if len(a) and len(shipped.value) else np.zeros(len(a))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], [*batch.schema.names, "part"])
 
         picked = checked(rows.where(F.col(self.vector).isNotNull()).select(*names), self.vector, dimension, metric)
@@ -231,8 +237,8 @@ class VectorIndex:
         for q, row in enumerate(cells):
             for c in row:
                 asking.setdefault(int(c), []).append(q)
-        shipped = self.spark.sparkContext.broadcast((ids, wanted, {c: np.array(q) for c, q in asking.items()}))
-        metric = self.metric
+        shipped = self.spark.sparkContext.broadcast((ids, wanted, {c: np.array(q, np.int32) for c, q in asking.items()}))
+        metric, most = self.metric, BLOCK_SCORES
         sign = 1 if metric == "cosine" else -1
         kind = self.vectors.schema[self.key].dataType.simpleString()
 
@@ -242,17 +248,22 @@ class VectorIndex:
                 parts = batch.column(2).to_numpy()
                 for cell in np.unique(parts):
                     part = batch.filter(pa.array(parts == cell))
-                    rows = by_cell[int(cell)]
-                    scores = similarity(metric, matrix(part.column(1)), b[rows])
-                    ranked = sign * np.where(np.isnan(scores), -sign * np.inf, scores)
-                    if k < len(ranked):
-                        least = np.partition(ranked, len(ranked) - k, axis=0)[len(ranked) - k]
-                        row, col = np.nonzero(ranked >= least - MARGIN)
-                    else:
-                        row, col = np.nonzero(np.ones_like(ranked, bool))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([names[rows[i]] for i in col.tolist()], part.schema.field(0).type), part.column(0).take(pa.array(row)), pa.array(scores[row, col])], ["query_id", "key", "score"]
-                    )
+                    # Queries are taken so many at a time that their scores are bounded; a query's k best are still those of the whole part.
+                    step = max(most // part.num_rows, 1)
+                    for start in range(0, len(by_cell[int(cell)]), step):
+                        yield best(part, matrix(part.column(1)), by_cell[int(cell)][start : start + step], names, b)
+
+        def best(part, a, rows, names, b):
+            scores = similarity(metric, a, b[rows])
+            ranked = sign * np.where(np.isnan(scores), -sign * np.inf, scores)
+            if k < len(ranked):
+                least = np.partition(ranked, len(ranked) - k, axis=0)[len(ranked) - k]
+                row, col = np.nonzero(ranked >= least - MARGIN)
+            else:
+                row, col = np.nonzero(np.ones_like(ranked, bool))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([names[rows[i]] for i in col.tolist()], part.schema.field(0).type), part.column(0).take(pa.array(row)), pa.array(scores[row, col])], ["query_id", "key", "score"]
+            )
 
         picked = self.vectors.read(sorted(asking)).select(F.col(self.key), F.col(self.vector), F.col("part"))
         rows = picked.mapInArrow(run, f"query_id {kind}, key {kind}, score double")

@@ -1,10 +1,13 @@
-"""Steps that once grew faster than their input: closures of paths, and chunkers' batches."""
+"""Steps that once grew faster than their input: chunkers' batches, closures of paths, distances to centres."""
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quarrymill.operators import chunking, graph
+from quarrymill.operators import chunking, graph, vector_index
+from quarrymill.session import scratch
 
 
 def test_chunks_go_out_in_bounded_batches(spark, monkeypatch):
@@ -57,3 +60,23 @@ def test_a_level_of_paths_reads_no_earlier_level(spark, monkeypatch):
     graph.closure(spark.createDataFrame([(i, i // 2) for i in range(1, 20)], "src long, dst long")).count()
     levels = [p for name, p in plans if name == "closure"]
     assert len(levels) > 4 and not any("LeftAnti" in p or "Aggregate" in p for p in levels[1:])
+
+
+def test_nearest_centres_hold_few_distances(monkeypatch):
+    rng = np.random.default_rng(2)
+    rows, centres, most = rng.normal(size=(50, 4)), rng.normal(size=(7, 4)), []
+    whole = vector_index.distances(rows, centres).argmin(axis=1)
+    kept = vector_index.distances
+    monkeypatch.setattr(vector_index, "distances", lambda a, b: most.append(len(a) * len(b)) or kept(a, b))
+    monkeypatch.setattr(vector_index, "BLOCK_SCORES", 21)
+    assert (vector_index.nearest(rows, centres) == whole).all() and max(most) <= 21
+
+
+def test_scores_of_a_cell_come_in_blocks_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    points = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(120)], "vec_id long, embedding array<float>")
+    made = vector_index.VectorIndex.build(points, scratch(spark, "vectors"), 4, cells=3)
+    asked = points.where(F.col("vec_id") % 4 == 0)
+    whole = {tuple(r) for r in made.search(asked, 5, 2).collect()}
+    monkeypatch.setattr(vector_index, "BLOCK_SCORES", 64)
+    assert {tuple(r) for r in made.search(asked, 5, 2).collect()} == whole and len(whole) == 150
