@@ -1,9 +1,10 @@
 """Stored tables that change in place: rows lie in numbered parts, and a change rewrites only the parts that it touches.
 
-`Parts` keeps rows by a given number; `KeyedTable` numbers them by a hash of key columns. A change is written by Parquet's
-dynamic partition overwrite, so files of other parts keep their names and times; readers that know the keys they want prune to
-their parts. The list of touched parts has at most one number a part. Rows of a part are spread over files of the advised size
-(a rebalance), so a key with very many rows under it, as a file with its chunks, is no single task.
+`Parts` keeps rows by a given number; `KeyedTable` numbers them by a hash of key columns. A change is written once, beside the
+table, and its parts are then moved into the places of those it touched, so files of other parts keep their names and times;
+readers that know the keys they want prune to their parts. The list of touched parts has at most one number a part. Rows with a
+key are dealt by it into lots of about ROWS_PER_LOT before anything groups them: a task's memory does not grow with the table,
+and a part number with very many rows under it, as a file with its chunks, is no single task.
 
 Defined cases: a key that is null is a key; of several changes to one key the greatest by `latest` holds, without `latest` the
 greatest row; deleting what is not there changes nothing; a part that loses its last row loses its folder.
@@ -11,13 +12,21 @@ greatest row; deleting what is not there changes nothing; a part that loses its
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quarrymill.session import remove, stage
+from quarrymill.session import list_files, move, remove
 
 ROWS_PER_PART = 1_000_000
+#: Rows that one task groups by their keys.
+ROWS_PER_LOT = 250_000
+#: Parts that one task writes side by side; only rows of further ones are sorted in its memory.
+OPEN_FILES = 64
+#: Keys to delete, up to this number, are broadcast.
+FEW_KEYS = 100_000
 
 
 class Parts:
@@ -34,22 +43,45 @@ class Parts:
         return rows if numbers is None else rows.where(F.col("part").isin(numbers))
 
     def create(self, rows: DataFrame) -> None:
-        self._write(rows)
+        self._write(self._even(rows), self.path)
 
     def replace(self, rows: DataFrame, touched: list[int]) -> None:
-        """`rows` become the whole of the touched parts."""
+        """`rows` become the whole of the touched parts, and of others that they fall into."""
         if not touched:
             return
-        held = stage(rows.select(*self.schema.names, "part"), "parts")
-        filled = {r.part for r in held.select("part").distinct().collect()}
-        if filled:
-            self._write(held)
-        for number in sorted(set(touched) - filled):
+        beside = self.beside()
+        self._write(self._even(rows), beside)
+        self.swap(beside, sorted({*touched, *self.found(beside)}))
+
+    def beside(self) -> str:
+        """A fresh path in the folder of the table."""
+        return f"{self.path}-{uuid.uuid4().hex}"
+
+    def found(self, path: str) -> list[int]:
+        """The parts that were written to a path."""
+        return sorted(int(n.removeprefix("part=")) for n in list_files(self.spark, path) if n.startswith("part="))
+
+    def swap(self, path: str, touched: list[int]) -> None:
+        """Parts written beside the table take the places of the touched ones; a part that is not there any more loses its folder."""
+        filled = set(self.found(path))
+        for number in touched:
             remove(self.spark, f"{self.path}/part={number}")
+            if number in filled:
+                move(self.spark, f"{path}/part={number}", f"{self.path}/part={number}")
+        remove(self.spark, path)
+
+    def _even(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*self.schema.names, F.col("part").cast("int").alias("part")).hint("rebalance", "part")
 
-    def _write(self, rows: DataFrame) -> None:
-        spread = rows.select(*self.schema.names, F.col("part").cast("int").alias("part")).hint("rebalance", "part")
-        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.path)
+    def _write(self, rows: DataFrame, path: str, *above: str) -> None:
+        chosen = rows.select(*above, *self.schema.names, F.col("part").cast("int").alias("part"))
+        key = "spark.sql.maxConcurrentOutputFileWriters"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, str(OPEN_FILES))
+        try:
+            chosen.write.mode("overwrite").option("compression", "zstd").partitionBy(*above, "part").parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
 
 
 def numbers_of(rows: DataFrame) -> list[int]:
@@ -68,51 +100,66 @@ class KeyedTable:
     @classmethod
     def store(cls, rows: DataFrame, path: str, keys: tuple[str, ...], by: tuple[str, ...] | None = None, parts: int | None = None) -> KeyedTable:
         """A new table of these rows, one for each key; about ROWS_PER_PART rows a part unless `parts` says otherwise."""
-        parts = parts or max(1, -(-rows.count() // ROWS_PER_PART))
+        n = rows.count()
+        parts = parts or max(1, -(-n // ROWS_PER_PART))
         table = cls(rows.sparkSession, path, keys, rows.schema, parts, by)
-        table.parts.create(table.placed(table.single(rows)))
+        table.parts._write(table.single(rows, n=n), path)
         return table
 
     def placed(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("part", F.pmod(F.xxhash64(*self.by), F.lit(self.count)).cast("int"))
 
-    def single(self, rows: DataFrame, latest: str | None = None) -> DataFrame:
-        """One row a key: the last by `latest`, then by the other columns."""
+    def dealt(self, rows: DataFrame, n: int) -> DataFrame:
+        """n rows with their part, and a number `lot` by their key: a lot of a part is one task."""
+        lots = max(1, -(-n // (ROWS_PER_LOT * self.count)))
+        lot = F.pmod(F.hash(*self.keys), F.lit(lots)).cast("int")
+        return self.placed(rows).withColumn("lot", lot).repartition(self.count * lots, "part", "lot")
+
+    def single(self, rows: DataFrame, latest: str | None = None, n: int | None = None) -> DataFrame:
+        """One row a key with its part: the last by `latest`, then by the other columns."""
         others = [c for c in self.columns if c not in self.keys]
         first = [F.col(latest).alias("_latest")] if latest else []
         best = F.max(F.struct(*first, *others)) if first or others else F.count(F.lit(1))
-        grouped = rows.groupBy(*self.keys).agg(best.alias("_best"))
-        return grouped.select(*[F.col(c) if c in self.keys else F.col("_best")[c].alias(c) for c in self.columns])
+        grouped = self.dealt(rows, rows.count() if n is None else n).groupBy("part", "lot", *self.keys).agg(best.alias("_best"))
+        return grouped.select(*[F.col(c) if c in self.keys else F.col("_best")[c].alias(c) for c in self.columns], "part")
 
     def read(self, wanted: DataFrame | None = None) -> DataFrame:
         """All rows, or those in the parts where `wanted`'s keys would lie."""
         numbers = None if wanted is None else numbers_of(self.placed(wanted))
         return self.parts.read(numbers).drop("part")
 
-    def _match(self, a: str, b: str, keys) -> Column:
-        out = F.lit(True)
-        for k in keys:
-            out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
-        return out
-
     def upsert(self, changes: DataFrame, latest: str | None = None, combine: dict[str, Column] | None = None) -> list[int]:
         """Insert or replace rows by key; the parts that were rewritten.
 
         combine: for some columns the value of a row that was there, of columns `old.x` and `new.x`; other columns take the new one.
         """
-        new = stage(self.placed(self.single(changes, latest)).withColumn("_new", F.lit(True)), "changes")
-        touched = numbers_of(new)
-        old = self.parts.read(touched)
-        both = old.alias("old").join(new.alias("new"), self._match("old", "new", self.keys), "full")
-        is_new, was = F.col("new._new").isNotNull(), F.col("old.part").isNotNull()
+        changes = changes.select(*self.columns)
+        per_part = {r.part: r.n for r in self.placed(changes).groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+        touched, n = sorted(per_part), sum(per_part.values())
+        others = [c for c in self.columns if c not in self.keys]
+        best = F.struct(*([F.col(latest).alias("_latest")] if latest else []), *self.columns)
 
         def value(c):
             chosen = F.col(f"new.{c}")
             if combine and c in combine:
-                chosen = F.when(was, combine[c]).otherwise(chosen)
-            return F.when(is_new, chosen).otherwise(F.col(f"old.{c}")).alias(c)
-
-        self.parts.replace(both.select(*[value(c) for c in [*self.columns, "part"]]), touched)
+                chosen = F.when(F.col("old").isNotNull(), combine[c]).otherwise(chosen)
+            return F.when(F.col("new").isNotNull(), chosen).otherwise(F.col(f"old.{c}")).alias(c)
+
+        while touched:
+            old = self.parts.read(touched).select(*self.columns)
+            # What was there and what comes meet by one shuffle; a table has one row a key.
+            both = old.withColumn("_new", F.lit(False)).unionByName(changes.withColumn("_new", F.lit(True)))
+            met = self.dealt(both, n + old.count()).groupBy("part", "lot", *self.keys)
+            met = met.agg(F.max(F.when(F.col("_new"), best)).alias("new"), F.first(F.when(~F.col("_new"), F.struct(*self.columns)), ignorenulls=True).alias("old"))
+            beside = self.parts.beside()
+            self.parts._write(met.select(*self.keys, *[value(c) for c in others], "part"), beside)
+            missed = set(self.parts.found(beside)) - set(touched)
+            if not missed:
+                self.parts.swap(beside, touched)
+                break
+            # Changes that came out otherwise when they were read again: their parts are read too.
+            remove(self.parts.spark, beside)
+            touched = sorted({*touched, *missed})
         return touched
 
     def delete(self, keys: DataFrame) -> DataFrame:
@@ -120,15 +167,36 @@ class KeyedTable:
 
         Columns that do not hold `by` leave no way to prune: then every part is looked through, and those that hold a row are rewritten.
         """
-        names = keys.columns
-        wanted = stage(keys.distinct(), "keys")
+        names, spark = keys.columns, self.parts.spark
         known = set(self.by) <= set(names)
-        rows = self.parts.read(numbers_of(self.placed(wanted)) if known else None)
-        gone = stage(rows.alias("old").join(wanted.alias("new"), self._match("old", "new", names), "left_semi"), "gone")
-        touched = numbers_of(gone)
-        left = self.parts.read(touched).alias("old").join(wanted.alias("new"), self._match("old", "new", names), "left_anti")
-        self.parts.replace(left, touched)
-        return gone.drop("part")
+        if known:
+            per_part = {r.part: r.n for r in self.placed(keys).groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+            n, numbers = sum(per_part.values()), sorted(per_part)
+        else:
+            n, numbers = keys.count(), None
+        # A struct of nulls equals another, so a null key is a key; made distinct by it, the keys are dealt as the join wants them.
+        wanted = keys.select(F.struct(*names).alias("_key")).distinct().withColumn("_gone", F.lit(True))
+        rows = self.parts.read(numbers).select(F.struct(*names).alias("_key"), *[c for c in [*self.columns, "part"] if c not in names])
+        flagged = rows.join(F.broadcast(wanted) if n <= FEW_KEYS else wanted, "_key", "left")
+        beside = self.parts.beside()
+        # One pass gives both what goes and what stays.
+        out = flagged.select(F.coalesce("_gone", F.lit(False)).alias("gone"), *[F.col(f"_key.{c}").alias(c) if c in names else F.col(c) for c in self.columns], "part")
+        self.parts._write(out, beside, "gone")
+        touched = self.parts.found(f"{beside}/gone=true")
+        self.parts.swap(f"{beside}/gone=false", touched)
+        if not touched:
+            return spark.createDataFrame([], self.parts.schema)
+        schema = StructType([*self.parts.schema, StructField("part", IntegerType())])
+        return spark.read.schema(schema).parquet(f"{beside}/gone=true").drop("part")
+
+    def rekey(self, columns: dict[str, Column]) -> None:
+        """New values of some columns in every row, keys among them but not `by`: rows stay in their parts, so nothing is shuffled. Different keys must stay different."""
+        if set(columns) & set(self.by):
+            raise ValueError("columns that give the part cannot change in place")
+        rows = self.parts.read()
+        beside = self.parts.beside()
+        self.parts._write(rows.select(*[columns.get(c, F.col(c)).alias(c) for c in self.columns], "part"), beside)
+        self.parts.swap(beside, self.parts.found(beside))
 
 
 def cascade(root: KeyedTable, keys: DataFrame, children: list[tuple[KeyedTable, KeyedTable, dict[str, str]]]) -> dict[int, DataFrame]:

@@ -183,9 +183,8 @@ def scheme_rebuild(get):
     chunks = get("chunks").select("file_id", "chunk_id", F.lit(None).cast("string").alias("was"))
     table = kept(get, chunks, "chunks", ("file_id", "chunk_id"), ("file_id",))
     points = kept(get, get("points").select("chunk_id", "profile_id", "collection"), "points", ("chunk_id", "profile_id", "collection"), ("chunk_id",))
-    old = table.delete(table.read().select("file_id", "chunk_id"))
-    table.upsert(old.select("file_id", F.md5(F.concat("chunk_id", F.lit(":v2"))).alias("chunk_id"), F.col("chunk_id").alias("was")))
-    lost = points.delete(old.select("chunk_id")).groupBy(F.col("chunk_id").alias("was")).agg(F.count(F.lit(1)).alias("points_gone"))
+    table.rekey({"chunk_id": F.md5(F.concat("chunk_id", F.lit(":v2"))), "was": F.col("chunk_id")})
+    lost = points.delete(table.read().select(F.col("was").alias("chunk_id"))).groupBy(F.col("chunk_id").alias("was")).agg(F.count(F.lit(1)).alias("points_gone"))
     return table.read().join(lost, "was", "left").select("file_id", "chunk_id", "was", F.coalesce("points_gone", F.lit(0)).alias("points_gone"))
 
 

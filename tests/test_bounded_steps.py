@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.operators import chunking, graph, vector_index
+from quarrymill.operators import chunking, graph, keyed, vector_index
 from quarrymill.session import scratch
 
 
@@ -80,3 +80,41 @@ def test_scores_of_a_cell_come_in_blocks_of_queries(spark, monkeypatch):
     whole = {tuple(r) for r in made.search(asked, 5, 2).collect()}
     monkeypatch.setattr(vector_index, "BLOCK_SCORES", 64)
     assert {tuple(r) for r in made.search(asked, 5, 2).collect()} == whole and len(whole) == 150
+
+
+def exchanges(spark, act):
+    """Shuffles of the plans that an action runs."""
+    seen, write = [], keyed.Parts._write
+
+    def kept(self, rows, path, *above):
+        seen.append(rows._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return write(self, rows, path, *above)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(keyed.Parts, "_write", kept)
+        act()
+    return seen
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_keyed_changes_shuffle_and_write_their_rows_once(spark, monkeypatch, few):
+    monkeypatch.setattr(keyed, "ROWS_PER_LOT", 20)
+    monkeypatch.setattr(keyed, "FEW_KEYS", few)
+    rows = spark.range(600).select((F.col("id") % 50).alias("f"), F.when(F.col("id") % 50 != 7, F.col("id")).alias("c"), F.lit(None).cast("string").alias("was"))
+    held = []
+    assert exchanges(spark, lambda: held.append(keyed.KeyedTable.store(rows, scratch(spark, "t"), ("f", "c"), ("f",), parts=3))) == [1]
+    table = held[0]
+    assert table.read().count() == 600 - 11
+    # Two sides meet, or one of them is broadcast; keys are made distinct by the same shuffle. A null is a key.
+    keys = spark.createDataFrame([(7, None), (8, 8), (8, 8), (9, None), (999, 1)], "f long, c long")
+    assert exchanges(spark, lambda: held.append(table.delete(keys))) == [2] if few == 0 else exchanges(spark, lambda: held.append(table.delete(keys)))
+    assert sorted((r.f, r.c) for r in held[1].collect()) == [(7, None), (8, 8)] and table.read().count() == 587
+    assert exchanges(spark, lambda: table.upsert(spark.createDataFrame([(8, 8, "x"), (8, 58, "y"), (8, 58, "z")], "f long, c long, was string"))) == [1]
+    assert {r.c: r.was for r in table.read().where("f = 8 AND c < 100").collect()} == {8: "x", 58: "z"} and table.read().count() == 588
+    before = {(r.f, r.c) for r in table.read().collect()}
+    assert exchanges(spark, lambda: table.rekey({"c": -F.col("c"), "was": F.col("c").cast("string")})) == [0]
+    assert {(r.f, r.was and int(r.was)) for r in table.read().collect()} == before
+    with pytest.raises(ValueError):
+        table.rekey({"f": F.lit(1)})
+    assert table.delete(spark.range(0).toDF("f")).count() == 0
+    assert table.delete(spark.range(50).toDF("f")).count() == 588 and table.read().count() == 0
