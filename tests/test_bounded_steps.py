@@ -118,3 +118,15 @@ def test_keyed_changes_shuffle_and_write_their_rows_once(spark, monkeypatch, few
         table.rekey({"f": F.lit(1)})
     assert table.delete(spark.range(0).toDF("f")).count() == 0
     assert table.delete(spark.range(50).toDF("f")).count() == 588 and table.read().count() == 0
+
+
+def test_a_task_groups_a_lot_of_the_rows(spark, monkeypatch):
+    """Rows that come of few, small files, as trigrams of names, are dealt before they are grouped."""
+    monkeypatch.setattr(keyed, "ROWS_PER_LOT", 50)
+    rows = spark.range(0, 40, 1, 1).select(F.explode(F.sequence(F.lit(0), F.lit(29))).alias("t"), F.col("id").alias("s"))
+    table = keyed.KeyedTable.store(rows, scratch(spark, "t"), ("s", "t"), ("s",), parts=2)
+    grouped = table.single(rows)
+    sizes = [r.n for r in grouped.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 1200 and len(sizes) > 8 and max(sizes) < 300
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Exchange") and "Aggregate" not in plan[plan.index("Exchange") :]
