@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions.porter import stem
 from quarrymill.operators.lexical import B, K1, idf
-from quarrymill.session import list_files, read_small, remove, scratch, small_batches, stage, stamps, write_small
+from quarrymill.session import list_files, read_small, remove, scratch, small_batches, stage, stamps, write_parts, write_small
 
 RUN = re.compile(r"[^\W_]+")
 BEYOND_ASCII = re.compile(r"[^\x00-\x7f]{1,16}")
@@ -48,7 +48,7 @@ MERGED = 4
 ROUND_BYTES = 1 << 20
 #: Postings of a query's terms up to this number are scored without a look at bounds.
 PLAIN_POSTINGS = 200_000
-#: Tombstones up to this number are broadcast.
+#: Tombstones, and keys of new rows, up to this number are broadcast.
 GONE_ROWS = 1_000_000
 #: What a posting carries beside its own values, made anew whenever it is written.
 MADE = ("part", "block", "lead", "block_n", "block_tf", "block_total")
@@ -100,8 +100,8 @@ class StoredIndex:
     # -- writing -------------------------------------------------------------------------------
 
     def _postings(self, docs: DataFrame) -> DataFrame:
-        """(term, key, col, tf, positions, total, hash): terms are numbered and sorted by row in arrays, without a shuffle. Each row
-        also gives one without a term, for its length and hash; the hash is null elsewhere."""
+        """(term, key, col, positions, total, hash): terms are numbered and gathered in arrays, without a shuffle; postings of a term
+        lie together, so they pack well. Each row also gives one without a term, for its length and hash; the hash is null elsewhere."""
         porter, n = self.porter, len(self.columns)
         kind = docs.schema[self.key].dataType.simpleString()
 
@@ -111,17 +111,17 @@ class StoredIndex:
             flat = pa.array([t for f in found for t in f], pa.string()).dictionary_encode()
             place = np.repeat(np.arange(len(found)), lengths)
             at = np.arange(len(place)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            name = place * max(len(flat.dictionary), 1) + flat.indices.to_numpy()
+            name = flat.indices.to_numpy().astype(np.int64) * max(len(found), 1) + place
             order = np.argsort(name, kind="stable")
             first = np.flatnonzero(np.diff(name[order], prepend=-1))
             one = order[first]
             row, total = place[one] // n, np.add.reduceat(lengths, np.arange(0, len(found), n)) if len(found) else lengths
             yield pa.RecordBatch.from_arrays(
-                [flat.dictionary.take(flat.indices.take(pa.array(one))), keys.take(pa.array(row)), pa.array((place[one] % n).astype(np.int32)), pa.array(np.diff(first, append=len(order)).astype(np.int32)),
+                [flat.dictionary.take(flat.indices.take(pa.array(one))), keys.take(pa.array(row)), pa.array((place[one] % n).astype(np.int32)),
                  pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(at[order].astype(np.int32))), pa.array(total[row].astype(np.int32)), pa.nulls(len(row), pa.string())],
                 names,
             )
-            none = [pa.nulls(len(keys), k) for k in (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()))]
+            none = [pa.nulls(len(keys), k) for k in (pa.string(), pa.int32(), pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([none[0], keys, *none[1:], pa.array(total.astype(np.int32)), hashes], names)
 
         def run(batches):
@@ -134,19 +134,19 @@ class StoredIndex:
                         yield from counted(part.column(0), part.column(1), [part.column(i + 2).to_pylist() for i in range(n)])
                         start, size = row + 1, 0
 
-        names = ["term", "key", "col", "tf", "positions", "total", "hash"]
+        names = ["term", "key", "col", "positions", "total", "hash"]
         picked = docs.select(F.col(self.key).alias("key"), self._hash().alias("hash"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(self.columns)])
         small_batches(self.spark)
-        return picked.mapInArrow(run, f"term string, key {kind}, col int, tf int, positions array<int>, total int, hash string")
+        return picked.mapInArrow(run, f"term string, key {kind}, col int, positions array<int>, total int, hash string")
 
     def _hash(self) -> Column:
         return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c), F.lit("\x1e")) for c in self.columns]), 256)
 
     def _write_segment(self, docs: DataFrame, number: int) -> None:
-        held = stage(self._postings(docs), "postings")
+        held = stage(self._postings(docs), "postings", "zstd")
         held.where("term IS NULL").select("key", "hash", F.col("total").cast("long").alias("total")).write.parquet(f"{self.path}/documents/seg={number}")
         size = self.spark.read.parquet(f"{self.path}/documents/seg={number}").count()
-        self._write_postings(held.where("term IS NOT NULL").drop("hash"), max(1, -(-size // BLOCK_DOCS)), number)
+        self._write_postings(held.where("term IS NOT NULL"), max(1, -(-size // BLOCK_DOCS)), number)
 
     def _write_postings(self, postings: DataFrame, slots: int, number: int) -> None:
         """A segment's postings in ranges of terms and blocks with the bounds of their blocks, and the ranges. `postings` is read from files: it is
@@ -154,14 +154,18 @@ class StoredIndex:
         n = postings.count()
         parts = max(1, -(-n // PART_POSTINGS), min(self.spark.sparkContext.defaultParallelism, -(-n // LEAST_POSTINGS)))
         like = F.floor(F.log2(F.col("total") + 1) * 2).cast("long")
-        blocked = postings.withColumn("block", like * slots + F.pmod(F.xxhash64("key"), F.lit(slots)))
-        dealt = blocked.repartitionByRange(parts, "term", "block").withColumn("part", F.spark_partition_id())
-        inside = W.partitionBy("part", "term", "block").orderBy("key", "col")
+        block = like * slots + F.pmod(F.xxhash64("key"), F.lit(slots))
+        # What a posting's other values give is made behind the shuffle.
+        dealt = postings.select("term", "key", "col", "positions", "total").repartitionByRange(parts, "term", block)
+        dealt = dealt.select("term", "key", "col", F.size("positions").alias("tf"), "positions", "total", block.alias("block"), F.spark_partition_id().alias("part"))
+        # The order begins with the term, whose first bytes settle most comparisons of the sort; the part is one for all rows of a task.
+        inside = W.partitionBy("term", "block").orderBy("key", "col")
         whole, first = inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), F.row_number().over(inside) == 1
         bounds = (F.count(F.lit(1)).over(whole).cast("int"), F.max("tf").over(whole), F.min("total").over(whole))
-        made = dealt.withColumns({"lead": ~F.col("key").eqNullSafe(F.lag("key").over(inside)) | first} | {c: F.when(first, b) for c, b in zip(MADE[3:], bounds)})
+        lead = F.lit(True) if len(self.columns) == 1 else ~F.col("key").eqNullSafe(F.lag("key").over(inside)) | first
+        made = dealt.withColumns({"lead": lead} | {c: F.when(first, b) for c, b in zip(MADE[3:], bounds)})
         where = f"{self.path}/postings/seg={number}"
-        made.sortWithinPartitions("part", "term", "block", "key", "col").write.partitionBy("part").parquet(where)
+        write_parts(made.sortWithinPartitions("term", "block", "key", "col"), where, "part")
         if not n:
             self.spark.createDataFrame([], made.drop("part").schema).withColumn("part", F.lit(0)).write.mode("append").parquet(where)
         written = self.spark.read.parquet(where)
@@ -181,9 +185,9 @@ class StoredIndex:
         if head["segments"]:
             self.decisions(docs).write.parquet(f"{self.path}/decisions/seg={number}")
             decided = self.spark.read.parquet(f"{self.path}/decisions/seg={number}")
-            # Of the two sides the keys are kept in memory: texts are not sorted.
-            wanted = docs.join(decided.where("decision <> 'skip'").select(F.col("key").alias(self.key)).hint("shuffle_hash"), self.key, "left_semi")
-            self._write_segment(wanted, number)
+            # Of the two sides the keys are kept in memory: texts are not sorted, and where the keys are few, not shuffled.
+            keys = decided.where("decision <> 'skip'").select(F.col("key").alias(self.key))
+            self._write_segment(docs.join(F.broadcast(keys) if keys.count() <= GONE_ROWS else keys.hint("shuffle_hash"), self.key, "left_semi"), number)
         else:
             self._write_segment(docs, number)
             decided = self.spark.read.parquet(f"{self.path}/documents/seg={number}").select("key", F.lit("add").alias("decision"))
@@ -247,7 +251,7 @@ class StoredIndex:
         size = self.spark.read.parquet(f"{self.path}/documents/seg={number}").count()
         live = self._live(head, self._read(part, "postings")).drop(*MADE)
         # Postings are read thrice, and each time held against the tombstones; what that would shuffle is stored first.
-        self._write_postings(live if self._few_gone(head) else stage(live, "merged"), max(1, -(-size // BLOCK_DOCS)), number)
+        self._write_postings(live if self._few_gone(head) else stage(live, "merged", "zstd"), max(1, -(-size // BLOCK_DOCS)), number)
         head["segments"] = [s for s in head["segments"] if s not in old] + [number]
         head["gone"] = [g for g in head["gone"] if any(s < g for s in head["segments"])]
         head["sizes"] = {str(s): head["sizes"].get(str(s), 0) for s in head["segments"]} | {str(number): size}

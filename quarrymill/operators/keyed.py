@@ -18,13 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quarrymill.session import list_files, move, remove
+from quarrymill.session import list_files, move, remove, write_parts
 
 ROWS_PER_PART = 1_000_000
 #: Rows that one task groups by their keys.
 ROWS_PER_LOT = 250_000
-#: Parts that one task writes side by side; only rows of further ones are sorted in its memory.
-OPEN_FILES = 64
 #: Keys to delete, up to this number, are broadcast.
 FEW_KEYS = 100_000
 
@@ -74,14 +72,7 @@ class Parts:
         return rows.select(*self.schema.names, F.col("part").cast("int").alias("part")).hint("rebalance", "part")
 
     def _write(self, rows: DataFrame, path: str, *above: str) -> None:
-        chosen = rows.select(*above, *self.schema.names, F.col("part").cast("int").alias("part"))
-        key = "spark.sql.maxConcurrentOutputFileWriters"
-        before = self.spark.conf.get(key)
-        self.spark.conf.set(key, str(OPEN_FILES))
-        try:
-            chosen.write.mode("overwrite").option("compression", "zstd").partitionBy(*above, "part").parquet(path)
-        finally:
-            self.spark.conf.set(key, before)
+        write_parts(rows.select(*above, *self.schema.names, F.col("part").cast("int").alias("part")), path, *above, "part")
 
 
 def numbers_of(rows: DataFrame) -> list[int]:

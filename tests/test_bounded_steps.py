@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.operators import chunking, graph, keyed, vector_index
+from quarrymill.operators import chunking, graph, index, keyed, vector_index
 from quarrymill.session import scratch
 
 
@@ -130,3 +130,34 @@ def test_a_task_groups_a_lot_of_the_rows(spark, monkeypatch):
     assert sum(sizes) == 1200 and len(sizes) > 8 and max(sizes) < 300
     plan = grouped._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Aggregate") < plan.index("Exchange") and "Aggregate" not in plan[plan.index("Exchange") :]
+
+
+def test_postings_are_shuffled_without_what_is_made_of_them(spark, monkeypatch):
+    monkeypatch.setattr(index, "LEAST_POSTINGS", 50)
+    plans, write = [], index.write_parts
+    monkeypatch.setattr(index, "write_parts", lambda rows, *to: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or write(rows, *to))
+    docs = spark.createDataFrame([(i, f"a b{i % 7} c{i % 3} a") for i in range(60)], "id long, body string")
+    made = index.StoredIndex(spark, scratch(spark, "narrow"), "id", ("body",))
+    made.add(docs)
+    made.remove(docs.where("id % 7 = 0").select("id"))
+    made.optimize()
+    assert len(plans) == 2
+    for plan in plans:
+        # One shuffle by range, of rows without frequency, block and part; the sort behind it begins with the term.
+        above, below = plan.split("Exchange rangepartitioning")
+        assert "size(positions" in above and "size(positions" not in below
+        assert "Sort [term" in above and "Sort [part" not in plan
+    assert {tuple(r) for r in made.vocabulary().where("term = 'a'").collect()} == {("a", 51, 102)}
+    assert {r.tf for r in made.postings(["a"]).collect()} == {2} and made.scores("c1").count() == 17
+
+
+@pytest.mark.parametrize("few", [1000, 0])
+def test_texts_of_a_later_segment_are_not_shuffled_for_few_keys(spark, monkeypatch, few):
+    monkeypatch.setattr(index, "GONE_ROWS", few)
+    plans, write = [], index.StoredIndex._write_segment
+    monkeypatch.setattr(index.StoredIndex, "_write_segment", lambda self, docs, n: plans.append(docs._jdf.queryExecution().executedPlan().toString()) or write(self, docs, n))
+    made = index.StoredIndex(spark, scratch(spark, "later"), "id", ("body",))
+    made.add(spark.createDataFrame([(i, "old") for i in range(20)], "id long, body string"))
+    decided = made.add(spark.createDataFrame([(i, "old" if i < 10 else "new") for i in range(30)], "id long, body string"))
+    assert sorted((r.decision, r.key) for r in decided.collect()) == [("add", i) for i in range(20, 30)] + [("skip", i) for i in range(10)] + [("update", i) for i in range(10, 20)]
+    assert ("BroadcastHashJoin" in plans[1]) == (few > 0) and made.scores("new").count() == 20 and made.scores("old").count() == 10
