@@ -7,8 +7,8 @@ key's first posting of a term, and the first posting of a term's block says how
 written last, names the live segments and holds the number of live documents and tokens. A query reads the parts whose range
 holds its terms, and of them the row groups that do; a posting carries its document's length, so ranking joins nothing.
 
-A block is a set of about BLOCK_DOCS documents of like length, the same for all terms, so the sum of its terms' bounds is a bound of any
-score in it: `top` scores the blocks of the greatest bounds first and reads others only where their bound reaches the k-th score.
+A block is a set of about BLOCK_DOCS documents of like length, the same for all terms: of one round of text of one task, after a merge by a hash of
+the key. So the sum of its terms' bounds is a bound of any score in it: `top` scores the blocks of the greatest bounds first and reads others only where their bound reaches the k-th score.
 
 Terms are runs of Unicode letters and digits, lower-cased and without accents; `porter` also cuts endings.
 A null text has no terms; adding a key again replaces it, or skips it when its texts are unchanged; removing
@@ -24,10 +24,12 @@ import unicodedata
 from bisect import bisect_right
 from collections import defaultdict
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,14 +46,20 @@ PART_POSTINGS, LEAST_POSTINGS = 2_000_000, 50_000
 BLOCK_DOCS, FREQUENT = 256, 1024
 #: Segments of one size (within a factor of MERGED) that become one.
 MERGED = 4
-#: Bytes of text whose terms a task holds at a time.
-ROUND_BYTES = 1 << 20
+#: Bytes of text whose terms a task holds at a time; the rows of such a round are cut into blocks.
+ROUND_BYTES = 8 << 20
+#: Postings of a term that are dealt as one row, at most, and such rows of one part.
+ROW_POSTINGS, PART_ROWS = 32, 250_000
 #: Postings of a query's terms up to this number are scored without a look at bounds.
 PLAIN_POSTINGS = 200_000
 #: Tombstones, and keys of new rows, up to this number are broadcast.
 GONE_ROWS = 1_000_000
+#: Of a term in a block: postings, greatest tf, least length.
+BOUNDS = ("block_n", "block_tf", "block_total")
+#: A term's postings of a round as arrays.
+GATHERED = ("keys", "marks", "positions")
 #: What a posting carries beside its own values, made anew whenever it is written.
-MADE = ("part", "block", "lead", "block_n", "block_tf", "block_total")
+MADE = ("part", "block", "lead", *BOUNDS)
 
 
 @lru_cache(maxsize=1 << 12)
@@ -78,6 +86,15 @@ def column_bytes(texts: pa.Array) -> list[int]:
     return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
 
 
+def row_postings() -> int:
+    """Postings of one dealt row: few enough that ranges of rows are ranges of about as many postings."""
+    return max(1, min(ROW_POSTINGS, PART_POSTINGS // 8192))
+
+
+def parts_of(spark: SparkSession, postings: int) -> int:
+    return max(1, -(-postings // PART_POSTINGS), min(spark.sparkContext.defaultParallelism, -(-postings // LEAST_POSTINGS)))
+
+
 class StoredIndex:
     """columns: text columns in the order of their weights."""
 
@@ -100,76 +117,125 @@ class StoredIndex:
     # -- writing -------------------------------------------------------------------------------
 
     def _postings(self, docs: DataFrame) -> DataFrame:
-        """(term, key, col, positions, total, hash): terms are numbered and gathered in arrays, without a shuffle; postings of a term
-        lie together, so they pack well. Each row also gives one without a term, for its length and hash; the hash is null elsewhere."""
-        porter, n = self.porter, len(self.columns)
+        """(term, block, n, keys, marks, positions) and, without a term, (key, total, hash) of each row. The rows of a round of text are cut into blocks
+        by length, so what they hold of a term is gathered here, with its bounds, without a shuffle: n postings a row, at most `row_postings`, the first in `block`.
+        A posting's mark has the length, the block after the first one and the column, and whether bounds follow its positions, it opens its block, and it leads its key."""
+        porter, n, most, block_docs = self.porter, len(self.columns), row_postings(), BLOCK_DOCS
         kind = docs.schema[self.key].dataType.simpleString()
 
-        def counted(keys, hashes, texts):
-            found = [terms_of(texts[c][row], porter) for row in range(len(keys)) for c in range(n)]
-            lengths = np.array([len(f) for f in found])
-            flat = pa.array([t for f in found for t in f], pa.string()).dictionary_encode()
-            place = np.repeat(np.arange(len(found)), lengths)
-            at = np.arange(len(place)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            name = flat.indices.to_numpy().astype(np.int64) * max(len(found), 1) + place
+        def counted(keys, hashes, texts, block):
+            rows, ids = len(keys), defaultdict(count().__next__)
+            found = (terms_of(texts[c][row], porter) for row in range(rows) for c in range(n))
+            codes = [np.fromiter(map(ids.__getitem__, f), np.int32, len(f)) for f in found]
+            lengths = np.array([len(c) for c in codes])
+            total = lengths.reshape(rows, n).sum(axis=1)
+            blocks = max(1, round(rows / block_docs))
+            of_row = np.empty(rows, np.int64)
+            of_row[np.argsort(total, kind="stable")] = np.arange(rows) * blocks // rows
+            terms = pa.array(list(ids), pa.string())
+            # In the order of the terms rows pack and sort better.
+            sorted_terms = pc.sort_indices(terms).to_numpy()
+            rank = np.empty(len(terms), np.int64)
+            rank[sorted_terms] = np.arange(len(terms))
+            place = np.repeat(np.arange(rows * n), lengths)
+            at = (np.arange(len(place)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+            name = (rank[np.concatenate(codes)] * blocks + of_row[place // n]) * (rows * n) + place
             order = np.argsort(name, kind="stable")
-            first = np.flatnonzero(np.diff(name[order], prepend=-1))
-            one = order[first]
-            row, total = place[one] // n, np.add.reduceat(lengths, np.arange(0, len(found), n)) if len(found) else lengths
-            yield pa.RecordBatch.from_arrays(
-                [flat.dictionary.take(flat.indices.take(pa.array(one))), keys.take(pa.array(row)), pa.array((place[one] % n).astype(np.int32)),
-                 pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(at[order].astype(np.int32))), pa.array(total[row].astype(np.int32)), pa.nulls(len(row), pa.string())],
-                names,
-            )
-            none = [pa.nulls(len(keys), k) for k in (pa.string(), pa.int32(), pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([none[0], keys, *none[1:], pa.array(total.astype(np.int32)), hashes], names)
+            name = name[order]
+            first = np.flatnonzero(np.diff(name, prepend=-1))  # of each posting
+            if len(first):
+                group, where = np.divmod(name[first], rows * n)
+                term, mine = np.divmod(group, blocks)
+                row, tf = where // n, np.diff(first, append=len(order))
+                opens = np.diff(group, prepend=-1) != 0
+                begins = np.flatnonzero(opens)
+                size = np.diff(begins, append=len(first))
+                lead = opens | (np.diff(row, prepend=-1) != 0)
+                of_term = np.flatnonzero(np.diff(term, prepend=-1))
+                starts = np.flatnonzero((np.arange(len(first)) - np.repeat(of_term, np.diff(of_term, append=len(first)))) % most == 0)
+                counts = np.diff(starts, append=len(first))
+                # Bounds are given where they are not those of a block's only posting.
+                given = np.zeros(len(first), bool)
+                given[begins] = size > 1
+                ends = np.append(0, np.cumsum(tf + 3 * given))
+                numbers = np.empty(ends[-1], np.int32)
+                numbers[np.arange(len(order)) + np.repeat(3 * (np.cumsum(given) - given), tf)] = at[order]
+                bounds = np.stack([size, np.maximum.reduceat(tf, begins), np.minimum.reduceat(total[row], begins)], axis=1)[size > 1]
+                numbers[ends[1:][given][:, None] + np.arange(-3, 0)] = bounds
+                mark = total[row].astype(np.int64) << 32 | ((mine - np.repeat(mine[starts], counts)) * n + where % n) << 3 | given << 2 | opens << 1 | lead
+                upto, values = pa.array(np.append(starts, len(first)).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(numbers))
+                yield pa.RecordBatch.from_arrays(
+                    [terms.take(pa.array(sorted_terms[term[starts]])), pa.array(block + mine[starts]), pa.array(counts.astype(np.int32)),
+                     *[pa.ListArray.from_arrays(upto, v) for v in (keys.take(pa.array(row)), pa.array(mark), values)], *[pa.nulls(len(starts), t) for t in (keys.type, pa.int32(), pa.string())]],
+                    names,
+                )
+            none = [pa.nulls(rows, t) for t in (pa.string(), pa.int64(), pa.int32(), *map(pa.list_, (keys.type, pa.int64(), pa.list_(pa.int32()))))]
+            yield pa.RecordBatch.from_arrays([*none, keys, pa.array(total.astype(np.int32)), hashes], names)
 
         def run(batches):
+            # A block's number is one for all tasks.
+            block = TaskContext.get().partitionId() << 32
             for batch in batches:
                 start = size = 0
                 for row, held in enumerate(zip(*(column_bytes(batch.column(i + 2)) for i in range(n)))):
                     size += sum(held)
                     if size >= ROUND_BYTES or row == batch.num_rows - 1:
                         part = batch.slice(start, row + 1 - start)
-                        yield from counted(part.column(0), part.column(1), [part.column(i + 2).to_pylist() for i in range(n)])
-                        start, size = row + 1, 0
+                        yield from counted(part.column(0), part.column(1), [part.column(i + 2).to_pylist() for i in range(n)], block)
+                        start, size, block = row + 1, 0, block + part.num_rows
 
-        names = ["term", "key", "col", "positions", "total", "hash"]
+        names = ["term", "block", "n", *GATHERED, "key", "total", "hash"]
         picked = docs.select(F.col(self.key).alias("key"), self._hash().alias("hash"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(self.columns)])
         small_batches(self.spark)
-        return picked.mapInArrow(run, f"term string, key {kind}, col int, positions array<int>, total int, hash string")
+        return picked.mapInArrow(run, f"term string, block long, n int, keys array<{kind}>, marks array<bigint>, positions array<array<int>>, key {kind}, total int, hash string")
 
     def _hash(self) -> Column:
         return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c), F.lit("\x1e")) for c in self.columns]), 256)
 
     def _write_segment(self, docs: DataFrame, number: int) -> None:
+        """Gathered rows are dealt and sorted as they are, and opened as postings when they are written."""
         held = stage(self._postings(docs), "postings", "zstd")
         held.where("term IS NULL").select("key", "hash", F.col("total").cast("long").alias("total")).write.parquet(f"{self.path}/documents/seg={number}")
-        size = self.spark.read.parquet(f"{self.path}/documents/seg={number}").count()
-        self._write_postings(held.where("term IS NOT NULL"), max(1, -(-size // BLOCK_DOCS)), number)
+        rows = held.where("term IS NOT NULL")
+        sizes = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("postings"), F.count(F.lit(1)).alias("rows")).first()
+        parts = max(parts_of(self.spark, sizes.postings), -(-sizes.rows // PART_ROWS))
+        dealt = rows.select("term", "block", *GATHERED).repartitionByRange(parts, "term", "block").sortWithinPartitions("term", "block")
+        opened = dealt.select("term", "block", F.inline(F.arrays_zip(*GATHERED)))
+        flag = lambda bit: F.col("marks").bitwiseAND(F.lit(bit)) > 0
+        place, n = F.shiftright(F.col("marks").bitwiseAND(F.lit(0xFFFFFFFF)), 3), F.lit(len(self.columns)).cast("long")
+        tf, total = F.size("positions") - F.when(flag(4), 3).otherwise(0), F.shiftright("marks", 32).cast("int")
+        bounds = [F.when(flag(2), F.when(flag(4), F.get("positions", tf + i)).otherwise(own)).alias(b) for i, (b, own) in enumerate(zip(BOUNDS, (F.lit(1), tf, total)))]
+        made = opened.select(
+            "term", F.col("keys").alias("key"), (place % n).cast("int").alias("col"), tf.alias("tf"), F.when(flag(4), F.slice("positions", 1, tf)).otherwise(F.col("positions")).alias("positions"),
+            total.alias("total"), (F.col("block") + F.call_function("div", place, n)).alias("block"), F.spark_partition_id().alias("part"), flag(1).alias("lead"), *bounds,
+        )
+        self._write_made(made, number, not sizes.postings)
 
     def _write_postings(self, postings: DataFrame, slots: int, number: int) -> None:
         """A segment's postings in ranges of terms and blocks with the bounds of their blocks, and the ranges. `postings` is read from files: it is
         counted and sampled first. A block's postings of a term lie in one range, so its bounds need no shuffle of their own."""
         n = postings.count()
-        parts = max(1, -(-n // PART_POSTINGS), min(self.spark.sparkContext.defaultParallelism, -(-n // LEAST_POSTINGS)))
         like = F.floor(F.log2(F.col("total") + 1) * 2).cast("long")
         block = like * slots + F.pmod(F.xxhash64("key"), F.lit(slots))
         # What a posting's other values give is made behind the shuffle.
-        dealt = postings.select("term", "key", "col", "positions", "total").repartitionByRange(parts, "term", block)
+        dealt = postings.select("term", "key", "col", "positions", "total").repartitionByRange(parts_of(self.spark, n), "term", block)
         dealt = dealt.select("term", "key", "col", F.size("positions").alias("tf"), "positions", "total", block.alias("block"), F.spark_partition_id().alias("part"))
         # The order begins with the term, whose first bytes settle most comparisons of the sort; the part is one for all rows of a task.
         inside = W.partitionBy("term", "block").orderBy("key", "col")
         whole, first = inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), F.row_number().over(inside) == 1
         bounds = (F.count(F.lit(1)).over(whole).cast("int"), F.max("tf").over(whole), F.min("total").over(whole))
         lead = F.lit(True) if len(self.columns) == 1 else ~F.col("key").eqNullSafe(F.lag("key").over(inside)) | first
-        made = dealt.withColumns({"lead": lead} | {c: F.when(first, b) for c, b in zip(MADE[3:], bounds)})
+        made = dealt.withColumns({"lead": lead} | {c: F.when(first, b) for c, b in zip(BOUNDS, bounds)})
+        self._write_made(made.sortWithinPartitions("term", "block", "key", "col"), number, not n)
+
+    def _write_made(self, made: DataFrame, number: int, empty: bool) -> None:
         where = f"{self.path}/postings/seg={number}"
-        write_parts(made.sortWithinPartitions("term", "block", "key", "col"), where, "part")
-        if not n:
+        write_parts(made, where, "part")
+        if empty:
             self.spark.createDataFrame([], made.drop("part").schema).withColumn("part", F.lit(0)).write.mode("append").parquet(where)
-        written = self.spark.read.parquet(where)
-        written.groupBy("part").agg(F.min("term").alias("low"), F.max("term").alias("high")).coalesce(1).write.parquet(f"{self.path}/ranges/seg={number}")
+        # Every term has a posting with bounds; terms are made distinct by their hash before the least and greatest are looked for.
+        terms = self.spark.read.parquet(where).where(F.col(BOUNDS[0]).isNotNull()).select("part", "term").distinct()
+        terms.groupBy("part").agg(F.min("term").alias("low"), F.max("term").alias("high")).coalesce(1).write.parquet(f"{self.path}/ranges/seg={number}")
 
     def decisions(self, docs: DataFrame) -> DataFrame:
         """(key, decision): add, update or skip, by the hash of the texts."""

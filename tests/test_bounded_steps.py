@@ -161,3 +161,30 @@ def test_texts_of_a_later_segment_are_not_shuffled_for_few_keys(spark, monkeypat
     decided = made.add(spark.createDataFrame([(i, "old" if i < 10 else "new") for i in range(30)], "id long, body string"))
     assert sorted((r.decision, r.key) for r in decided.collect()) == [("add", i) for i in range(20, 30)] + [("skip", i) for i in range(10)] + [("update", i) for i in range(10, 20)]
     assert ("BroadcastHashJoin" in plans[1]) == (few > 0) and made.scores("new").count() == 20 and made.scores("old").count() == 10
+
+
+def test_postings_of_a_term_are_gathered_before_the_shuffle(spark, monkeypatch):
+    """What a round of text holds of a term is one row of the shuffle, and opens as postings with their columns, leads and bounds."""
+    monkeypatch.setattr(index, "BLOCK_DOCS", 8)
+    dealt, stage = [], index.stage
+    monkeypatch.setattr(index, "stage", lambda rows, *to: dealt.append(stage(rows, *to)) or dealt[-1])
+    rows = [(i, "a b a " * (i % 4), f"b c{i}" if i % 3 else None) for i in range(100)] + [(None, "a z", "z z")]
+    docs = spark.createDataFrame(rows, "id long, one string, two string").coalesce(1)
+    made = index.StoredIndex(spark, scratch(spark, "gathered"), "id", ("one", "two"))
+    made.add(docs)
+    wanted = []
+    for key, *texts in rows:
+        total, seen = sum(len(index.terms_of(t)) for t in texts), set()
+        for col, text in enumerate(texts):
+            words = index.terms_of(text)
+            for term in dict.fromkeys(words):
+                at = [i for i, w in enumerate(words) if w == term]
+                wanted.append((term, key, col, len(at), at, total, term not in seen))
+                seen.add(term)
+    found = made.postings()
+    order = lambda r: (r[0], r[1] is None, r[1] or 0, r[2])
+    assert sorted(map(tuple, found.select("term", "key", "col", "tf", "positions", "total", "lead").collect()), key=order) == sorted(wanted, key=order)
+    assert dealt[0].where("term IS NOT NULL").count() < len(wanted) / 2
+    blocks = found.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("tf"), F.min("total").alias("low"), F.count("block_n").alias("given"), F.max("block_n").alias("bn"), F.max("block_tf").alias("bt"), F.max("block_total").alias("bl"))
+    assert blocks.where("given <> 1 OR n <> bn OR tf <> bt OR low <> bl").count() == 0
+    assert 8 <= found.where("term = 'a'").select("block").distinct().count() <= 13 and made.vocabulary().where("term = 'b'").first().docs == 91
