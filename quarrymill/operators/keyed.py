@@ -101,10 +101,10 @@ class KeyedTable:
         return rows.withColumn("part", F.pmod(F.xxhash64(*self.by), F.lit(self.count)).cast("int"))
 
     def dealt(self, rows: DataFrame, n: int) -> DataFrame:
-        """n rows with their part, and a number `lot` by their key: a lot of a part is one task."""
+        """n rows with their part, and a number `lot` by their part and key: a lot is one task, and no task has two."""
         lots = max(1, -(-n // (ROWS_PER_LOT * self.count)))
-        lot = F.pmod(F.hash(*self.keys), F.lit(lots)).cast("int")
-        return self.placed(rows).withColumn("lot", lot).repartition(self.count * lots, "part", "lot")
+        lot = F.col("part") * lots + F.pmod(F.hash(*self.keys), F.lit(lots)).cast("int")
+        return self.placed(rows).withColumn("lot", lot).repartitionById(self.count * lots, F.col("lot"))
 
     def single(self, rows: DataFrame, latest: str | None = None, n: int | None = None) -> DataFrame:
         """One row a key with its part: the last by `latest`, then by the other columns."""
@@ -166,9 +166,17 @@ class KeyedTable:
         else:
             n, numbers = keys.count(), None
         # A struct of nulls equals another, so a null key is a key; made distinct by it, the keys are dealt as the join wants them.
-        wanted = keys.select(F.struct(*names).alias("_key")).distinct().withColumn("_gone", F.lit(True))
+        wanted = keys.select(F.struct(*names).alias("_key"))
         rows = self.parts.read(numbers).select(F.struct(*names).alias("_key"), *[c for c in [*self.columns, "part"] if c not in names])
-        flagged = rows.join(F.broadcast(wanted) if n <= FEW_KEYS else wanted, "_key", "left")
+        if n > FEW_KEYS:
+            # As many tasks as there are lots, so that the keys that one holds do not grow with the table.
+            lots = -(-max(n, rows.count()) // ROWS_PER_LOT)
+            kind = rows.schema["_key"].dataType
+            if wanted.schema["_key"].dataType.simpleString() == kind.simpleString():
+                wanted = wanted.select(F.col("_key").cast(kind).alias("_key"))  # else the join would cast it, and deal it again
+            rows, wanted = rows.repartition(lots, "_key"), wanted.repartition(lots, "_key")
+        wanted = wanted.distinct().withColumn("_gone", F.lit(True))
+        flagged = rows.join(F.broadcast(wanted) if n <= FEW_KEYS else wanted.hint("shuffle_hash"), "_key", "left")
         beside = self.parts.beside()
         # One pass gives both what goes and what stays.
         out = flagged.select(F.coalesce("_gone", F.lit(False)).alias("gone"), *[F.col(f"_key.{c}").alias(c) if c in names else F.col(c) for c in self.columns], "part")

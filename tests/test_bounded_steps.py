@@ -188,3 +188,18 @@ def test_postings_of_a_term_are_gathered_before_the_shuffle(spark, monkeypatch):
     blocks = found.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("tf"), F.min("total").alias("low"), F.count("block_n").alias("given"), F.max("block_n").alias("bn"), F.max("block_tf").alias("bt"), F.max("block_total").alias("bl"))
     assert blocks.where("given <> 1 OR n <> bn OR tf <> bt OR low <> bl").count() == 0
     assert 8 <= found.where("term = 'a'").select("block").distinct().count() <= 13 and made.vocabulary().where("term = 'b'").first().docs == 91
+
+
+def test_no_task_has_two_lots(spark, monkeypatch):
+    """Each lot is a task of its own, and rows that are held against many keys are dealt into as many tasks as there are lots."""
+    monkeypatch.setattr(keyed, "ROWS_PER_LOT", 40)
+    monkeypatch.setattr(keyed, "FEW_KEYS", 10)
+    rows = spark.range(1600).select("id", (F.col("id") % 7).alias("v"))
+    table = keyed.KeyedTable.store(rows, scratch(spark, "t"), ("id",), parts=2)
+    dealt = table.dealt(rows, 1600).select("lot", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(dealt) == 40 == len({r.lot for r in dealt}) == len({r.task for r in dealt})
+    plans, write = [], keyed.Parts._write
+    monkeypatch.setattr(keyed.Parts, "_write", lambda self, out, *to: plans.append(out._jdf.queryExecution().executedPlan().toString()) or write(self, out, *to))
+    gone = table.delete(spark.range(0, 1600, 2).toDF("id"))
+    assert plans[0].count("Exchange") == 2 == plans[0].count(", 40), REPARTITION_BY_NUM")
+    assert gone.count() == 800 == table.read().where("id % 2 = 1").count() == table.read().count()
