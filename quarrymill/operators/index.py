@@ -24,7 +24,6 @@ import unicodedata
 from bisect import bisect_right
 from collections import defaultdict
 from functools import lru_cache
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions.porter import stem
 from quarrymill.operators.lexical import B, K1, idf
-from quarrymill.session import list_files, read_small, remove, scratch, small_batches, stage, stamps, write_parts, write_small
+from quarrymill.session import at_most, list_files, read_small, remove, scratch, small_batches, stage, stamps, write_parts, write_small
 
 RUN = re.compile(r"[^\W_]+")
 BEYOND_ASCII = re.compile(r"[^\x00-\x7f]{1,16}")
@@ -46,6 +45,8 @@ PART_POSTINGS, LEAST_POSTINGS = 2_000_000, 50_000
 BLOCK_DOCS, FREQUENT = 256, 1024
 #: Segments of one size (within a factor of MERGED) that become one.
 MERGED = 4
+#: Characters and numbers that are handled at a time.
+PIECE = 1 << 18
 #: Bytes of text whose terms a task holds at a time; the rows of such a round are cut into blocks.
 ROUND_BYTES = 8 << 20
 #: Postings of a term that are dealt as one row, at most, and such rows of one part.
@@ -56,8 +57,10 @@ PLAIN_POSTINGS = 200_000
 GONE_ROWS = 1_000_000
 #: Of a term in a block: postings, greatest tf, least length.
 BOUNDS = ("block_n", "block_tf", "block_total")
-#: A term's postings of a round as arrays.
-GATHERED = ("keys", "marks", "positions")
+#: A term's postings of a round: their keys, and the rest as bytes.
+GATHERED = ("keys", "packed")
+#: Postings of a batch that is written, and bytes of gathered postings that a task of the shuffle reads: what it sorts by range stays in memory.
+OPENED_POSTINGS, DEALT_BYTES = 1 << 16, 32 << 20
 #: What a posting carries beside its own values, made anew whenever it is written.
 MADE = ("part", "block", "lead", *BOUNDS)
 
@@ -81,6 +84,45 @@ def terms_of(text: str | None, porter: bool = False) -> list[str]:
 cut = lru_cache(maxsize=1 << 18)(stem)
 
 
+@lru_cache(maxsize=1)
+def _in_words() -> np.ndarray:
+    """Of each code point, whether RUN takes it."""
+    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
+
+
+def words_of(texts: list[str | None], porter: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """What `terms_of` finds in some texts, as numbers of distinct terms, these terms, and how many each text has."""
+    pieces, sizes, start, held = [], [], 0, 0
+    for i, text in enumerate(texts):
+        held += len(text or "")
+        if held >= PIECE or i == len(texts) - 1:
+            found, size = _runs([fold(t or "") for t in texts[start : i + 1]])
+            pieces.append(found)
+            sizes.append(size)
+            start, held = i + 1, 0
+    found = pa.concat_arrays(pieces).dictionary_encode()
+    codes, terms = found.indices.to_numpy(), found.dictionary
+    if porter:
+        stems = pa.array([cut(t) for t in terms.to_pylist()], pa.string()).dictionary_encode()
+        codes, terms = stems.indices.to_numpy()[codes], stems.dictionary
+    return codes, terms, np.concatenate(sizes)
+
+
+def _runs(folded: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The runs of some texts in their order, and how many each text has."""
+    parts, joined = [f.encode() for f in folded], "\n".join(folded)
+    data = np.frombuffer(b"\n".join(parts), np.uint8)
+    if len(data) == len(joined):
+        inside = _in_words()[data]
+    else:
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        inside = np.repeat(_in_words()[points], 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000))
+    begins, ends = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0)).reshape(-1, 2).T
+    upto = np.append(0, np.cumsum(ends - begins)).astype(np.int32)
+    starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    return pa.Array.from_buffers(pa.string(), len(begins), [None, pa.py_buffer(upto), pa.py_buffer(data[inside])]), np.diff(np.searchsorted(begins, starts))
+
+
 def column_bytes(texts: pa.Array) -> list[int]:
     """Length of each text in bytes, 0 for a null."""
     return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
@@ -95,6 +137,86 @@ def parts_of(spark: SparkSession, postings: int) -> int:
     return max(1, -(-postings // PART_POSTINGS), min(spark.sparkContext.defaultParallelism, -(-postings // LEAST_POSTINGS)))
 
 
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 to 2^35 - 1 in groups of seven bits, the lowest first, and where each begins and the last ends."""
+    size = np.ones(len(values), np.int8)
+    for bits in (7, 14, 21, 28):
+        size += values >= 1 << bits
+    at = np.append(0, np.cumsum(size, dtype=np.int64))
+    out = np.empty(at[-1], np.uint8)
+    for start in range(0, len(values), PIECE):
+        left, where, bytes_of = (x[start : start + PIECE] for x in (values, at[:-1], size))
+        i = 0
+        while len(left):
+            more = bytes_of > i + 1
+            out[where + i] = left & 127 | more.astype(np.int64) << 7
+            left, where, bytes_of, i = left[more] >> 7, where[more], bytes_of[more], i + 1
+    return out, at
+
+
+def numbers_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of `varints`, and the place behind each one."""
+    ends = np.flatnonzero(data < 128) + 1
+    begins = np.append(0, ends)[:-1]
+    size = ends - begins
+    out = (data[begins] & 127).astype(np.int64)
+    for i in range(1, int(size.max(initial=0))):
+        more = np.flatnonzero(size > i)
+        out[more] |= (data[begins[more] + i] & 127).astype(np.int64) << 7 * i
+    return out, ends
+
+
+def within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... in each of some runs that follow one another."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def packed(rows: np.ndarray, marks: np.ndarray, total: np.ndarray, tf: np.ndarray, given: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Postings as bytes, so many for each of `rows`: of a row first all marks, then all lengths, all tf, the bounds that are given, the steps between positions."""
+    begins = np.cumsum(rows) - rows
+    of_row = np.repeat(np.arange(len(rows)), rows)
+    bounded, held = (np.add.reduceat(x, begins) for x in (given.astype(np.int64), tf))
+    base = np.append(0, np.cumsum(3 * rows + 3 * bounded + held))
+    values = np.empty(base[-1], np.int64)
+    place = base[of_row] + within(rows)
+    for i, plane in enumerate((marks, total, tf)):
+        values[place + i * rows[of_row]] = plane
+    values[(np.repeat(base[:-1] + 3 * rows, bounded) + 3 * within(bounded))[:, None] + np.arange(3)] = bounds
+    steps = np.diff(at, prepend=0)
+    first = np.cumsum(tf) - tf
+    steps[first] = at[first]
+    values[np.repeat(base[:-1] + 3 * (rows + bounded), held) + within(held)] = steps
+    data, ends = varints(values)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends[base].astype(np.int32)), pa.py_buffer(data)])
+
+
+def opened(columns: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Postings of gathered rows (term, block, keys, packed)."""
+    keys, blobs = batch.column(2), batch.column(3).cast(pa.binary())
+    rows = pc.list_value_length(keys).to_numpy()
+    ends = np.frombuffer(blobs.buffers()[1], np.int32, len(blobs) + 1, 4 * blobs.offset)
+    values, behind = numbers_of(np.frombuffer(blobs.buffers()[2], np.uint8, ends[-1] - ends[0], ends[0]))
+    base = np.searchsorted(behind, ends[:-1] - ends[0], "right")
+    of_row = np.repeat(np.arange(len(rows)), rows)
+    place = base[of_row] + within(rows)
+    marks, total, tf = (values[place + i * rows[of_row]] for i in range(3))
+    given, opens, lead = (marks & bit > 0 for bit in (4, 2, 1))
+    begins = np.cumsum(rows) - rows
+    bounded, held = (np.add.reduceat(x, begins) for x in (given.astype(np.int64), tf))
+    bounds = np.stack([np.ones(len(tf), np.int64), tf, total])
+    bounds[:, given] = values[(np.repeat(base + 3 * rows, bounded) + 3 * within(bounded))[:, None] + np.arange(3)].T
+    steps = np.cumsum(values[np.repeat(base + 3 * (rows + bounded), held) + within(held)])
+    upto = np.append(0, np.cumsum(tf))
+    at = steps - np.repeat(np.append(0, steps)[upto[:-1]], tf)
+    after, col = np.divmod(marks >> 3, columns)
+    positions = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(at.astype(np.int32)))
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0).take(pa.array(of_row)), keys.flatten(), pa.array(col.astype(np.int32)), positions, pa.array(total.astype(np.int32)),
+         pa.array(batch.column(1).to_numpy()[of_row] + after), pa.array(lead), *[pa.array(b.astype(np.int32), mask=~opens) for b in bounds]],
+        ["term", "key", "col", "positions", "total", "block", "lead", *BOUNDS],
+    )
+
+
 class StoredIndex:
     """columns: text columns in the order of their weights."""
 
@@ -117,29 +239,26 @@ class StoredIndex:
     # -- writing -------------------------------------------------------------------------------
 
     def _postings(self, docs: DataFrame) -> DataFrame:
-        """(term, block, n, keys, marks, positions) and, without a term, (key, total, hash) of each row. The rows of a round of text are cut into blocks
+        """(term, block, n, keys, packed) and, without a term, (key, total, hash) of each row. The rows of a round of text are cut into blocks
         by length, so what they hold of a term is gathered here, with its bounds, without a shuffle: n postings a row, at most `row_postings`, the first in `block`.
-        A posting's mark has the length, the block after the first one and the column, and whether bounds follow its positions, it opens its block, and it leads its key."""
+        A posting's mark has the block after the first one and the column, and whether its bounds are given, it opens its block, and it leads its key."""
         porter, n, most, block_docs = self.porter, len(self.columns), row_postings(), BLOCK_DOCS
         kind = docs.schema[self.key].dataType.simpleString()
 
         def counted(keys, hashes, texts, block):
-            rows, ids = len(keys), defaultdict(count().__next__)
-            found = (terms_of(texts[c][row], porter) for row in range(rows) for c in range(n))
-            codes = [np.fromiter(map(ids.__getitem__, f), np.int32, len(f)) for f in found]
-            lengths = np.array([len(c) for c in codes])
+            rows = len(keys)
+            codes, terms, lengths = words_of([texts[c][row] for row in range(rows) for c in range(n)], porter)
             total = lengths.reshape(rows, n).sum(axis=1)
             blocks = max(1, round(rows / block_docs))
             of_row = np.empty(rows, np.int64)
             of_row[np.argsort(total, kind="stable")] = np.arange(rows) * blocks // rows
-            terms = pa.array(list(ids), pa.string())
             # In the order of the terms rows pack and sort better.
             sorted_terms = pc.sort_indices(terms).to_numpy()
             rank = np.empty(len(terms), np.int64)
             rank[sorted_terms] = np.arange(len(terms))
             place = np.repeat(np.arange(rows * n), lengths)
             at = (np.arange(len(place)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-            name = (rank[np.concatenate(codes)] * blocks + of_row[place // n]) * (rows * n) + place
+            name = (rank[codes] * blocks + of_row[place // n]) * (rows * n) + place
             order = np.argsort(name, kind="stable")
             name = name[order]
             first = np.flatnonzero(np.diff(name, prepend=-1))  # of each posting
@@ -157,19 +276,15 @@ class StoredIndex:
                 # Bounds are given where they are not those of a block's only posting.
                 given = np.zeros(len(first), bool)
                 given[begins] = size > 1
-                ends = np.append(0, np.cumsum(tf + 3 * given))
-                numbers = np.empty(ends[-1], np.int32)
-                numbers[np.arange(len(order)) + np.repeat(3 * (np.cumsum(given) - given), tf)] = at[order]
                 bounds = np.stack([size, np.maximum.reduceat(tf, begins), np.minimum.reduceat(total[row], begins)], axis=1)[size > 1]
-                numbers[ends[1:][given][:, None] + np.arange(-3, 0)] = bounds
-                mark = total[row].astype(np.int64) << 32 | ((mine - np.repeat(mine[starts], counts)) * n + where % n) << 3 | given << 2 | opens << 1 | lead
-                upto, values = pa.array(np.append(starts, len(first)).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(numbers))
+                marks = ((mine - np.repeat(mine[starts], counts)) * n + where % n) << 3 | given << 2 | opens << 1 | lead
+                upto = pa.array(np.append(starts, len(first)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [terms.take(pa.array(sorted_terms[term[starts]])), pa.array(block + mine[starts]), pa.array(counts.astype(np.int32)),
-                     *[pa.ListArray.from_arrays(upto, v) for v in (keys.take(pa.array(row)), pa.array(mark), values)], *[pa.nulls(len(starts), t) for t in (keys.type, pa.int32(), pa.string())]],
+                    [terms.take(pa.array(sorted_terms[term[starts]])), pa.array(block + mine[starts]), pa.array(counts.astype(np.int32)), pa.ListArray.from_arrays(upto, keys.take(pa.array(row))),
+                     packed(counts, marks, total[row], tf, given, bounds, at[order]), *[pa.nulls(len(starts), t) for t in (keys.type, pa.int32(), pa.string())]],
                     names,
                 )
-            none = [pa.nulls(rows, t) for t in (pa.string(), pa.int64(), pa.int32(), *map(pa.list_, (keys.type, pa.int64(), pa.list_(pa.int32()))))]
+            none = [pa.nulls(rows, t) for t in (pa.string(), pa.int64(), pa.int32(), pa.list_(keys.type), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, keys, pa.array(total.astype(np.int32)), hashes], names)
 
         def run(batches):
@@ -187,29 +302,44 @@ class StoredIndex:
         names = ["term", "block", "n", *GATHERED, "key", "total", "hash"]
         picked = docs.select(F.col(self.key).alias("key"), self._hash().alias("hash"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(self.columns)])
         small_batches(self.spark)
-        return picked.mapInArrow(run, f"term string, block long, n int, keys array<{kind}>, marks array<bigint>, positions array<array<int>>, key {kind}, total int, hash string")
+        return picked.mapInArrow(run, f"term string, block long, n int, keys array<{kind}>, packed binary, key {kind}, total int, hash string")
 
     def _hash(self) -> Column:
         return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c), F.lit("\x1e")) for c in self.columns]), 256)
 
     def _write_segment(self, docs: DataFrame, number: int) -> None:
-        """Gathered rows are dealt and sorted as they are, and opened as postings when they are written."""
+        """Gathered rows are dealt and sorted as they are, packed, and opened as postings when they are written."""
         held = stage(self._postings(docs), "postings", "zstd")
         held.where("term IS NULL").select("key", "hash", F.col("total").cast("long").alias("total")).write.parquet(f"{self.path}/documents/seg={number}")
         rows = held.where("term IS NOT NULL")
         sizes = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("postings"), F.count(F.lit(1)).alias("rows")).first()
         parts = max(parts_of(self.spark, sizes.postings), -(-sizes.rows // PART_ROWS))
-        dealt = rows.select("term", "block", *GATHERED).repartitionByRange(parts, "term", "block").sortWithinPartitions("term", "block")
-        opened = dealt.select("term", "block", F.inline(F.arrays_zip(*GATHERED)))
-        flag = lambda bit: F.col("marks").bitwiseAND(F.lit(bit)) > 0
-        place, n = F.shiftright(F.col("marks").bitwiseAND(F.lit(0xFFFFFFFF)), 3), F.lit(len(self.columns)).cast("long")
-        tf, total = F.size("positions") - F.when(flag(4), 3).otherwise(0), F.shiftright("marks", 32).cast("int")
-        bounds = [F.when(flag(2), F.when(flag(4), F.get("positions", tf + i)).otherwise(own)).alias(b) for i, (b, own) in enumerate(zip(BOUNDS, (F.lit(1), tf, total)))]
-        made = opened.select(
-            "term", F.col("keys").alias("key"), (place % n).cast("int").alias("col"), tf.alias("tf"), F.when(flag(4), F.slice("positions", 1, tf)).otherwise(F.col("positions")).alias("positions"),
-            total.alias("total"), (F.col("block") + F.call_function("div", place, n)).alias("block"), F.spark_partition_id().alias("part"), flag(1).alias("lead"), *bounds,
-        )
-        self._write_made(made, number, not sizes.postings)
+        made = self._opened(self._dealt(rows, parts))
+        split = "spark.sql.files.maxPartitionBytes"
+        before = at_most(self.spark, split, DEALT_BYTES)
+        try:
+            self._write_made(made, number, not sizes.postings)
+        finally:
+            self.spark.conf.set(split, before)
+
+    def _dealt(self, gathered: DataFrame, parts: int) -> DataFrame:
+        return gathered.select("term", "block", *GATHERED).repartitionByRange(parts, "term", "block").sortWithinPartitions("term", "block")
+
+    def _opened(self, dealt: DataFrame) -> DataFrame:
+        """One row a posting, in the order of the gathered rows."""
+        columns, most = len(self.columns), OPENED_POSTINGS
+        kind = dealt.schema["keys"].dataType.elementType.simpleString()
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    rows = opened(columns, batch)
+                    for start in range(0, rows.num_rows, most):
+                        yield rows.slice(start, most)
+
+        bounds = ", ".join(f"{b} int" for b in BOUNDS)
+        rows = dealt.mapInArrow(run, f"term string, key {kind}, col int, positions array<int>, total int, block long, lead boolean, {bounds}")
+        return rows.select("term", "key", "col", F.size("positions").alias("tf"), "positions", "total", "block", F.spark_partition_id().alias("part"), "lead", *BOUNDS)
 
     def _write_postings(self, postings: DataFrame, slots: int, number: int) -> None:
         """A segment's postings in ranges of terms and blocks with the bounds of their blocks, and the ranges. `postings` is read from files: it is

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +204,60 @@ def test_no_task_has_two_lots(spark, monkeypatch):
     gone = table.delete(spark.range(0, 1600, 2).toDF("id"))
     assert plans[0].count("Exchange") == 2 == plans[0].count(", 40), REPARTITION_BY_NUM")
     assert gone.count() == 800 == table.read().where("id % 2 = 1").count() == table.read().count()
+
+
+def test_postings_are_shuffled_as_packed_bytes(spark):
+    """About as many bytes a posting as its key and its small numbers take, for terms of many postings and of one."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(30_000)]
+    rows = [(i * 1_000_003, " ".join(rng.choices(words[:400], k=150) + rng.choices(words, k=50))) for i in range(2000)]
+    made = index.StoredIndex(spark, scratch(spark, "packed"), "id", ("body",))
+    sc = spark.sparkContext
+    sc.setJobGroup("packed", "")
+    try:
+        made.add(spark.createDataFrame(rows, "id long, body string").coalesce(2))
+    finally:
+        sc._jsc.clearJobGroup()
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("packed") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    shuffled = sum(sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+    found = made.postings()
+    assert found.count() == sum(len(set(t.split())) for _, t in rows) and found.agg(F.sum("tf")).first()[0] == 400_000
+    assert 0 < shuffled < 19 * found.count(), shuffled / found.count()
+
+
+def test_terms_of_a_round_are_those_of_its_texts():
+    rng = random.Random(7)
+    marks = lambda: chr(rng.choice([32, 95, 10, rng.randrange(128), rng.randrange(0x300), rng.randrange(0x300, 0xD800), rng.randrange(0xE000, 0x110000)]))
+    rounds = [[None], ["", None, "a_b  c\n\nd"], ["İstanbul ½ x² 中文 áb \U0001d400z \x00q ß–x running"], ["plain words", "only, here"]]
+    rounds += [["".join(marks() for _ in range(rng.randrange(40))) for _ in range(rng.randrange(1, 6))] for _ in range(100)]
+    for texts in rounds:
+        for porter in (False, True):
+            codes, terms, sizes = index.words_of(texts, porter)
+            words, found = iter(terms.take(codes).to_pylist()), []
+            for n in sizes:
+                found.append([next(words) for _ in range(n)])
+            assert found == [index.terms_of(t, porter) for t in texts] and not list(words) and len(set(terms.to_pylist())) == len(terms)
+
+
+def test_packed_postings_open_as_they_were():
+    rng = np.random.default_rng(8)
+    numbers = np.array([0, 1, 127, 128, 16383, 16384, (1 << 21) - 1, 1 << 21, 1 << 28, (1 << 31) - 1, (1 << 35) - 1])
+    data, at = index.varints(numbers)
+    found, behind = index.numbers_of(data)
+    assert found.tolist() == numbers.tolist() and behind.tolist() == at[1:].tolist() and not len(index.numbers_of(index.varints(numbers[:0])[0])[0])
+    rows = rng.integers(1, 33, 200)
+    n = rows.sum()
+    tf, total, col, after = rng.integers(1, 6, n), rng.integers(1, 1 << 31, n), rng.integers(0, 3, n), rng.integers(0, 4, n)
+    opens = rng.random(n) < 0.5
+    given, lead = opens & (rng.random(n) < 0.5), opens | (rng.random(n) < 0.3)
+    at = [np.sort(rng.choice(1 << 30, k)) for k in tf]
+    bounds = rng.integers(1, 1000, (given.sum(), 3))
+    keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rows)).astype(np.int32)), pa.array(np.arange(n) * 7))
+    blobs = index.packed(rows, (after * 3 + col) << 3 | given << 2 | opens << 1 | lead, total, tf, given, bounds, np.concatenate(at))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"t{i}" for i in range(200)]), pa.array(np.arange(200) * 10), keys, blobs], ["term", "block", "keys", "packed"])
+    wanted, held = [], iter(bounds.tolist())
+    for i, row in enumerate(np.repeat(np.arange(200), rows).tolist()):
+        bound = next(held) if given[i] else [1, tf[i], total[i]] if opens[i] else [None] * 3
+        wanted.append((f"t{row}", i * 7, col[i], at[i].tolist(), total[i], row * 10 + after[i], lead[i], *bound))
+    for start in (0, 71):
+        assert [tuple(r.values()) for r in index.opened(3, batch.slice(start)).to_pylist()] == wanted[rows[:start].sum() :]
