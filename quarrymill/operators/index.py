@@ -59,8 +59,8 @@ GONE_ROWS = 1_000_000
 BOUNDS = ("block_n", "block_tf", "block_total")
 #: A term's postings of a round: their keys, and the rest as bytes.
 GATHERED = ("keys", "packed")
-#: Postings of a batch that is written, and bytes of gathered postings that a task of the shuffle reads: what it sorts by range stays in memory.
-OPENED_POSTINGS, DEALT_BYTES = 1 << 16, 32 << 20
+#: Gathered rows that a worker packs or opens at a time, and bytes of them that a task of the shuffle reads: what it sorts by range stays in memory.
+GATHERED_ROWS, DEALT_BYTES = 1 << 12, 32 << 20
 #: What a posting carries beside its own values, made anew whenever it is written.
 MADE = ("part", "block", "lead", *BOUNDS)
 
@@ -242,7 +242,7 @@ class StoredIndex:
         """(term, block, n, keys, packed) and, without a term, (key, total, hash) of each row. The rows of a round of text are cut into blocks
         by length, so what they hold of a term is gathered here, with its bounds, without a shuffle: n postings a row, at most `row_postings`, the first in `block`.
         A posting's mark has the block after the first one and the column, and whether its bounds are given, it opens its block, and it leads its key."""
-        porter, n, most, block_docs = self.porter, len(self.columns), row_postings(), BLOCK_DOCS
+        porter, n, most, block_docs, most_rows = self.porter, len(self.columns), row_postings(), BLOCK_DOCS, GATHERED_ROWS
         kind = docs.schema[self.key].dataType.simpleString()
 
         def counted(keys, hashes, texts, block):
@@ -278,12 +278,17 @@ class StoredIndex:
                 given[begins] = size > 1
                 bounds = np.stack([size, np.maximum.reduceat(tf, begins), np.minimum.reduceat(total[row], begins)], axis=1)[size > 1]
                 marks = ((mine - np.repeat(mine[starts], counts)) * n + where % n) << 3 | given << 2 | opens << 1 | lead
-                upto = pa.array(np.append(starts, len(first)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [terms.take(pa.array(sorted_terms[term[starts]])), pa.array(block + mine[starts]), pa.array(counts.astype(np.int32)), pa.ListArray.from_arrays(upto, keys.take(pa.array(row))),
-                     packed(counts, marks, total[row], tf, given, bounds, at[order]), *[pa.nulls(len(starts), t) for t in (keys.type, pa.int32(), pa.string())]],
-                    names,
-                )
+                upto, ends, before = np.append(starts, len(first)), np.append(first, len(order)), np.append(0, np.cumsum(given))
+                for start in range(0, len(starts), most_rows):
+                    some = slice(start, start + most_rows)
+                    p, q = upto[start], upto[min(start + most_rows, len(starts))]
+                    blobs = packed(counts[some], marks[p:q], total[row[p:q]], tf[p:q], given[p:q], bounds[before[p] : before[q]], at[order[ends[p] : ends[q]]])
+                    held = pa.ListArray.from_arrays(pa.array((upto[start : start + len(blobs) + 1] - p).astype(np.int32)), keys.take(pa.array(row[p:q])))
+                    yield pa.RecordBatch.from_arrays(
+                        [terms.take(pa.array(sorted_terms[term[starts[some]]])), pa.array(block + mine[starts[some]]), pa.array(counts[some].astype(np.int32)), held, blobs,
+                         *[pa.nulls(len(blobs), t) for t in (keys.type, pa.int32(), pa.string())]],
+                        names,
+                    )
             none = [pa.nulls(rows, t) for t in (pa.string(), pa.int64(), pa.int32(), pa.list_(keys.type), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, keys, pa.array(total.astype(np.int32)), hashes], names)
 
@@ -327,15 +332,13 @@ class StoredIndex:
 
     def _opened(self, dealt: DataFrame) -> DataFrame:
         """One row a posting, in the order of the gathered rows."""
-        columns, most = len(self.columns), OPENED_POSTINGS
+        columns, most = len(self.columns), GATHERED_ROWS
         kind = dealt.schema["keys"].dataType.elementType.simpleString()
 
         def run(batches):
             for batch in batches:
-                if batch.num_rows:
-                    rows = opened(columns, batch)
-                    for start in range(0, rows.num_rows, most):
-                        yield rows.slice(start, most)
+                for start in range(0, batch.num_rows, most):
+                    yield opened(columns, batch.slice(start, most))
 
         bounds = ", ".join(f"{b} int" for b in BOUNDS)
         rows = dealt.mapInArrow(run, f"term string, key {kind}, col int, positions array<int>, total int, block long, lead boolean, {bounds}")

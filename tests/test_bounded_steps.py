@@ -261,3 +261,15 @@ def test_packed_postings_open_as_they_were():
         wanted.append((f"t{row}", i * 7, col[i], at[i].tolist(), total[i], row * 10 + after[i], lead[i], *bound))
     for start in (0, 71):
         assert [tuple(r.values()) for r in index.opened(3, batch.slice(start)).to_pylist()] == wanted[rows[:start].sum() :]
+
+
+def test_a_worker_packs_and_opens_few_rows_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b{i % 7} a c{i} a", f"b{i % 3}" if i % 2 else None) for i in range(80)], "id long, one string, two string").coalesce(1)
+    found = []
+    for rows in (index.GATHERED_ROWS, 7):
+        monkeypatch.setattr(index, "GATHERED_ROWS", rows)
+        made = index.StoredIndex(spark, scratch(spark, "few"), "id", ("one", "two"))
+        made.add(docs)
+        found.append(sorted(map(tuple, made.postings().drop("part").collect()), key=str))
+    assert found[0] == found[1] and len(found[0]) == 80 * 3 + 40
+    assert index.GATHERED_ROWS == 7 and {r[4][0] for r in found[0] if r[0] == "a"} == {0}
