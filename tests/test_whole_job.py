@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import duckdb
+
 from quarrymill.operators import prose
 from quarrymill.plans import refined_queries, text_queries
 
@@ -52,3 +54,14 @@ def test_key_phrases_of_two_and_three_words_in_sentences(spark):
     got = refined_queries.phrases(over(spark, list(texts.items()))).collect()
     assert sorted(map(tuple, got)) == sorted(expected)
     assert (1, "red green blue", 2) in expected and not any(i == 3 for i, _, _ in expected)
+
+
+def test_readability_without_words_and_at_halves(spark):
+    texts = [None, "", " ", "\n", " \n \n", "\t", ".", " . ", "bcd", "One two. Three?", "\U0001f600 \u00e9", "x" * 100_000, ". " * 10_000]
+    # Words, sentences and vowels whose scores lie half way between two values at the fifth digit, or next to it.
+    texts += ["a " * (w - 1) + "a" * (y - w + 1) + "." * s for w in range(1, 60) for s in (1, 2, 4, 8) for y in range(w, 2 * w + 2)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT unnest(range(len($1))) AS doc_id, unnest($1::VARCHAR[]) AS text", [texts])
+    expected = sorted(con.sql(text_queries.Q.oracles["N32_readability"]).fetchall())
+    got = sorted(map(tuple, text_queries.readability(over(spark, list(enumerate(texts)))).collect()))
+    assert got == expected and [score for _, score in got[:5]] == [100.0] * 5
